@@ -4,8 +4,8 @@ Grades come from two labels: 0 toxic, 1 not toxic but of low quality, 2 good. On
 over hashed text features and ordered thresholds give P(grade <= g) = sigmoid(threshold_g - w.x), so
 the expected grade and the tail probabilities of one score are consistent.
 
-Features are the distinct words of the whole text (lower-cased, outer punctuation stripped) and a few
-rates of its shape in steps, all hashed. The model is fitted on at most ``most`` labelled rows, taken
+Every distinct word of the whole text counts with itself (lower-cased, outer punctuation stripped)
+and its beginnings of 5 to 8 bytes, the text with a few rates of its shape in steps, all hashed. The model is fitted on at most ``most`` labelled rows, taken
 by a hash of the id; the fifth of labelled rows whose crc32 is divisible by 5 is never among them.
 
 Defined results: null or empty text has no feature and gets the grades' base rates; without labelled
@@ -15,6 +15,7 @@ result; rows that repeat a doc_id are scored each; other columns of the input ar
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -27,40 +28,59 @@ from .common import crc_mod
 
 BITS = 18
 GRADES = 3
+PREFIXES = (5, 6, 7, 8)
 _OUTER = b".,;:!?()[]{}\"'#*$%&|<>-_"
 _SYMBOLS = b"#*$%&|<>"
+_CAPITALS = bytes(range(65, 91))
 
 
-class Hasher:
-    """Feature numbers of a text; words are remembered up to a bound."""
+def word_features(raw: bytes) -> tuple[int, ...]:
+    """Feature numbers of a word: itself and its beginnings."""
+    w = raw.strip(_OUTER).lower()
+    return tuple(zlib.crc32(x) >> (32 - BITS) for x in (w, *(w[:k] + b"\0" for k in PREFIXES if k <= len(w))))
 
-    def __init__(self, most: int = 300_000) -> None:
-        self.known: dict[bytes, int] = {}
-        self.most = most
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").split() if text else []
+def shape_features(text: str, raw: bytes, words: list[bytes], distinct: int) -> list[int]:
+    """Feature numbers of a text's rates, in twentieths."""
+    rates = {
+        b"\0symbols": (len(raw) - len(raw.translate(None, _SYMBOLS))) / len(raw),
+        b"\0capitals": (len(raw) - len(raw.translate(None, _CAPITALS))) / len(raw),
+        b"\0repeats": 1 - distinct / len(words),
+    }
+    named = [name + str(int(rate * 20)).encode() for name, rate in rates.items()]
+    return [zlib.crc32(x) >> (32 - BITS) for x in (*named, b"\0length" + str(len(words).bit_length()).encode())]
+
+
+def features(text: str | None) -> np.ndarray:
+    """Feature numbers of a text: those of every distinct word, and of its shape."""
+    raw = text.encode("utf-8", "surrogatepass") if text else b""
+    words = raw.split()
+    if not words:
+        return np.zeros(0, np.int64)
+    distinct = set(words)
+    return np.array([*(n for w in sorted(distinct) for n in word_features(w)), *shape_features(text, raw, words, len(distinct))], dtype=np.int64)
+
+
+class Scorer(dict):
+    """w.x of texts; the sums of words' weights are remembered up to a bound."""
+
+    def __init__(self, w: np.ndarray, most: int = 300_000) -> None:
+        super().__init__()
+        self.w, self.most = w, most
+
+    def __missing__(self, word: bytes) -> float:
+        total = self[word] = sum(self.w[n] for n in word_features(word))
+        return total
+
+    def __call__(self, text: str | None) -> float:
+        raw = text.encode("utf-8", "surrogatepass") if text else b""
+        words = raw.split()
         if not words:
-            return np.zeros(0, np.int64)
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, ids = self.known, set()
+            return 0.0
+        if len(self) > self.most:
+            self.clear()
         distinct = set(words)
-        for w in distinct:
-            n = known.get(w)
-            if n is None:
-                n = known[w] = zlib.crc32(w.strip(_OUTER).lower()) >> (32 - BITS)
-            ids.add(n)
-        whole = sum(map(len, words))
-        rates = {
-            b"\0symbols": sum(text.count(chr(c)) for c in _SYMBOLS) / whole,
-            b"\0capitals": sum(map(str.isupper, text)) / whole,
-            b"\0repeats": 1 - len(distinct) / len(words),
-        }
-        for name, rate in rates.items():
-            ids.add(zlib.crc32(name + str(int(min(rate, 1) * 20)).encode()) >> (32 - BITS))
-        ids.add(zlib.crc32(b"\0length" + str(len(words).bit_length()).encode()) >> (32 - BITS))
-        return np.fromiter(ids, np.int64, len(ids))
+        return math.fsum(map(self.__getitem__, distinct)) + sum(self.w[n] for n in shape_features(text, raw, words, len(distinct)))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -81,7 +101,7 @@ class Ordinal:
         """P(grade >= g) for g = 1..GRADES-1, by column."""
         return _sigmoid(scores[:, None] - self.thresholds()[None, :])
 
-    def fit(self, rows: list[np.ndarray], grades: np.ndarray, rounds: int = 150, rate: float = 0.1, ridge: float = 2e-4) -> list[float]:
+    def fit(self, rows: list[np.ndarray], grades: np.ndarray, rounds: int = 200, rate: float = 0.07, ridge: float = 1e-3) -> list[float]:
         """Adam on the mean negative log likelihood with a ridge on the weights."""
         flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
         owner = np.repeat(np.arange(len(rows)), sizes)
@@ -128,9 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 6000) -> Ordinal | Non
     chosen = rated.orderBy("salt", "l_doc_id").limit(most)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed = Hasher()
         for batch in batches:
-            yield pd.DataFrame({"salt": batch["salt"], "grade": batch["grade"], "ids": [hashed(t).tolist() for t in batch["text"]]})
+            yield pd.DataFrame({"salt": batch["salt"], "grade": batch["grade"], "ids": [features(t) for t in batch["text"]]})
 
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_doc_id"))
     got = joined.select("salt", "grade", "text").mapInPandas(run, "salt long, grade int, ids array<int>").toPandas()
@@ -149,13 +168,13 @@ def grade(docs: DataFrame, model: Ordinal | None, tail: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, steps = shared.value
-        hashed, own = Hasher(), Ordinal()
+        own, score = Ordinal(), Scorer(w.tolist()) if w is not None else None
         for batch in batches:
             if w is None:
                 tails = np.tile([2 / 3, 1 / 3], (len(batch), 1))
             else:
                 own.steps = steps
-                tails = own.tails(np.array([float(w[hashed(t)].sum(dtype=np.float64)) for t in batch["text"]]))
+                tails = own.tails(np.array([score(t) for t in batch["text"]]))
             yield pd.DataFrame(
                 {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "p_ge_1": tails[:, 0], "p_ge_2": tails[:, 1], "expected_grade": tails.sum(axis=1), "selected": tails[:, -1] >= tail}
             )
