@@ -1,4 +1,684 @@
-"""Registered queries of the dataflow-graph engine and their SQL."""
+"""Registered queries, one or more per operator, and the same in SQL for another engine.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Queries build a graph over the events picture (100 wide), lower it and round what comes out. The SQL
+is written from the operators' definitions with window functions and joins of its own, not from the
+engine's code.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+import planeweave.operators  # noqa: F401 - registers all families
+from planeweave.operators import library, reduce
+from planeweave.plans.evaluate import Evaluator, Session
+from planeweave.plans.graph import Graph
+from planeweave.plans.registry import REGISTRY
+from planeweave.plans.values import Image
+from planeweave.sources.tables import embeddings_plane, events_image
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+# --------------------------------------------------------------- SQL of the picture
+
+#: The picture as px(y, x, r, g, b, a) and its height as size(h).
+PX = """WITH px0 AS (SELECT CAST(event_id // 100 AS INT) AS y, CAST(event_id % 100 AS INT) AS x, value / 500.0 AS r,
+ CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS DOUBLE) / 100.0 AS g, CAST(hour(ts) AS DOUBLE) / 23.0 AS b, 1.0::DOUBLE AS a FROM events),
+ size AS (SELECT CAST((count(*) + 99) // 100 AS INT) AS h FROM events), px AS (SELECT px0.*, size.h FROM px0, size)"""
+
+
+def c01(v: str) -> str:
+    return f"least(greatest({v}, 0.0), 1.0)"
+
+
+def lum(r="r", g="g", b="b") -> str:
+    return f"(0.2126 * ({r}) + 0.7152 * ({g}) + 0.0722 * ({b}))"
+
+
+def sm(e0, e1, x) -> str:
+    t = c01(f"(({x}) - ({e0})) / CASE WHEN ({e1}) <= ({e0}) THEN 1.0 ELSE ({e1}) - ({e0}) END")
+    return f"(CASE WHEN ({e1}) <= ({e0}) THEN CASE WHEN ({x}) < ({e0}) THEN 0.0 ELSE 1.0 END ELSE {t} * {t} * (3 - 2 * {t}) END)"
+
+
+def lin(c: str) -> str:
+    return f"(CASE WHEN ({c}) <= 0.04045 THEN ({c}) / 12.92 ELSE pow((greatest({c}, 0.0) + 0.055) / 1.055, 2.4) END)"
+
+
+def srgb(c: str) -> str:
+    return f"(CASE WHEN ({c}) <= 0.0031308 THEN ({c}) * 12.92 ELSE 1.055 * pow(greatest({c}, 0.0), 1 / 2.4) - 0.055 END)"
+
+
+def hue(r="r", g="g", b="b") -> str:
+    mx, mn = f"greatest({r}, {g}, {b})", f"least({r}, {g}, {b})"
+    return f"(CASE WHEN {mx} - {mn} < 1e-6 THEN 0.0 WHEN {mx} = {r} THEN (({g} - {b}) / ({mx} - {mn}) + CASE WHEN {g} < {b} THEN 6.0 ELSE 0.0 END) / 6 WHEN {mx} = {g} THEN (({b} - {r}) / ({mx} - {mn}) + 2) / 6 ELSE (({r} - {g}) / ({mx} - {mn}) + 4) / 6 END)"
+
+
+def sat(r="r", g="g", b="b") -> str:
+    mx, mn = f"greatest({r}, {g}, {b})", f"least({r}, {g}, {b})"
+    return f"(CASE WHEN {mx} > 1e-6 THEN ({mx} - {mn}) / {mx} ELSE 0.0 END)"
+
+
+def from_hsv(h="h_", s="s_", v="v_") -> list[str]:
+    """r, g, b of columns h, s, v."""
+    f6 = f"(({h} - floor({h})) * 6)"
+    i, f = f"(floor({f6}) % 6)", f"({f6} - floor({f6}))"
+    p, q, t = f"{v} * (1 - {s})", f"{v} * (1 - {s} * {f})", f"{v} * (1 - {s} * (1 - {f}))"
+    pick = lambda *w: f"CASE {i} WHEN 0 THEN {w[0]} WHEN 1 THEN {w[1]} WHEN 2 THEN {w[2]} WHEN 3 THEN {w[3]} WHEN 4 THEN {w[4]} ELSE {w[5]} END"
+    return [pick(v, q, p, p, t, v), pick(t, v, v, q, p, p), pick(p, p, t, v, v, q)]
+
+
+def sql_image(r: str, g: str, b: str, a: str = "a", source: str = "px", ctes: str = "") -> str:
+    return f"{PX}{ctes} SELECT y, x, round({r}, 8) AS r, round({g}, 8) AS g, round({b}, 8) AS b, round({a}, 8) AS a FROM {source}"
+
+
+def sql_each(f: Callable[[str], str], **more) -> str:
+    return sql_image(*(f(c) for c in "rgb"), **more)
+
+
+def sql_plane(v: str, source: str = "px", ctes: str = "") -> str:
+    return f"{PX}{ctes} SELECT y, x, round({v}, 8) AS v FROM {source}"
+
+
+# --------------------------------------------------------------- queries over graphs
+
+
+def session(spark: SparkSession, sf_dir: str) -> Session:
+    return Session(spark, {"events": events_image(spark, sf_dir)})
+
+
+def told(df: DataFrame) -> DataFrame:
+    keys = [c for c in ("y", "x") if c in df.columns]
+    return df.select(*keys, *[F.round(c, 8).alias(c) for c in df.columns if c not in ("img", "y", "x")])
+
+
+def graph_query(type_: str, params: dict | None = None, wires: dict | None = None, output: int = 0, linear: bool = False):
+    """A graph of one operator. ``wires``: pin to "image", "swap" (channels turned, alpha of red), r, g, b or "edge"
+    (red at least .3); without them the first image or plane pin gets the picture or its red."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = Graph({"linear": True} if linear else None)
+        node = g.add(type_, params=params or {})
+        spec = REGISTRY[type_]
+        given = wires
+        if given is None:
+            first = next((p for p in spec.inputs if p.param is None or p.kind == "plane"), None)
+            given = {} if first is None else {first.name: "image" if first.kind == "image" else "r"}
+        source = g.add("io.image_input", params={"Color Space": 2})
+        split = g.add("color.split_rgb")
+        g.connect(source, 0, split, 0)
+        for pin, what in given.items():
+            if what == "image":
+                g.connect(source, 0, node, pin)
+            elif what == "swap":
+                turned = g.add("color.combine_rgb")
+                for k, c in enumerate((1, 2, 0, 0)):
+                    g.connect(split, c, turned, k)
+                g.connect(turned, 0, node, pin)
+            elif what == "edge":
+                edge = g.add("conv.threshold", params={"Threshold": 0.3})
+                g.connect(split, 0, edge, 0)
+                g.connect(edge, 0, node, pin)
+            else:
+                g.connect(split, "rgba".index(what), node, pin)
+        return told(Evaluator(g, session(spark, sf_dir)).result(node.id, output))
+
+    return run
+
+
+def add(name: str, query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql is not None:
+        ORACLE_SQL[name] = sql
+
+
+SWAP = dict(zip("rgba", "gbrr", strict=True))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = Graph()
+    a, b, c, d, e = (g.add(t, params=p) for t, p in (("io.image_input", {}), ("color.split_rgb", {}), ("color.saturation", {}), ("color.brightness_contrast", {"Contrast": 0.3, "Brightness": 0.05}), ("io.output", {})))
+    g.connect(a, 0, b, 0)
+    g.connect(a, 0, c, 0)
+    g.connect(b, "R", c, "Amount")
+    g.connect(c, 0, d, 0)
+    g.connect(d, 0, e, 0)
+    return told(Evaluator(g, session(spark, sf_dir)).result())
+
+
+_sat = lambda c: c01(f"{lum()} + ({c} - {lum()}) * least(greatest(r, 0.0), 4.0)")
+add("flagship", flagship, sql_each(lambda c: c01(f"({_sat(c)} - 0.5) * (1.3 / 0.7) + 0.5 + 0.05")))
+
+# Plumbing
+for k, c in enumerate("rgba"):
+    add(f"split_rgb_{c}", graph_query("color.split_rgb", output=k), sql_plane(c))
+HELD = ", held AS (SELECT y, x, a, h, " + ", ".join(f"{c01(c)} AS {c}" for c in "rgb") + " FROM px)"
+_held = {"source": "held", "ctes": HELD}
+for k, v in enumerate((hue(), sat(), "greatest(r, g, b)")):
+    add(f"split_hsv_{'hsv'[k]}", graph_query("color.split_hsv", output=k), sql_plane(v, **_held))
+XYZ = ", l0 AS (SELECT y, x, a, " + ", ".join(f"{lin(c01(c))} AS {c}" for c in "rgb") + " FROM px), xyz AS (SELECT y, x, a, (0.4124564 * r + 0.3575761 * g + 0.1804375 * b) / 0.95047 AS x_, 0.2126729 * r + 0.7151522 * g + 0.0721750 * b AS y_, (0.0193339 * r + 0.1191920 * g + 0.9503041 * b) / 1.08883 AS z_ FROM l0), lab AS (SELECT y, x, a, " + ", ".join(f"CASE WHEN {c}_ > 0.008856 THEN cbrt({c}_) ELSE 7.787 * {c}_ + 16.0 / 116 END AS f{c}" for c in "xyz") + " FROM xyz)"
+for n, v in (("l", "(116 * fy - 16) / 100"), ("a", "500 * (fx - fy) / 128"), ("b", "200 * (fy - fz) / 128")):
+    add(f"split_lab_{n}", graph_query("color.split_lab", output="lab".index(n)), sql_plane(v, source="lab", ctes=XYZ))
+for k, v in enumerate((lum(), f"(b - {lum()}) / 1.8556 + 0.5", f"(r - {lum()}) / 1.5748 + 0.5")):
+    add(f"split_ycbcr_{k}", graph_query("color.split_ycbcr", output=k), sql_plane(v, **_held))
+for k, v in enumerate(("0.299 * r + 0.587 * g + 0.114 * b", "0.492 * (b - (0.299 * r + 0.587 * g + 0.114 * b))", "0.877 * (r - (0.299 * r + 0.587 * g + 0.114 * b))")):
+    add(f"split_yuv_{k}", graph_query("color.split_yuv", output=k), sql_plane(v, **_held))
+_mx, _mn = "greatest(r, g, b)", "least(r, g, b)"
+for k, v in enumerate((hue(), f"CASE WHEN {_mx} - {_mn} < 1e-6 THEN 0.0 WHEN ({_mx} + {_mn}) / 2 > 0.5 THEN ({_mx} - {_mn}) / (2.0 - {_mx} - {_mn}) ELSE ({_mx} - {_mn}) / ({_mx} + {_mn}) END", f"({_mx} + {_mn}) / 2")):
+    add(f"split_hsl_{'hsl'[k]}", graph_query("color.split_hsl", output=k), sql_plane(v, **_held))
+THREE = {n: dict(zip(pins, "rgb", strict=True)) for n, pins in {"rgb": ("R", "G", "B"), "hsv": ("H", "S", "V"), "lab": ("L", "a", "b"), "ycbcr": ("Y", "Cb", "Cr"), "yuv": ("Y", "U", "V"), "hsl": ("H", "S", "L")}.items()}
+add("combine_rgb", graph_query("color.combine_rgb", wires=THREE["rgb"]), sql_image("r", "g", "b", "1.0", **_held))
+add("combine_hsv", graph_query("color.combine_hsv", wires=THREE["hsv"]), sql_image(*map(c01, from_hsv("r", "g", "b")), "1.0", **_held))
+_fy, _fx, _fz = "((r * 100 + 16) / 116)", "((r * 100 + 16) / 116 + ga * 128 / 500)", "((r * 100 + 16) / 116 - ba * 128 / 200)"
+_inv = lambda t: f"(CASE WHEN {t} * {t} * {t} > 0.008856 THEN {t} * {t} * {t} ELSE ({t} - 16.0 / 116) / 7.787 END)"
+LAB2 = f"{HELD}, ab AS (SELECT held.y, held.x, held.r, least(greatest(px.g, -1.0), 1.0) AS ga, least(greatest(px.b, -1.0), 1.0) AS ba FROM held JOIN px ON held.y = px.y AND held.x = px.x), xyz AS (SELECT y, x, {_inv(_fx)} * 0.95047 AS x_, {_inv(_fy)} AS y_, {_inv(_fz)} * 1.08883 AS z_ FROM ab)"
+add("combine_lab", graph_query("color.combine_lab", wires=THREE["lab"]), sql_image(*(c01(srgb(e)) for e in ("3.2404542 * x_ - 1.5371385 * y_ - 0.4985314 * z_", "-0.9692660 * x_ + 1.8760108 * y_ + 0.0415560 * z_", "0.0556434 * x_ - 0.2040259 * y_ + 1.0572252 * z_")), "1.0", source="xyz", ctes=LAB2))
+_r, _b = "(r + 1.5748 * (b - 0.5))", "(r + 1.8556 * (g - 0.5))"
+add("combine_ycbcr", graph_query("color.combine_ycbcr", wires=THREE["ycbcr"]), sql_image(c01(_r), c01(f"(r - 0.2126 * {_r} - 0.0722 * {_b}) / 0.7152"), c01(_b), "1.0", **_held))
+_u, _v = "least(greatest(g, -0.5), 0.5)", "least(greatest(b, -0.7), 0.7)"
+add("combine_yuv", graph_query("color.combine_yuv", wires=THREE["yuv"]), sql_image(c01(f"{c01('r')} + 1.140 * {_v}"), c01(f"{c01('r')} - 0.395 * {_u} - 0.581 * {_v}"), c01(f"{c01('r')} + 2.032 * {_u}"), "1.0"))
+_hv = "b + (1 - abs(2 * b - 1)) * g * 0.5"
+HSL2 = f"{HELD}, sl AS (SELECT y, x, r AS h_, (1 - abs(2 * b - 1)) * g AS c_, {_hv} AS v_ FROM held), hv AS (SELECT y, x, h_, CASE WHEN v_ > 1e-6 THEN c_ / v_ ELSE 0.0 END AS s_, v_ FROM sl)"
+add("combine_hsl", graph_query("color.combine_hsl", wires=THREE["hsl"]), sql_image(*map(c01, from_hsv()), "1.0", source="hv", ctes=HSL2))
+add("set_alpha", graph_query("conv.set_alpha", {"Mode": 1}, {"Image": "image", "Alpha": "g"}), sql_image(*(f"{c} * {c01('g')}" for c in "rgb"), f"a * {c01('g')}"))
+add("set_alpha_replace", graph_query("conv.set_alpha", {"Alpha": 0.25}), sql_image("r", "g", "b", "0.25"))
+add("reroute", graph_query("util.reroute", wires={"Value": "image"}), sql_image("r", "g", "b"))
+add("switch", graph_query("util.switch", {"On": True}, {"Off": "image", "On": "swap"}), sql_image("g", "b", "r", c01("r")))
+add("image_info", graph_query("util.image_info", output=2), f"{PX} SELECT round(100.0 / h, 8) AS v FROM size")
+add("io_number", graph_query("io.number", {"Value": 0.75}), "SELECT 0.75::DOUBLE AS v")
+add("image_input_linear", lambda spark, d: told(Evaluator(_linear_input(), session(spark, d)).result()), sql_each(lin))
+
+
+def _linear_input() -> Graph:
+    g = Graph({"linear": True})
+    g.connect(g.add("io.image_input"), 0, g.add("io.output"), 0)
+    return g
+
+
+_cut = lambda c, s: f"CASE WHEN x = 30 THEN 1.0 WHEN x < 30 THEN {c} ELSE {s} END"
+add("split_compare", graph_query("util.split", {"Position": 0.3}, {"A": "image", "B": "swap"}), sql_image(*(_cut(c, SWAP[c]) for c in "rgb"), f"CASE WHEN x < 30 THEN a ELSE {c01('r')} END"))
+
+# Zips
+AB = {"A": "image", "B": "swap", "Factor": "b"}
+add("mix", graph_query("math.mix", wires=AB), sql_image(*(c01(f"{c} + ({SWAP[c]} - {c}) * {c01('b')}") for c in "rgb"), c01(f"a + ({c01('r')} - a) * {c01('b')}")))
+_d = lambda s: f"CASE WHEN {s} = 0 THEN 1 ELSE {s} END"
+BLENDS = {
+    "Mix": "{q}", "Darken": "least({p}, {q})", "Multiply": "{p} * {q}", "Color Burn": "CASE WHEN {q} <= 0 THEN 0 ELSE 1 - least(1, (1 - {p}) / CASE WHEN {q} <= 0 THEN 1 ELSE {q} END) END", "Lighten": "greatest({p}, {q})",
+    "Screen": "1 - (1 - {p}) * (1 - {q})", "Color Dodge": "CASE WHEN {q} >= 1 THEN 1 ELSE least(1, {p} / CASE WHEN {q} >= 1 THEN 1 ELSE 1 - {q} END) END", "Add": "{p} + {q}",
+    "Overlay": "CASE WHEN {p} < 0.5 THEN 2 * {p} * {q} ELSE 1 - 2 * (1 - {p}) * (1 - {q}) END", "Soft Light": "(1 - 2 * {q}) * {p} * {p} + 2 * {q} * {p}", "Linear Light": "{p} + 2 * {q} - 1", "Difference": "abs({p} - {q})",
+    "Exclusion": "{p} + {q} - 2 * {p} * {q}", "Subtract": "{p} - {q}", "Divide": "CASE WHEN {q} <= 1e-6 THEN {p} ELSE {p} / CASE WHEN {q} <= 1e-6 THEN 1 ELSE {q} END END",
+}
+for n, e in BLENDS.items():
+    add(f"blend_{n.lower().replace(' ', '_')}", graph_query("math.blend", {"Mode": n, "Factor": 0.8}, {"A": "image", "B": "swap"}), sql_image(*(c01(f"{c} + ({e.format(p=c, q=SWAP[c])} - {c}) * (0.8 * {c01('r')})") for c in "rgb")))
+for n, takes in {"Hue": "baa", "Saturation": "aba", "Color": "bba", "Value": "aab"}.items():
+    src = {"a": ("r", "g", "b"), "b": ("g", "b", "r")}
+    cols = [f(*src[t]) for f, t in zip((hue, sat, lambda *c: f"greatest({', '.join(c)})"), takes, strict=True)]
+    ctes = f"{HELD}, hv AS (SELECT y, x, a, {cols[0]} AS h_, {cols[1]} AS s_, {cols[2]} AS v_ FROM held), mixed AS (SELECT hv.y, hv.x, px.r, px.g, px.b, px.a, " + ", ".join(f"{e} AS n{c}" for c, e in zip("rgb", from_hsv(), strict=True)) + " FROM hv JOIN px ON hv.y = px.y AND hv.x = px.x)"
+    add(f"blend_{n.lower()}", graph_query("math.blend", {"Mode": n}, {"A": "image", "B": "swap"}), sql_image(*(c01(f"{c} + (n{c} - {c}) * {c01('r')}") for c in "rgb"), source="mixed", ctes=ctes))
+_la, _lb = "1.0", f"({c01('r')} * 0.5)"
+add("layer_stack", graph_query("math.layer_stack", {"Opacity 2": 0.5, "Mode 2": "Screen"}, {"Layer 1": "image", "Layer 2": "swap"}), sql_image(*(c01(f"{c} + ((1 - (1 - {c}) * (1 - {SWAP[c]})) - {c}) * {_lb}") for c in "rgb"), f"{c01(f'{_lb} + 1.0 * (1 - {_lb})')}"))
+_oa = f"({c01('r')} * 0.7)"
+add("alpha_over", graph_query("math.alpha_over", {"Factor": 0.7}, {"Background": "image", "Foreground": "swap"}), sql_image(*(f"{SWAP[c]} * {_oa} + {c} * (1 - {_oa})" for c in "rgb"), c01(f"{_oa} + a * (1 - {_oa})")))
+
+# Scalars
+_A, _B = "least(greatest(r, -1e6), 1e6)", "least(greatest(g - 0.0, -1e6), 1e6)"
+_nz = f"CASE WHEN abs({_B}) < 1e-9 THEN 1.0 ELSE {_B} END"
+_pp = f"({_A} / ({_nz}) - floor({_A} / ({_nz}) * 0.5) * 2)"
+MATHS = {
+    "Add": f"{_A} + {_B}", "Subtract": f"{_A} - {_B}", "Multiply": f"{_A} * {_B}", "Divide": f"CASE WHEN abs({_B}) < 1e-9 THEN 0 ELSE {_A} / ({_nz}) END", "Power": f"CASE WHEN {_A} < 0 AND {_B} <> floor({_B}) THEN 0 ELSE pow({_A}, {_B}) END",
+    "Logarithm": f"CASE WHEN {_A} > 0 AND {_B} > 0 AND {_B} <> 1 THEN ln(CASE WHEN {_A} > 0 THEN {_A} ELSE 1 END) / ln(CASE WHEN {_B} > 0 AND {_B} <> 1 THEN {_B} ELSE 2 END) ELSE 0 END", "Square Root": f"CASE WHEN {_A} > 0 THEN sqrt(greatest({_A}, 0)) ELSE 0 END",
+    "Absolute": f"abs({_A})", "Minimum": f"least({_A}, {_B})", "Maximum": f"greatest({_A}, {_B})", "Less Than": f"CASE WHEN {_A} < {_B} THEN 1.0 ELSE 0 END", "Greater Than": f"CASE WHEN {_A} > {_B} THEN 1.0 ELSE 0 END",
+    "Modulo": f"CASE WHEN abs({_B}) < 1e-9 THEN 0 ELSE {_A} - {_B} * floor({_A} / ({_nz})) END", "Floor": f"floor({_A})", "Ceil": f"ceil({_A})", "Round": f"round({_A})", "Fract": f"{_A} - floor({_A})", "Sine": f"sin({_A})", "Cosine": f"cos({_A})",
+    "Snap": f"CASE WHEN abs({_B}) < 1e-9 THEN {_A} ELSE floor({_A} / ({_nz})) * {_B} END", "Ping-Pong": f"CASE WHEN abs({_B}) < 1e-9 THEN 0 ELSE (CASE WHEN {_pp} > 1 THEN 2 - {_pp} ELSE {_pp} END) * {_B} END",
+}
+for n, e in MATHS.items():
+    add(f"math_{n.lower().replace(' ', '_').replace('-', '_')}", graph_query("conv.math", {"Operation": n}, {"A": "r", "B": "g"}), sql_plane(f"CAST({e} AS DOUBLE)"))
+_t = c01("(r - 0.1) / 0.6")
+for n, e in {"Linear": _t, "Smooth Step": f"{_t} * {_t} * (3 - 2 * {_t})", "Stepped (4)": f"floor({_t} * 4) / 4", "Stepped (8)": f"floor({_t} * 8) / 8"}.items():
+    add(f"map_range_{n.split(' ')[0].lower()}{n[-2:-1] if '(' in n else ''}", graph_query("conv.map_range", {"From Min": 0.1, "From Max": 0.7, "To Min": -1.0, "To Max": 2.0, "Interpolation": n}), sql_plane(f"-1.0 + ({e}) * 3.0"))
+add("clamp", graph_query("conv.clamp", {"Min": 0.8, "Max": 0.2}), sql_plane("least(greatest(r, 0.2), 0.8)"))
+add("threshold", graph_query("conv.threshold", {"Softness": 0.2}), sql_plane(sm("0.3", "0.7", c01("r"))))
+STOPS = [(0.0, (0.1, 0.2, 0.9, 1.0)), (0.4, (0.9, 0.5, 0.1, 0.6)), (1.0, (1.0, 1.0, 0.8, 1.0))]
+for mode, shape in enumerate(("{f}", "0.0", "{f} * {f} * (3 - 2 * {f})", "{f} * {f} * {f} * ({f} * ({f} * 6 - 15) + 10)")):
+    t = c01("r")
+    f0, f1 = shape.format(f=f"({t} / 0.4)"), shape.format(f=f"(({t} - 0.4) / 0.6)")
+    chan = [f"CASE WHEN {t} <= 0 THEN {STOPS[0][1][k]} WHEN {t} >= 1 THEN {STOPS[2][1][k]} WHEN {t} < 0.4 THEN {STOPS[0][1][k]} + ({STOPS[1][1][k]} - {STOPS[0][1][k]}) * ({f0}) ELSE {STOPS[1][1][k]} + ({STOPS[2][1][k]} - {STOPS[1][1][k]}) * ({f1}) END" for k in range(4)]
+    ramp = {"Ramp": {"stops": [[p, *c] for p, c in STOPS], "interp": mode}}
+    add(f"color_ramp_{mode}", graph_query("conv.color_ramp", ramp, {"Factor": "r"}), sql_image(*chan[:3], "1.0"))
+    add(f"color_ramp_{mode}_alpha", graph_query("conv.color_ramp", ramp, {"Factor": "r"}, 1), sql_plane(chan[3]))
+_bd = lambda v, lo, hi, s: f"({sm(lo - s, lo, v)} * (1 - {sm(hi, hi + s, v)}))"
+_km = f"(1 - {sm(90 / 360, 90 / 360 + 0.05, 'least(abs(h_ - 0.25), 1 - abs(h_ - 0.25))')}) * {_bd('s_', 0.15, 1.0, 0.1)} * {_bd('v_', 0.05, 1.0, 0.1)}"
+add("color_key", graph_query("conv.color_key", {"Hue": 90.0, "Hue Range": 90.0}), sql_plane(_km, source="hv", ctes=f"{HELD}, hv AS (SELECT y, x, {hue()} AS h_, {sat()} AS s_, greatest(r, g, b) AS v_ FROM held)"))
+EXPRESSIONS = {
+    "arith": ("max(r,b)*2 + clamp(g,0,.1) - x/w", "greatest(r, b) * 2 + least(greatest(g, 0), 0.1) - x / 100.0"),
+    "logic": ("(r > g && b >= .5) || !(x % 3)", "CASE WHEN (r > g AND b >= 0.5) OR x % 3 = 0 THEN 1.0 ELSE 0.0 END"),
+    "guarded": ("ln(r - .2) / (g - g) + sqrt(b)", "0.0"),
+    "shapes": ("smoothstep(.2, .8, r) * mix(u, v, step(.5, g)) + fract(b * 7)", f"{sm('0.2', '0.8', 'r')} * (CASE WHEN g >= 0.5 THEN (y + 0.5) / h ELSE (x + 0.5) / 100 END) + (b * 7 - floor(b * 7))"),
+    "trig": ("sin(pi * r) ^ 2 + cos(in1) - atan2(g, b + 1)", "pow(sin(pi() * r), 2) + cos(g) - atan2(g, b + 1)"),
+}
+for n, (text, e) in EXPRESSIONS.items():
+    add(f"expression_{n}", graph_query("conv.expression", {"Expression": text}, {"Image": "image", "In 1": "g"}), sql_plane(e))
+add("image_expression", graph_query("conv.image_expression", {"Red": "1 - r", "Green": "(r + g + b) / 3", "Blue": "r > b"}), sql_image("1 - r", "(r + g + b) / 3", "CASE WHEN r > b THEN 1.0 ELSE 0.0 END"))
+RANKED = ", ranked AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS k, count(*) OVER () AS n FROM px), ends AS (SELECT max(r) FILTER (k = CAST(floor(0.1 * (n - 1) + 0.5) AS BIGINT)) AS lo, max(r) FILTER (k = CAST(floor(0.9 * (n - 1) + 0.5) AS BIGINT)) AS hi FROM ranked)"
+add("normalize_10_90", graph_query("conv.normalize", {"Low %": 10.0, "High %": 90.0}), sql_plane("(r - lo) / greatest(hi - lo, 1e-9)", source="px, ends", ctes=RANKED))
+add("normalize", graph_query("conv.normalize"), sql_plane("(r - (SELECT min(r) FROM px)) / (SELECT max(r) - min(r) FROM px)"))
+add("float_curve", graph_query("conv.float_curve", {"Curve": {"c": [[0, 0], [0.25, 0.5], [1, 1]]}}))
+add("float_curve_identity", graph_query("conv.float_curve"), sql_plane(c01("r") if False else "CASE WHEN r > 1 THEN r + (1 - r) ELSE r END"))
+add("wavelength", graph_query("conv.wavelength", {}, {"Wavelength": "r"}))
+add("blackbody", graph_query("conv.blackbody", {}, {"Temperature": "r"}))
+
+# Colour
+_lab_l = sql_plane("(116 * fy - 16) / 100", source="lab", ctes=XYZ)
+for k, sql in enumerate((sql_plane(lum()), sql_plane("(r + g + b) / 3"), sql_plane("greatest(r, g, b)"), _lab_l)):
+    add(f"luminance_{k}", graph_query("color.luminance", {"Method": k}), sql)
+add("brightness_contrast", graph_query("color.brightness_contrast", {"Contrast": 0.3, "Brightness": 0.05}), sql_each(lambda c: c01(f"({c} - 0.5) * (1.3 / 0.7) + 0.55")))
+add("brightness_contrast_linear", graph_query("color.brightness_contrast", {"Contrast": 0.3, "Brightness": 0.05}, linear=True), sql_each(lambda c: f"greatest(0.18 * pow(greatest({c}, 0) / 0.18, 1.3 / 0.7) + 0.05, 0)"))
+add("saturation_driven", graph_query("color.saturation", wires={"Image": "image", "Amount": "r"}), sql_each(_sat))
+_hs = f"{HELD}, hv AS (SELECT y, x, a, {hue()} + 40.0 / 360 AS h_, {sat()} AS s_, greatest(r, g, b) AS v_ FROM held)"
+add("hue_shift", graph_query("color.hue_shift", {"Degrees": 40.0}), sql_image(*from_hsv(), source="hv", ctes=_hs))
+add("gamma", graph_query("color.gamma", {"Gamma": 2.2}), sql_each(lambda c: f"pow({c01(c)}, 1 / 2.2)"))
+add("exposure", graph_query("color.exposure", {"Stops": 0.7}), sql_each(lambda c: c01(srgb(f"{lin(c01(c))} * pow(2, 0.7)"))))
+add("exposure_linear", graph_query("color.exposure", {"Stops": 0.7}, linear=True), sql_each(lambda c: f"{c} * pow(2, 0.7)"))
+add("invert", graph_query("color.invert", wires={"Image": "image", "Factor": "g"}), sql_each(lambda c: f"{c01(c)} + (1 - 2 * {c01(c)}) * {c01('g')}"))
+_lv = lambda c: c01(f"0.05 + pow({c01(f'({c} - 0.1) / 0.8')}, 1 / 1.4) * 0.85")
+LEVELS = {"In Black": 0.1, "In White": 0.9, "Gamma": 1.4, "Out Black": 0.05, "Out White": 0.9}
+add("levels", graph_query("color.levels", LEVELS), sql_each(_lv))
+add("levels_green", graph_query("color.levels", LEVELS | {"Channel": "Green"}), sql_image("r", _lv("g"), "b"))
+add("curves", graph_query("color.curves", {"Curves": {"master": [[0, 0.1], [0.5, 0.6], [1, 0.9]], "r": [[0, 0], [1, 0.8]]}}))
+add("curves_identity", graph_query("color.curves", {"Factor": 0.5}), sql_each(lambda c: f"{c} + ({c01(c)} - {c}) * 0.5"))
+add("hue_correct", graph_query("color.hue_correct", {"Hue Curves": {"h": [[0, 0.5], [1, 0.5]], "s": [[0, 0.4], [1, 0.4]], "v": [[0, 0.5], [1, 0.5]]}}), sql_image(*from_hsv(), source="hv", ctes=f"{HELD}, hv AS (SELECT y, x, a, {hue()} AS h_, {c01(f'{sat()} * 0.8')} AS s_, greatest(r, g, b) AS v_ FROM held)"))
+LGG = {"Lift": [1.1, 1.0, 0.9], "Gamma": [1.0, 1.2, 0.8], "Gain": [1.1, 1.0, 0.9]}
+add("color_balance_lgg", graph_query("color.color_balance", LGG | {"Factor": 0.6}), sql_image(*(c01(f"{c01(c)} + (pow(greatest((({c01(c)} - 1) * (2 - {lf}) + 1) * {gn}, 0), 1 / {gm}) - {c01(c)}) * 0.6") for c, lf, gm, gn in zip("rgb", *LGG.values(), strict=True))))
+CDL = {"Offset": [0.1, 0.0, 0.05], "Power": [1.0, 1.2, 0.8], "Slope": [1.1, 1.0, 0.9]}
+add("color_balance_cdl", graph_query("color.color_balance", CDL | {"Mode": 1}), sql_image(*(c01(f"pow(greatest({c01(c)} * {sl} + {of}, 0), {pw})") for c, of, pw, sl in zip("rgb", *CDL.values(), strict=True))))
+_x = lambda c: f"({lin(f'greatest({c}, 0)')} * pow(2, 0.5))"
+add("tone_map_reinhard", graph_query("color.tone_map", {"Exposure": 0.5}), sql_each(lambda c: c01(srgb(c01(f"{_x(c)} * (1 + {_x(c)} / 4.0) / (1 + {_x(c)})")))))
+add("tone_map_filmic", graph_query("color.tone_map", {"Exposure": 0.5, "Operator": 1}), sql_each(lambda c: c01(srgb(c01(f"({_x(c)} * (2.51 * {_x(c)} + 0.03)) / ({_x(c)} * (2.43 * {_x(c)} + 0.59) + 0.14)")))))
+for k, f in enumerate((lin, srgb, lambda c: f"pow({lin(c)}, 1 / 2.2)", lambda c: srgb(f"pow({c}, 2.2)"))):
+    add(f"convert_colorspace_{k}", graph_query("color.convert_colorspace", {"Conversion": k}), sql_each(lambda c, f=f: f(f"greatest({c}, 0)")))
+_den = lambda c, base: f"log10({lin(str(base))} / greatest({lin(c01(c))}, 1e-6))"
+_prt = lambda d: c01(srgb(f"greatest(pow(10, ({d} - 1.6) * 1.7), 0)"))
+BASES = (0.75, 0.35, 0.15)
+add("film_negative", graph_query("color.film_negative"), sql_image(*(_prt(_den(c, b)) for c, b in zip("rgb", BASES, strict=True))))
+add("film_negative_bw", graph_query("color.film_negative", {"Type": 1}), sql_each(lambda c: _prt(lum(*(_den(k, b) for k, b in zip("rgb", BASES, strict=True))))))
+add("posterize", graph_query("filter.posterize", {"Steps": 5.0}), sql_each(lambda c: f"round({c01(c)} * 4) / 4"))
+
+
+def viewed(view: str, sf: tuple = ()):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from planeweave.operators.colour import view_transform
+
+        image = events_image(spark, sf_dir)
+        out = image.frame.image(*view_transform(image.rgb, view, 0.5, 1.2), image.alpha)
+        return told(out.frame.df.select("y", "x", *[F.col(n).alias(c) for n, c in zip(out.names, "rgba", strict=True)]))
+
+    return run
+
+
+add("view_standard", viewed("Standard"), sql_each(lambda c: f"pow(greatest({srgb(c01(f'{c} * pow(2, 0.5)'))}, 0), 1 / 1.2)"))
+add("view_raw", viewed("Raw"), sql_each(lambda c: f"pow({c01(f'{c} * pow(2, 0.5)')}, 1 / 1.2)"))
+add("view_agx", viewed("AgX"))
+
+# Masks and keys
+_cx = "(x + 0.5)"
+ROT = 30.0
+
+
+def _shape_sql(w: float, h: float, feather: float, round_: bool, rot: float = 0.0, base: str = "0.0") -> str:
+    ca, sa = math.cos(-math.radians(rot)), math.sin(-math.radians(rot))
+    px, py = "(x + 0.5 - 50.0)", "(y + 0.5 - 0.5 * h)"
+    rx, ry = f"(({px} * {ca} - {py} * {sa}) / {w * 50})", f"(({px} * {sa} + {py} * {ca}) / ({h / 2} * h))"
+    q = f"sqrt({rx} * {rx} + {ry} * {ry})" if round_ else f"greatest(abs({rx}), abs({ry}))"
+    return f"(1 - {sm(1 - feather, 1 + 1e-4, q)})"
+
+
+add("box_mask", graph_query("matte.box_mask", {"Rotation": ROT, "Feather": 0.3}), sql_plane(c01(f"greatest(r, {_shape_sql(0.5, 0.5, 0.3, False, ROT)})")))
+add("box_mask_subtract", graph_query("matte.box_mask", {"Operation": "Subtract"}, {"Mask": "r"}), sql_plane(c01(f"r - {_shape_sql(0.5, 0.5, 0.0, False)}")))
+add("ellipse_mask", graph_query("matte.ellipse_mask", {"Operation": "Multiply"}, {"Mask": "r"}), sql_plane(c01(f"r * {_shape_sql(0.5, 0.5, 0.1, True)}")))
+add("radial_gradient", graph_query("matte.radial_gradient", {"Operation": "Not"}, {"Mask": "r"}), sql_plane(c01(f"greatest(r, 1 - {_shape_sql(0.6, 0.6, 0.5, True)})")))
+_lg = "(((y + 0.5) - 0.2 * h) * (0.6 * h - 0.2 * h) / greatest((0.6 * h - 0.2 * h) * (0.6 * h - 0.2 * h), 1e-6))"
+add("linear_gradient", graph_query("matte.linear_gradient", {}, {"Value": "g"}), sql_plane(c01(f"greatest(0.0, {c01('g')} * (1 - {sm('0.0', '1.0', _lg)}))")))
+_ck = {"Red": "r", "Green": "g", "Blue": "b", "Hue": "h_", "Saturation": "s_", "Value": "v_", "Y": "y_", "Cb": "cb_", "Cr": "cr_"}
+_keyed = f"{HELD}, k0 AS (SELECT y, x, {hue()} AS h_, {sat()} AS s_, greatest(r, g, b) AS v_, {lum()} AS y_, (b - {lum()}) / 1.8556 + 0.5 AS cb_, (r - {lum()}) / 1.5748 + 0.5 AS cr_ FROM held), keyed AS (SELECT k0.*, px.r, px.g, px.b, px.a FROM k0 JOIN px ON k0.y = px.y AND k0.x = px.x)"
+for n, c in _ck.items():
+    add(f"channel_key_{n.lower()}", graph_query("matte.channel_key", {"Channel": n}), sql_plane(f"1 - {sm('0.3', '0.7', c)}", source="keyed", ctes=_keyed))
+_lk = sm("0.2", "0.8", lum())
+add("luminance_key", graph_query("matte.luminance_key"), sql_plane(_lk))
+add("luminance_key_image", graph_query("matte.luminance_key", {"Keep Bright": False}, output=1), sql_image(*(f"{c} * (1 - {_lk})" for c in "rgb"), f"a * (1 - {_lk})"))
+_kc = dict(zip("rgb", (0.1, 0.8, 0.1), strict=True))
+add("difference_key", graph_query("matte.difference_key"), sql_plane(c01("(greatest(" + ", ".join(f"abs({c} - {k})" for c, k in _kc.items()) + ") - 0.1) / 0.1")))
+add("difference_key_image", graph_query("matte.difference_key", {}, {"Image": "image", "Key": "swap"}), sql_plane(c01("(greatest(" + ", ".join(f"abs({c} - {SWAP[c]})" for c in "rgb") + ") - 0.1) / 0.1")))
+add("distance_key", graph_query("matte.distance_key"), sql_plane(c01("(sqrt(" + " + ".join(f"({c} - {k}) * ({c} - {k})" for c, k in _kc.items()) + ") / 1.732 - 0.1) / 0.1")))
+_ky = 0.2126 * 0.1 + 0.7152 * 0.8 + 0.0722 * 0.1
+_kcb, _kcr = (0.1 - _ky) / 1.8556, (0.1 - _ky) / 1.5748
+_ccb, _ccr = f"((b - {lum()}) / 1.8556)", f"((r - {lum()}) / 1.5748)"
+add("distance_key_ycbcr", graph_query("matte.distance_key", {"Space": 1}), sql_plane(c01(f"(sqrt(({_ccb} - ({_kcb})) * ({_ccb} - ({_kcb})) + ({_ccr} - ({_kcr})) * ({_ccr} - ({_kcr}))) * 2 - 0.1) / 0.1")))
+_ma, _mb = f"sqrt({_ccb} * {_ccb} + {_ccr} * {_ccr})", math.hypot(_kcb, _kcr)
+_ang = f"acos(least(greatest(({_ccb} * ({_kcb}) + {_ccr} * ({_kcr})) / greatest({_ma} * {_mb}, 1e-300), -1.0), 1.0)) * 180 / {math.pi}"
+add("chroma_key", graph_query("matte.chroma_key"), sql_plane(c01(f"CASE WHEN {_ma} < 0.2 * {_mb} THEN 1.0 ELSE ({_ang} - 25.0) / 15.0 END")))
+add("color_spill", graph_query("matte.color_spill", {}, {"Image": "image", "Factor": "r"}), sql_image("r", f"g - greatest(0.0, g - (b + r) / 2) * {c01('r')}", "b"))
+_ok = f", l0 AS (SELECT y, x, {', '.join(f'{lin(f'greatest({c}, 0.0)')} AS {c}' for c in 'rgb')} FROM px), cones AS (SELECT y, x, cbrt(0.4122214708 * r + 0.5363325363 * g + 0.0514459929 * b) AS l_, cbrt(0.2119034982 * r + 0.6806995451 * g + 0.1073969566 * b) AS m_, cbrt(0.0883024619 * r + 0.2817188376 * g + 0.6299787005 * b) AS s_ FROM l0), ok AS (SELECT y, x, 0.2104542553 * l_ + 0.7936177850 * m_ - 0.0040720468 * s_ AS ll FROM cones)"
+add("range_mask", graph_query("matte.range_mask", {"Low": 0.4, "High": 0.7, "Smoothness": 0.4}), sql_plane(f"{sm(0.4 - 0.1001, 0.4, 'll')} * (1 - {sm(0.7, 0.7 + 0.1001, 'll')})", source="ok", ctes=_ok))
+add("range_mask_color", graph_query("matte.range_mask", {"Mode": "Color", "Color": [0.6, 0.4, 0.3]}))
+_seed = lambda cond, name: f"{name} AS (SELECT y, x FROM px WHERE {cond})"
+_dist = lambda name: f"coalesce((SELECT sqrt(min((s.x - px.x) * (s.x - px.x) + (s.y - px.y) * (s.y - px.y))) FROM {name} s), 1e6)"
+add("double_edge_mask", graph_query("matte.double_edge_mask", {}, {"Inner Mask": "edge", "Outer Mask": "g"}))
+_near = lambda name, reach: f"(SELECT count(*) FROM {name} s WHERE s.x BETWEEN px.x - {reach} AND px.x + {reach} AND s.y BETWEEN px.y - {reach} AND px.y + {reach} AND (s.x - px.x) * (s.x - px.x) + (s.y - px.y) * (s.y - px.y) <= {reach * reach})"
+add("dilate", graph_query("filter.dilate_erode", {"Distance": 3.0}, {"Mask": "edge"}), sql_plane(f"CASE WHEN {_near('seed', 3)} > 0 THEN 1.0 ELSE 0.0 END", ctes=f", {_seed('r >= 0.3', 'seed')}"))
+add("erode", graph_query("filter.dilate_erode", {"Distance": -2.0}, {"Mask": "edge"}), sql_plane(f"CASE WHEN {_near('seed', 2)} > 0 THEN 0.0 ELSE 1.0 END", ctes=f", {_seed('r < 0.3', 'seed')}"))
+
+# Generators
+_u, _v = "(((x + 0.5) / 100.0 - 0.5) * (100.0 / h))", "((y + 0.5) / h - 0.5)"
+_asp = "(100.0 / h)"
+_gt = c01(f"({_u} * {math.cos(math.radians(20))} + {_v} * {math.sin(math.radians(20))}) / {_asp} + 0.5")
+_ball = f"greatest(0.0, 1 - sqrt({_u} * {_u} + {_v} * {_v}) * 2)"
+GRADIENTS = {"Linear": _gt, "Quadratic": f"{_gt} * {_gt}", "Easing": f"{_gt} * {_gt} * (3 - 2 * {_gt})", "Diagonal": f"(({_u} / {_asp} + 0.5) + ({_v} + 0.5)) / 2", "Spherical": _ball, "Quadratic Sphere": f"{_ball} * {_ball}", "Radial": f"atan2({_v}, {_u}) / {2 * math.pi} + 0.5"}
+for n, e in GRADIENTS.items():
+    add(f"tex_gradient_{n.lower().replace(' ', '_')}", graph_query("tex.gradient", {"Type": n, "Angle": 20.0}), sql_plane(c01(e)))
+_wn = f"({_u} * 5 + 0.25)"
+for n, e in {"Sine": f"0.5 + 0.5 * sin({_wn} * {2 * math.pi})", "Saw": f"{_wn} - floor({_wn})", "Triangle": f"1 - abs(2 * ({_wn} - floor({_wn})) - 1)"}.items():
+    add(f"tex_wave_{n.lower()}", graph_query("tex.wave", {"Profile": n, "Phase": 0.25}), sql_plane(e))
+_rn = f"(sqrt({_u} * {_u} + {_v} * {_v}) * 5)"
+add("tex_wave_rings", graph_query("tex.wave", {"Type": "Rings"}), sql_plane(f"0.5 + 0.5 * sin({_rn} * {2 * math.pi})"))
+_even = f"CAST(floor({_u} * 8) + floor({_v} * 8) AS BIGINT) % 2 = 0"
+add("tex_checker", graph_query("tex.checker"), sql_image(*[f"CASE WHEN {_even} THEN 0.8 ELSE 0.2 END"] * 3, "1.0"))
+
+
+def _hash_sql(x: str, y: str, seed: int) -> str:
+    """The 32-bit cell hash over CTEs: one step a level, so that no step repeats another's text."""
+    from planeweave.functions.noise import CELL_X, CELL_Y, MASK, MIX1, MIX2, hash32_value
+
+    steps = [f"SELECT y, x, h, ((CAST({x} AS BIGINT) & {MASK})::HUGEINT * {CELL_X} % 4294967296)::BIGINT AS cx, xor(((CAST({y} AS BIGINT) & {MASK})::HUGEINT * {CELL_Y} % 4294967296)::BIGINT, {hash32_value(seed)}) AS v FROM px"]
+    for _ in range(2):
+        for e in ("xor(v, v >> 16)", f"(v::HUGEINT * {MIX1} % 4294967296)::BIGINT", "xor(v, v >> 15)", f"(v::HUGEINT * {MIX2} % 4294967296)::BIGINT", "xor(v, v >> 16)"):
+            steps.append(f"SELECT y, x, h, cx, {e} AS v FROM {{}}")
+        steps.append("SELECT y, x, h, cx, xor(cx, v) AS v FROM {}") if len(steps) < 8 else None
+    return ", " + ", ".join(f"n{i} AS ({s.format(f'n{i - 1}')})" for i, s in enumerate(steps)), f"n{len(steps) - 1}"
+
+
+_wc, _ws = _hash_sql("floor(x / 3.0)", "floor(y / 3.0)", 7)
+add("tex_white_noise", graph_query("tex.white_noise", {"Grain Size": 3.0, "Seed": 7.0}), sql_plane("(v >> 8) / 16777216.0", source=_ws, ctes=_wc))
+for n, t, p in (("tex_noise", "tex.noise", {"Detail": 1.5, "Distortion": 0.5}), ("tex_voronoi", "tex.voronoi", {"Seed": 3.0}), ("grain", "filter.grain", {}), ("tex_noise_color", "tex.noise", {})):
+    add(n, graph_query(t, p, output=1 if n.endswith("color") else 0))
+
+
+def _vignette_sql(amount: float, c: str, style: int) -> str:
+    d = "sqrt(pow(abs(x + 0.5 - 50) / 50.0, 2) + pow(abs(y + 0.5 - h / 2.0) / (h / 2.0), 2))"
+    t = c01(f"({d} - {0.8 - 0.3}) / 0.6")
+    mask = f"({t} * {t} * (3 - 2 * {t}))"
+    if style == 2:
+        return c01(f"{c} + ({0.0 if amount < 0 else 1.0} - {c}) * {abs(amount)} * {mask}")
+    return c01(srgb(f"{lin(c)} * pow(2, {2 * amount} * {mask})"))
+
+
+add("vignette_overlay", graph_query("filter.vignette", {"Style": 2, "Amount": -60.0}), sql_each(lambda c: _vignette_sql(-0.6, c, 2)))
+add("vignette", graph_query("filter.vignette", {"Style": 1, "Amount": 40.0}), sql_each(lambda c: _vignette_sql(0.4, c, 1)))
+
+
+# Stencils
+def _box_sql(source: str, name: str, cols: str, r: int, axis: str) -> str:
+    along, across, length = ("x", "y", "100") if axis == "x" else ("y", "x", "h")
+    w = f"(PARTITION BY {across} ORDER BY {along}"
+    whole = f"{w} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    e = [f"(sum({c}) OVER {w} ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING) + greatest(0, {r} - {along}) * first_value({c}) OVER {whole} + greatest(0, {along} + {r} - ({length} - 1)) * last_value({c}) OVER {whole}) / {2 * r + 1} AS {c}" for c in cols]
+    return f"{name} AS (SELECT y, x, h, {', '.join(e)} FROM {source})"
+
+
+def blur_sql(size: float, cols: str, source: str = "px") -> str:
+    """Six box passes as CTEs, the last one named blurred."""
+    from planeweave.operators.stencil import box_radii
+
+    passes = [(r, axis) for axis in "xy" for r in box_radii(size / 2) if r > 0]
+    names = [source, *(f"p{i}" for i in range(len(passes) - 1)), "blurred"]
+    return ", " + ", ".join(_box_sql(a, b, cols, r, axis) for (r, axis), a, b in zip(passes, names, names[1:], strict=False))
+
+
+add("blur", graph_query("filter.blur", {"Size X": 6.0, "Size Y": 6.0}), sql_image("r", "g", "b", source="blurred", ctes=blur_sql(6.0, "rgba")))
+add("blur_wide", graph_query("filter.blur", {"Size X": 44.0, "Size Y": 44.0}), sql_image("r", "g", "b", source="blurred", ctes=blur_sql(44.0, "rgba")))
+add("blur_plane", graph_query("filter.blur", {"Size X": 6.0, "Size Y": 6.0}, {"Image": "r"}), sql_plane("r", source="blurred", ctes=blur_sql(6.0, "r")))
+_gl = blur_sql(8.0, "rgb", "high").replace("p0", "wa0").replace(" blurred", " wide") + blur_sql(1.92, "rgb", "high").replace(" blurred", " narrow")
+
+
+def _near_sql(k: tuple, transpose: bool = False) -> Callable[[str], str]:
+    def total(c: str) -> str:
+        terms = []
+        for j in range(3):
+            for i in range(3):
+                if wt := (k[i * 3 + j] if transpose else k[j * 3 + i]):
+                    terms.append(f"({wt}) * {c}{j}{i}")
+        return "(" + " + ".join(terms) + ")"
+
+    return total
+
+
+def _kernel_sql(name: str) -> str:
+    from planeweave.operators.stencil import KERNELS
+
+    k, by, gradient = KERNELS[name]
+    row = ", ".join(f"coalesce(lag({c}) OVER w, {c}) AS {c}x0, {c} AS {c}x1, coalesce(lead({c}) OVER w, {c}) AS {c}x2" for c in "rgb")
+    col = ", ".join(f"coalesce(lag({c}x{i}) OVER w, {c}x{i}) AS {c}0{i}, {c}x{i} AS {c}1{i}, coalesce(lead({c}x{i}) OVER w, {c}x{i}) AS {c}2{i}" for c in "rgb" for i in range(3))
+    ctes = f", across AS (SELECT y, x, r, g, b, a, {row} FROM px WINDOW w AS (PARTITION BY y ORDER BY x)), near AS (SELECT y, x, r, g, b, a, {col} FROM across WINDOW w AS (PARTITION BY x ORDER BY y))"
+    e = lambda c: f"sqrt(pow({_near_sql(k)(c)}, 2) + pow({_near_sql(k, True)(c)}, 2)) / {by}" if gradient else f"{_near_sql(k)(c)} / {float(by)}"
+    return sql_each(lambda c: c01(f"{c} + ({e(c)} - {c}) * 0.8"), source="near", ctes=ctes)
+
+
+for n in ("Soften", "Box Sharpen", "Diamond Sharpen", "Laplace", "Sobel", "Prewitt", "Kirsch", "Shadow"):
+    add(f"filter_{n.lower().replace(' ', '_')}", graph_query("filter.filter", {"Type": n, "Factor": 0.8}), _kernel_sql(n))
+add("pixelate", graph_query("filter.pixelate", {"Size": 7.0}), sql_image(*(f"avg({c}) OVER (PARTITION BY y // 7, x // 7)" for c in "rgba")))
+add("kuwahara", graph_query("filter.kuwahara", {"Size": 2.0}))
+add("bilateral_high", graph_query("filter.bilateral_blur", {"Radius": 2.0}), None)
+add("bilateral_fast", graph_query("filter.bilateral_blur", {"Radius": 4.0, "Quality": "Fast"}), None)
+add("glare", graph_query("filter.glare", {"Size": 8.0}))
+QUAD = """, q AS (SELECT p.y, p.x, p.a, d.j, d.i, round(avg(s.l * s.l) - avg(s.l) * avg(s.l), 12) AS v, avg(s.r) AS r, avg(s.g) AS g, avg(s.b) AS b FROM px p,
+ (VALUES (-2, -2), (-2, 0), (0, -2), (0, 0)) d(j, i), (SELECT *, {l} AS l FROM px) s WHERE s.y BETWEEN p.y + d.j AND p.y + d.j + 2 AND s.x BETWEEN p.x + d.i AND p.x + d.i + 2 GROUP BY ALL),
+ best AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY y, x ORDER BY v, j, i) = 1)""".replace("{l}", lum())
+ORACLE_SQL["kuwahara"] = sql_image("r", "g", "b", source="best", ctes=QUAD)
+
+
+# Geometry
+def gather_sql(sx: str, sy: str, clear: bool, source: str = "px") -> str:
+    """Four taps a pixel by a join, summed by their weights; the result is named taken."""
+    out = f"sx < 0 OR sy < 0 OR sx > 100 OR sy > h" if clear else "FALSE"
+    return f""", at0 AS (SELECT y, x, h, ({sx})::DOUBLE AS sx, ({sy})::DOUBLE AS sy FROM {source}), at1 AS (SELECT *, floor(sx - 0.5) AS x0, floor(sy - 0.5) AS y0 FROM at0),
+ taps AS (SELECT at1.*, CAST(least(greatest(x0 + i, 0), 99) AS INT) AS tx, CAST(least(greatest(y0 + j, 0), h - 1) AS INT) AS ty,
+ CASE i WHEN 1 THEN sx - 0.5 - x0 ELSE 1 - (sx - 0.5 - x0) END * CASE j WHEN 1 THEN sy - 0.5 - y0 ELSE 1 - (sy - 0.5 - y0) END AS w FROM at1, (VALUES (0), (1)) di(i), (VALUES (0), (1)) dj(j)),
+ taken AS (SELECT t.y, t.x, any_value(t.h) AS h, {', '.join(f'CASE WHEN any_value({out}) THEN 0.0 ELSE sum(p.{c} * t.w) END AS {c}' for c in 'rgba')} FROM taps t JOIN px p ON p.y = t.ty AND p.x = t.tx GROUP BY t.y, t.x)""".replace("any_value(sx", "any_value(t.sx").replace("OR sy", "OR t.sy").replace("OR sx", "OR t.sx").replace("> h)", "> t.h)")
+
+
+_ca, _sa = math.cos(-math.radians(15.0)), math.sin(-math.radians(15.0))
+_px, _py = "(x + 0.5 - 50.0 - 4.0)", "(y + 0.5 - h / 2.0 - (-3.0))"
+add("transform", graph_query("xform.transform", {"X": 4.0, "Y": -3.0, "Angle": 15.0, "Scale": 1.3}), sql_image("r", "g", "b", source="taken", ctes=gather_sql(f"({_px} * {_ca} - {_py} * {_sa}) / 1.3 + 50.0", f"({_px} * {_sa} + {_py} * {_ca}) / 1.3 + h / 2.0", True)))
+_wrap = lambda e, n: f"((({e}) % {n}) + {n}) % {n}"
+add("transform_wrap", graph_query("xform.transform", {"X": 4.5, "Y": -3.25, "Wrap": True}), sql_image("r", "g", "b", source="taken", ctes=gather_sql(_wrap("x + 0.5 - 4.5", "100.0"), _wrap("y + 0.5 + 3.25", "h::DOUBLE"), False)))
+add("pan_zoom", graph_query("xform.pan_zoom", {"Zoom": 1.5, "X": 0.1}), sql_image("r", "g", "b", source="taken", ctes=gather_sql("(x + 0.5 - 50 - 10) / 1.5 + 50", "(y + 0.5 - h / 2.0) / 1.5 + h / 2.0", True)))
+_pz = ", z AS (SELECT d.y, d.x, s.r, s.g, s.b, s.a FROM (SELECT *, CAST(floor((x + 0.5 - 50) / 1.5 + 50) AS INT) AS tx, CAST(floor((y + 0.5 - h / 2.0) / 1.5 + h / 2.0) AS INT) AS ty FROM px) d LEFT JOIN px s ON s.y = d.ty AND s.x = d.tx)"
+add("pan_zoom_nearest", graph_query("xform.pan_zoom", {"Zoom": 1.5, "Interpolation": "Nearest"}), sql_image(*(f"coalesce({c}, 0)" for c in "rgb"), "coalesce(a, 0)", source="z", ctes=_pz))
+for k, (fx, fy) in enumerate((("99 - x", "y"), ("x", "h - 1 - y"), ("99 - x", "h - 1 - y"))):
+    add(f"flip_{'hvb'[k]}", graph_query("xform.flip", {"Axis": k}), sql_image("r", "g", "b", source="flipped", ctes=f", flipped AS (SELECT CAST({fy} AS INT) AS y, CAST({fx} AS INT) AS x, r, g, b, a FROM px)"))
+_crop = "x >= 10 AND x < 60 AND y >= CAST(floor(0.2 * h) AS INT) AND y < CAST(floor(0.7 * h + 1e-9) AS INT)"
+CROP = {"Left": 0.1, "Right": 0.6, "Top": 0.2, "Bottom": 0.7}
+add("crop", graph_query("xform.crop", CROP), sql_image("r", "g", "b", source="cropped", ctes=f", cropped AS (SELECT CAST(y - floor(0.2 * h) AS INT) AS y, CAST(x - 10 AS INT) AS x, r, g, b, a FROM px WHERE {_crop})"))
+add("crop_blank", graph_query("xform.crop", CROP | {"Resize Image": False}), sql_image(*(f"CASE WHEN {_crop} THEN {c} ELSE 0 END" for c in "rgba")))
+add("crop_straightened", graph_query("xform.crop", {"Angle": 7.0}))
+add("displace", graph_query("xform.displace", {"Strength X": 6.0, "Strength Y": -4.0}, {"Image": "image", "X": "r", "Y": "g"}), sql_image("r", "g", "b", source="taken", ctes=gather_sql("x + 0.5 + (r - 0.5) * 12", "y + 0.5 + (g - 0.5) * (-8)", False)))
+add("map_uv", graph_query("xform.map_uv", {}, {"Image": "image", "UV": "swap"}), sql_image("r", "g", "b", source="taken", ctes=gather_sql("g * 100", "b * h", True)))
+PIN = {"Upper Left X": 0.1, "Upper Left Y": 0.05, "Lower Right X": 0.9, "Lower Left Y": 0.95}
+
+
+def _pin_sql() -> str:
+    import numpy as np
+
+    from planeweave.operators.geometry import CORNERS, square_to
+
+    at = dict(zip(CORNERS, ((0.1, 0.05), (1.0, 0.0), (0.9, 1.0), (0.0, 0.95)), strict=True))
+    back = np.linalg.inv(np.array(square_to([at[c] for c in CORNERS]))).tolist()
+    u, v = "((x + 0.5) / 100)", "((y + 0.5) / h)"
+    e = [f"({a} * {u} + {b} * {v} + {c})" for a, b, c in back]
+    s, t = f"({e[0]} / {e[2]})", f"({e[1]} / {e[2]})"
+    ctes = gather_sql(f"{s} * 100", f"{t} * h", False) + f", pinned AS (SELECT taken.*, ({s} BETWEEN 0 AND 1 AND {t} BETWEEN 0 AND 1) AS inside FROM taken)"
+    return sql_image(*(f"CASE WHEN inside THEN {c} ELSE 0 END" for c in "rgba"), source="pinned", ctes=ctes)
+
+
+add("corner_pin", graph_query("xform.corner_pin", PIN), _pin_sql())
+_half, _ld = "(greatest(100, h) / 2.0)", "(x + 0.5 - 50)"
+_q2 = f"(({_ld} * {_ld} + (y + 0.5 - h / 2.0) * (y + 0.5 - h / 2.0)) / ({_half} * {_half}))"
+_fit = f"(1 / (1 + 0.1 * (2500 + h * h / 4.0) / ({_half} * {_half})))"
+_bend = f"({_fit} * (1 + 0.1 * {_q2} * {_fit} * {_fit}))"
+add("lens_distortion", graph_query("xform.lens_distortion", {"Dispersion": 0.0}), sql_image("t.r", "t.g", "t.b", "px.a", source="px JOIN taken t USING (y, x)", ctes=gather_sql(f"{_ld} * {_bend} + 50", f"(y + 0.5 - h / 2.0) * {_bend} + h / 2.0", True)))
+_r2 = f"(({_ld} * {_ld} + (y + 0.5 - h / 2.0) * (y + 0.5 - h / 2.0)) / (2500 + h * h / 4.0))"
+add("lens_correction", graph_query("xform.lens_correction", {"Distortion": 40.0, "Vignetting": 30.0, "Red / Cyan": 50.0}))
+add("lens_vignetting", graph_query("xform.lens_correction", {"Vignetting": 30.0}), sql_each(lambda c: c01(srgb(f"{lin(c01(c))} * pow(2, 0.45 * pow(least({_r2}, 1.0), 1.75))"))))
+add("border", graph_query("xform.border", {"Left": 3.0, "Top": 2.0, "Right": 1.0}), f"{PX}, grid AS (SELECT CAST(j AS INT) AS y, CAST(i AS INT) AS x FROM size, range(0, 104) t(i), range(0, (SELECT h + 2 FROM size)) u(j)) SELECT grid.y, grid.x, " + ", ".join(f"round(coalesce({c}, 1.0), 8) AS {c}" for c in "rgba") + " FROM grid LEFT JOIN px ON px.y = grid.y - 2 AND px.x = grid.x - 3")
+add("sun_beams", graph_query("filter.sun_beams"))
+add("directional_blur", graph_query("filter.directional_blur", {"Distance": 6.0, "Angle": 30.0}))
+
+
+# Reductions
+def reduced(f: Callable[[Image], DataFrame]):
+    return lambda spark, sf_dir: (lambda df: df.select(*[F.round(c, 8).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c != "img"]))(f(events_image(spark, sf_dir)))
+
+
+add("histogram", reduced(reduce.histogram), f"{PX}, v AS (SELECT unnest(['r', 'g', 'b', 'luma']) AS channel, unnest([r, g, b, {lum()}]) AS v FROM px) SELECT channel, CAST(floor({c01('v')} * 255 + 0.5) AS INT) AS bin, count(*) AS n FROM v GROUP BY ALL")
+add("area_average", reduced(lambda i: reduce.area_average(i, 10, -5, 30, 6)), f"{PX} SELECT round(avg(r), 8) AS r, round(avg(g), 8) AS g, round(avg(b), 8) AS b FROM px WHERE x BETWEEN 10 AND 30 AND y BETWEEN 0 AND 6")
+add("extent", reduced(reduce.extent), f"{PX} SELECT " + ", ".join(f"round({f}({c}), 8) AS {c}_{f}" for c in "rgba" for f in ("min", "max")) + " FROM px")
+add("airlight", reduced(reduce.airlight), f"{PX}, d AS (SELECT {c01('r')} AS r, {c01('g')} AS g, {c01('b')} AS b, least({c01('r')}, {c01('g')}, {c01('b')}) AS dark FROM px), k AS (SELECT dark, row_number() OVER (ORDER BY dark) - 1 AS k, count(*) OVER () AS n FROM d), t AS (SELECT max(dark) AS least FROM k WHERE k = n - greatest(1, n // 1000)) SELECT round(avg(r), 8) AS r, round(avg(g), 8) AS g, round(avg(b), 8) AS b FROM d, t WHERE dark >= least")
+add("picture_hash", reduced(reduce.picture_hash), f"{PX}, c AS (SELECT CAST(floor(y * 8 / h) AS INT) AS rw, CAST(floor(x * 9 / 100) AS INT) AS cell, avg(0.299 * r + 0.587 * g + 0.114 * b) AS v FROM px GROUP BY ALL), n AS (SELECT *, lead(v) OVER (PARTITION BY rw ORDER BY cell) AS nx FROM c) SELECT CAST(CASE WHEN t >= 9223372036854775808 THEN t - 18446744073709551616 ELSE t END AS BIGINT) AS hash FROM (SELECT sum(CASE WHEN v < nx THEN pow(2::DOUBLE, 0)::HUGEINT * (1::HUGEINT << (rw * 8 + cell)) ELSE 0::HUGEINT END) AS t FROM n WHERE cell < 8)")
+
+
+def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = events_image(spark, sf_dir)
+    n = image.frame.w * image.frame.h
+    df = reduce.exact_ranks(image.frame.df, image.r, {f"p{p}": (lambda n, p=p: reduce.rank_of(p / 100, n)) for p in (0, 5, 50, 95, 100)}, n)
+    return df.select(*[F.round(c, 8).alias(c) for c in df.columns if c != "img"])
+
+
+add("percentiles", _ranks, f"{PX}, k AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS k, count(*) OVER () AS n FROM px) SELECT " + ", ".join(f"round(max(r) FILTER (k = CAST(floor({p / 100} * (n - 1) + 0.5) AS BIGINT)), 8) AS p{p}" for p in (0, 5, 50, 95, 100)) + " FROM k")
+
+
+def _proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small = reduce.shrunk(events_image(spark, sf_dir), 25)
+    return told(small.frame.df.select("y", "x", *[F.col(n).alias(c) for n, c in zip(small.names, "rgba", strict=True)]))
+
+
+add("proxy", _proxy, f"{PX}, s AS (SELECT (greatest(100, h) + 24) // 25 AS s FROM size) SELECT CAST(y // s AS INT) AS y, CAST(x // s AS INT) AS x, " + ", ".join(f"round(avg({c}), 8) AS {c}" for c in "rgba") + " FROM px, s GROUP BY 1, 2")
+
+
+def _plane_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plane = embeddings_plane(spark, sf_dir)
+    from planeweave.operators.stencil import box_pass, rows_window
+
+    frame = plane.frame
+    (name,) = frame.add(box_pass(F.col(plane.v), 3, F.col("x"), frame.w, rows_window()))
+    return frame.df.select("y", "x", F.round(name, 8).alias("v"))
+
+
+_ew = "(PARTITION BY y ORDER BY x"
+add("embedding_box", _plane_blur, f"WITH e AS (SELECT CAST(vec_id AS INT) AS y, CAST(unnest(range(0, 64)) AS INT) AS x, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) SELECT y, x, round((sum(v) OVER {_ew} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) + greatest(0, 3 - x) * first_value(v) OVER {_ew} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) + greatest(0, x + 3 - 63) * last_value(v) OVER {_ew} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) / 7, 8) AS v FROM e")
+
+
+# Plans: muting, groups, regions
+def _chain() -> tuple[Graph, dict]:
+    g = Graph()
+    nodes = {n: g.add(t, params=p) for n, t, p in (("in", "io.image_input", {}), ("blur", "filter.blur", {"Size X": 4.0, "Size Y": 4.0}), ("sobel", "filter.filter", {}), ("gain", "color.exposure", {"Stops": 0.5}), ("out", "io.output", {}))}
+    for a, b in zip(list(nodes), list(nodes)[1:], strict=False):
+        g.connect(nodes[a], 0, nodes[b], 0)
+    return g, nodes
+
+
+def _muted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, nodes = _chain()
+    nodes["blur"].muted = nodes["sobel"].muted = True
+    return told(Evaluator(g, session(spark, sf_dir)).result())
+
+
+add("plan_muted", _muted, ORACLE_SQL["exposure"].replace("pow(2, 0.7)", "pow(2, 0.5)"))
+
+
+def _region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planeweave.plans.region import region
+
+    g, nodes = _chain()
+    nodes["sobel"].muted = nodes["gain"].muted = True
+    return told(region(g, session(spark, sf_dir), (20, 3, 15, 4)))
+
+
+add("plan_region", _region, sql_image("r", "g", "b", source="blurred WHERE x BETWEEN 20 AND 34 AND y BETWEEN 3 AND 6", ctes=blur_sql(4.0, "rgba")))
+
+
+def _grouped_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inner = Graph()
+    i = inner.add("group.input", extra={"port": 0})
+    v = inner.add("group.value_input", extra={"port": 1, "default": 0.4, "range": [0, 1]}, label="Strength")
+    n, o = inner.add("color.invert"), inner.add("group.output", extra={"port": 2})
+    inner.connect(i, 0, n, 0)
+    inner.connect(v, 0, n, "Factor")
+    inner.connect(n, 0, o, 0)
+    g = Graph()
+    a, b = g.add("io.image_input"), g.add("group.group", extra={"graph": inner.to_json()})
+    g.connect(a, 0, b, 0)
+    return told(Evaluator(g, session(spark, sf_dir)).result(b.id))
+
+
+add("plan_group", _grouped_plan, sql_each(lambda c: f"{c01(c)} + (1 - 2 * {c01(c)}) * 0.4"))
+
+
+# Catalogue
+def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and labels as a catalogue of photos."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    joined = docs.join(labels, "doc_id", "left")
+    return joined.select(
+        F.col("doc_id").alias("photo"), F.concat(F.lit("IMG_"), F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.lit(".jpg")).alias("name"), F.col("source").alias("folder"), F.lit(0).alias("copy"),
+        (F.coalesce("quality", F.lit(0)) * 3 + F.col("doc_id") % 3).cast("int").alias("rating"), (F.coalesce("toxic", F.lit(0)) * -2 + 1).cast("int").alias("flag"),
+        F.when(F.col("lang") == "en", 1).when(F.col("lang") == "de", 2).when(F.col("lang") == "fr", 3).otherwise(4).alias("label"), F.col("quality").isNotNull().alias("edited"),
+        F.col("lang").alias("title"), F.substring("text", 1, 60).alias("caption"), library.split_keywords(F.concat_ws(",", "source", "lang", F.lit(" "))).alias("keywords"), F.col("source").alias("stack"), F.col("n_chars").alias("position"),
+        F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("2024:0"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(":15 10:20:30"))).alias("capture_time"), F.lit("Cam/1").alias("camera"), F.col("doc_id").alias("seq"),
+    )
+
+
+PHOTOS = """WITH photos AS (SELECT d.doc_id AS photo, 'IMG_' || lpad(CAST(d.doc_id AS VARCHAR), 6, '0') || '.jpg' AS name, d.source AS folder, CAST(coalesce(quality, 0) * 3 + d.doc_id % 3 AS INT) AS rating, CAST(coalesce(toxic, 0) * -2 + 1 AS INT) AS flag,
+ CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END AS label, quality IS NOT NULL AS edited, lang AS title, substr(text, 1, 60) AS caption, source AS stack, n_chars AS position,
+ CASE WHEN d.doc_id % 7 <> 0 THEN '2024:0' || CAST(d.doc_id % 9 + 1 AS VARCHAR) || ':15 10:20:30' END AS capture_time FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) """
+for n, cond in {"picked": "flag = 1", "not rejected": "flag >= 0", "rejected": "flag = -1", "edited": "edited", "rating 3": "rating >= 3", "label 2": "label = 2", "all": "TRUE"}.items():
+    add(f"photos_{n.replace(' ', '_')}", lambda s, d, n=n: library.passes(photos(s, d), n).select("photo", "rating"), f"{PHOTOS} SELECT photo, rating FROM photos WHERE {cond}")
+add("photos_search", lambda s, d: library.search(photos(s, d), "EN src1 the").select("photo"), f"{PHOTOS} SELECT photo FROM photos WHERE " + " AND ".join(f"contains(lower(concat_ws(' ', name, title, caption, stack, title)), '{w}')" for w in ("en", "src1", "the")))
+add("photos_keywords", lambda s, d: photos(s, d).select("photo", F.array_join(library.remove_keyword(library.add_keyword(F.col("keywords"), "Extra"), "EN"), "|").alias("words")), f"{PHOTOS} SELECT photo, stack || CASE WHEN title = 'en' THEN '' ELSE '|' || title END || '|Extra' AS words FROM photos")
+add("photos_stacks", lambda s, d: library.collapsed(photos(s, d).withColumn("position", F.col("photo"))).select("photo", "stack"), f"{PHOTOS} SELECT min(photo) AS photo, stack FROM photos GROUP BY stack")
+
+
+def _sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order as numbers: the rows' places."""
+    from pyspark.sql import Window
+
+    p = photos(spark, sf_dir)
+    missing = F.col("capture_time").isNull()
+    return p.select("photo", F.row_number().over(Window.orderBy(missing, F.col("capture_time").desc(), F.lower("name"), "copy")).alias("place"))
+
+
+add("photos_sorted", _sorted, f"{PHOTOS} SELECT photo, CAST(row_number() OVER (ORDER BY capture_time IS NULL, capture_time DESC, lower(name)) AS INT) AS place FROM photos")
+
+
+def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = photos(spark, sf_dir).select(F.lit("best").alias("collection"), "photo", "copy", "rating")
+    return library.add_to_collection(p.where("rating = 5").drop("rating"), p.where("rating >= 4").drop("rating"))[0].select("collection", "photo")
+
+
+add("photos_collection", _collection, f"{PHOTOS} SELECT 'best' AS collection, photo FROM photos WHERE rating >= 4")
+add("photos_copies", lambda s, d: library.entries(photos(s, d), photos(s, d).where("rating = 5").select("photo", F.explode(F.array(F.lit(1), F.lit(2), F.lit(1))).alias("copy"))).select("photo", "copy"), f"{PHOTOS} SELECT photo, 0 AS copy FROM photos UNION ALL SELECT photo, unnest([1, 2]) AS copy FROM photos WHERE rating = 5")
+add("photos_names", lambda s, d: library.unique_names(photos(s, d).select("photo", library.file_name("{folder}_{date}_{camera}").alias("file")), "file", "photo"), f"{PHOTOS}, f AS (SELECT photo, folder || '_' || coalesce('2024-0' || CAST(photo % 9 + 1 AS VARCHAR) || '-15', '') || '_Cam_1' AS file0, capture_time FROM photos), g AS (SELECT photo, CASE WHEN capture_time IS NULL THEN regexp_replace(file0, '_2024-0[0-9]-15_', '__') ELSE file0 END AS file FROM f), n AS (SELECT *, row_number() OVER (PARTITION BY lower(file) ORDER BY photo) AS k FROM g) SELECT photo, CASE k WHEN 1 THEN file ELSE file || ' (' || k || ')' END AS file FROM n")
+add("photos_xmp", lambda s, d: photos(s, d).select("photo", library.xmp_packet().alias("xmp")))
+
+
+def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts, by the file hash's rule."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    hashes = docs.select(F.col("doc_id").alias("idx"), F.xxhash64("text").alias("file_hash"), F.lit(0).cast("long").alias("picture_hash"), F.lit(1.0).alias("aspect"), F.array().cast("array<bigint>").alias("rotated"))
+    return library.grouped(library.duplicate_pairs(hashes))
+
+
+add("photos_duplicates", _duplicates, "SELECT doc_id AS idx, min(doc_id) OVER (PARTITION BY text) AS group_id FROM documents QUALIFY count(*) OVER (PARTITION BY text) > 1")
+add("file_hash", lambda s, d: s.read.parquet(f"{d}/benchmark.parquet").select("item_id", reduce.file_hash(F.encode("text", "utf-8")).alias("hash")))

@@ -1 +1,3 @@
-"""operators."""
+"""Operator families; importing this package registers them all."""
+
+from . import colour, converter, geometry, masks, mixing, plumbing, stencil, textures  # noqa: F401
