@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_topk, language_id, lattice_lm, license_scan, ordinal_quality, packing, pii, quality_rules, simhash_dedup, source_mix
+from . import exact_topk, language_id, lattice_lm, license_scan, oracle, ordinal_quality, packing, pii, quality_rules, simhash_dedup, source_mix
 from .common import table
 
 
@@ -77,4 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracle.ORACLE_SQL)
