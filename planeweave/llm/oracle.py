@@ -17,7 +17,7 @@ def _fences(level: str, by: str) -> str:
 
 
 QUALITY = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
 i AS (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3),
 rep AS (SELECT rid, i FROM i QUALIFY count(*) OVER (PARTITION BY rid, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) > 1),
 cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY rid),
@@ -41,19 +41,19 @@ _templates = [
     for at in range(len(w) - 2)
 ]
 
-LICENSE = rf"""WITH t(template, label, exact, nw, at, gram) AS (VALUES {', '.join(_templates)}),
+LICENSE = rf"""WITH t(template, label, exact, nw, tp, gram) AS (VALUES {', '.join(_templates)}),
 w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 i AS (SELECT rid, ws, unnest(range(0, len(ws) - 2)) AS pos FROM w WHERE len(ws) >= 3),
-hit AS (SELECT rid, template, label, exact, nw, at, pos - at AS dg FROM i JOIN t ON t.gram = ws[pos + 1] || ' ' || ws[pos + 2] || ' ' || ws[pos + 3]),
-step AS (SELECT *, lag(dg) OVER (PARTITION BY rid, template ORDER BY dg, at) AS before FROM hit),
-span AS (SELECT *, sum(CASE WHEN before IS NULL OR (exact AND dg <> before) OR (NOT exact AND dg - before > 8) THEN 1 ELSE 0 END) OVER (PARTITION BY rid, template ORDER BY dg, at) AS span FROM step),
-merged AS (SELECT rid, template, label, exact, nw, span, min(dg + at) AS f, max(dg + at) AS l, len(list_distinct(flatten(list([at, at + 1, at + 2])))) AS covered FROM span GROUP BY ALL),
+hit AS (SELECT rid, template, label, exact, nw, tp, pos - tp AS dg FROM i JOIN t ON t.gram = ws[pos + 1] || ' ' || ws[pos + 2] || ' ' || ws[pos + 3]),
+step AS (SELECT *, lag(dg) OVER (PARTITION BY rid, template ORDER BY dg, tp) AS before FROM hit),
+span AS (SELECT *, sum(CASE WHEN before IS NULL OR (exact AND dg <> before) OR (NOT exact AND dg - before > 8) THEN 1 ELSE 0 END) OVER (PARTITION BY rid, template ORDER BY dg, tp) AS span FROM step),
+merged AS (SELECT rid, template, label, exact, nw, span, min(dg + tp) AS f, max(dg + tp) AS l, len(list_distinct(flatten(list([tp, tp + 1, tp + 2])))) AS covered FROM span GROUP BY ALL),
 judged AS (SELECT *, covered / nw AS share, CASE WHEN exact THEN covered = nw ELSE covered / nw >= 0.6 AND l - f + 3 <= 2 * nw END AS verified FROM merged),
 told AS (SELECT rid, count(*) FILTER (exact AND verified) AS n_base, min(f) FILTER (exact AND verified) AS first_word, max(f) FILTER (exact AND verified) AS last_word,
  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact AND verified) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (verified) AS labels, max(share) AS score FROM judged GROUP BY rid)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0.0), 9) AS score FROM w LEFT JOIN told ON w.rid = told.rid"""
 
-TOPK = """WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+TOPK = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
 
