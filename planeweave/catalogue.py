@@ -8,6 +8,7 @@ engine's code.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,7 +74,7 @@ def from_hsv(h="h_", s="s_", v="v_") -> list[str]:
 
 
 def sql_image(r: str, g: str, b: str, a: str = "a", source: str = "px", ctes: str = "") -> str:
-    return f"{PX}{ctes} SELECT y, x, round({r}, 8) AS r, round({g}, 8) AS g, round({b}, 8) AS b, round({a}, 8) AS a FROM {source}"
+    return f"{PX}{ctes} SELECT y, x, round(CAST({r} AS DOUBLE), 8) AS r, round(CAST({g} AS DOUBLE), 8) AS g, round(CAST({b} AS DOUBLE), 8) AS b, round(CAST({a} AS DOUBLE), 8) AS a FROM {source}"
 
 
 def sql_each(f: Callable[[str], str], **more) -> str:
@@ -81,7 +82,7 @@ def sql_each(f: Callable[[str], str], **more) -> str:
 
 
 def sql_plane(v: str, source: str = "px", ctes: str = "") -> str:
-    return f"{PX}{ctes} SELECT y, x, round({v}, 8) AS v FROM {source}"
+    return f"{PX}{ctes} SELECT y, x, round(CAST({v} AS DOUBLE), 8) AS v FROM {source}"
 
 
 # --------------------------------------------------------------- queries over graphs
@@ -267,7 +268,7 @@ RANKED = ", ranked AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS k, count(
 add("normalize_10_90", graph_query("conv.normalize", {"Low %": 10.0, "High %": 90.0}), sql_plane("(r - lo) / greatest(hi - lo, 1e-9)", source="px, ends", ctes=RANKED))
 add("normalize", graph_query("conv.normalize"), sql_plane("(r - (SELECT min(r) FROM px)) / (SELECT max(r) - min(r) FROM px)"))
 add("float_curve", graph_query("conv.float_curve", {"Curve": {"c": [[0, 0], [0.25, 0.5], [1, 1]]}}))
-add("float_curve_identity", graph_query("conv.float_curve"), sql_plane(c01("r") if False else "CASE WHEN r > 1 THEN r + (1 - r) ELSE r END"))
+add("float_curve_identity", graph_query("conv.float_curve"), sql_plane(c01("r")))
 add("wavelength", graph_query("conv.wavelength", {}, {"Wavelength": "r"}))
 add("blackbody", graph_query("conv.blackbody", {}, {"Temperature": "r"}))
 
@@ -340,8 +341,8 @@ add("box_mask", graph_query("matte.box_mask", {"Rotation": ROT, "Feather": 0.3})
 add("box_mask_subtract", graph_query("matte.box_mask", {"Operation": "Subtract"}, {"Mask": "r"}), sql_plane(c01(f"r - {_shape_sql(0.5, 0.5, 0.0, False)}")))
 add("ellipse_mask", graph_query("matte.ellipse_mask", {"Operation": "Multiply"}, {"Mask": "r"}), sql_plane(c01(f"r * {_shape_sql(0.5, 0.5, 0.1, True)}")))
 add("radial_gradient", graph_query("matte.radial_gradient", {"Operation": "Not"}, {"Mask": "r"}), sql_plane(c01(f"greatest(r, 1 - {_shape_sql(0.6, 0.6, 0.5, True)})")))
-_lg = "(((y + 0.5) - 0.2 * h) * (0.6 * h - 0.2 * h) / greatest((0.6 * h - 0.2 * h) * (0.6 * h - 0.2 * h), 1e-6))"
-add("linear_gradient", graph_query("matte.linear_gradient", {}, {"Value": "g"}), sql_plane(c01(f"greatest(0.0, {c01('g')} * (1 - {sm('0.0', '1.0', _lg)}))")))
+_lg = "(((y + 0.5) - 0.23 * h) * (0.59 * h - 0.23 * h) / greatest((0.59 * h - 0.23 * h) * (0.59 * h - 0.23 * h), 1e-6))"
+add("linear_gradient", graph_query("matte.linear_gradient", {"Start Y": 0.23, "End Y": 0.59}, {"Value": "g"}), sql_plane(c01(f"greatest(0.0, {c01('g')} * (1 - {sm('0.0', '1.0', _lg)}))")))
 _ck = {"Red": "r", "Green": "g", "Blue": "b", "Hue": "h_", "Saturation": "s_", "Value": "v_", "Y": "y_", "Cb": "cb_", "Cr": "cr_"}
 _keyed = f"{HELD}, k0 AS (SELECT y, x, {hue()} AS h_, {sat()} AS s_, greatest(r, g, b) AS v_, {lum()} AS y_, (b - {lum()}) / 1.8556 + 0.5 AS cb_, (r - {lum()}) / 1.5748 + 0.5 AS cr_ FROM held), keyed AS (SELECT k0.*, px.r, px.g, px.b, px.a FROM k0 JOIN px ON k0.y = px.y AND k0.x = px.x)"
 for n, c in _ck.items():
@@ -682,3 +683,149 @@ def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("photos_duplicates", _duplicates, "SELECT doc_id AS idx, min(doc_id) OVER (PARTITION BY text) AS group_id FROM documents QUALIFY count(*) OVER (PARTITION BY text) > 1")
 add("file_hash", lambda s, d: s.read.parquet(f"{d}/benchmark.parquet").select("item_id", reduce.file_hash(F.encode("text", "utf-8")).alias("hash")))
+
+
+# Development
+def s3(e0, e1, x) -> str:
+    t = c01(f"(({x}) - ({e0})) / {max(e1 - e0, 1e-6)}")
+    return f"({t} * {t} * (3 - 2 * {t}))"
+
+
+def stages(*steps: dict[str, str], keep: str = "y, x, h, a") -> tuple[str, str]:
+    """CTEs that each compute columns from the one before; unnamed ones stay."""
+    names, cols, ctes = ["px"], {"r": "r", "g": "g", "b": "b"}, ""
+    for i, step in enumerate(steps):
+        cols = {c: step.get(c, c) for c in [*cols, *[c for c in step if c not in cols]]}
+        ctes += f", d{i} AS (SELECT {keep}, " + ", ".join(f"{e} AS {c}" for c, e in cols.items()) + f" FROM {names[-1]})"
+        names.append(f"d{i}")
+    return ctes, names[-1]
+
+
+def developed(*steps: dict[str, str]) -> str:
+    ctes, source = stages(*steps)
+    return sql_image("r", "g", "b", source=source, ctes=ctes)
+
+
+_wb = [2 ** (0.7 * 0.3), 2 ** (-0.5 * -0.2), 2 ** (-0.7 * 0.3)]
+_wn = 2**0.4 / (0.2126 * _wb[0] + 0.7152 * _wb[1] + 0.0722 * _wb[2])
+_sc = lambda c, p: f"(CASE WHEN {c01(c)} < 0.5 THEN 0.5 * pow(2 * {c01(c)}, {p}) ELSE 1 - 0.5 * pow(2 - 2 * {c01(c)}, {p}) END + ({c} - {c01(c)}))"
+BASIC = {"Temperature": 30.0, "Tint": -20.0, "Exposure": 0.4, "Contrast": 25.0, "Highlights": -40.0, "Shadows": 35.0, "Whites": 20.0, "Blacks": -30.0, "Vibrance": 40.0, "Saturation": 10.0}
+_old = {f"o{c}": c for c in "rgb"}
+_vib = "(0.4 * (1 - s_) * (1 - 0.5 * " + s3(0.0, 0.04, "h_") + " * (1 - " + s3(0.1, 0.16, "h_") + ")))"
+add("basic", graph_query("color.basic", BASIC), developed(
+    {c: srgb(f"{lin(f'greatest({c}, 0.0)')} * {g * _wn}") for c, g in zip("rgb", _wb, strict=True)},
+    {c: _sc(c, 1 + 0.25 * 0.9) for c in "rgb"},
+    {"l_": f"greatest({lum()}, 0.0)"},
+    {"v_": f"l_ + (-0.4) * 0.22 * {s3(0.35, 1.0, 'l_')} * greatest(l_, 0.0)"},
+    {"v_": f"v_ + 0.35 * 0.18 * (1 - {s3(0.0, 0.6, 'v_')}) * {s3(0.0, 0.2, 'v_')}"},
+    {"v_": f"v_ + (v_ / {1 - 0.2 * 0.2} - v_) * {s3(0.4, 1.0, 'v_')}"},
+    {"v_": f"v_ + ((v_ - {0.08 * 0.3}) / {1 - 0.08 * 0.3} - v_) * (1 - {s3(0.0, 0.5, 'v_')})"},
+    {c: c01(f"CASE WHEN l_ > 1e-3 THEN {c} * least(v_ / greatest(l_, 1e-3), 4.0) ELSE {c} + v_ - l_ END") for c in "rgb"},
+    {"h_": hue(), "s_": sat()},
+    {"m_": f"greatest(1.1 * (1 + {_vib}), 0.0)", "l_": lum()},
+    {c: c01(f"l_ + ({c} - l_) * m_") for c in "rgb"},
+))
+for n, p in (("clarity", {"Clarity": 50.0, "Texture": 30.0}), ("dehaze", {"Dehaze": 40.0}), ("haze", {"Dehaze": -40.0})):
+    add(f"basic_{n}", graph_query("color.basic", p))
+
+
+def _band_sql(values: list[float]) -> str:
+    from planeweave.operators.develop import BANDS
+
+    e = str(values[0])
+    for i, (_, at) in enumerate(BANDS):
+        to = 360 if i == 7 else BANDS[i + 1][1]
+        e = f"CASE WHEN h_ * 360 >= {at} AND h_ * 360 < {to} THEN {values[i]} + ({values[(i + 1) % 8] - values[i]}) * {s3(0.0, 1.0, f'((h_ * 360 - {at}) / {to - at})')} ELSE {e} END"
+    return e
+
+
+MIXER = {"Red Hue": 40.0, "Orange Saturation": -50.0, "Blue Luminance": 60.0, "Green Hue": -30.0, "Aqua Saturation": 70.0}
+_bands = lambda kind: [MIXER.get(f"{b} {kind}", 0.0) / 100 for b in ("Red", "Orange", "Yellow", "Green", "Aqua", "Blue", "Purple", "Magenta")]
+add("color_mixer", graph_query("color.color_mixer", MIXER), developed(
+    {c: c01(c) for c in "rgb"}, {"h_": hue(), "s_": sat(), "v_": "greatest(r, g, b)"},
+    {"k_": s3(0.0, 0.15, "(s_ * v_)"), "dh": _band_sql(_bands("Hue")), "ds": _band_sql(_bands("Saturation")), "dl": _band_sql(_bands("Luminance"))},
+    {"h_": "h_ + dh * k_ * 30.0 / 360"}, dict(zip("rgb", from_hsv(), strict=True)), {"l_": lum()},
+    {c: c01(srgb(f"{lin(f'greatest(l_ + ({c} - l_) * greatest(1 + ds * k_, 0.0), 0.0)')} * pow(2.0, dl * k_)")) for c in "rgb"},
+))
+GRADING = {"Shadows Saturation": 40.0, "Highlights Saturation": 30.0, "Midtones Luminance": 20.0, "Global Saturation": 10.0, "Balance": 20.0}
+
+
+def _grading_sql() -> str:
+    import colorsys
+
+    pivot, k = 0.5 - 0.2 * 0.3, 2.5
+    w = {"Shadows": "w0", "Midtones": "greatest(1 - w0 - w2, 0.0)", "Highlights": "w2", "Global": "1.0"}
+    out = {}
+    for i, c in enumerate("rgb"):
+        e = c
+        for z, at in (("Shadows", 220), ("Midtones", 40), ("Highlights", 45), ("Global", 0)):
+            tint = colorsys.hsv_to_rgb(at / 360, 1, 1)
+            grey = 0.2126 * tint[0] + 0.7152 * tint[1] + 0.0722 * tint[2]
+            e += f" + ({(tint[i] - grey) * GRADING.get(f'{z} Saturation', 0) / 400 + GRADING.get(f'{z} Luminance', 0) / 400}) * {w[z]}"
+        out[c] = c01(e)
+    return developed({"l_": c01(lum())}, {"w0": f"pow(1 - {s3(0.0, 2 * pivot, 'l_')}, {k})", "w2": f"pow({s3(2 * pivot - 1, 1.0, 'l_')}, {k})"}, out)
+
+
+add("color_grading", graph_query("color.color_grading", GRADING), _grading_sql())
+
+
+def _tone_sql(gains: dict[int, float]) -> str:
+    import numpy as np
+
+    evs = np.arange(-8, 1)
+    weights = np.linalg.solve(np.exp(-1.4 * np.subtract.outer(evs, evs) ** 2.0), [gains.get(int(e), 0.0) for e in evs])
+    total = " + ".join(f"({w!r}) * exp(-1.4 * (e_ - ({e})) * (e_ - ({e})))" for w, e in zip(weights.tolist(), evs.tolist(), strict=True))
+    return developed({"e_": f"least(greatest(log2(greatest({lin(c01(lum()))}, {2.0**-16!r})), -8.0), 0.0)"}, {"m_": f"pow(2.0, {total})"}, {c: c01(srgb(f"{lin(c01(c))} * m_")) for c in "rgb"})
+
+
+add("tone_equalizer", graph_query("color.tone_equalizer", {"Smoothing": 0.0, "-2 EV": 1.0, "-5 EV": -0.5, "0 EV": 0.3}), _tone_sql({-2: 1.0, -5: -0.5, 0: 0.3}))
+add("tone_equalizer_guided", graph_query("color.tone_equalizer", {"-2 EV": 1.0}))
+add("color_equalizer", graph_query("color.color_equalizer", {"Red Hue": 20.0, "Blue Saturation": 50.0, "Green Brightness": -40.0}))
+_df = f", l0 AS (SELECT *, {c01(lum())} AS l_ FROM px), l1 AS (SELECT *, min(l_) OVER w AS lo, max(l_) OVER w AS hi FROM l0 WINDOW w AS (PARTITION BY y ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), l2 AS (SELECT *, max(hi) OVER w - min(lo) OVER w AS span FROM l1 WINDOW w AS (PARTITION BY x ORDER BY y ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), l3 AS (SELECT *, {hue(*map(c01, 'rgb'))} * 360 AS h_, {sat(*map(c01, 'rgb'))} AS s_ FROM l2), l4 AS (SELECT *, {c01('{e} * {s} * (1.0 * ({p}) + 0.5 * ({g}))'.format(e=s3(0.08, 0.3, 'span'), s=s3(0.05, 0.25, 's_'), p=s3(250, 260, 'h_') + ' * (1 - ' + s3(300, 310, 'h_') + ')', g=s3(98, 108, 'h_') + ' * (1 - ' + s3(132, 142, 'h_') + ')'))} AS m_ FROM l3)"
+add("defringe", graph_query("filter.defringe", {"Purple Amount": 8.0, "Green Amount": 4.0}), sql_each(lambda c: f"{c} + ({lum()} - {c}) * m_", source="l4", ctes=_df))
+_sh = "row_number() OVER () IS NOT NULL"
+_shn = ", s0 AS (SELECT y, x, h, r, g, b, a, " + lum() + " AS p FROM px)" + blur_sql(2.0, "p", "s0").replace("blurred", "sb") + ", s1 AS (SELECT y, x, p, min(p) OVER w AS lo, max(p) OVER w AS hi FROM s0 WINDOW w AS (PARTITION BY y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)), s2 AS (SELECT y, x, min(lo) OVER w AS lo, max(hi) OVER w AS hi FROM s1 WINDOW w AS (PARTITION BY x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)), s3 AS (SELECT s0.*, lo, hi, s0.p + 0.8 * (s0.p - sb.p) AS sharp FROM s0 JOIN sb USING (y, x) JOIN s2 USING (y, x)), s4 AS (SELECT *, least(greatest(sharp, lo), hi) AS held FROM s3)"
+add("sharpen", graph_query("filter.sharpen"), sql_each(lambda c: c01(f"greatest({c} + held + 0.25 * (sharp - held) - p, 0.0)"), source="s4", ctes=_shn))
+add("sharpen_masked", graph_query("filter.sharpen", {"Masking": 60.0}))
+add("denoise", graph_query("filter.denoise", {"Luminance": 60.0, "Color": 40.0}))
+add("capture_sharpen", graph_query("filter.capture_sharpen", {"Iterations": 5}))
+add("hsl_mask", graph_query("matte.hsl_mask", {"Hue": 30.0, "Use Lightness": True, "Lightness Low": 0.2}))
+add("hsl_mask_lightness", graph_query("matte.hsl_mask", {"Use Hue": False, "Use Saturation": False, "Use Lightness": True, "Lightness Low": 0.3, "Lightness High": 0.8}), sql_plane(f"{sm(0.3 - 0.0501, 0.3 + 0.0501, 'll')} * (1 - {sm(0.8 - 0.0501, 0.8 + 0.0501, 'll')})", source="ok", ctes=_ok))
+
+
+def _brush_sql() -> str:
+    dist = "sqrt(pow(x + 0.5 - 20 - {t} * 50, 2) + pow(y + 0.5 - 0.3 * h - {t} * (0.4 * h), 2))"
+    t = c01("((x + 0.5 - 20) * 50 + (y + 0.5 - 0.3 * h) * (0.4 * h)) / (2500 + 0.16 * h * h)")
+    first = f"CASE WHEN d0 >= r0 THEN 0.0 ELSE (1 - {sm('r0 * 0.4', 'r0', 'd0')}) * 0.8 END"
+    second = f"CASE WHEN d1 >= r1 THEN 0.0 ELSE 1 - {sm('r1', 'r1', 'd1')} END"
+    ctes = f", b0 AS (SELECT *, 0.1 * greatest(100, h) AS r0, 0.05 * greatest(100, h) AS r1, {t} AS t0 FROM px), b1 AS (SELECT *, {dist.format(t='t0')} AS d0, sqrt(pow(x + 0.5 - 45, 2) + pow(y + 0.5 - 0.5 * h, 2)) AS d1 FROM b0)"
+    return sql_plane(c01(f"({first}) * (1 - ({second}))"), source="b1", ctes=ctes)
+
+
+STROKES = [{"points": [[0.2, 0.3], [0.7, 0.7]], "radius": 0.1, "feather": 0.6, "flow": 0.8}, {"points": [[0.45, 0.5]], "radius": 0.05, "feather": 0.0, "erase": True}]
+add("brush_mask", graph_query("matte.brush_mask", {"Strokes": STROKES}, {}), _brush_sql())
+
+
+def _resized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planeweave.operators.iterative import resized
+
+    image = events_image(spark, sf_dir)
+    small = resized(image, 40, max(1, image.frame.h * 2 // 5))
+    return told(small.frame.df.select("y", "x", *[F.col(n).alias(c) for n, c in zip(small.names, "rgba", strict=True)]))
+
+
+def _resize_sql() -> str:
+    lobes = "(CASE WHEN abs(d) < 1e-8 THEN 1.0 WHEN abs(d) >= 3 THEN 0.0 ELSE 3 * sin(pi() * d) * sin(pi() * d / 3) / (pi() * d * pi() * d) END)"
+    ctes = ", dims AS (SELECT h, greatest(1, h * 2 // 5) AS oh FROM size)"
+    for axis, n, m_ in (("x", "100", "40"), ("y", "h", "oh")):
+        ctes += f", k{axis} AS (SELECT o, i, (i + 0.5 - (o + 0.5) / ({m_} / CAST({n} AS DOUBLE))) * least({m_} / CAST({n} AS DOUBLE), 1.0) AS d FROM dims, range(0, {m_}) t(o), range(0, {n}) u(i)), l{axis} AS (SELECT o, i, {lobes} AS w0 FROM k{axis}), w{axis} AS (SELECT o, i, w0 / sum(w0) OVER (PARTITION BY o) AS w FROM l{axis} WHERE w0 <> 0)"
+    hold = lambda c: f"least(greatest(sum({c} * w), min({c})), max({c})) AS {c}"
+    ctes += ", pre AS (SELECT y, x, " + ", ".join(f"{lin(c)} * a AS {c}" for c in "rgb") + ", a FROM px)"
+    ctes += f", hx AS (SELECT pre.y, wx.o AS x, {', '.join(map(hold, 'rgba'))} FROM pre JOIN wx ON pre.x = wx.i GROUP BY pre.y, wx.o), vy AS (SELECT CAST(wy.o AS INT) AS y, CAST(hx.x AS INT) AS x, {', '.join(map(hold, 'rgba'))} FROM hx JOIN wy ON hx.y = wy.i GROUP BY wy.o, hx.x)"
+    return sql_image(*(srgb(f"CASE WHEN a > 0 THEN {c} / a ELSE 0.0 END") for c in "rgb"), source="vy", ctes=ctes)
+
+
+add("resize", _resized, _resize_sql())
+
+# Literals with a point are decimals in the other engine; written with an exponent they are doubles, as here.
+ORACLE_SQL.update({n: re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", sql) for n, sql in ORACLE_SQL.items()})

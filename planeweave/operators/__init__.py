@@ -1,3 +1,3 @@
 """Operator families; importing this package registers them all."""
 
-from . import colour, converter, geometry, masks, mixing, plumbing, stencil, textures  # noqa: F401
+from . import colour, converter, develop, geometry, iterative, masks, mixing, plumbing, stencil, textures  # noqa: F401

@@ -27,7 +27,7 @@ def search(photos: DataFrame, words: str, columns=("name", "title", "caption"))
 
 def split_keywords(text: Column) -> Column:
     """Parts between commas and semicolons, trimmed, none of them empty."""
-    return F.filter(F.transform(F.split(text, "[,;]"), F.trim), lambda w: w != "")
+    return F.filter(F.transform(F.split(text, "[,;]"), lambda w: F.trim(w)), lambda w: w != "")
 
 
 def has_keyword(keywords: Column, word: str) -> Column:
@@ -60,7 +60,7 @@ def collapsed(photos: DataFrame, order: str = "position", opened: tuple[str, ...
 def entries(photos: DataFrame, copies: DataFrame) -> DataFrame:
     """Photos times their virtual copies, the original as copy 0."""
     own = photos.select("photo", "name", F.lit(0).alias("copy"))
-    more = photos.join(copies, "photo").select("photo", "name", "copy")
+    more = photos.select("photo", "name").join(copies.select("photo", "copy"), "photo").select("photo", "name", "copy")
     return own.union(more).distinct().orderBy(F.lower("name"), "copy")
 
 

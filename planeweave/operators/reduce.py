@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,7 +77,7 @@ def picture_hash(image: Image) -> DataFrame:
     grey = 0.299 * image.rgb[0] + 0.587 * image.rgb[1] + 0.114 * image.rgb[2]
     cells = frame.df.groupBy("img", F.floor(F.col("y") * 8 / frame.h).cast("int").alias("row"), F.floor(F.col("x") * 9 / frame.w).cast("int").alias("cell")).agg(F.avg(grey).alias("v"))
     after = cells.withColumn("next", F.lead("v").over(Window.partitionBy("img", "row").orderBy("cell"))).where("cell < 8")
-    bit = F.when(F.col("v") < F.col("next"), F.shiftleft(F.lit(1).cast("long"), (F.col("row") * 8 + F.col("cell")).cast("int"))).otherwise(F.lit(0).cast("long"))
+    bit = F.when(F.col("v") < F.col("next"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("row") * 8 + F.col("cell")).cast("int"))).otherwise(F.lit(0).cast("long"))
     return after.groupBy("img").agg(F.bit_or(bit).alias("hash"))
 
 
@@ -90,9 +92,6 @@ def shrunk(image: Image, longest: int) -> Image:
 
 def file_hash(content: Column) -> Column:
     """FNV-1a over the bytes of a file, as a signed 64-bit value; 0 becomes 1."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("long")
     def fold(files: pd.Series) -> pd.Series:
         out = []
