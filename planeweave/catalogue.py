@@ -827,5 +827,40 @@ def _resize_sql() -> str:
 
 add("resize", _resized, _resize_sql())
 
+
+# Perspective, profiles, watermarks, spots and merging
+def _tilt_sql() -> str:
+    """Rotate by 10 degrees and scale 120 %: a plain similarity about the centre."""
+    ca, sa = math.cos(math.radians(10)), math.sin(math.radians(10))
+    px, py = "((x + 0.5 - 50) / 1.2)", "((y + 0.5 - h / 2) / 1.2)"
+    return sql_image("r", "g", "b", source="taken", ctes=gather_sql(f"{px} * {ca} + {py} * {sa} + 50", f"{py} * {ca} - {px} * {sa} + h / 2", True))
+
+
+add("perspective_rotate", graph_query("xform.perspective", {"Rotate": 10.0, "Scale": 120.0}), _tilt_sql())
+add("perspective", graph_query("xform.perspective", {"Vertical": 40.0, "Horizontal": -20.0, "Constrain Crop": True}))
+add("lens_profile", graph_query("xform.lens_profile", {"Profile": {"model": "ptlens", "k": [0.01, -0.02, 0.005], "red": 1.001}}))
+_pq = "((pow(x + 0.5 - 50, 2) + pow(y + 0.5 - h / 2, 2)) / (2500 + h * h / 4))"
+add("lens_profile_vignetting", graph_query("xform.lens_profile", {"Profile": {"vignetting": [-0.4, 0.1, -0.05]}}), sql_each(lambda c: c01(srgb(f"{lin(c01(c))} / greatest(1 - 0.4 * {_pq} + 0.1 * {_pq} * {_pq} - 0.05 * {_pq} * {_pq} * {_pq}, 0.05)"))))
+add("watermark", graph_query("xform.watermark", {"Anchor": "Top Left", "Size": 100.0, "Margin": 0.0, "Opacity": 0.37}, {"Image": "image", "Logo": "swap"}), sql_image(*(f"{c} + ({SWAP[c]} - {c}) * ({c01('r')} * 0.37)" for c in "rgb"), c01(f"{c01('r')} * 0.37 + 1 - {c01('r')} * 0.37")))
+SPOT = {"x": 0.4, "y": 0.5, "sx": 0.6, "sy": 0.5, "size": 0.05, "feather": 0.0, "mode": "clone"}
+_near_spot = "sqrt(pow(px.x + 0.5 - 40, 2) + pow(px.y + 0.5 - 0.5 * px.h, 2)) >= 0.05 * greatest(100, px.h)"
+add("spot_clone", graph_query("filter.spot_removal", {"Spots": [SPOT]}), sql_image(*(c01(f"CASE WHEN far THEN {c} ELSE s{c} END") for c in "rgb"), source="cl", ctes=f", cl AS (SELECT px.*, {_near_spot} AS far, s.r AS sr, s.g AS sg, s.b AS sb FROM px LEFT JOIN px s ON s.y = px.y AND s.x = least(px.x + 20, 99))"))
+add("spot_heal", graph_query("filter.spot_removal", {"Spots": [SPOT | {"mode": "heal", "feather": 0.5}]}))
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = Graph({"linear": True})
+    source = g.add("io.image_input", params={"Color Space": 1})
+    merge = g.add("math.hdr_merge")
+    for k, stops in enumerate((-1.0, 0.0, 1.0), 1):
+        e = g.add("color.exposure", params={"Stops": stops})
+        g.connect(source, 0, e, 0)
+        g.connect(e, 0, merge, f"Image {k}")
+    return told(Evaluator(g, session(spark, sf_dir)).result(merge.id))
+
+
+# Exact multiples of one light merge back to it.
+add("hdr_merge", _merged, sql_image("greatest(r, 0.0)", "greatest(g, 0.0)", "greatest(b, 0.0)", "1.0"))
+
 # Literals with a point are decimals in the other engine; written with an exponent they are doubles, as here.
 ORACLE_SQL.update({n: re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", sql) for n, sql in ORACLE_SQL.items()})

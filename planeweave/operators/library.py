@@ -87,14 +87,16 @@ def duplicate_pairs(hashes: DataFrame, bits: int = 4, aspect: float = 0.02) -> D
     """(a, b), a < b: equal files, or alike pictures (also turned) of alike aspects.
 
     ``hashes``: idx, file_hash, picture_hash, aspect, rotated (hashes of the quarter turns; the odd
-    ones invert the aspect). Rows of one file hash are linked to its first, not to each other; only
-    a file's first row takes part in the banded picture join, bounded by distinct pictures.
+    ones invert the aspect). Rows of one file, and rows of one picture, are linked to the first of
+    them, not to each other; the banded join takes distinct pictures only.
     """
-    first = hashes.groupBy("file_hash").agg(F.min("idx").alias("first"))
-    known = hashes.join(first, "file_hash")
-    same = known.where((F.col("file_hash") != 0) & (F.col("idx") != F.col("first"))).select(F.col("first").alias("a"), F.col("idx").alias("b"))
-    lone = known.where((F.col("picture_hash") != 0) & ((F.col("file_hash") == 0) | (F.col("idx") == F.col("first"))))
-    # Of equal pictures the first stands for all: equal hashes of near aspects meet through it.
+    files = hashes.where("file_hash != 0").groupBy("file_hash").agg(F.min("idx").alias("first"))
+    same = hashes.join(files, "file_hash").where(F.col("idx") != F.col("first")).select(F.col("first").alias("a"), F.col("idx").alias("b"))
+    # Of rows with one picture hash, aspect and turned hashes the first stands for all.
+    lone = hashes.where("picture_hash != 0").groupBy("picture_hash", "aspect", "rotated").agg(F.min("idx").alias("idx"))
+    told = F.struct("picture_hash", "aspect", "rotated")
+    alike = hashes.join(lone.select(told.alias("key"), F.col("idx").alias("first")), told.eqNullSafe(F.col("key"))).where(F.col("idx") != F.col("first"))
+    same = same.union(alike.select(F.col("first").alias("a"), F.col("idx").alias("b")))
     band = lambda h: F.array(*[F.struct(F.lit(n).alias("band"), F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << size) - 1)).alias("key")) for n, (at, size) in enumerate(BANDS)])
     left = lone.select(F.col("idx").alias("i"), F.col("picture_hash").alias("p"), F.col("aspect").alias("s"), F.inline(band(F.col("picture_hash"))))
     turned = F.concat(F.array(F.struct(F.lit(0).alias("turn"), F.col("picture_hash").alias("q"))), F.transform(F.coalesce("rotated", F.array().cast("array<bigint>")), lambda h, n: F.struct((n + 1).alias("turn"), h.alias("q"))))
