@@ -6,6 +6,10 @@ target weights, packing. All stages but the last return the columns of ``documen
 
 from __future__ import annotations
 
+import re
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,7 @@ from planeweave.llm.queries import tokenizer_files
 
 #: A document stays unless it has no letter or no language is likelier than this.
 LEAST_LANGUAGE = 0.4
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _held(docs: DataFrame) -> DataFrame:
@@ -31,9 +36,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     net = language_id.train(docs.select("doc_id", "text", "lang"))
 
     @F.pandas_udf("boolean")
-    def known(texts):
-        import pandas as pd
-
+    def known(texts: pd.Series) -> pd.Series:
         named, score = language_id.predict_batch(net, texts.tolist())
         return pd.Series([n != "und" and s >= LEAST_LANGUAGE for n, s in zip(named, score, strict=True)])
 
@@ -43,21 +46,24 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest doc_id of each group; of rows that repeat it, one.
 
-    Rows with a null doc_id stay only where their group has no other document, and then one of them.
+    Rows without a doc_id stay where no document with one is linked to them, one for each fingerprint.
     """
-    found = simhash_dedup.simhash_dedup(docs.select("doc_id", "text"))
-    least = found.select(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), "fingerprint")).alias("kept")).distinct()
-    named = F.coalesce(F.col("held.doc_id").cast("string"), F.lit(None))
-    if docs.where(F.col("doc_id").isNull()).isEmpty() and docs.count() == docs.select("doc_id").distinct().count():
-        return _columns(_held(docs).join(least, named == F.col("kept"), "left_semi"), docs)
-    # Ids that repeat or are missing: one row of each kept id, one null row of each group without ids.
-    prints = simhash_dedup.fingerprints(docs.select("doc_id", "text"))
-    assert prints is not None
-    with_ids = _held(docs).join(least, named == F.col("kept"), "left_semi")
-    once = with_ids.groupBy(F.col("held.doc_id").alias("k")).agg(F.any_value("held").alias("held"))
-    alone = found.where(F.col("component_id").isNull()).select("fingerprint").distinct().count()
-    nulls = _held(docs).where(F.col("held.doc_id").isNull()).limit(1) if alone else _held(docs).limit(0)
-    return _columns(once.select("held").union(nulls), docs)
+    found = written(simhash_dedup.simhash_dedup(docs.select("doc_id", "text")))
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept"))
+    stays = _held(docs).join(kept.distinct(), F.col("held.doc_id") == F.col("kept"), "left_semi")
+    if not kept.groupBy("kept").count().where("count > 1").isEmpty():
+        stays = stays.groupBy(F.col("held.doc_id")).agg(F.any_value("held").alias("held")).select("held")
+    nameless = found.where(F.col("component_id").isNull()).select(F.col("fingerprint").alias("alone")).distinct()
+    if not nameless.isEmpty():
+
+        @F.pandas_udf("string")
+        def printed(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: f"{simhash_dedup.fingerprint(t):016x}").astype(object)
+
+        rows = _held(docs.where(F.col("doc_id").isNull())).withColumn("print", printed(F.col("held.text")))
+        rows = rows.join(nameless, F.col("print") == F.col("alone"), "left_semi")
+        stays = stays.union(rows.groupBy("print").agg(F.any_value("held").alias("held")).select("held"))
+    return _columns(stays, docs)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,11 +75,29 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; those it takes zero times go."""
-    mixed = source_mix.source_mix(docs.select("doc_id", "source", "text")).select(F.col("doc_id").alias("m_doc_id"), "copies")
-    copies = mixed.where("copies > 0")
-    joined = _held(docs).join(copies, F.col("held.doc_id").eqNullSafe(F.col("m_doc_id")))
-    return _columns(joined.select("held", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)
+    """Every document as often as the mix takes it; those it takes zero times go.
+
+    The one document of a source of which only a part is taken ends behind its last word taken, with
+    n_chars to match. Rows of equal doc_id and text are one document that is taken as often as all.
+    """
+    taken = source_mix.source_mix(docs.select("doc_id", "source", "text")).where("size > 0")
+    taken = written(taken.groupBy(F.col("doc_id").alias("m_doc_id"), F.col("text_hash").alias("m_hash")).agg(F.count("*").alias("rows"), F.sum("taken").alias("taken"), F.max("size").alias("size")))
+    held = _held(docs).withColumn("hash", F.xxhash64("held.text"))
+    if not taken.where("rows > 1").isEmpty():
+        held = held.groupBy("held.doc_id", "hash").agg(F.any_value("held").alias("held")).select("held", "hash")
+    joined = held.join(taken.where("taken > 0"), F.col("held.doc_id").eqNullSafe(F.col("m_doc_id")) & (F.col("hash") == F.col("m_hash")))
+
+    @F.pandas_udf("string")
+    def first_words(texts: pd.Series, counts: pd.Series) -> pd.Series:
+        ends = (next(islice(WORD.finditer(t), n - 1, None)).end() for t, n in zip(texts, counts, strict=True))
+        return pd.Series([t[:e] for t, e in zip(texts, ends, strict=True)], dtype=object)
+
+    whole = F.expr("taken div size")
+    full = joined.where(whole > 0).select("held", F.explode(F.sequence(F.lit(1).cast("long"), whole)).alias("copy")).select("held", F.lit(None).cast("string").alias("cut"))
+    part = joined.where("taken % size > 0").select("held", first_words(F.col("held.text"), F.expr("taken % size")).alias("cut"))
+    changed = {"text": F.coalesce("cut", "held.text"), "n_chars": F.when(F.col("cut").isNotNull(), F.length("cut")).otherwise(F.col("held.n_chars"))}
+    every = full.union(part)
+    return every.select(*[(changed[c].cast(docs.schema[c].dataType) if c in changed else F.col(f"held.`{c}`")).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,13 +109,13 @@ def rounded(docs: DataFrame, part: str) -> DataFrame:
 
 
 def source_mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0) -> DataFrame:
-    """doc_id, size, source_size, target, rate, copies, taken; one row per document.
+    """doc_id, size, source_size, target, rate, copies, taken, text_hash; one row per document.
 
     ``taken``: copies times size, but for the one document of each source whose last copy is cut short
     or goes on into one more, so that the source's words meet its target.
     """
     spark = docs.sparkSession
-    sized = written(docs.select("doc_id", "source", F.size(ascii_words(F.col("text"))).cast("long").alias("size")))
+    sized = written(docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.size(ascii_words(F.col("text"))).cast("long").alias("size")))
     solved = balanced(sized.groupBy("source", "size").agg(F.count("*").alias("n")), targets(sized, weights, cap), cap)
     solved = solved.select(F.col("source").alias("s_source"), "source_size", "mean_size", "target", "multiplier")
     rate = F.when(F.col("size") > 0, F.when(F.col("multiplier") == float("inf"), F.lit(float(cap))).otherwise(_rate(F.col("multiplier"), F.col("size"), F.col("mean_size"), cap))).otherwise(0.0)
@@ -138,5 +138,5 @@ def source_mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), ca
     out = whole.join(rest, whole["row"] == rest["c_row"], "left")
     return out.select(
         "doc_id", "size", "source_size", "target", "rate", "copies",
-        (F.col("copies") * F.col("size") + F.coalesce("change", F.lit(0))).alias("taken"),
+        (F.col("copies") * F.col("size") + F.coalesce("change", F.lit(0))).alias("taken"), "text_hash",
     )
