@@ -29,6 +29,8 @@ from .common import crc_mod
 BITS = 18
 GRADES = 3
 PREFIXES = (5, 6, 7, 8)
+#: A text has hundreds of words but four rates, which count so many times for it.
+SHAPE_TIMES = 12
 _OUTER = b".,;:!?()[]{}\"'#*$%&|<>-_"
 _SYMBOLS = b"#*$%&|<>"
 _CAPITALS = bytes(range(65, 91))
@@ -48,7 +50,7 @@ def shape_features(text: str, raw: bytes, words: list[bytes], distinct: int) ->
         b"\0repeats": 1 - distinct / len(words),
     }
     named = [name + str(int(rate * 20)).encode() for name, rate in rates.items()]
-    return [zlib.crc32(x) >> (32 - BITS) for x in (*named, b"\0length" + str(len(words).bit_length()).encode())]
+    return SHAPE_TIMES * [zlib.crc32(x) >> (32 - BITS) for x in (*named, b"\0length" + str(len(words).bit_length()).encode())]
 
 
 def features(text: str | None) -> np.ndarray:

@@ -20,7 +20,7 @@ from .common import ascii_words, written
 SYMBOLS = "#*$%&|<>"
 #: Rates in ten-thousandths (word length: hundredths of a character), and the least limit
 #: of each: most rates are 0 in most texts, so a fence alone would reject any text that has some.
-RATES = {"symbol_rate": 300, "dup_line_rate": 3500, "repeat_rate": 2500, "word_length": 0}
+RATES = {"symbol_rate": 300, "dup_line_rate": 3500, "repeat_rate": 3500, "word_length": 0}
 GAMMA = 1.04
 
 
