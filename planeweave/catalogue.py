@@ -22,6 +22,8 @@ from planeweave.plans.registry import REGISTRY
 from planeweave.plans.values import Image
 from planeweave.sources.tables import embeddings_plane, events_image
 
+#: A factor of many digits: products with it never lie half way between two rounded values, which engines round apart.
+ODD = 0.8123456789
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -214,16 +216,16 @@ BLENDS = {
     "Exclusion": "{p} + {q} - 2 * {p} * {q}", "Subtract": "{p} - {q}", "Divide": "CASE WHEN {q} <= 1e-6 THEN {p} ELSE {p} / CASE WHEN {q} <= 1e-6 THEN 1 ELSE {q} END END",
 }
 for n, e in BLENDS.items():
-    add(f"blend_{n.lower().replace(' ', '_')}", graph_query("math.blend", {"Mode": n, "Factor": 0.8}, {"A": "image", "B": "swap"}), sql_image(*(c01(f"{c} + ({e.format(p=c, q=SWAP[c])} - {c}) * (0.8 * {c01('r')})") for c in "rgb")))
+    add(f"blend_{n.lower().replace(' ', '_')}", graph_query("math.blend", {"Mode": n, "Factor": ODD}, {"A": "image", "B": "swap"}), sql_image(*(c01(f"{c} + ({e.format(p=c, q=SWAP[c])} - {c}) * ({ODD} * {c01('r')})") for c in "rgb")))
 for n, takes in {"Hue": "baa", "Saturation": "aba", "Color": "bba", "Value": "aab"}.items():
     src = {"a": ("r", "g", "b"), "b": ("g", "b", "r")}
     cols = [f(*src[t]) for f, t in zip((hue, sat, lambda *c: f"greatest({', '.join(c)})"), takes, strict=True)]
     ctes = f"{HELD}, hv AS (SELECT y, x, a, {cols[0]} AS h_, {cols[1]} AS s_, {cols[2]} AS v_ FROM held), mixed AS (SELECT hv.y, hv.x, px.r, px.g, px.b, px.a, " + ", ".join(f"{e} AS n{c}" for c, e in zip("rgb", from_hsv(), strict=True)) + " FROM hv JOIN px ON hv.y = px.y AND hv.x = px.x)"
     add(f"blend_{n.lower()}", graph_query("math.blend", {"Mode": n}, {"A": "image", "B": "swap"}), sql_image(*(c01(f"{c} + (n{c} - {c}) * {c01('r')}") for c in "rgb"), source="mixed", ctes=ctes))
-_la, _lb = "1.0", f"({c01('r')} * 0.5)"
-add("layer_stack", graph_query("math.layer_stack", {"Opacity 2": 0.5, "Mode 2": "Screen"}, {"Layer 1": "image", "Layer 2": "swap"}), sql_image(*(c01(f"{c} + ((1 - (1 - {c}) * (1 - {SWAP[c]})) - {c}) * {_lb}") for c in "rgb"), f"{c01(f'{_lb} + 1.0 * (1 - {_lb})')}"))
-_oa = f"({c01('r')} * 0.7)"
-add("alpha_over", graph_query("math.alpha_over", {"Factor": 0.7}, {"Background": "image", "Foreground": "swap"}), sql_image(*(f"{SWAP[c]} * {_oa} + {c} * (1 - {_oa})" for c in "rgb"), c01(f"{_oa} + a * (1 - {_oa})")))
+_lb = f"({c01('r')} * {ODD})"
+add("layer_stack", graph_query("math.layer_stack", {"Opacity 2": ODD, "Mode 2": "Screen"}, {"Layer 1": "image", "Layer 2": "swap"}), sql_image(*(c01(f"{c} + ((1 - (1 - {c}) * (1 - {SWAP[c]})) - {c}) * {_lb}") for c in "rgb"), f"{c01(f'{_lb} + 1.0 * (1 - {_lb})')}"))
+_oa = f"({c01('r')} * {ODD})"
+add("alpha_over", graph_query("math.alpha_over", {"Factor": ODD}, {"Background": "image", "Foreground": "swap"}), sql_image(*(f"{SWAP[c]} * {_oa} + {c} * (1 - {_oa})" for c in "rgb"), c01(f"{_oa} + a * (1 - {_oa})")))
 
 # Scalars
 _A, _B = "least(greatest(r, -1e6), 1e6)", "least(greatest(g - 0.0, -1e6), 1e6)"
@@ -243,11 +245,11 @@ for n, e in {"Linear": _t, "Smooth Step": f"{_t} * {_t} * (3 - 2 * {_t})", "Step
     add(f"map_range_{n.split(' ')[0].lower()}{n[-2:-1] if '(' in n else ''}", graph_query("conv.map_range", {"From Min": 0.1, "From Max": 0.7, "To Min": -1.0, "To Max": 2.0, "Interpolation": n}), sql_plane(f"-1.0 + ({e}) * 3.0"))
 add("clamp", graph_query("conv.clamp", {"Min": 0.8, "Max": 0.2}), sql_plane("least(greatest(r, 0.2), 0.8)"))
 add("threshold", graph_query("conv.threshold", {"Softness": 0.2}), sql_plane(sm("0.3", "0.7", c01("r"))))
-STOPS = [(0.0, (0.1, 0.2, 0.9, 1.0)), (0.4, (0.9, 0.5, 0.1, 0.6)), (1.0, (1.0, 1.0, 0.8, 1.0))]
+STOPS = [(0.0, (0.1034567, 0.2045678, 0.9056789, 1.0)), (0.37, (0.9012345, 0.5067891, 0.1089123, 0.6078912)), (1.0, (1.0, 1.0, 0.8091234, 1.0))]
 for mode, shape in enumerate(("{f}", "0.0", "{f} * {f} * (3 - 2 * {f})", "{f} * {f} * {f} * ({f} * ({f} * 6 - 15) + 10)")):
     t = c01("r")
-    f0, f1 = shape.format(f=f"({t} / 0.4)"), shape.format(f=f"(({t} - 0.4) / 0.6)")
-    chan = [f"CASE WHEN {t} <= 0 THEN {STOPS[0][1][k]} WHEN {t} >= 1 THEN {STOPS[2][1][k]} WHEN {t} < 0.4 THEN {STOPS[0][1][k]} + ({STOPS[1][1][k]} - {STOPS[0][1][k]}) * ({f0}) ELSE {STOPS[1][1][k]} + ({STOPS[2][1][k]} - {STOPS[1][1][k]}) * ({f1}) END" for k in range(4)]
+    f0, f1 = shape.format(f=f"({t} / 0.37)"), shape.format(f=f"(({t} - 0.37) / 0.63)")
+    chan = [f"CASE WHEN {t} <= 0 THEN {STOPS[0][1][k]} WHEN {t} >= 1 THEN {STOPS[2][1][k]} WHEN {t} < 0.37 THEN {STOPS[0][1][k]} + ({STOPS[1][1][k]} - {STOPS[0][1][k]}) * ({f0}) ELSE {STOPS[1][1][k]} + ({STOPS[2][1][k]} - {STOPS[1][1][k]}) * ({f1}) END" for k in range(4)]
     ramp = {"Ramp": {"stops": [[p, *c] for p, c in STOPS], "interp": mode}}
     add(f"color_ramp_{mode}", graph_query("conv.color_ramp", ramp, {"Factor": "r"}), sql_image(*chan[:3], "1.0"))
     add(f"color_ramp_{mode}_alpha", graph_query("conv.color_ramp", ramp, {"Factor": "r"}, 1), sql_plane(chan[3]))
@@ -278,7 +280,7 @@ for k, sql in enumerate((sql_plane(lum()), sql_plane("(r + g + b) / 3"), sql_pla
     add(f"luminance_{k}", graph_query("color.luminance", {"Method": k}), sql)
 add("brightness_contrast", graph_query("color.brightness_contrast", {"Contrast": 0.3, "Brightness": 0.05}), sql_each(lambda c: c01(f"({c} - 0.5) * (1.3 / 0.7) + 0.55")))
 add("brightness_contrast_linear", graph_query("color.brightness_contrast", {"Contrast": 0.3, "Brightness": 0.05}, linear=True), sql_each(lambda c: f"greatest(0.18 * pow(greatest({c}, 0) / 0.18, 1.3 / 0.7) + 0.05, 0)"))
-add("saturation_driven", graph_query("color.saturation", wires={"Image": "image", "Amount": "r"}), sql_each(_sat))
+add("saturation_driven", graph_query("color.saturation", wires={"Image": "image", "Amount": "b"}), sql_each(lambda c: c01(f"{lum()} + ({c} - {lum()}) * least(greatest(b, 0.0), 4.0)")))
 _hs = f"{HELD}, hv AS (SELECT y, x, a, {hue()} + 40.0 / 360 AS h_, {sat()} AS s_, greatest(r, g, b) AS v_ FROM held)"
 add("hue_shift", graph_query("color.hue_shift", {"Degrees": 40.0}), sql_image(*from_hsv(), source="hv", ctes=_hs))
 add("gamma", graph_query("color.gamma", {"Gamma": 2.2}), sql_each(lambda c: f"pow({c01(c)}, 1 / 2.2)"))
@@ -341,8 +343,8 @@ add("box_mask", graph_query("matte.box_mask", {"Rotation": ROT, "Feather": 0.3})
 add("box_mask_subtract", graph_query("matte.box_mask", {"Operation": "Subtract"}, {"Mask": "r"}), sql_plane(c01(f"r - {_shape_sql(0.5, 0.5, 0.0, False)}")))
 add("ellipse_mask", graph_query("matte.ellipse_mask", {"Operation": "Multiply"}, {"Mask": "r"}), sql_plane(c01(f"r * {_shape_sql(0.5, 0.5, 0.1, True)}")))
 add("radial_gradient", graph_query("matte.radial_gradient", {"Operation": "Not"}, {"Mask": "r"}), sql_plane(c01(f"greatest(r, 1 - {_shape_sql(0.6, 0.6, 0.5, True)})")))
-_lg = "(((y + 0.5) - 0.23 * h) * (0.59 * h - 0.23 * h) / greatest((0.59 * h - 0.23 * h) * (0.59 * h - 0.23 * h), 1e-6))"
-add("linear_gradient", graph_query("matte.linear_gradient", {"Start Y": 0.23, "End Y": 0.59}, {"Value": "g"}), sql_plane(c01(f"greatest(0.0, {c01('g')} * (1 - {sm('0.0', '1.0', _lg)}))")))
+_lg = "(((y + 0.5) - 0.23 * h) * (0.6013 * h - 0.23 * h) / greatest((0.6013 * h - 0.23 * h) * (0.6013 * h - 0.23 * h), 1e-6))"
+add("linear_gradient", graph_query("matte.linear_gradient", {"Start Y": 0.23, "End Y": 0.6013}, {"Value": "g"}), sql_plane(c01(f"greatest(0.0, {c01('g')} * (1 - {sm('0.0', '1.0', _lg)}))")))
 _ck = {"Red": "r", "Green": "g", "Blue": "b", "Hue": "h_", "Saturation": "s_", "Value": "v_", "Y": "y_", "Cb": "cb_", "Cr": "cr_"}
 _keyed = f"{HELD}, k0 AS (SELECT y, x, {hue()} AS h_, {sat()} AS s_, greatest(r, g, b) AS v_, {lum()} AS y_, (b - {lum()}) / 1.8556 + 0.5 AS cb_, (r - {lum()}) / 1.5748 + 0.5 AS cr_ FROM held), keyed AS (SELECT k0.*, px.r, px.g, px.b, px.a FROM k0 JOIN px ON k0.y = px.y AND k0.x = px.x)"
 for n, c in _ck.items():
@@ -361,7 +363,7 @@ add("distance_key_ycbcr", graph_query("matte.distance_key", {"Space": 1}), sql_p
 _ma, _mb = f"sqrt({_ccb} * {_ccb} + {_ccr} * {_ccr})", math.hypot(_kcb, _kcr)
 _ang = f"acos(least(greatest(({_ccb} * ({_kcb}) + {_ccr} * ({_kcr})) / greatest({_ma} * {_mb}, 1e-300), -1.0), 1.0)) * 180 / {math.pi}"
 add("chroma_key", graph_query("matte.chroma_key"), sql_plane(c01(f"CASE WHEN {_ma} < 0.2 * {_mb} THEN 1.0 ELSE ({_ang} - 25.0) / 15.0 END")))
-add("color_spill", graph_query("matte.color_spill", {}, {"Image": "image", "Factor": "r"}), sql_image("r", f"g - greatest(0.0, g - (b + r) / 2) * {c01('r')}", "b"))
+add("color_spill", graph_query("matte.color_spill", {"Ratio": ODD}, {"Image": "image", "Factor": "r"}), sql_image("r", f"g - greatest(0.0, g - (b + r) / 2 * {ODD}) * {c01('r')}", "b"))
 _ok = f", l0 AS (SELECT y, x, {', '.join(f'{lin(f'greatest({c}, 0.0)')} AS {c}' for c in 'rgb')} FROM px), cones AS (SELECT y, x, cbrt(0.4122214708 * r + 0.5363325363 * g + 0.0514459929 * b) AS l_, cbrt(0.2119034982 * r + 0.6806995451 * g + 0.1073969566 * b) AS m_, cbrt(0.0883024619 * r + 0.2817188376 * g + 0.6299787005 * b) AS s_ FROM l0), ok AS (SELECT y, x, 0.2104542553 * l_ + 0.7936177850 * m_ - 0.0040720468 * s_ AS ll FROM cones)"
 add("range_mask", graph_query("matte.range_mask", {"Low": 0.4, "High": 0.7, "Smoothness": 0.4}), sql_plane(f"{sm(0.4 - 0.1001, 0.4, 'll')} * (1 - {sm(0.7, 0.7 + 0.1001, 'll')})", source="ok", ctes=_ok))
 add("range_mask_color", graph_query("matte.range_mask", {"Mode": "Color", "Color": [0.6, 0.4, 0.3]}))
