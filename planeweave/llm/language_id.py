@@ -16,13 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod
 
 SEGMENT = 128
 HIDDEN = 8
+#: Languages up to which their counts go to every task.
+FEW = 10_000
 #: The symbol behind a text's end in its last segment.
 PAD = 256
 
@@ -179,15 +181,15 @@ def training_sample(docs: DataFrame, per_language: int) -> pd.DataFrame:
     Documents are taken by a hash of the id below a share that the language's count sets, then by
     its order, so a language that holds most rows is thinned before it is sorted.
     """
-    fit = docs.where((crc_mod(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
+    train_rows = docs.where((crc_mod(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull())
+    known = train_rows.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "k_lang")
+    # A count per language; more of them than a task should hold are joined by a shuffle.
+    known = F.broadcast(known) if known.count() <= FEW else known
     salt = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
-    known = docs.where((crc_mod(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "k_lang")
-    thin = fit.withColumn("salt", salt).join(known, F.col("lang") == F.col("k_lang")).where(F.col("salt") < F.least(F.lit(1.0), 3.0 * per_language / F.col("n")) * (1 << 30))
     start = F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.length("text") - SEGMENT + 1, F.lit(1))) + 1
-    cut = thin.select("lang", "salt", F.substring("text", start.cast("int"), F.lit(SEGMENT)).alias("text"))
-    from pyspark.sql import Window
-
-    ranked = cut.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("salt", "text")))
+    cut = train_rows.where(F.col("text").rlike(r"\p{L}")).select("lang", salt.alias("salt"), F.substring("text", start.cast("int"), F.lit(SEGMENT)).alias("text"))
+    thin = cut.join(known, F.col("lang") == F.col("k_lang")).where(F.col("salt") < F.least(F.lit(1.0), 3.0 * per_language / F.col("n")) * (1 << 30))
+    ranked = thin.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("salt", "text")))
     return ranked.where(F.col("nth") <= per_language).select("lang", "text").orderBy("lang", "text").toPandas()
 
 
