@@ -29,6 +29,8 @@ from .common import crc_mod
 BITS = 18
 GRADES = 3
 PREFIXES = (5, 6, 7, 8)
+#: Features that the fit handles at once.
+PART = 500_000
 #: A text has hundreds of words but four rates, which count so many times for it.
 SHAPE_TIMES = 12
 _OUTER = b".,;:!?()[]{}\"'#*$%&|<>-_"
@@ -105,16 +107,17 @@ class Ordinal:
 
     def fit(self, rows: list[np.ndarray], grades: np.ndarray, rounds: int = 200, rate: float = 0.07, ridge: float = 1e-3) -> list[float]:
         """Adam on the mean negative log likelihood with a ridge on the weights."""
-        flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
-        owner = np.repeat(np.arange(len(rows)), sizes)
-        used, local = np.unique(flat, return_inverse=True)
-        params = np.concatenate([np.zeros(len(used)), self.steps])
+        flat, k, n = np.concatenate(rows).astype(np.int32), len(self.w), len(rows)
+        ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+        # Parts of whole rows, so that no temporary grows with the sample.
+        cuts_at = np.unique([0, n, *np.searchsorted(ends, np.arange(0, len(flat), PART)).clip(0, n).tolist()])
+        parts = [(a, b, flat[ends[a] : ends[b]], np.repeat(np.arange(b - a, dtype=np.int32), np.diff(ends[a : b + 1]))) for a, b in zip(cuts_at, cuts_at[1:], strict=False)]
+        params = np.concatenate([np.zeros(k), self.steps])
         m, v, losses = np.zeros_like(params), np.zeros_like(params), []
-        n, k = len(rows), len(used)
         for t in range(1, rounds + 1):
             self.steps = params[k:]
             cuts = self.thresholds()
-            s = np.bincount(owner, params[local], n)
+            s = np.concatenate([np.bincount(own, params[ids], b - a) for a, b, ids, own in parts])
             upper = np.concatenate([_sigmoid(cuts[None, :] - s[:, None]), np.ones((n, 1))], axis=1)
             lower = np.concatenate([np.zeros((n, 1)), upper[:, :-1]], axis=1)
             at = np.arange(n), grades
@@ -123,7 +126,9 @@ class Ordinal:
             slope_u, slope_l = (upper * (1 - upper))[at] / p, (lower * (1 - lower))[at] / p
             ds = (slope_u - slope_l) / n
             g = np.zeros_like(params)
-            g[:k] = np.bincount(local, ds[owner], k) + ridge * params[:k]
+            g[:k] = ridge * params[:k]
+            for a, b, ids, own in parts:
+                g[:k] += np.bincount(ids, ds[a:b][own], k)
             dcut = np.zeros(len(cuts))
             np.add.at(dcut, np.minimum(grades, len(cuts) - 1), np.where(grades < len(cuts), -slope_u, 0) / n)
             np.add.at(dcut, np.maximum(grades - 1, 0), np.where(grades > 0, slope_l, 0) / n)
@@ -134,7 +139,7 @@ class Ordinal:
             v += 0.01 * (g * g - v)
             params = params - rate * (1 - 0.8 * t / rounds) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         self.steps = params[k:].copy()
-        self.w[used] = params[:k]
+        self.w = params[:k].copy()
         return losses
 
 
@@ -156,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 6000) -> Ordinal | Non
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_doc_id"))
     got = joined.select("salt", "grade", "text").mapInPandas(run, "salt long, grade int, ids array<int>").toPandas()
     got = got.sort_values(["salt", "grade"], kind="stable")
-    rows = [np.sort(np.asarray(x, dtype=np.int64)) for x in got["ids"]]
+    rows = [np.asarray(x, dtype=np.int32) for x in got.pop("ids")]
     if not any(len(r) for r in rows):
         return None
     model = Ordinal()
