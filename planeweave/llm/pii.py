@@ -30,8 +30,10 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_MARK = re.compile(r"[0-9@]")
+_TOKEN = re.compile(r"\S*")
 _MORE = frozenset("0123456789(+")
-#: Longest candidate token and the reach of a context, in characters.
+#: Reach of a context, in characters.
 REACH = 64
 
 
@@ -87,32 +89,43 @@ def _context(text: str, start: int, end: int) -> tuple[str | None, str | None]:
     return two, around
 
 
-def _candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Tokens with at least four digits, or an @, that overlap no base span; a number goes on over single blanks."""
-    at, k = 0, 0
-    spans = sorted((a, b) for a, _, b in taken)
-    marks = re.finditer(r"[0-9@]", text)
-    for m in marks:
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    while a < b and not (text[a].isalnum() or text[a] == "+"):
+        a += 1
+    while b > a and not text[b - 1].isalnum():
+        b -= 1
+    return a, b
+
+
+def _numbers(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Candidates of a stretch without base spans: joined numbers, then each of their tokens."""
+    at = low
+    for m in _MARK.finditer(text, low, high):
         if m.start() < at:
             continue
-        start, end = m.start(), m.end()
-        while start > at and m.start() - start < REACH and not text[start - 1].isspace():
+        start = m.start()
+        while start > at and not text[start - 1].isspace():
             start -= 1
-        while end < len(text) and end - m.start() < REACH and (not text[end].isspace() or text[end] == " " and text[end + 1 : end + 2] in _MORE):
-            end += 1
-        at = end
-        a, b = start, end
-        while a < b and not (text[a].isalnum() or text[a] == "+"):
-            a += 1
-        while b > a and not text[b - 1].isalnum():
-            b -= 1
-        while k < len(spans) and spans[k][1] <= a:
-            k += 1
-        if b - a > REACH or (k < len(spans) and spans[k][0] < b):
-            continue
-        token = text[a:b]
-        if sum("0" <= c <= "9" for c in token) >= 4 or "@" in token:
-            yield a, b
+        at = _TOKEN.match(text, m.end(), high).end()
+        tokens = [(start, at)]
+        while at + 1 < high and text[at] == " " and text[at + 1] in _MORE:
+            tokens.append((at + 1, at := _TOKEN.match(text, at + 1, high).end()))
+        for a, b in dict.fromkeys(_trimmed(text, *place) for place in [(start, at), *tokens]):
+            token = text[a:b]
+            if "@" in token or sum("0" <= c <= "9" for c in token) >= 4:
+                yield a, b
+
+
+def _candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Tokens of any length with at least four digits, or an @, between base spans.
+
+    A number goes on over single blanks; its tokens are candidates too.
+    """
+    low = 0
+    for a, b in [*sorted((a, b) for a, _, b in taken), (len(text), len(text))]:
+        if low < a:
+            yield from _numbers(text, low, a)
+        low = max(low, b)
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -251,6 +251,26 @@ def test_patterns_discover_and_redaction_applies(spark):
     assert clean[101].text == "well my badge number is [PHONE] thanks" and clean[101].more == "y" and clean[200].text == rows[-2][1] and clean[201].text is None
 
 
+def test_candidates_lose_no_number():
+    def told(text):
+        return [text[a:b] for a, b in pii._candidates(text, pii.base_spans(text))]
+
+    assert told("call 030-1234567 +49 30 7654321") == ["030-1234567"]
+    numbers = [f"555-01{k:02d}" for k in range(30)]
+    assert told("ring " + " ".join(numbers) + " now") == [" ".join(numbers), *numbers]
+    url = "https://files.example/" + "a/" * 60 + "?id=77-4001&" + "b" * 90
+    assert told(f"see {url} there") == [url]
+    assert told("a.b@c.example;id=77-4001 10.0.0.1") == ["id=77-4001"]
+
+
+def test_identifiers_beside_others_are_redacted(spark):
+    rows = [(i, f"my badge number is +1 (555) 555-{1000 + i} thanks") for i in range(12)]
+    rows += [(100, "my badge number is 77-4000 +49 30 7654321"), (101, "my badge number is " + " ".join(f"555-01{k:02d}" for k in range(20)) + " thanks"), (102, "my badge number is " + "x" * 80 + "77-4002 thanks")]
+    clean = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[100] == "my badge number is [PHONE] [PHONE]"
+    assert clean[101] == clean[102] == "my badge number is [PHONE] thanks"
+
+
 def test_ordinal_quality(spark):
     g = np.random.default_rng(3)
     words = [a + b for a in "bcdfghklm" for b in ("an", "on", "ing", "est")]
