@@ -638,7 +638,7 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("photo"), F.concat(F.lit("IMG_"), F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.lit(".jpg")).alias("name"), F.col("source").alias("folder"), F.lit(0).alias("copy"),
         (F.coalesce("quality", F.lit(0)) * 3 + F.col("doc_id") % 3).cast("int").alias("rating"), (F.coalesce("toxic", F.lit(0)) * -2 + 1).cast("int").alias("flag"),
         F.when(F.col("lang") == "en", 1).when(F.col("lang") == "de", 2).when(F.col("lang") == "fr", 3).otherwise(4).alias("label"), F.col("quality").isNotNull().alias("edited"),
-        F.col("lang").alias("title"), F.substring("text", 1, 60).alias("caption"), library.split_keywords(F.concat_ws(",", "source", "lang", F.lit(" "))).alias("keywords"), F.col("source").alias("stack"), F.col("n_chars").alias("position"),
+        F.col("lang").alias("title"), F.col("text").alias("caption"), library.split_keywords(F.concat_ws(",", "source", "lang", F.lit(" "))).alias("keywords"), F.col("source").alias("stack"), F.col("n_chars").alias("position"),
         F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("2024:0"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(":15 10:20:30"))).alias("capture_time"), F.lit("Cam/1").alias("camera"), F.col("doc_id").alias("seq"),
     )
 

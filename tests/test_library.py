@@ -79,3 +79,17 @@ def test_packet_is_escaped(spark):
     df = spark.createDataFrame([(3, -1, 2, 'A & "B"', "", ["<k>"])], "rating int, flag int, label int, title string, caption string, keywords array<string>")
     told = df.select(library.xmp_packet().alias("x")).first().x
     assert 'xmp:Rating="-1"' in told and "A &amp; &quot;B&quot;" in told and "&lt;k&gt;" in told and 'xmp:Label="Yellow"' in told
+
+
+def test_the_catalogue_holds_whole_captions(spark, sf_dir):
+    from planeweave import catalogue
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = ("en", "src1", "the")
+    want = set()
+    for r in docs.collect():
+        name = f"IMG_{r.doc_id:06d}.jpg"
+        told = " ".join(x for x in (name, r.lang, r.text, r.source) if x is not None).lower()
+        if all(w in told for w in words):
+            want.add(r.doc_id)
+    assert {r.photo for r in catalogue.QUERIES["photos_search"](spark, sf_dir).collect()} == want
