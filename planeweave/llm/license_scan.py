@@ -4,7 +4,7 @@ All rolling word 3-gram hashes of every text are joined to the positions of 3-gr
 templates (a table of fixed size); a match votes for the diagonal "place in text minus place in
 template". A base phrase stands where its diagonal has all votes. Longer notices may have words put
 in or left out: their neighbouring diagonals are merged and the span is verified by the share of
-template words that matching 3-grams cover. The join also compares the 3-grams themselves.
+template words that matching 3-grams cover within a stretch of twice the template's words. The join also compares the 3-grams themselves.
 
 Defined results: null or empty text has no words, no place, empty labels and score 0; rows that
 repeat a doc_id and text give equal rows; an empty table gives an empty result; other columns of the
@@ -77,7 +77,7 @@ def votes(docs: DataFrame) -> DataFrame:
 def license_scan(docs: DataFrame, coverage: float = 0.6, drift: int = 8) -> DataFrame:
     """One row per document: its base places and the labels of base phrases and verified notices.
 
-    ``coverage``: share of a notice's words that a span must cover; ``drift``: how far apart
+    ``coverage``: share of a notice's words that a stretch of a span must cover; ``drift``: how far apart
     neighbouring diagonals of one span may be.
     """
     key = ["doc_id", "text_hash"]
@@ -86,14 +86,21 @@ def license_scan(docs: DataFrame, coverage: float = 0.6, drift: int = 8) -> Data
     # An exact phrase's diagonals stay apart; a notice's span goes on while diagonals are near.
     fresh = F.when(F.col("exact"), F.col("diagonal") != F.lag("diagonal").over(w)).otherwise(F.col("diagonal") - F.lag("diagonal").over(w) > drift)
     spans = found.withColumn("span", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(w))
+    # A span of several notices is verified where one of its stretches of twice the notice's words is.
+    at3 = F.array("at", F.col("at") + 1, F.col("at") + 2)
+    along = Window.partitionBy(*key, "template", "span").orderBy("pos")
+    reach = F.lit(None)
+    for n in sorted({len(words.split()) for _, words in NOTICES}):
+        reach = F.when(~F.col("exact") & (F.col("template_words") == n), F.collect_set(at3).over(along.rangeBetween(0, 2 * n - K))).otherwise(reach)
+    spans = spans.withColumn("pos", F.col("diagonal") + F.col("at")).withColumn("near", F.size(F.array_distinct(F.flatten(reach))))
     merged = spans.groupBy(*key, "template", "label", "exact", "template_words", "span").agg(
-        F.min(F.col("diagonal") + F.col("at")).alias("first"),
-        F.max(F.col("diagonal") + F.col("at")).alias("last"),
+        F.min("pos").alias("first"),
+        F.max("near").alias("near"),
         # Bounded by the template's words.
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.array("at", F.col("at") + 1, F.col("at") + 2))))).alias("covered"),
+        F.size(F.array_distinct(F.flatten(F.collect_set(at3)))).alias("covered"),
     )
     share = F.col("covered") / F.col("template_words")
-    verified = F.when(F.col("exact"), F.col("covered") == F.col("template_words")).otherwise((share >= coverage) & (F.col("last") - F.col("first") + K <= 2 * F.col("template_words")))
+    verified = F.when(F.col("exact"), F.col("covered") == F.col("template_words")).otherwise(F.col("near") / F.col("template_words") >= coverage)
     judged = merged.withColumn("share", share).withColumn("verified", verified)
     base = F.col("exact") & F.col("verified")
     told = judged.groupBy(*key).agg(

@@ -94,6 +94,14 @@ def test_notices_survive_changed_words(spark):
     assert got == {1: ("mit", ""), 2: ("", ""), 3: ("", "")}
 
 
+def test_notices_in_a_row_are_verified(spark):
+    short = dict(map(reversed, license_scan.NOTICES))
+    short = next(w for w, label in short.items() if label == "cc-by-sa")
+    rows = [(1, " ".join([short] * 3)), (2, " and ".join([short] * 3)), (3, short), (4, "licensed under a " * 5)]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in (1, 2, 3)] == [("cc-by-sa", 1.0)] * 3 and got[4][0] == ""
+
+
 def test_source_mix(docs, rows, nothing):
     found = by_id(source_mix.source_mix(docs))
     assert len(found) == len(rows)
