@@ -8,7 +8,8 @@ DataFrame joins: a class's pieces are numbered by running counts over input part
 that a third of all documents share is spread over many tasks.
 
 Token ids are those of the tokenizer file. Texts whose characters all lie below U+0250 are encoded
-by the same vocabulary's rank file, which is several times faster; any other text takes the tokenizer.
+by the same vocabulary's rank file, which is several times faster; any other text, and any that holds
+an added token such as ``<|endoftext|>``, takes the tokenizer.
 
 Defined results: null or empty text is the end id alone; rows that repeat a doc_id are documents of
 their own; an empty table gives an empty result; other columns of the input are ignored.
@@ -40,7 +41,7 @@ def encoder(json_path: str, ranks_path: str, pattern: str):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(json_path)
-    exact.encode_special_tokens = True
+    special = [t.content for t in exact.get_added_tokens_decoder().values()]
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -48,7 +49,8 @@ def encoder(json_path: str, ranks_path: str, pattern: str):
     def encode(text: str) -> bytes:
         if not text:
             return b""
-        ids = quick.encode_ordinary(text) if max(text) < "ɐ" else exact.encode(text, add_special_tokens=False).ids
+        plain = max(text) < "ɐ" and not any(t in text for t in special)
+        ids = quick.encode_ordinary(text) if plain else exact.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
     return encode

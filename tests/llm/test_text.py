@@ -150,6 +150,15 @@ def test_packing(docs, rows, nothing):
     assert packing.pack(nothing, *tokenizer_files()).count() == 0
 
 
+def test_ids_are_those_of_the_unchanged_tokenizer():
+    from tokenizers import Tokenizer
+
+    exact, encode = Tokenizer.from_file(tokenizer_files()[0]), packing.encoder(*tokenizer_files())
+    for text in ("a<|endoftext|>b", "plain text", "<|endoftext|>", "ɐ<|endoftext|>é", "<|endoftext"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == exact.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encode("a<|endoftext|>b"), "<u4").tolist() == [64, 50256, 65]
+
+
 def test_patterns_cover_demand_near_the_bound():
     g = np.random.default_rng(2)
     demand = Counter(int(k) for k in np.clip(g.lognormal(4, 0.8, 5000), 1, 256))
