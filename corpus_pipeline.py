@@ -32,11 +32,16 @@ def _columns(held: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and those whose language the network can't tell."""
+    """Drops texts without a letter and those whose language the network can't tell.
+
+    Where no row to train on has a language there is no network: every text with a letter stays.
+    """
     net = language_id.train(docs.select("doc_id", "text", "lang"))
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
+        if net is None:
+            return pd.Series([bool(t) and any(map(str.isalpha, t)) for t in texts])
         named, score = language_id.predict_batch(net, texts.tolist())
         return pd.Series([n != "und" and s >= LEAST_LANGUAGE for n, s in zip(named, score, strict=True)])
 

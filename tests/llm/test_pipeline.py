@@ -44,6 +44,11 @@ def test_languages_that_cannot_be_told_go(spark, docs):
     assert {r[0] for r in rows()} - {502, 503, 504} == kept
 
 
+def test_texts_stay_where_no_language_is_known(spark, docs):
+    kept = corpus_pipeline.keep_languages(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter((r[0], r[1]) for r in rows() if r[1] and any(map(str.isalpha, r[1])))
+
+
 def test_one_document_of_each_group_stays(spark, docs):
     found = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     prints = {}
