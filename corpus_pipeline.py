@@ -6,9 +6,6 @@ target weights, packing. All stages but the last return the columns of ``documen
 
 from __future__ import annotations
 
-import re
-from itertools import islice
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +16,6 @@ from planeweave.llm.queries import tokenizer_files
 
 #: A document stays unless it has no letter or no language is likelier than this.
 LEAST_LANGUAGE = 0.4
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _held(docs: DataFrame) -> DataFrame:
@@ -80,29 +76,17 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; those it takes zero times go.
+    """Every document, always whole, as often as the mix takes it; those it takes zero times go.
 
-    The one document of a source of which only a part is taken ends behind its last word taken, with
-    n_chars to match. Rows of equal doc_id and text are one document that is taken as often as all.
+    Rows of equal doc_id and text are one document that is taken as often as all.
     """
-    taken = source_mix.source_mix(docs.select("doc_id", "source", "text")).where("size > 0")
-    taken = written(taken.groupBy(F.col("doc_id").alias("m_doc_id"), F.col("text_hash").alias("m_hash")).agg(F.count("*").alias("rows"), F.sum("taken").alias("taken"), F.max("size").alias("size")))
+    taken = source_mix.whole_copies(docs.select("doc_id", "source", "text")).where("size > 0")
+    taken = written(taken.groupBy(F.col("doc_id").alias("m_doc_id"), F.col("text_hash").alias("m_hash")).agg(F.count("*").alias("rows"), F.sum("copies").alias("copies")))
     held = _held(docs).withColumn("hash", F.xxhash64("held.text"))
     if not taken.where("rows > 1").isEmpty():
         held = held.groupBy("held.doc_id", "hash").agg(F.any_value("held").alias("held")).select("held", "hash")
-    joined = held.join(taken.where("taken > 0"), F.col("held.doc_id").eqNullSafe(F.col("m_doc_id")) & (F.col("hash") == F.col("m_hash")))
-
-    @F.pandas_udf("string")
-    def first_words(texts: pd.Series, counts: pd.Series) -> pd.Series:
-        ends = (next(islice(WORD.finditer(t), n - 1, None)).end() for t, n in zip(texts, counts, strict=True))
-        return pd.Series([t[:e] for t, e in zip(texts, ends, strict=True)], dtype=object)
-
-    whole = F.expr("taken div size")
-    full = joined.where(whole > 0).select("held", F.explode(F.sequence(F.lit(1).cast("long"), whole)).alias("copy")).select("held", F.lit(None).cast("string").alias("cut"))
-    part = joined.where("taken % size > 0").select("held", first_words(F.col("held.text"), F.expr("taken % size")).alias("cut"))
-    changed = {"text": F.coalesce("cut", "held.text"), "n_chars": F.when(F.col("cut").isNotNull(), F.length("cut")).otherwise(F.col("held.n_chars"))}
-    every = full.union(part)
-    return every.select(*[(changed[c].cast(docs.schema[c].dataType) if c in changed else F.col(f"held.`{c}`")).alias(c) for c in docs.columns])
+    joined = held.join(taken.where("copies > 0"), F.col("held.doc_id").eqNullSafe(F.col("m_doc_id")) & (F.col("hash") == F.col("m_hash")))
+    return _columns(joined.select("held", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,12 +108,8 @@ def rounded(docs: DataFrame, part: str) -> DataFrame:
     return summed.withColumn("copies", (F.floor("rate") + extra).cast("long")).drop("o_source", "o_part", "offset", "upto", "part_of_one")
 
 
-def source_mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0) -> DataFrame:
-    """doc_id, size, source_size, target, rate, copies, taken, text_hash; one row per document.
-
-    ``taken``: copies times size, but for the one document of each source whose last copy is cut short
-    or goes on into one more, so that the source's words meet its target.
-    """
+def drawn(docs: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
+    """Every document with its source's target, its rate, whole copies and the words it has room for."""
     spark = docs.sparkSession
     sized = written(docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.size(ascii_words(F.col("text"))).cast("long").alias("size")))
     solved = balanced(sized.groupBy("source", "size").agg(F.count("*").alias("n")), targets(sized, weights, cap), cap)
@@ -126,7 +122,16 @@ def source_mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), ca
         keyed.repartitionByRange(parts, F.col("source"), F.col("size"), F.col("order")).withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()})
     )
     whole = rounded(ranged, "part").withColumn("room", F.floor(F.col("size") * cap).cast("long") - F.col("copies") * F.col("size"))
-    whole = written(whole)
+    return written(whole)
+
+
+def source_mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0) -> DataFrame:
+    """doc_id, size, source_size, target, rate, copies, taken, text_hash; one row per document.
+
+    ``taken``: copies times size, but for the one document of each source whose last copy is cut short
+    or goes on into one more, so that the source's words meet its target.
+    """
+    whole = drawn(docs, weights, cap)
     # One document per source takes up the rest: the one with most room, or the one with most to give.
     rest = whole.groupBy("source").agg(
         (F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"),
@@ -140,3 +145,20 @@ def source_mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), ca
         "doc_id", "size", "source_size", "target", "rate", "copies",
         (F.col("copies") * F.col("size") + F.coalesce("change", F.lit(0))).alias("taken"), "text_hash",
     )
+
+
+def whole_copies(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0) -> DataFrame:
+    """doc_id, size, copies, text_hash; one row per document, none of them taken in part.
+
+    The one document of each source whose size is nearest to what rounding left has a copy more or
+    less, where that brings the source's words nearer to their target.
+    """
+    whole = drawn(docs, weights, cap)
+    gaps = whole.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap")).withColumnRenamed("source", "g_source")
+    left = whole.join(gaps, whole["source"].eqNullSafe(gaps["g_source"]))
+    off = F.abs(F.abs("gap") - F.col("size"))
+    able = F.when(F.col("gap") > 0, F.col("copies") + 1 <= cap).otherwise(F.col("copies") > 0)
+    nearest = left.where(able & (off < F.abs("gap"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), "order", "doc_id", "row")).alias("one"), F.max(F.signum("gap")).cast("long").alias("more"))
+    nearest = nearest.select(F.col("one.row").alias("c_row"), "more")
+    out = whole.join(nearest, whole["row"] == nearest["c_row"], "left")
+    return out.select("doc_id", "size", (F.col("copies") + F.coalesce("more", F.lit(0))).alias("copies"), "text_hash")

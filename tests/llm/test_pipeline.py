@@ -98,6 +98,21 @@ def test_documents_come_as_often_as_the_mix_takes_them(spark, docs):
     assert all(mixed[s] == pytest.approx(target[s], abs=1) for s in whole) and sum(mixed.values()) == pytest.approx(sum(whole.values()), abs=5)
 
 
+def test_the_mix_takes_whole_documents(spark, docs):
+    size = lambda t: len((t or "").encode().split())
+    small = spark.createDataFrame([(i, " ".join(["word"] * (100 + i)), f"t{i}") for i in range(6)], "doc_id long, text string, source string")
+    for given in (docs, small):
+        texts = {(r.doc_id, r.text) for r in given.collect()}
+        mixed, longest = Counter(), Counter()
+        for r in given.collect():
+            longest[r.source] = max(longest[r.source], size(r.text))
+        for r in corpus_pipeline.mix_sources(spark, given, "").collect():
+            assert (r.doc_id, r.text) in texts
+            mixed[r.source] += size(r.text)
+        goals = source_mix.targets(given.select("source", F.size(ascii_words(F.col("text"))).cast("long").alias("size")), (1.0, 2.0, 3.0), 3.0).collect()
+        assert all(abs(mixed[r.source] - r.target) <= longest[r.source] / 2 + 1 for r in goals)
+
+
 def test_the_whole_runs_to_packed_sequences(spark, tmp_path):
     spark.createDataFrame(rows(), SHAPE).write.parquet(str(tmp_path / "documents.parquet"))
     found = corpus_pipeline.run(spark, str(tmp_path))
