@@ -14,10 +14,15 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for cut lineage; one of our own only where none is set (tests)."""
+    """The shared folder for cut lineage, from the session; one of our own only in local mode without one."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cut-lineage-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given:
+            if not context.isLocal():
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            given = tempfile.mkdtemp(prefix="cut-lineage-")
+        spark.sparkContext.setCheckpointDir(given)
     return context.getCheckpointDir().get()
 
 

@@ -16,15 +16,19 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) -> (node, label): label is the smallest node that can be reached.
 
     Large-star links every larger neighbour of a node to its smallest neighbour, small-star every
-    smaller one; a fixed point is a forest of stars around the smallest nodes.
+    smaller one; a fixed point is a forest of stars around the smallest nodes. Rounds go on until no
+    edge moves; their number grows with the logarithm of the longest path.
     """
     least = lambda df: df.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # Stars around smallest nodes stay as they are: equal counts and sums of both ends mean no edge moved.
+    of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
+    before = of(now)
+    while True:
         both = _both(now)
         m = least(both).withColumnRenamed("a", "n")
         large = both.join(m, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -32,11 +36,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         joined = large.join(m, F.col("a") == F.col("n"))
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         then = cut(small)
-        # Stars around smallest nodes stay as they are: equal counts and sums of both ends mean no edge moved.
-        of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        same = of(then) == of(now)
+        after = of(then)
         now = then
-        if same:
+        if after == before:
             break
+        before = after
     labels = now.groupBy("a").agg(F.min("b").alias("label"))
     return labels.select(F.col("a").alias("node"), "label").union(labels.select(F.col("label").alias("node"), "label").distinct())
