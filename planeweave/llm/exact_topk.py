@@ -2,16 +2,20 @@
 
 Vectors are the documents, their components the terms. Documents in order of id are cut into blocks
 that hold a forward index (the block's rows) and the largest and smallest value of each term. For a
-query the sum of each term's best possible contribution bounds a block; blocks are taken by falling
-bound and scored whole through their forward index, until a bound is below the k-th best score.
+query the sum of each term's best possible contribution bounds a block.
 
-Blocks are dealt in shards, queries in groups, and every pair of a shard and a group is one bounded
-task, so neither side is ever sent whole to a task; the best k of each pair are merged at the end.
+Three passes, so that no vector moves before a bound has been looked at: the blocks' summaries alone
+give every query its best block; that block's forward index gives a first k-th score; then only blocks
+whose bound reaches the k-th score of some query of a group are sent to that group, where each query
+takes its blocks by falling bound and scores them whole until a bound is below its k-th best score.
+
+Blocks are dealt in shards, queries in groups, and a pair of both is one bounded task; the best k of
+each pair are merged at the end.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part; shorter
-vectors count as filled up with zeros; a row's own id is no candidate of it, rows that repeat an id
-are candidates and queries of their own; too few candidates give fewer rows; an empty table gives an
-empty result. Scores that do not fit 64 bits are held to their range.
+vectors count as filled up with zeros; a query's own row is no candidate of it, rows that repeat an id
+are candidates and queries of their own, of each other too; too few candidates give fewer rows; an
+empty table gives an empty result. Scores that do not fit 64 bits are held to their range.
 """
 
 from __future__ import annotations
@@ -26,9 +30,14 @@ from pyspark.sql import functions as F
 from .common import written
 
 BLOCK = 256
-#: Rows of a shard of documents and of a group of queries.
+#: Rows of a shard of documents and of a group of queries; shards of wide vectors have fewer.
 SHARD, GROUP = 8192, 2048
+#: Components that a shard holds at most, but for a single block.
+CELLS = 1 << 22
+#: Shards whose summaries make one task of the first pass.
+CHUNK = 64
 _RANGE = (-(1 << 63), (1 << 63) - 1)
+_FOUND = "query long, query_id long, vec_id long, row long, score long"
 
 
 def whole_numbers(vector: Column, scale: int) -> Column:
@@ -60,76 +69,175 @@ def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.vectorize(lambda x: min(max(x, _RANGE[0]), _RANGE[1]), otypes=[np.int64])(exact @ other.T)
 
 
-class Shard:
-    """Blocks of a shard in order of id, with their term bounds."""
-
-    def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.rows = ids[order], rows[order]
-        self.starts = list(range(0, len(ids), BLOCK))
-        self.most = np.array([self.rows[a : a + BLOCK].max(axis=0) for a in self.starts])
-        self.least = np.array([self.rows[a : a + BLOCK].min(axis=0) for a in self.starts])
-
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """(query, block): summed best contributions of the terms, rounded up beyond doubles' error."""
-        up = np.maximum(queries, 0) @ self.most.T + np.minimum(queries, 0) @ self.least.T
-        return up + np.abs(up) * 1e-12
-
-    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-        """(place of the query, its best k as (score, id)); queries that want the same block next are scored together."""
-        bounds = self.bounds(queries)
-        order = np.argsort(-bounds, axis=1, kind="stable")
-        held: list[list[tuple[int, int]]] = [[] for _ in query_ids]
-        at = np.zeros(len(query_ids), dtype=int)
-        active = list(range(len(query_ids)))
-        while active:
-            wanted: dict[int, list[int]] = {}
-            for q in active:
-                # Equal bounds may still hold an equal score with a smaller id.
-                if at[q] < len(self.starts) and (len(held[q]) < k or bounds[q, order[q, at[q]]] >= -held[q][-1][0]):
-                    wanted.setdefault(int(order[q, at[q]]), []).append(q)
-            for block, qs in wanted.items():
-                a = self.starts[block]
-                ids = self.ids[a : a + BLOCK]
-                scores = products(queries[qs], self.rows[a : a + BLOCK])
-                for q, row in zip(qs, scores, strict=True):
-                    keep = np.flatnonzero(ids != query_ids[q])
-                    if len(held[q]) == k:
-                        keep = keep[row[keep] >= -held[q][-1][0]]
-                    elif len(keep) > 4 * k:
-                        # All ties at the k-th stay in.
-                        keep = keep[row[keep] >= np.partition(row[keep], -k)[-k]]
-                    if len(keep):
-                        held[q] = sorted([*held[q], *zip((-row[keep]).tolist() if row.min() > _RANGE[0] else [-int(x) for x in row[keep]], ids[keep].tolist(), strict=True)])[:k]
-                    at[q] += 1
-            active = [q for qs in wanted.values() for q in qs]
-        for q, found in enumerate(held):
-            yield q, [(-s, i) for s, i in found]
+def upper_bounds(queries: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """(query, block): summed best contributions of the terms, rounded up beyond doubles' error."""
+    size = np.abs(queries) @ np.maximum(np.abs(most), np.abs(least)).T
+    return np.maximum(queries, 0) @ most.T + np.minimum(queries, 0) @ least.T + size * 1e-12
+
+
+class Block:
+    """A forward index: ids and rows of a range of documents, and their term bounds."""
+
+    def __init__(self, ids: np.ndarray, numbers: np.ndarray, rows: np.ndarray) -> None:
+        self.ids, self.numbers, self.rows = ids, numbers, rows
+
+    @classmethod
+    def packed(cls, ids: bytes, numbers: bytes, rows: bytes, width: int) -> Block:
+        own = np.frombuffer(ids, np.int64)
+        return cls(own, np.frombuffer(numbers, np.int64), np.frombuffer(rows, np.float64).reshape(len(own), width))
+
+    def merge(self, held: list[tuple[int, int, int]], number: int, scores: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+        """The best k as (-score, id, row) of those held and of this block's rows but the query's own."""
+        keep = np.flatnonzero(self.numbers != number)
+        if len(held) == k:
+            keep = keep[scores[keep] >= -held[-1][0]]
+        elif len(keep) > 4 * k:
+            # All ties at the k-th stay in.
+            keep = keep[scores[keep] >= np.partition(scores[keep], -k)[-k]]
+        # Python's integers, as the least score has no opposite in 64 bits.
+        new = [(-s, i, n) for s, i, n in zip(scores[keep].tolist(), self.ids[keep].tolist(), self.numbers[keep].tolist(), strict=True)]
+        return sorted([*held, *new])[:k] if new else held
+
+
+def best(blocks: list[Block], bounds: np.ndarray, numbers: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Every query's best k of the blocks as (-score, id, row), of those that may still count.
+
+    ``floors``: scores that k rows are known to reach; ``bounds``: (query, block). Queries that want the
+    same block next are scored together.
+    """
+    order = np.argsort(-bounds, axis=1, kind="stable")
+    held: list[list[tuple[int, int, int]]] = [[] for _ in numbers]
+    at = np.zeros(len(numbers), dtype=int)
+    active = list(range(len(numbers)))
+    while active:
+        wanted: dict[int, list[int]] = {}
+        for q in active:
+            # Equal bounds may still hold an equal score with a smaller id.
+            need = max(floors[q], -held[q][-1][0]) if len(held[q]) == k else floors[q]
+            if at[q] < len(blocks) and bounds[q, order[q, at[q]]] >= need:
+                wanted.setdefault(int(order[q, at[q]]), []).append(q)
+        for block, qs in wanted.items():
+            for q, row in zip(qs, products(queries[qs], blocks[block].rows), strict=True):
+                held[q] = blocks[block].merge(held[q], int(numbers[q]), row, k)
+                at[q] += 1
+        active = [q for qs in wanted.values() for q in qs]
+    yield from held
+
+
+def blocked(fine: DataFrame, shards: int, width: int) -> DataFrame:
+    """shard, block, ids, numbers and rows (packed), most and least of every block of documents."""
+    # Ranges of ids; the row's number parts rows that repeat one id.
+    ranged = fine.repartitionByRange(shards, "vec_id", "row").withColumn("shard", F.spark_partition_id())
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["vec_id", "row"], kind="stable")
+        ids, numbers, made = rows["vec_id"].to_numpy(np.int64), rows["row"].to_numpy(np.int64), []
+        for nth, a in enumerate(range(0, len(ids), BLOCK)):
+            part = _matrix(rows["v"].iloc[a : a + BLOCK], width)
+            one = ids[a : a + BLOCK].tobytes(), numbers[a : a + BLOCK].tobytes(), part.tobytes()
+            made.append((key[0], (int(key[0]) << 32) + nth, *one, part.max(axis=0).tobytes(), part.min(axis=0).tobytes()))
+        return pd.DataFrame(made, columns=["shard", "block", "ids", "numbers", "rows", "most", "least"])
+
+    shape = "shard int, block long, ids binary, numbers binary, rows binary, most binary, least binary"
+    return ranged.groupBy("shard").applyInPandas(run, shape)
+
+
+def _stacked(cells: pd.Series, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(cells), np.float64).reshape(len(cells), width)
+
+
+def first_floors(asked: DataFrame, index: DataFrame, summaries: DataFrame, width: int, k: int) -> DataFrame:
+    """query and the k-th score of its best block by bound (the least integer, where it has fewer rows)."""
+
+    def nearest(key, blocks: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(blocks) or not len(queries):
+            return pd.DataFrame({"query": [], "block": [], "bound": []})
+        blocks = blocks.sort_values("block")
+        bounds = upper_bounds(_stacked(queries["v"], width), _stacked(blocks["most"], width), _stacked(blocks["least"], width))
+        top = bounds.argmax(axis=1)
+        return pd.DataFrame({"query": queries["query"], "block": blocks["block"].to_numpy()[top], "bound": bounds[np.arange(len(top)), top]})
+
+    near = summaries.groupBy("group", "chunk").cogroup(asked.groupBy("group", "chunk")).applyInPandas(nearest, "query long, block long, bound double")
+    chosen = near.groupBy("query").agg(F.max(F.struct("bound", "block")).alias("top")).select("query", F.col("top.block").alias("block"))
+    # Queries of one block are dealt in parts of a group's size, so that a block that many want is no hot key.
+    sizes = chosen.groupBy("block").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    parted = chosen.join(sizes, "block").select("query", "block", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int").alias("part"))
+    vectors = asked.where("chunk = 0").select("query", "v")
+    left = index.join(sizes, "block").select("block", "ids", "numbers", "rows", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    def score(key, block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(block) or not len(queries):
+            return pd.DataFrame({"query": [], "least": []})
+        own = Block.packed(*block[["ids", "numbers", "rows"]].iloc[0], width)
+        numbers, floors = queries["query"].to_numpy(np.int64), []
+        for number, row in zip(numbers.tolist(), products(_stacked(queries["v"], width), own.rows), strict=True):
+            found = own.merge([], number, row, k)
+            floors.append(-found[-1][0] if len(found) == k else _RANGE[0])
+        return pd.DataFrame({"query": numbers, "least": floors})
+
+    right = parted.join(vectors, "query")
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(score, "query long, least long")
+
+
+def surviving(asked: DataFrame, summaries: DataFrame, width: int) -> DataFrame:
+    """group, shard and either a block that some query of the group needs or a query that needs some block of the shard."""
+
+    def run(key, blocks: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(blocks) or not len(queries):
+            return pd.DataFrame({"group": [], "shard": [], "block": [], "query": []})
+        bounds = upper_bounds(_stacked(queries["v"], width), _stacked(blocks["most"], width), _stacked(blocks["least"], width))
+        open_ = bounds >= queries["least"].to_numpy(np.float64)[:, None]
+        shards, at = np.unique(blocks["shard"].to_numpy(), return_inverse=True)
+        numbers, out = queries["query"].to_numpy(np.int64), []
+        needed = np.flatnonzero(open_.any(axis=0))
+        out.append(pd.DataFrame({"shard": shards[at[needed]], "block": pd.array(blocks["block"].to_numpy()[needed], "Int64"), "query": pd.NA}))
+        for nth, shard in enumerate(shards):
+            out.append(pd.DataFrame({"shard": shard, "block": pd.NA, "query": pd.array(numbers[open_[:, at == nth].any(axis=1)], "Int64")}))
+        made = pd.concat([x.astype({"block": "Int64", "query": "Int64"}) for x in out])
+        made.insert(0, "group", key[0])
+        return made
+
+    return summaries.groupBy("group", "chunk").cogroup(asked.groupBy("group", "chunk")).applyInPandas(run, "group int, shard int, block long, query long")
 
 
 def exact_topk(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the best ``k`` of every row whose id is divisible by ``every``."""
-    fine = written(usable(vectors).select("vec_id", whole_numbers(F.col("embedding"), scale).alias("v")))
-    n = fine.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"), F.max(F.size("v")).alias("width")).first()
-    shards, groups, width = -(-n["n"] // SHARD) or 1, -(-n["q"] // GROUP) or 1, n["width"] or 0
-    # Shards are ranges of ids; rows that repeat one id are spread by the hash of their vector.
-    docs = fine.repartitionByRange(shards, F.col("vec_id"), F.xxhash64("v")).withColumn("shard", F.spark_partition_id())
-    # A number of its own for each query row, so that repeated ids stay apart.
-    asked = fine.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.monotonically_increasing_id().alias("query"))
-    left = written(docs).select("shard", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    asked = written(asked)
-    right = asked.select("query", "vec_id", "v", F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-
-    def search(key, docs_: pd.DataFrame, queries_: pd.DataFrame) -> pd.DataFrame:
+    fine = written(usable(vectors).select("vec_id", whole_numbers(F.col("embedding"), scale).alias("v"), F.monotonically_increasing_id().alias("row")))
+    of = fine.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"), F.max(F.size("v")).alias("width")).first()
+    width = of["width"] or 0
+    rows = max(BLOCK, min(SHARD, CELLS // max(width, 1)))
+    shards, groups = -(-of["n"] // rows) or 1, -(-of["q"] // GROUP) or 1
+    chunks = -(-shards // CHUNK)
+    index = written(blocked(fine, shards, width))
+    group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
+    summaries = index.select("shard", "block", "most", "least", F.floor(F.col("shard") / CHUNK).cast("int").alias("chunk"), group)
+
+    @F.pandas_udf("binary")
+    def packed(rows_: pd.Series) -> pd.Series:
+        return pd.Series([x.tobytes() for x in _matrix(rows_, width)])
+
+    queries = fine.where(F.col("vec_id") % every == 0).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), packed("v").alias("v"))
+    queries = written(queries.withColumn("group", F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int")))
+    chunk = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
+    floors = written(first_floors(queries.select("*", chunk), index, summaries, width, k)).withColumnRenamed("query", "f_query")
+    # Where a best block has fewer than k rows, or scores beyond 64 bits, nothing is known yet.
+    floors = floors.withColumn("least", F.when(F.col("least") > F.lit(_RANGE[0]), F.col("least").cast("double")).otherwise(F.lit(float("-inf"))))
+    floored = queries.join(floors, F.col("query") == F.col("f_query")).drop("f_query")
+    need = written(surviving(floored.select("*", chunk), summaries, width))
+    blocks = need.where("block is not null").select("group", F.col("block").alias("n_block")).join(index, F.col("n_block") == F.col("block")).drop("n_block")
+    asked = need.where("query is not null").select("shard", F.col("query").alias("n_query")).join(floored, F.col("n_query") == F.col("query")).drop("n_query")
+
+    def search(key, blocks_: pd.DataFrame, queries_: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(docs_) and len(queries_):
-            shard = Shard(docs_["vec_id"].to_numpy(np.int64), _matrix(docs_["v"], width))
-            ids = queries_["vec_id"].to_numpy(np.int64)
-            numbers = queries_["query"].to_numpy(np.int64)
-            for q, found in shard.best(ids, _matrix(queries_["v"], width), k):
-                out += [(int(numbers[q]), int(ids[q]), i, s) for s, i in found]
-        return pd.DataFrame(out, columns=["query", "query_id", "vec_id", "score"], dtype="int64")
-
-    near = left.groupBy("group", "shard").cogroup(right.groupBy("group", "shard")).applyInPandas(search, "query long, query_id long, vec_id long, score long")
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        if len(blocks_) and len(queries_):
+            held = [Block.packed(*x, width) for x in blocks_[["ids", "numbers", "rows"]].itertuples(index=False)]
+            v, numbers = _stacked(queries_["v"], width), queries_["query"].to_numpy(np.int64)
+            bounds = upper_bounds(v, _stacked(blocks_["most"], width), _stacked(blocks_["least"], width))
+            ids = queries_["query_id"].tolist()
+            for q, found in enumerate(best(held, bounds, numbers, v, queries_["least"].to_numpy(np.float64), k)):
+                out += [(int(numbers[q]), ids[q], i, n, -s) for s, i, n in found]
+        return pd.DataFrame(out, columns=["query", "query_id", "vec_id", "row", "score"], dtype="int64")
+
+    near = blocks.groupBy("group", "shard").cogroup(asked.groupBy("group", "shard")).applyInPandas(search, _FOUND)
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

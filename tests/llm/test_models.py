@@ -116,9 +116,9 @@ def test_exact_topk(spark):
         exact_topk.SHARD = old
     whole = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = Counter()
-    for i, q in whole:
+    for at, (i, q) in enumerate(whole):
         if i % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), j) for j, v in whole if j != i)[:5]
+            best = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), j) for n, (j, v) in enumerate(whole) if n != at)[:5]
             want.update((i, rank, j, -s) for rank, (s, j) in enumerate(best, 1))
     assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == want
     few = exact_topk.exact_topk(spark.createDataFrame([(0, [1.0]), (7, [1e200])], "vec_id long, embedding array<double>")).collect()
@@ -132,7 +132,36 @@ def test_blocks_below_the_kth_are_not_scored(monkeypatch):
     rows[: exact_topk.BLOCK] += 200
     scored = []
     monkeypatch.setattr(exact_topk, "products", lambda q, r, f=exact_topk.products: scored.append(len(r)) or f(q, r))
-    query = np.array([[9.0, 9.0, 9.0, 9.0]])
-    (_, best), = exact_topk.Shard(np.arange(len(rows)), rows).best(np.array([-1]), query, 5)
+    query, n = np.array([[9.0, 9.0, 9.0, 9.0]]), exact_topk.BLOCK
+    ids = np.arange(len(rows))
+    blocks = [exact_topk.Block(ids[a : a + n], ids[a : a + n], rows[a : a + n]) for a in range(0, len(rows), n)]
+    bounds = exact_topk.upper_bounds(query, np.array([b.rows.max(axis=0) for b in blocks]), np.array([b.rows.min(axis=0) for b in blocks]))
+    (found,) = exact_topk.best(blocks, bounds, np.array([-1]), query, np.array([-np.inf]), 5)
     assert len(scored) == 1
-    assert best == [(int(s), int(i)) for s, i in sorted(((-(s), i) for i, s in enumerate(rows @ query[0])))[:5] for s in [-s]]
+    assert [(s, i) for s, i, _ in found] == sorted((-int(x), i) for i, x in enumerate(rows @ query[0]))[:5]
+
+
+def test_only_blocks_that_may_count_are_sent(spark, monkeypatch):
+    """Clusters in order of id: of all (query, shard) and (group, block) pairs few survive the first k-th score."""
+    monkeypatch.setattr(exact_topk, "SHARD", 256)
+    monkeypatch.setattr(exact_topk, "GROUP", 8)
+    g = np.random.default_rng(3)
+    base = np.eye(16) * 8
+    vectors = [(i, (base[i // 256] + g.normal(0, 0.05, 16)).tolist()) for i in range(16 * 256)]
+    sent = []
+    monkeypatch.setattr(exact_topk, "surviving", lambda *a, f=exact_topk.surviving: sent.append(exact_topk.written(f(*a))) or sent[-1])
+    found = exact_topk.exact_topk(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()
+    queries, shards = len([i for i, _ in vectors if i % 50 == 0]), 16
+    kept = sent[0].where("query is not null").count()
+    assert queries <= kept <= 1.5 * queries < queries * shards / 8
+    whole = np.floor(256 * np.array([v for _, v in vectors]))
+    for i in range(0, len(vectors), 50):
+        scores = whole @ whole[i]
+        want = sorted((-int(s), j) for j, s in enumerate(scores) if j != i)[:5]
+        assert sorted((r["rank"], r.vec_id, r.score) for r in found if r.query_id == i) == [(n, j, -s) for n, (s, j) in enumerate(want, 1)]
+
+
+def test_rows_of_one_id_are_candidates_of_each_other(spark):
+    rows = [(0, [2.0]), (0, [3.0]), (7, [1.0])]
+    found = exact_topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert Counter((r["rank"], r.vec_id, r.score) for r in found) == Counter([(1, 0, 512 * 768), (2, 7, 512 * 256), (1, 0, 512 * 768), (2, 7, 768 * 256)])
