@@ -4,7 +4,8 @@ All rolling word 3-gram hashes of every text are joined to the positions of 3-gr
 templates (a table of fixed size); a match votes for the diagonal "place in text minus place in
 template". A base phrase stands where its diagonal has all votes. Longer notices may have words put
 in or left out: their neighbouring diagonals are merged and the span is verified by the share of
-template words that matching 3-grams cover within a stretch of twice the template's words. The join also compares the 3-grams themselves.
+template words that matching 3-grams cover within a stretch of twice the template's words. The join
+also compares the 3-grams themselves.
 
 Defined results: null or empty text has no words, no place, empty labels and score 0; rows that
 repeat a doc_id and text give equal rows; an empty table gives an empty result; other columns of the
@@ -13,6 +14,8 @@ input are ignored. A null doc_id is an id like any other.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +43,9 @@ NOTICES = [
 
 
 def license_words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
+    """Words of a text with A-Z lower-cased; other letters stay as they are."""
+    lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.array_remove(F.split(lowered, SEPARATORS), "")
 
 
 def templates(spark: SparkSession) -> DataFrame:
