@@ -7,13 +7,14 @@ from .quality_rules import GAMMA, RATES
 
 _rates = list(RATES)
 _value = lambda b: f"CASE WHEN {b} <= 0 THEN 0.0 ELSE pow({GAMMA}, {b} - 1.0) END"
-_quantile = lambda q: f"list_sort(list(bucket))[CAST(ceil(count(*) * {q}) AS INT)]"
+_quantile = lambda q: f"list_sort(list(bucket))[CAST(ceil(count(*) * {q}::DOUBLE) AS INT)]"
 
 
 def _fences(level: str, by: str) -> str:
     group = f"{by}, rate" if by else "rate"
-    q = f"SELECT {group}, count(*) AS n, {_quantile(0.25)} AS q1, {_quantile(0.75)} AS q3 FROM sketch GROUP BY {group}"
-    return f"{level} AS (SELECT *, {_value('q3')} + 4.0 * (({_value('q3')}) - ({_value('q1')})) AS fence FROM ({q}))"
+    tail = "CASE rate " + " ".join(f"WHEN '{r}' THEN {_quantile(t)}" for r, t in RATES.items()) + " END"
+    q = f"SELECT {group}, count(*) AS n, {_quantile(0.25)} AS q1, {_quantile(0.75)} AS q3, {tail} AS high FROM sketch GROUP BY {group}"
+    return f"{level} AS (SELECT *, greatest({_value('q3')} + 4.0 * (({_value('q3')}) - ({_value('q1')})), {_value('high')}) AS fence FROM ({q}))"
 
 
 QUALITY = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
@@ -25,14 +26,14 @@ c AS (SELECT w.rid, doc_id, lang, source, len(ws) AS n_words, CAST(length(array_
  len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words FROM w LEFT JOIN cov ON w.rid = cov.rid),
 m AS (SELECT *, CASE WHEN word_chars > 0 THEN CAST(floor(n_symbols * 10000 / word_chars) AS BIGINT) ELSE 0 END AS symbol_rate, CASE WHEN n_lines > 0 THEN CAST(floor(n_dup_lines * 10000 / n_lines) AS BIGINT) ELSE 0 END AS dup_line_rate,
  CASE WHEN n_words > 0 THEN CAST(floor(n_repeat_words * 10000 / n_words) AS BIGINT) ELSE 0 END AS repeat_rate, CASE WHEN n_words > 0 THEN CAST(floor(word_chars * 100 / n_words) AS BIGINT) ELSE 0 END AS word_length FROM c),
-u AS (SELECT lang, source, unnest([{', '.join(f"'{r}'" for r in _rates)}]) AS rate, unnest([{', '.join(_rates)}]) AS v FROM m),
+u AS (SELECT lang, source, unnest([{', '.join(f"'{r}'" for r in _rates)}]) AS rate, unnest([{', '.join(_rates)}]) AS v FROM m WHERE n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words),
 sketch AS (SELECT lang, source, rate, CASE WHEN v <= 0 THEN 0 ELSE 1 + CAST(ceil(ln(v) / ln({GAMMA})) AS INT) END AS bucket FROM u),
 {_fences('f1', 'lang, source')}, {_fences('f2', 'lang')}, {_fences('f3', '')},
 lim AS (SELECT f1.lang, f1.source, f1.rate, CASE WHEN f1.n >= 200 THEN f1.fence WHEN f2.n >= 200 THEN f2.fence ELSE f3.fence END AS fence FROM f1 JOIN f2 ON f1.lang IS NOT DISTINCT FROM f2.lang AND f1.rate = f2.rate JOIN f3 ON f1.rate = f3.rate),
-p AS (SELECT lang, source, {', '.join(f"max(greatest(fence, {float(least)})) FILTER (rate = '{r}') AS {r}_limit" for r, least in RATES.items())} FROM lim GROUP BY lang, source)
+p AS (SELECT lang, source, {', '.join(f"max(fence) FILTER (rate = '{r}') AS {r}_limit" for r in RATES)} FROM lim GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {' AND '.join(f'{r} <= {r}_limit' for r in _rates)} AS kept, {', '.join(_rates)}, {', '.join(f'round({r}_limit, 3) AS {r}_limit' for r in _rates)}
-FROM m JOIN p ON m.lang IS NOT DISTINCT FROM p.lang AND m.source IS NOT DISTINCT FROM p.source"""
+FROM m LEFT JOIN p ON m.lang IS NOT DISTINCT FROM p.lang AND m.source IS NOT DISTINCT FROM p.source"""
 
 _templates = [
     f"({n}, '{label}', {n < len(PHRASES)}, {len(w)}, {at}, '{' '.join(w[at : at + 3])}')"
@@ -42,19 +43,22 @@ _templates = [
 ]
 
 LICENSE = rf"""WITH t(template, label, exact, nw, tp, gram) AS (VALUES {', '.join(_templates)}),
-w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 i AS (SELECT rid, ws, unnest(range(0, len(ws) - 2)) AS pos FROM w WHERE len(ws) >= 3),
 hit AS (SELECT rid, template, label, exact, nw, tp, pos - tp AS dg FROM i JOIN t ON t.gram = ws[pos + 1] || ' ' || ws[pos + 2] || ' ' || ws[pos + 3]),
 step AS (SELECT *, lag(dg) OVER (PARTITION BY rid, template ORDER BY dg, tp) AS before FROM hit),
 span AS (SELECT *, sum(CASE WHEN before IS NULL OR (exact AND dg <> before) OR (NOT exact AND dg - before > 8) THEN 1 ELSE 0 END) OVER (PARTITION BY rid, template ORDER BY dg, tp) AS span FROM step),
-merged AS (SELECT rid, template, label, exact, nw, span, min(dg + tp) AS f, max(dg + tp) AS l, len(list_distinct(flatten(list([tp, tp + 1, tp + 2])))) AS covered FROM span GROUP BY ALL),
-judged AS (SELECT *, covered / nw AS share, CASE WHEN exact THEN covered = nw ELSE covered / nw >= 0.6 AND l - f + 3 <= 2 * nw END AS verified FROM merged),
+stretch AS (SELECT s.rid, s.template, s.span, s.dg + s.tp AS at, len(list_distinct(flatten(list([o.tp, o.tp + 1, o.tp + 2])))) AS near FROM span s JOIN span o ON s.rid = o.rid AND s.template = o.template AND s.span = o.span
+ WHERE NOT s.exact AND o.dg + o.tp BETWEEN s.dg + s.tp AND s.dg + s.tp + 2 * s.nw - 3 GROUP BY s.rid, s.template, s.span, s.dg, s.tp),
+best AS (SELECT rid, template, span, max(near) AS near FROM stretch GROUP BY ALL),
+merged AS (SELECT rid, template, label, exact, nw, span, min(dg + tp) AS f, len(list_distinct(flatten(list([tp, tp + 1, tp + 2])))) AS covered FROM span GROUP BY ALL),
+judged AS (SELECT m.*, covered / nw AS share, CASE WHEN exact THEN covered = nw ELSE near / nw >= 0.6 END AS verified FROM merged m LEFT JOIN best b ON m.rid = b.rid AND m.template = b.template AND m.span = b.span),
 told AS (SELECT rid, count(*) FILTER (exact AND verified) AS n_base, min(f) FILTER (exact AND verified) AS first_word, max(f) FILTER (exact AND verified) AS last_word,
  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact AND verified) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (verified) AS labels, max(share) AS score FROM judged GROUP BY rid)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0.0), 9) AS score FROM w LEFT JOIN told ON w.rid = told.rid"""
 
-TOPK = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
+TOPK = """WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
 
 ORACLE_SQL = {"op1_quality_rules": QUALITY, "op3_license_scan": LICENSE, "op4_exact_topk": TOPK}

@@ -2,8 +2,10 @@
 
 Every text is parsed once into a narrow table of counts. Each rate is then summarised by a
 log-bucket quantile sketch: a count per bucket, so sketches of partitions, sources and languages
-merge by addition. A group's limit is its upper quartile plus a multiple of its interquartile range;
-groups with little support use the merged sketch of their language, then of everything.
+merge by addition. Only texts that pass the base rule are in a sketch. A group's limit is its upper
+quartile plus a multiple of its interquartile range, or a high quantile where that is more: rates that
+are 0 in most texts have no quartiles to speak of. No limit is a fixed rate. Groups with little support
+use the merged sketch of their language, then of everything.
 
 Defined results: a null or empty text has no words and fails the base rule; null ``lang`` or
 ``source`` is a group of its own; repeated rows are rows of their own; an empty table gives an
@@ -18,9 +20,10 @@ from pyspark.sql import functions as F
 from .common import ascii_words, written
 
 SYMBOLS = "#*$%&|<>"
-#: Rates in ten-thousandths (word length: hundredths of a character), and the least limit
-#: of each: most rates are 0 in most texts, so a fence alone would reject any text that has some.
-RATES = {"symbol_rate": 300, "dup_line_rate": 3500, "repeat_rate": 3500, "word_length": 0}
+#: Rates in ten-thousandths (word length: hundredths of a character), and the quantile of its group that
+#: each limit never falls below, so that a rule rejects at most the rest of a group: prose has next to no
+#: symbols, while lists and refrains repeat lines and words in good texts too.
+RATES = {"symbol_rate": 0.90, "dup_line_rate": 0.99, "repeat_rate": 0.99, "word_length": 0.75}
 GAMMA = 1.04
 
 
@@ -61,7 +64,7 @@ def bucket(value: Column) -> Column:
 
 
 def limits(measured: DataFrame, spread: float, support: int) -> DataFrame:
-    """One row per language and source with the limit of every rate."""
+    """One row per language and source of ``measured`` with the limit of every rate."""
     pairs = measured.groupBy("lang", "source", *[bucket(F.col(r)).alias(f"b_{r}") for r in RATES]).agg(F.count("*").alias("n"))
     sketch = pairs.select("lang", "source", "n", F.inline(F.array(*[F.struct(F.lit(r).alias("rate"), F.col(f"b_{r}").alias("bucket")) for r in RATES])))
     own = sketch.groupBy("lang", "source", "rate", "bucket").agg(F.sum("n").alias("n"))
@@ -74,17 +77,17 @@ def limits(measured: DataFrame, spread: float, support: int) -> DataFrame:
         at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * q), F.col("bucket")))
         # A bucket stands for its upper end; bucket 0 for 0.
         value = lambda b: F.when(b <= 0, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), b - 1.0))
-        q = ranked.groupBy(*by, "rate").agg(F.max("total").alias("total"), at(0.25).alias("q1"), at(0.75).alias("q3"))
-        q = q.select(*[F.col(c).alias(f"k_{c}") for c in [*by, "rate"]], "total", (value(F.col("q3")) + spread * (value(F.col("q3")) - value(F.col("q1")))).alias("fence"))
+        tail = F.coalesce(*[F.when(F.col("rate") == r, F.lit(level_)) for r, level_ in RATES.items()])
+        q = ranked.groupBy(*by, "rate").agg(F.max("total").alias("total"), at(0.25).alias("q1"), at(0.75).alias("q3"), at(tail).alias("high"))
+        fence = value(F.col("q3")) + spread * (value(F.col("q3")) - value(F.col("q1")))
+        q = q.select(*[F.col(c).alias(f"k_{c}") for c in [*by, "rate"]], "total", F.greatest(fence, value(F.col("high"))).alias("fence"))
         on = F.col("rate") == F.col("k_rate")
         for c in by:
             on &= F.col(c).eqNullSafe(F.col(f"k_{c}"))
         enough = F.col("total") >= support if level != "all" else F.lit(True)
         keys = keys.join(q, on, "left").withColumn(f"f_{level}", F.when(enough, F.col("fence"))).drop("total", "fence", *[f"k_{c}" for c in [*by, "rate"]])
     found = keys.withColumn("limit", F.coalesce("f_own", "f_lang", "f_all"))
-    return found.groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("rate") == r, F.greatest(F.col("limit"), F.lit(float(least))))).alias(f"{r}_limit") for r, least in RATES.items()]
-    )
+    return found.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rate") == r, F.col("limit"))).alias(f"{r}_limit") for r in RATES])
 
 
 def quality_rules(docs: DataFrame, spread: float = 4.0, support: int = 200) -> DataFrame:
@@ -101,8 +104,8 @@ def quality_rules(docs: DataFrame, spread: float = 4.0, support: int = 200) -> D
         per("word_chars", "n_words", 100).alias("word_length"),
     )
     measured = written(counts)
-    rules = limits(measured, spread, support).withColumnsRenamed({"lang": "k_lang", "source": "k_source"})
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    rules = limits(measured.where(~failed), spread, support).withColumnsRenamed({"lang": "k_lang", "source": "k_source"})
     within = F.lit(True)
     for r in RATES:
         within &= F.col(r) <= F.col(f"{r}_limit")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from planeweave.llm import license_scan, ordinal_quality, packing, pii, quality_rules, simhash_dedup, source_mix
+from planeweave.llm import components, license_scan, ordinal_quality, packing, pii, quality_rules, simhash_dedup, source_mix
 from planeweave.llm.queries import tokenizer_files
 
 SHAPE = "doc_id long, text string, lang string, source string, n_words int, kept string, size int, component_id long"
@@ -75,6 +75,17 @@ def test_sketches_merge(spark):
     assert exact <= limit <= exact * quality_rules.GAMMA
 
 
+def test_limits_adapt_to_the_source(spark):
+    """The same rate of symbols is usual in one source and stands out in another."""
+    prose = lambda n, k: " ".join([f"word{j}" for j in range(100)] + ["#" * k])
+    rows = [(i, prose(i, 40 + i % 20), "en", "code") for i in range(100)] + [(1000 + i, prose(i, 0), "en", "news") for i in range(100)]
+    rows += [(5000, prose(0, 45), "en", "code"), (5001, prose(0, 45), "en", "news")]
+    found = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), support=50).collect()}
+    assert found[5000].symbol_rate == found[5001].symbol_rate > 0
+    assert found[5000].kept and not found[5001].kept and found[5001].symbol_rate_limit < found[5000].symbol_rate_limit
+    assert all(found[i].kept for i in range(100)) and all(found[1000 + i].kept for i in range(100))
+
+
 def test_license_scan(docs, rows, nothing):
     told, found = texts(rows), by_id(license_scan.license_scan(docs))
     assert len(found) == len(rows)
@@ -102,6 +113,13 @@ def test_notices_in_a_row_are_verified(spark):
     assert [got[i] for i in (1, 2, 3)] == [("cc-by-sa", 1.0)] * 3 and got[4][0] == ""
 
 
+def test_repeated_notices_keep_their_label_and_only_ascii_is_lowered(spark):
+    rows = [(n * 10 + k, " ".join([words] * n)) for k, (_, words) in enumerate(license_scan.NOTICES) for n in range(1, 6)]
+    got = {r.doc_id: r.labels for r in license_scan.license_scan(spark.createDataFrame([*rows, (900, "UNDER THE MİT LICENSE"), (901, "UNDER THE MIT LICENSE")], "doc_id long, text string")).collect()}
+    assert all(license_scan.NOTICES[i % 10][0] in got[i].split(",") for i, _ in rows)
+    assert (got[900], got[901]) == ("", "mit")
+
+
 def test_source_mix(docs, rows, nothing):
     found = by_id(source_mix.source_mix(docs))
     assert len(found) == len(rows)
@@ -135,7 +153,6 @@ def test_packing(docs, rows, nothing):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(tokenizer_files()[0])
-    exact.encode_special_tokens = True
     found = packing.pack(docs, *tokenizer_files(), keep_ids=True).collect()
     ends, covered = {}, Counter()
     for r in sorted(found, key=lambda r: (r.sequence_id, r.offset)):
@@ -227,6 +244,13 @@ def test_links_of_dense_fingerprints_are_complete(spark, limit):
     assert sorted(map(sorted, mine.values())) == sorted(sorted(i for i in want if want[i] == c) for c in set(want.values()))
 
 
+def test_long_chains_are_one_component(spark):
+    n = 10_000
+    order = np.random.default_rng(5).permutation(n).tolist()
+    labels = components.components(spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")).collect()
+    assert len(labels) == n and {r.label for r in labels} == {0}
+
+
 def plain_spans(text):
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     found += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
