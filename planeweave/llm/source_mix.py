@@ -24,8 +24,23 @@ from pyspark.sql import functions as F
 from .common import ascii_words, cut, written
 
 UNIT = 1 << 20
-#: Steps of Newton's iteration; bisection alone would reach 2^-40 of the bracket.
-STEPS = 40
+PROBES = 15
+
+
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with the sums over all rows before each in ``order``, which must not tie.
+
+    Ranges of rows are summed apart and joined by their totals, as many as there are shuffle partitions.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(rows.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(F.col("range").alias("o_range")).agg(*[F.sum(c).alias(f"o_{k}") for k, c in sums.items()]).withColumnRenamed("o_range", "range")
+    offsets = totals.select(F.col("range").alias("o_range"), *[F.coalesce(F.sum(f"o_{k}").over(earlier), F.lit(0)).alias(f"o_{k}") for k in sums])
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(F.broadcast(offsets), F.col("range") == F.col("o_range"))
+    added = joined.withColumns({k: F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"o_{k}") for k, c in sums.items()})
+    return added.drop("range", "o_range", *[f"o_{k}" for k in sums])
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
@@ -33,20 +48,18 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFra
 
     The shares that stop at ``cap`` times a source's size are those below the water level t for which
     sum(min(cap * size, weight * t)) is all words; the level is found by one pass in order of
-    cap * size / weight.
+    cap * size / weight. Any number of sources: both orders are kept in ranges.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(float(cap)))
-    level = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    before = F.coalesce(F.sum("most").over(level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(level.rowsBetween(0, Window.unboundedFollowing))
-    tide = (F.sum("source_size").over(everything) - before) / rest
-    per = per.withColumn("tide", tide).withColumn("free", F.col("tide") * F.col("weight") <= F.col("most"))
-    water = F.min(F.when(F.col("free"), F.struct(F.col("most") / F.col("weight"), F.col("tide")))).over(everything)["tide"]
-    target = F.least(F.col("most"), F.coalesce(F.col("weight") * water, F.col("most")))
+    by_source = F.col("source").asc_nulls_last()
+    per = running(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), [by_source], {"nth": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("nth"), F.lit(len(weights))) + 1).cast("int"))
+    per = per.withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(float(cap))).withColumn("fills", F.col("most") / F.col("weight"))
+    per = written(running(per, [F.col("fills").asc(), by_source], {"before": F.col("most"), "lighter": F.col("weight")}))
+    of = per.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    tide = (F.lit(float(of["words"] or 0)) - F.col("before")) / (F.lit(float(of["weight"] or 0)) - F.col("lighter"))
+    free = per.withColumn("tide", tide).where(F.col("tide") * F.col("weight") <= F.col("most"))
+    water = free.agg(F.min(F.struct("fills", "tide")).alias("first")).first()["first"]
+    target = F.col("most") if water is None else F.least(F.col("most"), F.col("weight") * F.lit(float(water["tide"])))
     return per.select("source", "source_size", (F.col("source_size") / F.col("n")).alias("mean_size"), target.alias("target"))
 
 
@@ -55,41 +68,39 @@ def _rate(multiplier: Column, size: Column, mean: Column, cap: float) -> Column:
 
 
 def balanced(histogram: DataFrame, goals: DataFrame, cap: float) -> DataFrame:
-    """``goals`` with the multiplier of every source."""
+    """``goals`` with the multiplier of every source: Newton's steps within a bracket.
+
+    Each round reads the words at Newton's point and at ``PROBES`` points between the bracket's ends, so
+    the bracket shrinks to less than a sixteenth a round whatever Newton's steps do, and the loop ends.
+    """
     fixed = lambda c: F.sum(F.round(c * UNIT).cast("decimal(38,0)")).cast("double") / UNIT
     top = 64.0
     state = cut(
         goals.select(
-            "*", F.lit(0.0).alias("multiplier"), F.lit(-top).alias("low"), F.lit(top).alias("high"),
+            "*", F.lit(-top).alias("low"), F.lit(top).alias("high"),
             # Nothing to solve: no words, or every rate is at the cap.
             ((F.col("source_size") == 0) | (F.col("target") >= cap * F.col("source_size"))).alias("done"),
         ).withColumn("multiplier", F.when(F.col("target") >= cap * F.col("source_size"), F.lit(float("inf"))).otherwise(0.0))
     )
-    for _ in range(STEPS):
+    at = [F.col("multiplier"), *(F.col("low") + (F.col("high") - F.col("low")) * (j / (PROBES + 1)) for j in range(1, PROBES + 1))]
+    while not state.where("not done").isEmpty():
         open_ = state.where("not done")
         rows = histogram.join(open_, histogram["source"].eqNullSafe(open_["source"])).drop(histogram["source"])
-        rate = _rate(F.col("multiplier"), F.col("size"), F.col("mean_size"), cap)
-        words = F.col("n") * F.col("size") * rate
-        sums = rows.groupBy("source").agg(fixed(words).alias("words"), fixed(F.when(rate < cap, words * F.col("size") / F.col("mean_size"))).alias("slope"))
-        sums = sums.withColumnRenamed("source", "s_source")
+        words = [F.col("n") * F.col("size") * _rate(x, F.col("size"), F.col("mean_size"), cap) for x in at]
+        free = _rate(at[0], F.col("size"), F.col("mean_size"), cap) < cap
+        sums = rows.groupBy(F.col("source").alias("s_source")).agg(
+            *[fixed(w).alias(f"words_{j}") for j, w in enumerate(words)], fixed(F.when(free, words[0] * F.col("size") / F.col("mean_size"))).alias("slope")
+        )
         moved = state.join(sums, state["source"].eqNullSafe(sums["s_source"]), "left")
-        excess = F.col("words") - F.col("target")
-        low, high = F.when(excess < 0, F.col("multiplier")).otherwise(F.col("low")), F.when(excess > 0, F.col("multiplier")).otherwise(F.col("high"))
-        newton = F.col("multiplier") - F.when(F.col("slope") > 0, excess / F.col("slope"))
-        step = F.when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)
+        excess = [F.col(f"words_{j}") - F.col("target") for j in range(len(at))]
+        low = F.greatest("low", *(F.when(e < 0, x) for e, x in zip(excess, at, strict=True)))
+        high = F.least("high", *(F.when(e > 0, x) for e, x in zip(excess, at, strict=True)))
+        narrowed = moved.select("source", "source_size", "mean_size", "target", "multiplier", "done", low.alias("low"), high.alias("high"), excess[0].alias("excess"), "slope")
+        newton = F.col("multiplier") - F.when(F.col("slope") > 0, F.col("excess") / F.col("slope"))
+        step = F.when((newton > F.col("low")) & (newton < F.col("high")), newton).otherwise((F.col("low") + F.col("high")) / 2)
         # Within half a word, or as near as the bracket can tell.
-        done = F.coalesce((F.abs(excess) <= 0.5) | (F.col("high") - F.col("low") < 1e-12), F.lit(True))
-        go = ~F.col("done") & ~done
-        state = cut(
-            moved.select(
-                "source", "source_size", "mean_size", "target",
-                F.when(go, step).otherwise(F.col("multiplier")).alias("multiplier"),
-                F.when(go, low).otherwise(F.col("low")).alias("low"), F.when(go, high).otherwise(F.col("high")).alias("high"),
-                (F.col("done") | done).alias("done"),
-            )
-        )
-        if state.where("not done").isEmpty():
-            break
+        done = F.col("done") | F.coalesce((F.abs("excess") <= 0.5) | (F.col("high") - F.col("low") < 1e-12), F.lit(True))
+        state = cut(narrowed.withColumn("multiplier", F.when(done, F.col("multiplier")).otherwise(step)).withColumn("done", done).drop("excess", "slope"))
     return state
 
 
@@ -148,7 +159,7 @@ def source_mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), ca
 
 
 def whole_copies(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0) -> DataFrame:
-    """doc_id, size, copies, text_hash; one row per document, none of them taken in part.
+    """doc_id, source, size, copies, text_hash; one row per document, none of them taken in part.
 
     The one document of each source whose size is nearest to what rounding left has a copy more or
     less, where that brings the source's words nearer to their target.
@@ -161,4 +172,4 @@ def whole_copies(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0),
     nearest = left.where(able & (off < F.abs("gap"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), "order", "doc_id", "row")).alias("one"), F.max(F.signum("gap")).cast("long").alias("more"))
     nearest = nearest.select(F.col("one.row").alias("c_row"), "more")
     out = whole.join(nearest, whole["row"] == nearest["c_row"], "left")
-    return out.select("doc_id", "size", (F.col("copies") + F.coalesce("more", F.lit(0))).alias("copies"), "text_hash")
+    return out.select("doc_id", "source", "size", (F.col("copies") + F.coalesce("more", F.lit(0))).alias("copies"), "text_hash")
