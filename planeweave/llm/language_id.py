@@ -1,8 +1,8 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network is trained in numpy by backpropagation through time on a bounded sample of labelled
-rows: at most ``per_language`` segments of each language, found by a hash of the document. At
-prediction every text is cut into segments of ``SEGMENT`` bytes, each byte position of every segment
+rows: at most ``per_language`` segments of each language and ``MOST`` in all, found by a hash of the
+document. At prediction every text is cut into segments of ``SEGMENT`` bytes, each byte position of every segment
 gets a distribution over languages, and the document's probability is the mean over all positions.
 
 Defined results: a text that is null or has no letter is ``und`` with score 1; with no labelled rows
@@ -19,12 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, written
 
 SEGMENT = 128
 HIDDEN = 8
-#: Languages up to which their counts go to every task.
-FEW = 10_000
+#: Segments of the training sample in all, and so languages that can be learned.
+MOST = 60_000
 #: The symbol behind a text's end in its last segment.
 PAD = 256
 
@@ -178,17 +178,22 @@ class Network:
 def training_sample(docs: DataFrame, per_language: int) -> pd.DataFrame:
     """At most ``per_language`` segments of each language as (lang, text); one segment of a document.
 
+    With many languages each has fewer, so that all have ``MOST`` together, but never none; beyond
+    ``MOST`` languages only the most frequent are learned.
+
     Documents are taken by a hash of the id below a share that the language's count sets, then by
     its order, so a language that holds most rows is thinned before it is sorted.
     """
     train_rows = docs.where((crc_mod(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull())
     known = train_rows.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "k_lang")
-    # A count per language; more of them than a task should hold are joined by a shuffle.
-    known = F.broadcast(known) if known.count() <= FEW else known
+    known = written(known.orderBy(F.desc("n"), "k_lang").limit(MOST))
+    languages = known.count()
+    per_language = max(1, min(per_language, MOST // max(languages, 1)))
+    known = F.broadcast(known)  # at most MOST rows
     salt = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
     start = F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.length("text") - SEGMENT + 1, F.lit(1))) + 1
     cut = train_rows.where(F.col("text").rlike(r"\p{L}")).select("lang", salt.alias("salt"), F.substring("text", start.cast("int"), F.lit(SEGMENT)).alias("text"))
-    thin = cut.join(known, F.col("lang") == F.col("k_lang")).where(F.col("salt") < F.least(F.lit(1.0), 3.0 * per_language / F.col("n")) * (1 << 30))
+    thin = cut.join(known, F.col("lang") == F.col("k_lang")).where(F.col("salt") < F.least(F.lit(1.0), (3.0 * per_language + 30) / F.col("n")) * (1 << 30))
     ranked = thin.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("salt", "text")))
     return ranked.where(F.col("nth") <= per_language).select("lang", "text").orderBy("lang", "text").toPandas()
 

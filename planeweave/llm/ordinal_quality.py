@@ -5,8 +5,9 @@ over hashed text features and ordered thresholds give P(grade <= g) = sigmoid(th
 the expected grade and the tail probabilities of one score are consistent.
 
 Every distinct word of the whole text counts with itself (lower-cased, outer punctuation stripped)
-and its beginnings of 5 to 8 bytes, the text with a few rates of its shape in steps, all hashed. The model is fitted on at most ``most`` labelled rows, taken
-by a hash of the id; the fifth of labelled rows whose crc32 is divisible by 5 is never among them.
+and its beginnings of 5 to 8 bytes, the text with a few rates of its shape in steps, all hashed. The
+model is fitted on at most ``most`` labelled rows with at most ``FEATURES`` features in all, taken by a
+hash of the id; the fifth of labelled rows whose crc32 is divisible by 5 is never among them.
 
 Defined results: null or empty text has no feature and gets the grades' base rates; without labelled
 rows every grade is alike; labels that are null are not learned from; an empty table gives an empty
@@ -21,16 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, written
 
 BITS = 18
 GRADES = 3
 PREFIXES = (5, 6, 7, 8)
-#: Features that the fit handles at once.
+#: Features that the fit handles at once, and that its sample may have in all.
 PART = 500_000
+FEATURES = 8_000_000
 #: A text has hundreds of words but four rates, which count so many times for it.
 SHAPE_TIMES = 12
 _OUTER = b".,;:!?()[]{}\"'#*$%&|<>-_"
@@ -105,36 +107,49 @@ class Ordinal:
         """P(grade >= g) for g = 1..GRADES-1, by column."""
         return _sigmoid(scores[:, None] - self.thresholds()[None, :])
 
-    def fit(self, rows: list[np.ndarray], grades: np.ndarray, rounds: int = 200, rate: float = 0.07, ridge: float = 1e-3) -> list[float]:
-        """Adam on the mean negative log likelihood with a ridge on the weights."""
-        flat, k, n = np.concatenate(rows).astype(np.int32), len(self.w), len(rows)
+    def slopes(self, params: np.ndarray, parts: list, grades: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+        """Mean negative log likelihood with its ridge, and the gradient of both.
+
+        ``params``: weights, then steps; ``parts``: (first row, end, feature numbers, their rows).
+        """
+        k, n = len(self.w), len(grades)
+        self.steps = params[k:]
+        cuts = self.thresholds()
+        s = np.concatenate([np.bincount(own, params[ids], b - a) for a, b, ids, own in parts])
+        upper = np.concatenate([_sigmoid(cuts[None, :] - s[:, None]), np.ones((n, 1))], axis=1)
+        lower = np.concatenate([np.zeros((n, 1)), upper[:, :-1]], axis=1)
+        at = np.arange(n), grades
+        p = np.maximum(upper[at] - lower[at], 1e-12)
+        slope_u, slope_l = (upper * (1 - upper))[at] / p, (lower * (1 - lower))[at] / p
+        ds = (slope_u - slope_l) / n
+        g = np.zeros_like(params)
+        g[:k] = ridge * params[:k]
+        for a, b, ids, own in parts:
+            g[:k] += np.bincount(ids, ds[a:b][own], k)
+        dcut = np.zeros(len(cuts))
+        np.add.at(dcut, np.minimum(grades, len(cuts) - 1), np.where(grades < len(cuts), -slope_u, 0) / n)
+        np.add.at(dcut, np.maximum(grades - 1, 0), np.where(grades > 0, slope_l, 0) / n)
+        g[k] = dcut.sum()
+        for j in range(1, len(cuts)):
+            g[k + j] = dcut[j:].sum() * np.exp(params[k + j])
+        return float(-np.log(p).mean() + 0.5 * ridge * (params[:k] ** 2).sum()), g
+
+    @staticmethod
+    def parts(rows: list[np.ndarray]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Parts of whole rows, so that no temporary grows with the sample."""
+        flat, n = np.concatenate(rows).astype(np.int32), len(rows)
         ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-        # Parts of whole rows, so that no temporary grows with the sample.
         cuts_at = np.unique([0, n, *np.searchsorted(ends, np.arange(0, len(flat), PART)).clip(0, n).tolist()])
-        parts = [(a, b, flat[ends[a] : ends[b]], np.repeat(np.arange(b - a, dtype=np.int32), np.diff(ends[a : b + 1]))) for a, b in zip(cuts_at, cuts_at[1:], strict=False)]
+        return [(a, b, flat[ends[a] : ends[b]], np.repeat(np.arange(b - a, dtype=np.int32), np.diff(ends[a : b + 1]))) for a, b in zip(cuts_at, cuts_at[1:], strict=False)]
+
+    def fit(self, rows: list[np.ndarray], grades: np.ndarray, rounds: int = 200, rate: float = 0.07, ridge: float = 1e-3) -> list[float]:
+        """Adam on the mean negative log likelihood with a ridge on the weights."""
+        k, parts = len(self.w), self.parts(rows)
         params = np.concatenate([np.zeros(k), self.steps])
         m, v, losses = np.zeros_like(params), np.zeros_like(params), []
         for t in range(1, rounds + 1):
-            self.steps = params[k:]
-            cuts = self.thresholds()
-            s = np.concatenate([np.bincount(own, params[ids], b - a) for a, b, ids, own in parts])
-            upper = np.concatenate([_sigmoid(cuts[None, :] - s[:, None]), np.ones((n, 1))], axis=1)
-            lower = np.concatenate([np.zeros((n, 1)), upper[:, :-1]], axis=1)
-            at = np.arange(n), grades
-            p = np.maximum(upper[at] - lower[at], 1e-12)
-            losses.append(float(-np.log(p).mean()))
-            slope_u, slope_l = (upper * (1 - upper))[at] / p, (lower * (1 - lower))[at] / p
-            ds = (slope_u - slope_l) / n
-            g = np.zeros_like(params)
-            g[:k] = ridge * params[:k]
-            for a, b, ids, own in parts:
-                g[:k] += np.bincount(ids, ds[a:b][own], k)
-            dcut = np.zeros(len(cuts))
-            np.add.at(dcut, np.minimum(grades, len(cuts) - 1), np.where(grades < len(cuts), -slope_u, 0) / n)
-            np.add.at(dcut, np.maximum(grades - 1, 0), np.where(grades > 0, slope_l, 0) / n)
-            g[k] = dcut.sum()
-            for j in range(1, len(cuts)):
-                g[k + j] = dcut[j:].sum() * np.exp(params[k + j])
+            loss, g = self.slopes(params, parts, grades, ridge)
+            losses.append(loss)
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             params = params - rate * (1 - 0.8 * t / rounds) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -149,18 +164,36 @@ def graded(labels: DataFrame) -> DataFrame:
     )
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 6000) -> Ordinal | None:
-    """A model fitted on at most ``most`` labelled rows outside the held-out fifth."""
+def training_sample(docs: DataFrame, labels: DataFrame, most: int, features_in_all: int) -> pd.DataFrame:
+    """grade and feature numbers of the sample's rows, in order of a hash of the id.
+
+    Rows are taken after the join with their texts, so that repeated ids and long texts stay within the
+    bounds: at most ``most`` rows, and of them as many as have ``features_in_all`` features together.
+    """
     rated = graded(labels).where(crc_mod(F.col("l_doc_id"), 5) != 0).withColumn("salt", F.xxhash64("l_doc_id", F.lit("fit")))
-    chosen = rated.orderBy("salt", "l_doc_id").limit(most)
+    # More labels than these can't be among the first ``most`` rows, unless they have no text.
+    chosen = rated.join(docs.select(F.col("doc_id").alias("t_doc_id")), F.col("l_doc_id") == F.col("t_doc_id"), "left_semi").orderBy("salt", "l_doc_id", "grade").limit(most)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"salt": batch["salt"], "grade": batch["grade"], "ids": [features(t) for t in batch["text"]]})
+            ids = [features(t) for t in batch["text"]]
+            yield pd.DataFrame({"salt": batch["salt"], "grade": batch["grade"], "text_hash": batch["text_hash"], "n": [len(x) for x in ids], "ids": ids})
 
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_doc_id"))
-    got = joined.select("salt", "grade", "text").mapInPandas(run, "salt long, grade int, ids array<int>").toPandas()
-    got = got.sort_values(["salt", "grade"], kind="stable")
+    made = joined.select("salt", "grade", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(run, "salt long, grade int, text_hash long, n long, ids array<int>")
+    made = written(made.withColumn("row", F.monotonically_increasing_id()))
+    order = ["salt", "grade", "text_hash", "row"]
+    first = made.select(*order, "n").orderBy(*order).limit(most)
+    # At most ``most`` rows of numbers.
+    upto = first.withColumn("upto", F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    kept = upto.where(F.col("upto") <= features_in_all).select(F.col("row").alias("k_row"))
+    got = made.join(F.broadcast(kept), F.col("row") == F.col("k_row")).select(*order, "ids").toPandas()
+    return got.sort_values(["salt", "grade", "text_hash"], kind="stable")
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = 6000) -> Ordinal | None:
+    """A model fitted on at most ``most`` labelled rows outside the held-out fifth."""
+    got = training_sample(docs, labels, most, FEATURES)
     rows = [np.asarray(x, dtype=np.int32) for x in got.pop("ids")]
     if not any(len(r) for r in rows):
         return None

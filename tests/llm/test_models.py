@@ -105,6 +105,27 @@ def test_language_id(spark):
     assert language_id.language_id(docs.limit(0)).count() == 0
 
 
+def test_clashing_columns_and_repeated_rows(spark):
+    """Other columns named like an operator's own change nothing; equal rows get equal results."""
+    g = np.random.default_rng(6)
+    rows = [(i, " ".join(g.choice(["ab", "cde", "fgh", "ij"], 30)), "xy"[i % 2]) for i in range(60)]
+    rows += rows[:3]
+    plain = spark.createDataFrame(rows, SHAPE)
+    more = plain.selectExpr("*", "1 as n", "'z' as word", "2 as row", "3 as held_out", "4 as score", "5 as k_lang", "6 as salt", "7 as lp", "8 as rare")
+    told = lambda df, run: Counter(tuple(r) for r in run(df).collect())
+    for run in (lambda df: lattice_lm.lattice_lm(df, tokenizer("byte_bpe_50k.tiktoken")), lambda df: language_id.language_id(df, per_language=20, steps=5)):
+        found = told(plain, run)
+        assert found == told(more, run) and sum(found.values()) == 63
+        assert all(n == 2 for k, n in found.items() if k[0] < 3)
+
+
+def test_many_languages_share_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST", 12)
+    docs = spark.createDataFrame([(i, f"some text {i}", f"l{i % 5}") for i in range(100)] + [(1000 + i, "more", f"m{i}") for i in range(40)], SHAPE)
+    sample = language_id.training_sample(docs, 1500)
+    assert len(sample) <= 12 and {f"l{k}" for k in range(5)} <= set(sample["lang"])
+
+
 def test_exact_topk(spark):
     g = np.random.default_rng(7)
     exact_topk.SHARD, old = 64, exact_topk.SHARD
