@@ -3,7 +3,8 @@
 A text is a sequence of words and one end. The pieces of an existing byte-level vocabulary and their
 unigram scores give a word the summed probability of all its segmentations, by a forward recursion in
 log space over the word's lattice; words are led by the blank that the vocabulary's pieces carry.
-Scores start from the vocabulary's own order (a piece's rank) and are re-estimated by expectation
+The vocabulary files at hand store no unigram scores but the order in which their pieces were made, so
+scores start from a piece's rank (weight 1 / (rank + 100)) and are re-estimated by expectation
 maximisation over every distinct training word with its count.
 
 Counting, estimation and scoring run over one table of distinct words that grows with the corpus and

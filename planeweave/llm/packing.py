@@ -57,24 +57,26 @@ def encoder(json_path: str, ranks_path: str, pattern: str):
 
 
 def pieces(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, class and, if asked for, ids."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, class and, if asked for, document
+    (a number of the input's row, so that rows which repeat a doc_id stay apart) and ids."""
     tail = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(json_path, ranks_path, pattern)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for document, doc_id, text in zip(batch["document"], batch["doc_id"], batch["text"], strict=True):
                 ids = encode(text) + tail
                 n = len(ids) // 4
                 for start in range(0, n, LENGTH):
                     part = ids[4 * start : 4 * (start + LENGTH)]
-                    rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), n, -(-(len(part) // 4) // GRID), part if keep_ids else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "ids"]).astype({"doc_id": batch["doc_id"].dtype})
+                    rows.append((document, doc_id, start, len(part) // 4, zlib.crc32(part), n, -(-(len(part) // 4) // GRID), part if keep_ids else None))
+            yield pd.DataFrame(rows, columns=["document", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "ids"]).astype({"doc_id": batch["doc_id"].dtype})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, class int, ids binary")
-    return made if keep_ids else made.drop("ids")
+    numbered = docs.select(F.monotonically_increasing_id().alias("document"), "doc_id", "text")
+    made = numbered.mapInPandas(run, f"document long, doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, class int, ids binary")
+    return made if keep_ids else made.drop("document", "ids")
 
 
 def knapsack(values: np.ndarray, classes: np.ndarray, capacity: int) -> tuple[float, Counter]:
@@ -175,7 +177,10 @@ def _rounded(used: list, classes: np.ndarray, demand: dict[int, int], capacity:
 
 
 def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
-    """Pieces with their sequence_id and offset; sequences hold at most ``LENGTH`` tokens."""
+    """Pieces with their sequence_id and offset; sequences hold at most ``LENGTH`` tokens.
+
+    ``keep_ids``: with the token ids and the row's number too, from which sequences can be built.
+    """
     spark = docs.sparkSession
     cutting = written(pieces(docs, json_path, ranks_path, pattern, keep_ids).withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}))
     counts = cutting.groupBy("class", "part").agg(F.count("*").alias("n"))
@@ -201,5 +206,5 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, keep_id
     inside = Window.partitionBy("sequence_id").orderBy("seat").rowsBetween(Window.unboundedPreceding, -1)
     return seated.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("sequence_id").cast("long").alias("sequence_id"),
-        F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"), *(["ids"] if keep_ids else []),
+        F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"), *(["document", "ids"] if keep_ids else []),
     )

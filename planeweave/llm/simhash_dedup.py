@@ -64,14 +64,15 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id and its fingerprint as a signed long, by whole texts in Arrow batches."""
+    """doc_id, text_hash and the fingerprint as a signed long, by whole texts in Arrow batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             prints = np.array([fingerprint(x, width) for x in batch["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": prints})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "fp": prints})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(run, f"doc_id {kind}, text_hash long, fp long")
 
 
 def grid_points(prints: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,13 +193,28 @@ def links(nodes: DataFrame, limit: int, tile: int) -> DataFrame:
     return together.mapInPandas(verify, "a long, b long")
 
 
-def simhash_dedup(docs: DataFrame, width: int = 4, limit: int = 4, tile: int = 4096) -> DataFrame:
-    """doc_id, fingerprint and component_id: the smallest doc_id linked to it, itself included."""
+def grouped(docs: DataFrame, width: int = 4, limit: int = 4, tile: int = 4096) -> DataFrame:
+    """doc_id, text_hash, fp, group (its smallest fingerprint) and component_id of every row."""
     prints = written(fingerprints(docs, width))
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = components(links(nodes.select("fp"), limit, tile))
     named = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id")).withColumnRenamed("label", "c_label")
-    of = named.join(smallest, F.col("label") == F.col("c_label")).select(F.col("fp").alias("n_fp"), "component_id")
-    out = prints.join(of, prints["fp"] == of["n_fp"])
+    of = named.join(smallest, F.col("label") == F.col("c_label")).select(F.col("fp").alias("n_fp"), F.col("label").alias("group"), "component_id")
+    return prints.join(of, prints["fp"] == of["n_fp"]).drop("n_fp")
+
+
+def simhash_dedup(docs: DataFrame, width: int = 4, limit: int = 4, tile: int = 4096) -> DataFrame:
+    """doc_id, fingerprint and component_id: the smallest doc_id linked to it, itself included."""
+    out = grouped(docs, width, limit, tile)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, text_hash and rows: of each group the row of smallest doc_id (null last), then of smallest
+    hash of its text, and how many rows are equal in both."""
+    found = written(grouped(docs, **options))
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
+    per = found.groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    first = per.groupBy("group").agg(F.min_by(F.struct("doc_id", "text_hash", "rows"), key).alias("first"))
+    return first.select("first.*")

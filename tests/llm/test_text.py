@@ -149,6 +149,39 @@ def test_source_mix(docs, rows, nothing):
     assert source_mix.source_mix(nothing).count() == 0
 
 
+def test_many_sources_meet_their_targets(spark):
+    """More sources than partitions, ties among them, one that holds a third of all words, one of a single long document."""
+    g = np.random.default_rng(11)
+    told = [(i, "w " * int(g.integers(1, 9)), f"s{int(g.integers(60)):03d}") for i in range(900)] + [(1000 + i, "w " * 9, "hot") for i in range(300)] + [(5000, "w " * 3000, "one")]
+    found = source_mix.source_mix(spark.createDataFrame(told, "doc_id long, text string, source string").repartition(7)).collect()
+    source, size, taken = {i: s for i, _, s in told}, Counter(), Counter()
+    for r in found:
+        size[source[r.doc_id]] += r.size
+        taken[source[r.doc_id]] += r.taken
+    target = {source[r.doc_id]: r.target for r in found}
+    order = sorted(size)
+    weight, free, share = {s: 1 + k % 3 for k, s in enumerate(order)}, set(order), {}
+    while True:
+        left = sum(size.values()) - sum(share.values())
+        now = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if now[s] > 3 * size[s]}
+        if not over:
+            break
+        share |= {s: 3.0 * size[s] for s in over}
+        free -= over
+    assert target == pytest.approx(share | now)
+    assert all(taken[s] == pytest.approx(target[s], abs=1.01) for s in order)
+
+
+def test_newton_ends_where_its_steps_fail(spark):
+    """Sizes so far apart that the slope misleads: the bracket still closes on the target."""
+    told = spark.createDataFrame([("a", 1, 1000), ("a", 10**6, 1)], "source string, size long, n long")
+    goals = spark.createDataFrame([("a", 1001000, 1001000 / 1001, 1500.0)], "source string, source_size long, mean_size double, target double")
+    x = source_mix.balanced(told, goals, 3.0).first()["multiplier"]
+    rate = lambda size: min(3.0, math.exp(min(x * size / (1001000 / 1001), 60)))
+    assert 1000 * rate(1) + 10**6 * rate(10**6) == pytest.approx(1500, abs=2)
+
+
 def test_packing(docs, rows, nothing):
     from tokenizers import Tokenizer
 
@@ -401,6 +434,43 @@ def test_identifiers_beside_others_are_redacted(spark):
     assert clean[101] == clean[102] == "my badge number is [PHONE] thanks"
 
 
+def test_ordinal_slopes_and_thresholds():
+    g = np.random.default_rng(5)
+    model = ordinal_quality.Ordinal()
+    rows, grades = [g.integers(0, 1 << ordinal_quality.BITS, int(n)) for n in g.integers(1, 30, 40)], g.integers(0, 3, 40)
+    parts, k = model.parts(rows), len(model.w)
+    params = np.concatenate([np.zeros(k), [-0.7, 0.4]])
+    used = np.concatenate(rows)
+    params[used] = g.normal(0, 0.3, len(used))
+    _, slopes = model.slopes(params, parts, grades, 1e-3)
+    for at in (*used[:5].tolist(), k, k + 1):
+        up, down = params.copy(), params.copy()
+        up[at] += 1e-5
+        down[at] -= 1e-5
+        numeric = (model.slopes(up, parts, grades, 1e-3)[0] - model.slopes(down, parts, grades, 1e-3)[0]) / 2e-5
+        assert numeric == pytest.approx(slopes[at], rel=1e-4, abs=1e-8)
+    losses = model.fit(rows, grades, rounds=60)
+    assert losses[-1] < losses[0] and model.thresholds()[0] < model.thresholds()[1]
+    whole, _ = model.slopes(params, parts, grades, 0.0)
+    s = np.array([params[r].sum() for r in rows])
+    cuts = params[k] + np.array([0.0, math.exp(params[k + 1])])
+    below = 1 / (1 + np.exp(s[:, None] - cuts))
+    p = np.diff(np.concatenate([np.zeros((40, 1)), below, np.ones((40, 1))], axis=1), axis=1)[np.arange(40), grades]
+    assert whole == pytest.approx(-np.log(p).mean())
+
+
+def test_the_graded_sample_keeps_its_bounds(spark, docs, nothing):
+    labels = spark.createDataFrame([(i % 70, 1, 0, "x") for i in range(140)] + [(None, 1, 0, "x"), (5, None, 1, "x")], "doc_id long, quality int, toxic int, kept string")
+    given = docs.union(docs)
+    sample = ordinal_quality.training_sample(given, labels, 30, 10**9)
+    assert len(sample) == 30
+    assert sum(map(len, ordinal_quality.training_sample(given, labels, 30, 500)["ids"])) <= 500
+    got = ordinal_quality.ordinal_quality(given, labels).collect()
+    by = Counter((r.doc_id, r.p_ge_1, r.p_ge_2, r.selected) for r in got)
+    assert len(got) == given.count() and all(n % 2 == 0 for n in by.values())
+    assert ordinal_quality.ordinal_quality(nothing, labels).count() == 0
+
+
 def test_ordinal_quality(spark):
     g = np.random.default_rng(3)
     words = [a + b for a in "bcdfghklm" for b in ("an", "on", "ing", "est")]
