@@ -7,7 +7,7 @@ target weights, packing. All stages but the last return the columns of ``documen
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planeweave.llm import language_id, packing, pii, simhash_dedup, source_mix
@@ -23,6 +23,11 @@ def _held(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("held"))
 
 
+def _one_each(held: DataFrame, *key: Column) -> DataFrame:
+    """One row per key and hash of the text: that whose columns hash to the least."""
+    return held.groupBy(*key, "hash").agg(F.min_by("held", F.xxhash64("held")).alias("held"))
+
+
 def _columns(held: DataFrame, docs: DataFrame) -> DataFrame:
     return held.select(*[F.col(f"held.`{c}`").alias(c) for c in docs.columns])
 
@@ -30,7 +35,8 @@ def _columns(held: DataFrame, docs: DataFrame) -> DataFrame:
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those whose language the network can't tell.
 
-    Where no row to train on has a language there is no network: every text with a letter stays.
+    Where no row to train on has a language there is no network: every text with a letter stays. Null and
+    empty texts go; rows that repeat are judged each; an empty table gives an empty one.
     """
     net = language_id.train(docs.select("doc_id", "text", "lang"))
 
@@ -45,30 +51,26 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group; of rows that repeat it, one.
+    """Keeps one row of each group: that of smallest doc_id (null last), then of smallest hash of its text.
 
-    Rows without a doc_id stay where no document with one is linked to them, one for each fingerprint.
+    Different texts of one doc_id are documents of their own. Of rows equal in doc_id and text the one
+    whose columns hash to the least stays. Null and empty texts are one group; an empty table gives an
+    empty one.
     """
-    found = written(simhash_dedup.simhash_dedup(docs.select("doc_id", "text")))
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept"))
-    stays = _held(docs).join(kept.distinct(), F.col("held.doc_id") == F.col("kept"), "left_semi")
-    if not kept.groupBy("kept").count().where("count > 1").isEmpty():
-        stays = stays.groupBy(F.col("held.doc_id")).agg(F.any_value("held").alias("held")).select("held")
-    nameless = found.where(F.col("component_id").isNull()).select(F.col("fingerprint").alias("alone")).distinct()
-    if not nameless.isEmpty():
-
-        @F.pandas_udf("string")
-        def printed(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: f"{simhash_dedup.fingerprint(t):016x}").astype(object)
-
-        rows = _held(docs.where(F.col("doc_id").isNull())).withColumn("print", printed(F.col("held.text")))
-        rows = rows.join(nameless, F.col("print") == F.col("alone"), "left_semi")
-        stays = stays.union(rows.groupBy("print").agg(F.any_value("held").alias("held")).select("held"))
+    kept = written(simhash_dedup.representatives(docs.select("doc_id", "text"))).withColumnsRenamed({"doc_id": "k_doc_id", "text_hash": "k_hash"})
+    held = _held(docs).withColumn("hash", F.xxhash64("held.text"))
+    on = F.col("held.doc_id").eqNullSafe(F.col("k_doc_id")) & (F.col("hash") == F.col("k_hash"))
+    stays = held.join(kept.select("k_doc_id", "k_hash"), on, "left_semi")
+    if not kept.where("rows > 1").isEmpty():
+        stays = _one_each(stays, F.col("held.doc_id"))
     return _columns(stays, docs)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Identifiers in texts become their kind in brackets; n_chars follows."""
+    """Identifiers in texts become their kind in brackets; n_chars follows.
+
+    Null and empty texts stay as they are, rows that repeat are changed alike, no row goes.
+    """
     clean = pii.redact(docs)
     if "n_chars" not in docs.columns:
         return clean
@@ -78,20 +80,27 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, always whole, as often as the mix takes it; those it takes zero times go.
 
-    Rows of equal doc_id and text are one document that is taken as often as all.
+    Rows of equal doc_id, source and text are one document that is taken as often as all. Texts without
+    a word have no size and are not taken; an empty table gives an empty one.
     """
     taken = source_mix.whole_copies(docs.select("doc_id", "source", "text")).where("size > 0")
-    taken = written(taken.groupBy(F.col("doc_id").alias("m_doc_id"), F.col("text_hash").alias("m_hash")).agg(F.count("*").alias("rows"), F.sum("copies").alias("copies")))
+    key = [F.col("doc_id").alias("m_doc_id"), F.col("source").alias("m_source"), F.col("text_hash").alias("m_hash")]
+    taken = written(taken.groupBy(*key).agg(F.count("*").alias("rows"), F.sum("copies").alias("copies")))
     held = _held(docs).withColumn("hash", F.xxhash64("held.text"))
     if not taken.where("rows > 1").isEmpty():
-        held = held.groupBy("held.doc_id", "hash").agg(F.any_value("held").alias("held")).select("held", "hash")
-    joined = held.join(taken.where("copies > 0"), F.col("held.doc_id").eqNullSafe(F.col("m_doc_id")) & (F.col("hash") == F.col("m_hash")))
+        held = _one_each(held, F.col("held.doc_id"), F.col("held.source"))
+    on = F.col("held.doc_id").eqNullSafe(F.col("m_doc_id")) & F.col("held.source").eqNullSafe(F.col("m_source")) & (F.col("hash") == F.col("m_hash"))
+    joined = held.join(taken.where("copies > 0"), on)
     return _columns(joined.select("held", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the tokenized documents with their sequence and offset."""
-    return packing.pack(docs.select("doc_id", "text"), *tokenizer_files())
+    """Pieces of the tokenized documents with their ids, their document's row, their sequence and offset.
+
+    ``document`` tells copies of one doc_id apart, so both documents and sequences can be built from the
+    result. A null or empty text is the end id alone; an empty table gives no piece.
+    """
+    return packing.pack(docs.select("doc_id", "text"), *tokenizer_files(), keep_ids=True)
 
 
 STAGES = [
