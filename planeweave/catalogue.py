@@ -264,8 +264,8 @@ EXPRESSIONS = {
     "trig": ("sin(pi * r) ^ 2 + cos(in1) - atan2(g, b + 1)", "pow(sin(pi() * r), 2) + cos(g) - atan2(g, b + 1)"),
 }
 for n, (text, e) in EXPRESSIONS.items():
-    add(f"expression_{n}", graph_query("conv.expression", {"Expression": text}, {"Image": "image", "In 1": "g"}), sql_plane(e))
-add("image_expression", graph_query("conv.image_expression", {"Red": "1 - r", "Green": "(r + g + b) / 3", "Blue": "r > b"}), sql_image("1 - r", "(r + g + b) / 3", "CASE WHEN r > b THEN 1.0 ELSE 0.0 END"))
+    add(f"expression_{n}", graph_query("conv.expression", {"Expression": text}, {"Image": "image", "In1": "g"}), sql_plane(e))
+add("image_expression", graph_query("conv.image_expression", {"R": "1 - r", "G": "(r + g + b) / 3", "B": "r > b"}), sql_image("1 - r", "(r + g + b) / 3", "CASE WHEN r > b THEN 1.0 ELSE 0.0 END"))
 RANKED = ", ranked AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS k, count(*) OVER () AS n FROM px), ends AS (SELECT max(r) FILTER (k = CAST(floor(0.1 * (n - 1) + 0.5) AS BIGINT)) AS lo, max(r) FILTER (k = CAST(floor(0.9 * (n - 1) + 0.5) AS BIGINT)) AS hi FROM ranked)"
 add("normalize_10_90", graph_query("conv.normalize", {"Low %": 10.0, "High %": 90.0}), sql_plane("(r - lo) / greatest(hi - lo, 1e-9)", source="px, ends", ctes=RANKED))
 add("normalize", graph_query("conv.normalize"), sql_plane("(r - (SELECT min(r) FROM px)) / (SELECT max(r) - min(r) FROM px)"))
@@ -369,7 +369,8 @@ add("range_mask", graph_query("matte.range_mask", {"Low": 0.4, "High": 0.7, "Smo
 add("range_mask_color", graph_query("matte.range_mask", {"Mode": "Color", "Color": [0.6, 0.4, 0.3]}))
 _seed = lambda cond, name: f"{name} AS (SELECT y, x FROM px WHERE {cond})"
 _dist = lambda name: f"coalesce((SELECT sqrt(min((s.x - px.x) * (s.x - px.x) + (s.y - px.y) * (s.y - px.y))) FROM {name} s), 1e6)"
-add("double_edge_mask", graph_query("matte.double_edge_mask", {}, {"Inner Mask": "edge", "Outer Mask": "g"}))
+_de = """, e AS (SELECT y, x, r >= 0.3 AS i, g < 0.5 AS o FROM px), d AS (SELECT p.y, p.x, any_value(p.i) AS i, any_value(p.o) AS o, coalesce(min(sqrt(pow(p.x - s.x, 2) + pow(p.y - s.y, 2))) FILTER (s.i), 1e6) AS di, coalesce(min(sqrt(pow(p.x - s.x, 2) + pow(p.y - s.y, 2))) FILTER (s.o), 1e6) AS dn FROM e p, e s GROUP BY p.y, p.x)"""
+add("double_edge_mask", graph_query("matte.double_edge_mask", {}, {"Inner Mask": "edge", "Outer Mask": "g"}), sql_plane("CASE WHEN i THEN 1.0 WHEN o THEN 0.0 ELSE dn / greatest(di + dn, 1e-4) END", source="d", ctes=_de))
 _near = lambda name, reach: f"(SELECT count(*) FROM {name} s WHERE s.x BETWEEN px.x - {reach} AND px.x + {reach} AND s.y BETWEEN px.y - {reach} AND px.y + {reach} AND (s.x - px.x) * (s.x - px.x) + (s.y - px.y) * (s.y - px.y) <= {reach * reach})"
 add("dilate", graph_query("filter.dilate_erode", {"Distance": 3.0}, {"Mask": "edge"}), sql_plane(f"CASE WHEN {_near('seed', 3)} > 0 THEN 1.0 ELSE 0.0 END", ctes=f", {_seed('r >= 0.3', 'seed')}"))
 add("erode", graph_query("filter.dilate_erode", {"Distance": -2.0}, {"Mask": "edge"}), sql_plane(f"CASE WHEN {_near('seed', 2)} > 0 THEN 0.0 ELSE 1.0 END", ctes=f", {_seed('r < 0.3', 'seed')}"))
@@ -443,7 +444,7 @@ def blur_sql(size: float, cols: str, source: str = "px") -> str:
 add("blur", graph_query("filter.blur", {"Size X": 6.0, "Size Y": 6.0}), sql_image("r", "g", "b", source="blurred", ctes=blur_sql(6.0, "rgba")))
 add("blur_wide", graph_query("filter.blur", {"Size X": 44.0, "Size Y": 44.0}), sql_image("r", "g", "b", source="blurred", ctes=blur_sql(44.0, "rgba")))
 add("blur_plane", graph_query("filter.blur", {"Size X": 6.0, "Size Y": 6.0}, {"Image": "r"}), sql_plane("r", source="blurred", ctes=blur_sql(6.0, "r")))
-_gl = blur_sql(8.0, "rgb", "high").replace("p0", "wa0").replace(" blurred", " wide") + blur_sql(1.92, "rgb", "high").replace(" blurred", " narrow")
+_gl = re.sub(r"\bp(\d)", r"wa\1", blur_sql(8.0, "rgb", "high")).replace(" blurred AS", " wide AS") + blur_sql(1.92, "rgb", "high").replace(" blurred AS", " narrow AS")
 
 
 def _near_sql(k: tuple, transpose: bool = False) -> Callable[[str], str]:
@@ -473,9 +474,28 @@ for n in ("Soften", "Box Sharpen", "Diamond Sharpen", "Laplace", "Sobel", "Prewi
     add(f"filter_{n.lower().replace(' ', '_')}", graph_query("filter.filter", {"Type": n, "Factor": 0.8}), _kernel_sql(n))
 add("pixelate", graph_query("filter.pixelate", {"Size": 7.0}), sql_image(*(f"avg({c}) OVER (PARTITION BY y // 7, x // 7)" for c in "rgba")))
 add("kuwahara", graph_query("filter.kuwahara", {"Size": 2.0}))
-add("bilateral_high", graph_query("filter.bilateral_blur", {"Radius": 2.0}), None)
-add("bilateral_fast", graph_query("filter.bilateral_blur", {"Radius": 4.0, "Quality": "Fast"}), None)
-add("glare", graph_query("filter.glare", {"Size": 8.0}))
+
+
+def _bilateral_sql(source: str, name: str, dx: tuple, dy: tuple, spread: float) -> str:
+    """Taps around each pixel, the edge repeated; weights by distance and by the colour's difference in px."""
+    away = "pow(t.p - o.p, 2) + pow(t.q - o.q, 2) + pow(t.s - o.s, 2)"
+    cells = lambda v: ", ".join(f"({d})" for d in v)
+    return f"""{name} AS (SELECT y, x, h, p, q, s, {', '.join(f'sum(w * {c}) / sum(w) AS {c}' for c in 'rgba')} FROM (SELECT o.y, o.x, o.h, o.p, o.q, o.s, t.r, t.g, t.b, t.a, exp(-(dx * dx + dy * dy) * {spread} - ({away}) * 50.0) AS w FROM {source} o,
+ (VALUES {cells(dx)}) i(dx), (VALUES {cells(dy)}) j(dy), {source} t WHERE t.x = least(greatest(o.x + dx, 0), 99) AND t.y = least(greatest(o.y + dy, 0), o.h - 1)) GROUP BY ALL)"""
+
+
+_own = ", own AS (SELECT *, r AS p, g AS q, b AS s FROM px), "
+add("bilateral_high", graph_query("filter.bilateral_blur", {"Radius": 2.0}), sql_image("r", "g", "b", source="kept", ctes=_own + _bilateral_sql("own", "kept", range(-2, 3), range(-2, 3), 0.5)))
+add("bilateral_fast", graph_query("filter.bilateral_blur", {"Radius": 4.0, "Quality": "Fast"}), sql_image("r", "g", "b", source="kept", ctes=_own + _bilateral_sql("own", "along", range(-4, 5), (0,), 0.125) + ", " + _bilateral_sql("along", "kept", (0,), range(-4, 5), 0.125)))
+_high = lambda c: f"greatest({c} - 0.3, 0.0) / 0.7"
+_fog = f", high AS (SELECT y, x, h, {', '.join(f'{_high(c)} AS {c}' for c in 'rgb')} FROM px)" + _gl + ", fog AS (SELECT px.y, px.x, px.a, " + ", ".join(f"px.{c} AS {c}, 0.7 * w.{c} + 0.6 * n.{c} AS g{c}" for c in "rgb") + " FROM px JOIN wide w ON px.y = w.y AND px.x = w.x JOIN narrow n ON px.y = n.y AND px.x = n.x)"
+GLARE = {"Threshold": 0.3, "Size": 8.0}
+add("glare", graph_query("filter.glare", GLARE), sql_image(*(c01(f"{c} + g{c}") for c in "rgb"), source="fog", ctes=_fog))
+add("glare_alone", graph_query("filter.glare", GLARE, output=1), sql_image(*(c01(f"g{c}") for c in "rgb"), "1.0", source="fog", ctes=_fog))
+_sides = lambda c, w: f"{_high(c)} + 0.9 * (coalesce(lag({_high(c)}) OVER {w}, 0.0) + coalesce(lead({_high(c)}) OVER {w}, 0.0))"
+for n, k, angle, w in (("", 2, 0.0, "(PARTITION BY y ORDER BY x)"), ("_upright", 2, 90.0, "(PARTITION BY x ORDER BY y)")):
+    ctes = ", lit AS (SELECT y, x, a, r, g, b, " + ", ".join(f"{_sides(c, w)} AS g{c}" for c in "rgb") + " FROM px)"
+    add(f"glare_streaks{n}", graph_query("filter.glare", {"Type": "Streaks", "Threshold": 0.3, "Size": 2.0, "Streaks": float(k), "Angle": angle}), sql_image(*(c01(f"{c} + g{c}") for c in "rgb"), source="lit", ctes=ctes))
 QUAD = """, q AS (SELECT p.y, p.x, p.a, d.j, d.i, round(avg(s.l * s.l) - avg(s.l) * avg(s.l), 12) AS v, avg(s.r) AS r, avg(s.g) AS g, avg(s.b) AS b FROM px p,
  (VALUES (-2, -2), (-2, 0), (0, -2), (0, 0)) d(j, i), (SELECT *, {l} AS l FROM px) s WHERE s.y BETWEEN p.y + d.j AND p.y + d.j + 2 AND s.x BETWEEN p.x + d.i AND p.x + d.i + 2 GROUP BY ALL),
  best AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY y, x ORDER BY v, j, i) = 1)""".replace("{l}", lum())
@@ -535,9 +555,35 @@ add("lens_distortion", graph_query("xform.lens_distortion", {"Dispersion": 0.0})
 _r2 = f"(({_ld} * {_ld} + (y + 0.5 - h / 2.0) * (y + 0.5 - h / 2.0)) / (2500 + h * h / 4.0))"
 add("lens_correction", graph_query("xform.lens_correction", {"Distortion": 40.0, "Vignetting": 30.0, "Red / Cyan": 50.0}))
 add("lens_vignetting", graph_query("xform.lens_correction", {"Vignetting": 30.0}), sql_each(lambda c: c01(srgb(f"{lin(c01(c))} * pow(2, 0.45 * pow(least({_r2}, 1.0), 1.75))"))))
-add("border", graph_query("xform.border", {"Left": 3.0, "Top": 2.0, "Right": 1.0}), f"{PX}, grid AS (SELECT CAST(j AS INT) AS y, CAST(i AS INT) AS x FROM size, range(0, 104) t(i), range(0, (SELECT h + 2 FROM size)) u(j)) SELECT grid.y, grid.x, " + ", ".join(f"round(coalesce({c}, 1.0), 8) AS {c}" for c in "rgba") + " FROM grid LEFT JOIN px ON px.y = grid.y - 2 AND px.x = grid.x - 3")
-add("sun_beams", graph_query("filter.sun_beams"))
-add("directional_blur", graph_query("filter.directional_blur", {"Distance": 6.0, "Angle": 30.0}))
+BORDER = {"Size": 3.0, "Bottom": 2.0, "Color": [0.9, 0.8, 0.7], "Line Size": 1.0, "Line Color": [0.1, 0.2, 0.3]}
+
+
+def _border_sql(width: str, height: str, left: str, top: str) -> str:
+    """``e``: the long edge; the canvas before it grows to an aspect is cw by ch."""
+    half = lambda p: f"CAST(floor({p} / 100.0 * e + 0.5) AS INT)"
+    sides = f"b0 AS (SELECT h, greatest(100, h) AS e FROM size), b1 AS (SELECT h, {half(3.0)} AS m, {half(3.0)} * 2 + {half(2.0)} + h AS ch, 100 + 2 * {half(3.0)} AS cw, {half(1.0)} AS ln FROM b0)"
+    canvas = f"b2 AS (SELECT *, {width} AS w2, {height} AS h2 FROM b1), b3 AS (SELECT *, m + {left} AS x0, m + {top} AS y0 FROM b2), grid AS (SELECT CAST(j AS INT) AS y, CAST(i AS INT) AS x, b3.* FROM b3, range(0, (SELECT w2 FROM b3)) t(i), range(0, (SELECT h2 FROM b3)) u(j))"
+    near = "ln > 0 AND grid.x >= x0 - ln AND grid.x < x0 + 100 + ln AND grid.y >= y0 - ln AND grid.y < y0 + b_h + ln"
+    shown = ", ".join(f"round(coalesce(px.{c} * px.a + {p} * (1 - px.a), CASE WHEN {near} THEN {k} ELSE {p} END), 8) AS {c}" for c, p, k in zip("rgb", BORDER["Color"], BORDER["Line Color"], strict=True))
+    return f"{PX}, {sides}, {canvas} SELECT grid.y, grid.x, {shown}, 1.0::DOUBLE AS a FROM grid LEFT JOIN px ON px.y = grid.y - y0 AND px.x = grid.x - x0".replace("b_h", "grid.h")
+
+
+add("border", graph_query("xform.border", BORDER), _border_sql("cw", "ch", "0", "0"))
+_grow = {"w": "CASE WHEN cw / ch < 1.5 THEN CAST(floor(ch * 1.5 + 0.5) AS INT) ELSE cw END", "h": "CASE WHEN cw / ch < 1.5 THEN ch ELSE CAST(floor(cw / 1.5 + 0.5) AS INT) END"}
+add("border_aspect", graph_query("xform.border", BORDER | {"Aspect": "3:2"}), _border_sql(_grow["w"], _grow["h"], "(w2 - cw) // 2", "(h2 - ch) // 2"))
+
+
+def path_sql(taps: int, sx: str, sy: str, weight: str) -> str:
+    """Weighted means of the picture along a path; ``tap`` numbers its places; the result is named taken."""
+    return f""", pa0 AS (SELECT y, x, h, {weight} AS k, ({sx})::DOUBLE AS sx, ({sy})::DOUBLE AS sy FROM px, range(0, {taps}) t(tap)), pa1 AS (SELECT *, floor(sx - 0.5) AS x0, floor(sy - 0.5) AS y0 FROM pa0),
+ pa2 AS (SELECT pa1.y, pa1.x, k, CAST(least(greatest(x0 + i, 0), 99) AS INT) AS tx, CAST(least(greatest(y0 + j, 0), h - 1) AS INT) AS ty, k * CASE i WHEN 1 THEN sx - 0.5 - x0 ELSE 1 - (sx - 0.5 - x0) END * CASE j WHEN 1 THEN sy - 0.5 - y0 ELSE 1 - (sy - 0.5 - y0) END AS w FROM pa1, (VALUES (0), (1)) di(i), (VALUES (0), (1)) dj(j)),
+ taken AS (SELECT t.y, t.x, {', '.join(f'sum(p.{c} * t.w) / sum(t.w) AS {c}' for c in 'rgba')} FROM pa2 t JOIN px p ON p.y = t.ty AND p.x = t.tx GROUP BY t.y, t.x)"""
+
+
+_sb = path_sql(48, "x + 0.5 + (50.0 - x - 0.5) * (tap / 48.0 * 0.3)", "y + 0.5 + (0.3 * h - y - 0.5) * (tap / 48.0 * 0.3)", "1 - tap / 48.0")
+add("sun_beams", graph_query("filter.sun_beams"), sql_image("t.r", "t.g", "t.b", "px.a", source="px JOIN taken t USING (y, x)", ctes=_sb))
+_db = path_sql(6, f"x + 0.5 + {math.cos(math.radians(30.0)) * 6.0} * tap / 5.0", f"y + 0.5 + {math.sin(math.radians(30.0)) * 6.0} * tap / 5.0", "1.0")
+add("directional_blur", graph_query("filter.directional_blur", {"Distance": 6.0, "Angle": 30.0}), sql_image("r", "g", "b", source="taken", ctes=_db))
 
 
 # Reductions
@@ -555,7 +601,7 @@ add("picture_hash", reduced(reduce.picture_hash), f"{PX}, c AS (SELECT CAST(floo
 def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     image = events_image(spark, sf_dir)
     n = image.frame.w * image.frame.h
-    df = reduce.exact_ranks(image.frame.df, image.r, {f"p{p}": (lambda n, p=p: reduce.rank_of(p / 100, n)) for p in (0, 5, 50, 95, 100)}, n)
+    df = reduce.exact_ranks(image.frame.df, image.r, {f"p{p}": reduce.rank_of(p / 100) for p in (0, 5, 50, 95, 100)}, n)
     return df.select(*[F.round(c, 8).alias(c) for c in df.columns if c != "img"])
 
 
@@ -644,7 +690,7 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PHOTOS = """WITH photos AS (SELECT d.doc_id AS photo, 'IMG_' || lpad(CAST(d.doc_id AS VARCHAR), 6, '0') || '.jpg' AS name, d.source AS folder, CAST(coalesce(quality, 0) * 3 + d.doc_id % 3 AS INT) AS rating, CAST(coalesce(toxic, 0) * -2 + 1 AS INT) AS flag,
- CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END AS label, quality IS NOT NULL AS edited, lang AS title, substr(text, 1, 60) AS caption, source AS stack, n_chars AS position,
+ CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END AS label, quality IS NOT NULL AS edited, lang AS title, text AS caption, source AS stack, n_chars AS position,
  CASE WHEN d.doc_id % 7 <> 0 THEN '2024:0' || CAST(d.doc_id % 9 + 1 AS VARCHAR) || ':15 10:20:30' END AS capture_time FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) """
 for n, cond in {"picked": "flag = 1", "not rejected": "flag >= 0", "rejected": "flag = -1", "edited": "edited", "rating 3": "rating >= 3", "label 2": "label = 2", "all": "TRUE"}.items():
     add(f"photos_{n.replace(' ', '_')}", lambda s, d, n=n: library.passes(photos(s, d), n).select("photo", "rating"), f"{PHOTOS} SELECT photo, rating FROM photos WHERE {cond}")
@@ -655,11 +701,7 @@ add("photos_stacks", lambda s, d: library.collapsed(photos(s, d).withColumn("pos
 
 def _sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order as numbers: the rows' places."""
-    from pyspark.sql import Window
-
-    p = photos(spark, sf_dir)
-    missing = F.col("capture_time").isNull()
-    return p.select("photo", F.row_number().over(Window.orderBy(missing, F.col("capture_time").desc(), F.lower("name"), "copy")).alias("place"))
+    return library.numbered(photos(spark, sf_dir), library.photo_order("capture_time", descending=True)).select("photo", F.col("place").cast("int").alias("place"))
 
 
 add("photos_sorted", _sorted, f"{PHOTOS} SELECT photo, CAST(row_number() OVER (ORDER BY capture_time IS NULL, capture_time DESC, lower(name)) AS INT) AS place FROM photos")
@@ -673,7 +715,10 @@ def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("photos_collection", _collection, f"{PHOTOS} SELECT 'best' AS collection, photo FROM photos WHERE rating >= 4")
 add("photos_copies", lambda s, d: library.entries(photos(s, d), photos(s, d).where("rating = 5").select("photo", F.explode(F.array(F.lit(1), F.lit(2), F.lit(1))).alias("copy"))).select("photo", "copy"), f"{PHOTOS} SELECT photo, 0 AS copy FROM photos UNION ALL SELECT photo, unnest([1, 2]) AS copy FROM photos WHERE rating = 5")
 add("photos_names", lambda s, d: library.unique_names(photos(s, d).select("photo", library.file_name("{folder}_{date}_{camera}").alias("file")), "file", "photo"), f"{PHOTOS}, f AS (SELECT photo, folder || '_' || coalesce('2024-0' || CAST(photo % 9 + 1 AS VARCHAR) || '-15', '') || '_Cam_1' AS file0, capture_time FROM photos), g AS (SELECT photo, CASE WHEN capture_time IS NULL THEN regexp_replace(file0, '_2024-0[0-9]-15_', '__') ELSE file0 END AS file FROM f), n AS (SELECT *, row_number() OVER (PARTITION BY lower(file) ORDER BY photo) AS k FROM g) SELECT photo, CASE k WHEN 1 THEN file ELSE file || ' (' || k || ')' END AS file FROM n")
-add("photos_xmp", lambda s, d: photos(s, d).select("photo", library.xmp_packet().alias("xmp")))
+_esc = lambda c: f"replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')"
+_alt = lambda tag, c: f"CASE WHEN {c} <> '' THEN '<dc:{tag}><rdf:Alt><rdf:li xml:lang=\"x-default\">' || {_esc(c)} || '</rdf:li></rdf:Alt></dc:{tag}>' ELSE '' END"
+_li = lambda c: f"CASE WHEN {c} IS NULL THEN '' ELSE '<rdf:li>' || {_esc(c)} || '</rdf:li>' END"
+add("photos_xmp", lambda s, d: photos(s, d).select("photo", library.xmp_packet().alias("xmp")), f"{PHOTOS} SELECT photo, '<rdf:Description xmp:Rating=\"' || CASE WHEN flag = -1 THEN '-1' ELSE CAST(rating AS VARCHAR) END || '\" xmp:Label=\"' || ['Red', 'Yellow', 'Green', 'Blue'][label] || '\">' || {_alt('title', 'title')} || {_alt('description', 'caption')} || '<dc:subject><rdf:Bag>' || {_li('stack')} || {_li('title')} || '</rdf:Bag></dc:subject></rdf:Description>' AS xmp FROM photos")
 
 
 def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -684,7 +729,21 @@ def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("photos_duplicates", _duplicates, "SELECT doc_id AS idx, min(doc_id) OVER (PARTITION BY text) AS group_id FROM documents QUALIFY count(*) OVER (PARTITION BY text) > 1")
-add("file_hash", lambda s, d: s.read.parquet(f"{d}/benchmark.parquet").select("item_id", reduce.file_hash(F.encode("text", "utf-8")).alias("hash")))
+
+
+def _alike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors as pictures: a hash of the signs of 24 components, and the same the other way round as a turn."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding is not null")
+    sign = lambda i, at: F.when(F.get("embedding", i) > 0, F.lit(1 << (2 * at + 3))).otherwise(F.lit(0)).cast("long")
+    own, turned = (sum((sign(i, at(i)) for i in range(1, 24)), sign(0, at(0))) for at in (lambda i: i, lambda i: 23 - i))
+    return library.duplicate_pairs(e.select(F.col("vec_id").alias("idx"), F.lit(0).cast("long").alias("file_hash"), own.alias("picture_hash"), F.lit(1.0).alias("aspect"), F.array(F.lit(0).cast("long"), turned).alias("rotated")))
+
+
+_bits = lambda at: " + ".join(f"CASE WHEN embedding[{i + 1}] > 0 THEN {1 << (2 * at(i) + 3)} ELSE 0 END" for i in range(24))
+add("photos_alike", _alike, f"""WITH h AS (SELECT vec_id AS idx, CAST({_bits(lambda i: i)} AS BIGINT) AS p, CAST({_bits(lambda i: 23 - i)} AS BIGINT) AS q FROM embeddings WHERE embedding IS NOT NULL),
+lone AS (SELECT p, q, min(idx) AS idx FROM h WHERE p <> 0 GROUP BY p, q), near AS (SELECT least(i.idx, j.idx) AS a, greatest(i.idx, j.idx) AS b FROM lone i JOIN lone j ON i.idx <> j.idx AND (bit_count(xor(i.p, j.p)) <= 4 OR (j.q <> 0 AND bit_count(xor(i.p, j.q)) <= 4)))
+SELECT a, b FROM near UNION SELECT lone.idx AS a, h.idx AS b FROM h JOIN lone ON h.p = lone.p AND h.idx <> lone.idx""")
+add("file_hash", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", reduce.file_hash(F.encode("text", "utf-8")).alias("hash")))
 
 
 # Development

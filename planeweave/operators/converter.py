@@ -120,19 +120,22 @@ def _names(call: Call) -> dict:
     frame, image = call.frame, call.image()
     rgba = [*image.rgb, image.alpha] if image else [F.lit(0.0)] * 3 + [F.lit(1.0)]
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
-    ins = {n.lower().replace(" ", ""): call.plane(n, 0.0) for n in ("In 1", "In 2")}
+    ins = {n.lower(): call.driven(n) for n in ("In1", "In2")}
     return dict(zip("rgba", rgba, strict=True)) | ins | {"x": x, "y": y, "u": (x + 0.5) / frame.w, "v": (y + 0.5) / frame.h, "w": F.lit(float(frame.w)), "h": F.lit(float(frame.h))}
 
 
-@operator("conv.expression", "Image image, In 1 plane, In 2 plane", "Value plane", text("Expression", "r"))
+INS = "Image image, In1 plane = In1, In2 plane = In2"
+
+
+@operator("conv.expression", INS, "Value plane", text("Expression", "(r + g + b) / 3"), free("In1", 0), free("In2", 0))
 def expression(call: Call):
     return call.frame.plane(compile_text(call["Expression"], _names(call)))
 
 
-@operator("conv.image_expression", "Image image, In 1 plane, In 2 plane", "Image image", text("Red", "r"), text("Green", "g"), text("Blue", "b"))
+@operator("conv.image_expression", INS, "Image image", text("R", "r"), text("G", "g"), text("B", "b"), free("In1", 0), free("In2", 0))
 def image_expression(call: Call):
     names = _names(call)
-    return call.frame.image(*(compile_text(call[c], names) for c in ("Red", "Green", "Blue")), names["a"])
+    return call.frame.image(*(compile_text(call[c], names) for c in "RGB"), names["a"])
 
 
 @operator("conv.normalize", "Value plane", "Value plane", number("Low %", 0, 0, 100), number("High %", 100, 0, 100), reach=lambda call: None)
@@ -146,10 +149,9 @@ def normalize(call: Call):
     frame = value.frame
     plane = frame.plane(as_column(value, frame))
     lo, hi = sorted((call["Low %"], call["High %"]))
-    stats = exact_ranks(frame.df, plane.v, {"lo": lambda n: rank_of(lo / 100, n), "hi": lambda n: rank_of(hi / 100, n)}, frame.w * frame.h)
+    stats = exact_ranks(frame.df, plane.v, {"lo": rank_of(lo / 100), "hi": rank_of(hi / 100)}, frame.w * frame.h)
     keys = {c: frame.name() for c in ("img", "lo", "hi")}
-    # One row per image.
-    frame.df = frame.df.join(F.broadcast(stats.select(*[F.col(c).alias(n) for c, n in keys.items()])), F.col("img") == F.col(keys["img"])).drop(keys["img"])
+    frame.df = frame.df.join(stats.select(*[F.col(c).alias(n) for c, n in keys.items()]), F.col("img") == F.col(keys["img"])).drop(keys["img"])
     return frame.plane((F.col(plane.v) - F.col(keys["lo"])) / F.greatest(F.col(keys["hi"]) - F.col(keys["lo"]), F.lit(1e-9)))
 
 

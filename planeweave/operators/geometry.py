@@ -12,17 +12,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from planeweave.functions import maths as m
-from planeweave.plans.registry import Call, choice, flag, free, number, operator
+from planeweave.plans.registry import Call, choice, colour, flag, free, number, operator
 from planeweave.plans.values import Frame, Image
 
-from .stencil import columns_window, rows_window, shifted
+from .stencil import down, rows_window, shifted
 
 
 def sample(source: Image, frame: Frame, sx: Column, sy: Column, clear: bool = False) -> list[str]:
     """Bilinear values of ``source`` at (sx, sy), pixel centres at .5; outside transparent or the edge."""
     home, w, h = source.frame, source.frame.w, source.frame.h
     across = home.add(*(shifted(F.col(n), 1, rows_window()) for n in source.names))
-    below = home.add(*(shifted(F.col(n), 1, columns_window()) for n in [*source.names, *across]))
+    with down(home, 1) as window:
+        below = home.add(*(shifted(F.col(n), 1, window) for n in [*source.names, *across]))
     kept = [*source.names, *across, *below]
     key = {k: frame.name() for k in ("img", "y", "x")}
     own = [frame.name() for _ in kept]
@@ -225,36 +226,65 @@ def corner_pin(call: Call):
     return frame.image(*(F.when(inside, F.col(n)).otherwise(0.0) for n in taken))
 
 
-@operator("xform.border", "Image image", "Image image", number("Left", 0, 0, 500), number("Right", 0, 0, 500), number("Top", 0, 0, 500), number("Bottom", 0, 0, 500), reach=lambda call: None)
+#: Aspects of a border's canvas; the first keeps the image's.
+ASPECTS = {"Image": None, "1:1": 1.0, "4:5": 4 / 5, "5:4": 5 / 4, "2:3": 2 / 3, "3:2": 3 / 2, "16:9": 16 / 9, "9:16": 9 / 16}
+
+
+def rounded(v: float) -> int:
+    """Nearest whole number, halves away from 0."""
+    return int(math.copysign(math.floor(abs(v) + 0.5), v))
+
+
+def canvas_of(w: int, h: int, size: float, bottom: float, aspect: float | None) -> tuple[int, int, int, int]:
+    """Width and height of a border's canvas, and where the image stands in it; sizes in percent of the long edge.
+
+    An aspect lets the canvas grow in one direction, the image staying in its middle.
+    """
+    side, below = (rounded(p / 100 * max(w, h)) for p in (size, bottom))
+    wide, high, left, top = w + 2 * side, h + 2 * side + below, side, side
+    if aspect:
+        grown = (rounded(high * aspect), high) if wide / high < aspect else (wide, rounded(wide / aspect))
+        left, top = left + (grown[0] - wide) // 2, top + (grown[1] - high) // 2
+        wide, high = grown
+    return min(wide, 65536), min(high, 65536), left, top
+
+
+@operator(
+    "xform.border", "Image image", "Image image", number("Size", 4, 0, 25), number("Bottom", 0, 0, 25), choice("Aspect", "|".join(ASPECTS)), colour("Color", 1, 1, 1), number("Line Size", 0, 0, 2), colour("Line Color", 0, 0, 0),
+    reach=lambda call: None,
+)
 def border(call: Call):
-    """A wider white canvas; the image's rows keep their place in it."""
+    """The image on a wider opaque canvas, its colour showing through, a line around the image if wanted."""
     image = call.image()
-    old, (l, r, t, b) = image.frame, (round(call[n]) for n in ("Left", "Right", "Top", "Bottom"))
-    w, h = old.w + l + r, old.h + t + b
+    old = image.frame
+    w, h, left, top = canvas_of(old.w, old.h, call["Size"], call["Bottom"], list(ASPECTS.values())[call["Aspect"]])
+    line = rounded(call["Line Size"] / 100 * max(old.w, old.h))
     grid = old.df.select("img").distinct().select("img", F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("y")).select("img", "y", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("x"))
-    inner = old.df.select(F.col("img").alias("i"), (F.col("y") + t).alias("j"), (F.col("x") + l).alias("k"), *[F.col(n).alias(f"s{c}") for c, n in enumerate(image.names)])
+    inner = old.df.select(F.col("img").alias("i"), (F.col("y") + top).alias("j"), (F.col("x") + left).alias("k"), *[F.col(n).alias(f"s{c}") for c, n in enumerate(image.names)])
     frame = Frame(grid.join(inner, (F.col("img") == F.col("i")) & (F.col("y") == F.col("j")) & (F.col("x") == F.col("k")), "left").drop("i", "j", "k"), w, h)
-    return frame.image(*(F.coalesce(F.col(f"s{c}"), F.lit(1.0)) for c in range(4)))
+    near = F.col("x").between(left - line, left + old.w + line - 1) & F.col("y").between(top - line, top + old.h + line - 1) & F.lit(line > 0)
+    shown = [F.coalesce(F.col(f"s{c}") * F.col("s3") + paper * (1.0 - F.col("s3")), F.when(near, float(ink)).otherwise(float(paper))) for c, (paper, ink) in enumerate(zip(call["Color"][:3], call["Line Color"][:3], strict=True))]
+    return frame.image(*shown, 1.0)
 
 
-@operator("filter.sun_beams", "Image image", "Image image", number("Source X", 0.5, -1, 2), number("Source Y", 0.2, -1, 2), number("Length", 0.3, 0, 1), reach=lambda call: None)
+@operator("filter.sun_beams", "Image image", "Image image", number("Source X", 0.5, 0, 1), number("Source Y", 0.3, 0, 1), number("Length", 0.3, 0, 1), reach=lambda call: None)
 def sun_beams(call: Call):
-    """Light smeared away from a point: taps toward it, weighted less the farther they are."""
+    """Light smeared away from a point: taps toward it, weighted less the farther they are; alpha stays."""
     image = call.image()
     frame, taps = image.frame, 48
     px, py = F.col("x") + 0.5, F.col("y") + 0.5
-    rows = frame.df.select("img", "y", "x", F.explode(F.sequence(F.lit(0), F.lit(taps - 1))).alias("tap"))
+    rows = frame.df.select("img", "y", "x", F.col(image.a).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(taps - 1))).alias("tap"))
     path = Frame(rows, frame.w, frame.h)
     along = F.col("tap") / taps * call["Length"]
     taken = sample(image, path, px + (call["Source X"] * frame.w - px) * along, py + (call["Source Y"] * frame.h - py) * along)
     weight = 1.0 - F.col("tap") / taps
-    summed = path.df.groupBy("img", "y", "x").agg(*[(F.sum(F.col(n) * weight) / F.sum(weight)).alias(f"s{k}") for k, n in enumerate(taken)])
-    out = Frame(summed, frame.w, frame.h)
+    means = [(F.sum(F.col(n) * weight) / F.sum(weight)).alias(f"s{k}") for k, n in enumerate(taken[:3])]
+    out = Frame(path.df.groupBy("img", "y", "x").agg(*means, F.max("own").alias("s3")), frame.w, frame.h)
     return out.image(*(F.col(f"s{k}") for k in range(4)))
 
 
 @operator(
-    "filter.directional_blur", "Image image", "Image image", number("Distance", 20, 0, 400), number("Angle", 0, -180, 180), number("Spin", 0, -180, 180), number("Zoom", 0, 0, 0.99), number("Center X", 0.5, 0, 1),
+    "filter.directional_blur", "Image image", "Image image", number("Distance", 30, 0, 400), number("Angle", 0, -180, 180), number("Spin", 0, -90, 90), number("Zoom", 0, 0, 1), number("Center X", 0.5, 0, 1),
     number("Center Y", 0.5, 0, 1), reach=lambda call: None,
 )
 def directional_blur(call: Call):

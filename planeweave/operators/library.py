@@ -42,13 +42,28 @@ def remove_keyword(keywords: Column, word: str) -> Column:
     return F.filter(keywords, lambda k: F.lower(k) != word.lower())
 
 
-def sorted_photos(photos: DataFrame, key: str, descending: bool = False) -> DataFrame:
+def photo_order(key: str, descending: bool = False) -> list[Column]:
     """By a key; missing values last either way, ties by lower-cased name, then copy."""
     name, copy = F.lower("name"), F.col("copy")
     if key == "name":
-        return photos.orderBy(name.desc() if descending else name.asc(), copy.asc())
+        return [name.desc() if descending else name.asc(), copy.asc()]
     missing = F.col(key).isNull() | (F.col(key).cast("string") == "")
-    return photos.orderBy(missing, F.col(key).desc() if descending else F.col(key).asc(), name.asc(), copy.asc())
+    return [missing.asc(), F.col(key).desc() if descending else F.col(key).asc(), name.asc(), copy.asc()]
+
+
+def sorted_photos(photos: DataFrame, key: str, descending: bool = False) -> DataFrame:
+    return photos.orderBy(*photo_order(key, descending))
+
+
+def numbered(photos: DataFrame, order: list[Column]) -> DataFrame:
+    """``photos`` with their 1-based place in an order; ranges are numbered apart and moved by the rows before them."""
+    parts = int(photos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = _checkpointed(photos.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()))
+    # One row a range.
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select(F.col("range").alias("b_range"), (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return ranged.withColumn("nth", inside).join(F.broadcast(before), F.col("range") == F.col("b_range")).withColumn("place", F.col("before") + F.col("nth")).drop("range", "b_range", "before", "nth")
 
 
 def collapsed(photos: DataFrame, order: str = "position", opened: tuple[str, ...] = ()) -> DataFrame:
@@ -72,10 +87,13 @@ def add_to_collection(members: DataFrame, new: DataFrame) -> tuple[DataFrame, Da
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared folder; one of our own only where none is set."""
+    """Lineage cut in the session's shared folder; one of our own only in local mode without one."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="planeweave-"))
+        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="planeweave-"))
     return df.checkpoint()
 
 
@@ -106,21 +124,19 @@ def duplicate_pairs(hashes: DataFrame, bits: int = 4, aspect: float = 0.02) -> D
     return same.union(near.select(F.least("i", "j"), F.greatest("i", "j"))).distinct()
 
 
-def grouped(pairs: DataFrame, rounds: int = 50) -> DataFrame:
-    """(idx, group_id): group_id is the smallest index that can be reached; labels hop over labels."""
+def grouped(pairs: DataFrame) -> DataFrame:
+    """(idx, group_id): group_id is the smallest index that can be reached; labels hop over labels until none moves."""
     edges = _checkpointed(pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).distinct())
     labels = _checkpointed(edges.groupBy(F.col("a").alias("idx")).agg(F.least("idx", F.min("b")).alias("group_id")))
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels, edges["b"] == labels["idx"]).groupBy(F.col("a").alias("n")).agg(F.min("group_id").alias("m"))
         moved = labels.join(near, F.col("idx") == F.col("n")).select("idx", F.least("group_id", "m").alias("g"))
         hop = moved.select(F.col("idx").alias("h"), F.col("g").alias("hg"))
         new = _checkpointed(moved.join(hop, F.col("g") == F.col("h")).select("idx", F.least("g", "hg").alias("group_id")))
         changed = new.withColumnRenamed("group_id", "now").join(labels, "idx").where(F.col("now") != F.col("group_id"))
-        done = changed.isEmpty()
         labels = new
-        if done:
-            break
-    return labels
+        if changed.isEmpty():
+            return labels
 
 
 def file_name(template: str) -> Column:

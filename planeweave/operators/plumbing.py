@@ -29,7 +29,7 @@ def output(call: Call):
     return call.image()
 
 
-@operator("io.number", "", "Value number", number("Value", 0.5, -10, 10))
+@operator("io.number", "", "Value number", number("Value", 1, -10, 10))
 def constant(call: Call):
     return Number(call["Value"])
 
@@ -89,7 +89,7 @@ split("color.split_ycbcr", "Y Cb Cr", m.rgb_to_ycbcr)
 split("color.split_yuv", "Y U V", m.rgb_to_yuv)
 split("color.split_hsl", "H S L", m.rgb_to_hsl)
 combine("color.combine_rgb", [(n, 0.0, *UNIT) for n in "RGB"], None, False)
-combine("color.combine_hsv", [("H", 0.0, *UNIT), ("S", 0.0, *UNIT), ("V", 0.5, *UNIT)], m.hsv_to_rgb, True)
+combine("color.combine_hsv", [("H", 0.0, *UNIT), ("S", 0.0, *UNIT), ("V", 0.0, *UNIT)], m.hsv_to_rgb, True)
 combine("color.combine_lab", [("L", 0.5, *UNIT), ("a", 0.0, -1.0, 1.0), ("b", 0.0, -1.0, 1.0)], m.lab_to_rgb, True)
 combine("color.combine_ycbcr", [("Y", 0.5, *UNIT), ("Cb", 0.5, *UNIT), ("Cr", 0.5, *UNIT)], m.ycbcr_to_rgb, True)
 combine("color.combine_yuv", [("Y", 0.5, *UNIT), ("U", 0.0, -0.5, 0.5), ("V", 0.0, -0.7, 0.7)], m.yuv_to_rgb, True)

@@ -12,34 +12,40 @@ from pyspark.sql import functions as F
 from planeweave.functions.maths import clamp01, luma
 from planeweave.plans.values import Frame, Image
 
-#: Buckets of the first pass of a rank selection.
-BUCKETS = 4096
+#: How far around a rank values are looked at: a share of all values on either side.
+NEAR = 0.001
 
 
-def rank_of(share: float, n: int) -> int:
-    """0-based rank of a percentile: nearest, half up."""
-    return int(min(max(share, 0.0), 1.0) * (n - 1) + 0.5)
+def rank_of(share: float) -> tuple[float, Callable[[Column], Column]]:
+    """A percentile's place among n values (nearest, half up): its share and the 0-based rank by n."""
+    held = min(max(share, 0.0), 1.0)
+    return held, lambda n: F.floor(held * (n - 1) + 0.5)
 
 
-def exact_ranks(df: DataFrame, column: str, ranks: dict[str, Callable[[int], int]], n: int) -> DataFrame:
-    """(img, one column per name): the value at each 0-based rank of every image's ``n`` values.
+def top_rank(part: int) -> tuple[float, Callable[[Column], Column]]:
+    """The place above which one in ``part`` values lie, at least one."""
+    return 1.0 - 1.0 / part, lambda n: n - F.greatest(F.lit(1), F.floor(n / part))
 
-    A histogram finds the bucket that holds each rank; only that bucket's rows are ordered.
+
+def exact_ranks(df: DataFrame, column: str, ranks: dict[str, tuple[float, Callable[[Column], Column]]], about: int) -> DataFrame:
+    """(img, one column per name): the value at each 0-based rank of every image's values; nulls don't count.
+
+    Approximate percentiles bracket each rank; a second pass counts what lies below a bracket and orders
+    only the distinct values in it, about two thousandths of all (``about`` of them are expected).
     """
-    value = df.select("img", F.col(column).alias("v"))
-    ends = value.groupBy("img").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).withColumnRenamed("img", "e_img")
-    width = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))
-    bucket = F.least(F.floor((F.col("v") - F.col("lo")) / width * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
-    dealt = value.join(F.broadcast(ends), F.col("img") == F.col("e_img")).select("img", "v", bucket.alias("b"))
-    counts = dealt.groupBy("img", "b").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("img").orderBy("b"))
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(rank(n)).cast("long").alias("rank")) for name, rank in ranks.items()])
-    held = counts.withColumn("upto", upto).select("img", "b", (F.col("upto") - F.col("n")).alias("before"), "upto", F.inline(wanted))
-    held = held.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto"))).select(F.col("img").alias("h_img"), F.col("b").alias("h_b"), "name", (F.col("rank") - F.col("before") + 1).alias("nth"))
-    inside = dealt.join(F.broadcast(held), (F.col("img") == F.col("h_img")) & (F.col("b") == F.col("h_b")))
-    at = F.row_number().over(Window.partitionBy("img", "name").orderBy("v"))
-    found = inside.withColumn("at", at).where(F.col("at") == F.col("nth"))
-    return found.groupBy("img").agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ranks])
+    value = df.select("img", F.col(column).alias("v")).where("v is not null")
+    near = NEAR + 8.0 / max(about, 1)
+    names = list(ranks)
+    ends = [min(max(share + way * near, 0.0), 1.0) for share, _ in ranks.values() for way in (-1, 1)]
+    bracket = value.groupBy("img").agg(F.percentile_approx("v", F.array(*map(F.lit, ends)), 20_000).alias("at"), F.count("*").alias("n"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("name"), F.col("at")[2 * i].alias("lo"), F.col("at")[2 * i + 1].alias("hi"), ranks[k][1](F.col("n")).cast("long").alias("rank")) for i, k in enumerate(names)])
+    bracket = bracket.select(F.col("img").alias("b_img"), wanted.alias("wanted"))
+    told = value.join(bracket, F.col("img") == F.col("b_img")).select("img", "v", F.inline("wanted")).where(F.col("v") <= F.col("hi"))
+    # What lies below a bracket is one value for the counts.
+    inside = told.groupBy("img", "name", "rank", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("img", "name").orderBy(F.col("v").asc_nulls_first()))
+    found = inside.withColumn("upto", upto).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    return found.groupBy("img").agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in names])
 
 
 def histogram(image: Image) -> DataFrame:
@@ -65,9 +71,8 @@ def airlight(image: Image) -> DataFrame:
     """Mean colour of the pixels whose least channel is among the top thousandth."""
     frame = image.frame
     (dark,) = frame.add(F.least(*map(clamp01, image.rgb)))
-    n = frame.w * frame.h
-    least = exact_ranks(frame.df, dark, {"least": lambda n: n - max(1, n // 1000)}, n).withColumnRenamed("img", "l_img")
-    bright = frame.df.join(F.broadcast(least), F.col("img") == F.col("l_img")).where(F.col(dark) >= F.col("least"))
+    least = exact_ranks(frame.df, dark, {"least": top_rank(1000)}, frame.w * frame.h).withColumnRenamed("img", "l_img")
+    bright = frame.df.join(least, F.col("img") == F.col("l_img")).where(F.col(dark) >= F.col("least"))
     return bright.groupBy("img").agg(*[F.avg(clamp01(c)).alias(a) for c, a in zip(image.rgb, "rgb", strict=True)])
 
 
@@ -90,16 +95,47 @@ def shrunk(image: Image, longest: int) -> Image:
     return frame.image(*(F.col(f"s{k}") for k in range(4)))
 
 
+#: Fixed values of file hashes: where they start, and their factor.
+HASH_START, HASH_FACTOR = 1469598103934665603, 1099511628211
+
+
+def folded(raw: bytes) -> int:
+    """The file hash of a file's bytes: each is mixed in, the length last; 0 becomes 1."""
+    h = HASH_START
+    for b in (*raw, len(raw)):
+        h = (h ^ b) * HASH_FACTOR & 0xFFFFFFFFFFFFFFFF
+    return h or 1
+
+
 def file_hash(content: Column) -> Column:
-    """FNV-1a over the bytes of a file, as a signed 64-bit value; 0 becomes 1."""
+    """``folded`` of every file, as a signed 64-bit value; step by step over all files of a batch at once."""
+
     @F.pandas_udf("long")
     def fold(files: pd.Series) -> pd.Series:
-        out = []
-        for raw in files:
-            h = 0xCBF29CE484222325
-            for b in bytes(raw or b""):
-                h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-            out.append(h or 1)
-        return pd.Series(np.array(out, dtype=np.uint64).view(np.int64))
+        raws = [bytes(x or b"") for x in files]
+        order = np.argsort([-len(x) for x in raws], kind="stable")
+        lengths = np.array([len(raws[k]) for k in order], dtype=np.uint64)
+        h = np.full(len(raws), HASH_START, dtype=np.uint64)
+        cells = np.frombuffer(b"".join(raws[k] for k in order), np.uint8)
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+        factor = np.uint64(HASH_FACTOR)
+        with np.errstate(over="ignore"):
+            # Files that are long enough come first, so each step is one slice.
+            longer = len(raws) - np.searchsorted(lengths[::-1], np.arange(int(lengths.max(initial=0))), side="right")
+            for at, n in enumerate(longer.tolist()):
+                if n == 1:
+                    break
+                h[:n] = (h[:n] ^ cells[starts[:n] + at]) * factor
+            else:
+                at = len(longer)
+            if len(raws):
+                one = int(h[0])
+                for b in raws[order[0]][at:]:
+                    one = (one ^ b) * HASH_FACTOR & 0xFFFFFFFFFFFFFFFF
+                h[0] = np.uint64(one)
+            h = (h ^ lengths) * factor
+        out = np.empty_like(h)
+        out[order] = np.where(h == 0, np.uint64(1), h)
+        return pd.Series(out.view(np.int64))
 
     return fold(content)

@@ -196,7 +196,7 @@ def _hdr(call: Call):
     weights = call.keep(*weights)
     total = sum(weights[1:], weights[0])
     merged = [sum((rgb[c] * s * w for rgb, s, w in zip(light, scale, weights, strict=True)), F.lit(0.0)) / total for c in range(3)]
-    return frame.image(*(m.biggest(c, 0.0) if call.linear else m.to_srgb(m.biggest(c, 0.0)) for c in merged), 1.0)
+    return frame.image(*(m.biggest(c, 0.0) if call.linear else m.to_srgb(m.biggest(c, 0.0)) for c in merged), F.element_at(F.array(*(i.alpha for i in images)), F.col(mid) + 1))
 
 
 REGISTRY["math.hdr_merge"] = Spec("math.hdr_merge", tuple(Pin(f"Image {k}", "image") for k in range(1, FRAMES + 1)), (Pin("Image", "image"),), (), _hdr, lambda call: None)
