@@ -366,7 +366,21 @@ add("chroma_key", graph_query("matte.chroma_key"), sql_plane(c01(f"CASE WHEN {_m
 add("color_spill", graph_query("matte.color_spill", {"Ratio": ODD}, {"Image": "image", "Factor": "r"}), sql_image("r", f"g - greatest(0.0, g - (b + r) / 2 * {ODD}) * {c01('r')}", "b"))
 _ok = f", l0 AS (SELECT y, x, {', '.join(f'{lin(f'greatest({c}, 0.0)')} AS {c}' for c in 'rgb')} FROM px), cones AS (SELECT y, x, cbrt(0.4122214708 * r + 0.5363325363 * g + 0.0514459929 * b) AS l_, cbrt(0.2119034982 * r + 0.6806995451 * g + 0.1073969566 * b) AS m_, cbrt(0.0883024619 * r + 0.2817188376 * g + 0.6299787005 * b) AS s_ FROM l0), ok AS (SELECT y, x, 0.2104542553 * l_ + 0.7936177850 * m_ - 0.0040720468 * s_ AS ll FROM cones)"
 add("range_mask", graph_query("matte.range_mask", {"Low": 0.4, "High": 0.7, "Smoothness": 0.4}), sql_plane(f"{sm(0.4 - 0.1001, 0.4, 'll')} * (1 - {sm(0.7, 0.7 + 0.1001, 'll')})", source="ok", ctes=_ok))
-add("range_mask_color", graph_query("matte.range_mask", {"Mode": "Color", "Color": [0.6, 0.4, 0.3]}))
+_cone = lambda k: " + ".join(f"{w} * {lin(f'greatest({c}, 0.0)')}" for w, c in zip(k, "rgb", strict=True))
+_root = lambda k: " + ".join(f"({w}) * k{i}" for i, w in enumerate(k))
+OKLAB_IN = ((0.4122214708, 0.5363325363, 0.0514459929), (0.2119034982, 0.6806995451, 0.1073969566), (0.0883024619, 0.2817188376, 0.6299787005))
+OKLAB_OUT = ((0.2104542553, 0.7936177850, -0.0040720468), (1.9779984951, -2.4285922050, 0.4505937099), (0.0259040371, 0.7827717662, -0.8086757660))
+_oklab = ", ok0 AS (SELECT y, x, h, " + ", ".join(f"cbrt({_cone(k)}) AS k{i}" for i, k in enumerate(OKLAB_IN)) + " FROM px), ok AS (SELECT y, x, h, " + ", ".join(f"{_root(k)} AS {n}" for n, k in zip(("l_", "a_", "b_"), OKLAB_OUT, strict=True)) + " FROM ok0)"
+
+
+def _oklab_of(rgb: list[float]) -> list[float]:
+    light = [((c + 0.055) / 1.055) ** 2.4 for c in rgb]
+    roots = [sum(w * v for w, v in zip(k, light, strict=True)) ** (1 / 3) for k in OKLAB_IN]
+    return [sum(w * v for w, v in zip(k, roots, strict=True)) for k in OKLAB_OUT]
+
+
+_tl, _ta, _tb = _oklab_of([0.6, 0.4, 0.3])
+add("range_mask_color", graph_query("matte.range_mask", {"Mode": "Color", "Color": [0.6, 0.4, 0.3]}), sql_plane(f"1 - {sm(0.0675, 0.135, f'sqrt(pow((l_ - {_tl}) * 0.5, 2) + pow(a_ - ({_ta}), 2) + pow(b_ - ({_tb}), 2))')}", source="ok", ctes=_oklab))
 _seed = lambda cond, name: f"{name} AS (SELECT y, x FROM px WHERE {cond})"
 _dist = lambda name: f"coalesce((SELECT sqrt(min((s.x - px.x) * (s.x - px.x) + (s.y - px.y) * (s.y - px.y))) FROM {name} s), 1e6)"
 _de = """, e AS (SELECT y, x, r >= 0.3 AS i, g < 0.5 AS o FROM px), d AS (SELECT p.y, p.x, any_value(p.i) AS i, any_value(p.o) AS o, coalesce(min(sqrt(pow(p.x - s.x, 2) + pow(p.y - s.y, 2))) FILTER (s.i), 1e6) AS di, coalesce(min(sqrt(pow(p.x - s.x, 2) + pow(p.y - s.y, 2))) FILTER (s.o), 1e6) AS dn FROM e p, e s GROUP BY p.y, p.x)"""
@@ -526,7 +540,10 @@ _crop = "x >= 10 AND x < 60 AND y >= CAST(floor(0.2 * h) AS INT) AND y < CAST(fl
 CROP = {"Left": 0.1, "Right": 0.6, "Top": 0.2, "Bottom": 0.7}
 add("crop", graph_query("xform.crop", CROP), sql_image("r", "g", "b", source="cropped", ctes=f", cropped AS (SELECT CAST(y - floor(0.2 * h) AS INT) AS y, CAST(x - 10 AS INT) AS x, r, g, b, a FROM px WHERE {_crop})"))
 add("crop_blank", graph_query("xform.crop", CROP | {"Resize Image": False}), sql_image(*(f"CASE WHEN {_crop} THEN {c} ELSE 0 END" for c in "rgba")))
-add("crop_straightened", graph_query("xform.crop", {"Angle": 7.0}))
+_c7, _s7 = math.cos(math.radians(7.0)), math.sin(math.radians(7.0))
+_cover = f"greatest((100 * {_c7} + h * {_s7}) / 100, (100 * {_s7} + h * {_c7}) / h)"
+_x7, _y7 = "(x + 0.5 - 50.0)", "(y + 0.5 - h / 2.0)"
+add("crop_straightened", graph_query("xform.crop", {"Angle": 7.0}), sql_image("r", "g", "b", source="taken", ctes=gather_sql(f"({_x7} * {_c7} + {_y7} * {_s7}) / {_cover} + 50.0", f"({_y7} * {_c7} - {_x7} * {_s7}) / {_cover} + h / 2.0", True)))
 add("displace", graph_query("xform.displace", {"Strength X": 6.0, "Strength Y": -4.0}, {"Image": "image", "X": "r", "Y": "g"}), sql_image("r", "g", "b", source="taken", ctes=gather_sql("x + 0.5 + (r - 0.5) * 12", "y + 0.5 + (g - 0.5) * (-8)", False)))
 add("map_uv", graph_query("xform.map_uv", {}, {"Image": "image", "UV": "swap"}), sql_image("r", "g", "b", source="taken", ctes=gather_sql("g * 100", "b * h", True)))
 PIN = {"Upper Left X": 0.1, "Upper Left Y": 0.05, "Lower Right X": 0.9, "Lower Left Y": 0.95}
@@ -553,7 +570,16 @@ _fit = f"(1 / (1 + 0.1 * (2500 + h * h / 4.0) / ({_half} * {_half})))"
 _bend = f"({_fit} * (1 + 0.1 * {_q2} * {_fit} * {_fit}))"
 add("lens_distortion", graph_query("xform.lens_distortion", {"Dispersion": 0.0}), sql_image("t.r", "t.g", "t.b", "px.a", source="px JOIN taken t USING (y, x)", ctes=gather_sql(f"{_ld} * {_bend} + 50", f"(y + 0.5 - h / 2.0) * {_bend} + h / 2.0", True)))
 _r2 = f"(({_ld} * {_ld} + (y + 0.5 - h / 2.0) * (y + 0.5 - h / 2.0)) / (2500 + h * h / 4.0))"
-add("lens_correction", graph_query("xform.lens_correction", {"Distortion": 40.0, "Vignetting": 30.0, "Red / Cyan": 50.0}))
+
+
+def per_channel(bend: str, red: float, clear: bool) -> str:
+    """Two gathers along the radius: red by a scale of its own, the rest by 1; the result is named bent."""
+    at = lambda k: gather_sql(f"{_ld} * ({bend}) * {k} + 50.0", f"(y + 0.5 - h / 2.0) * ({bend}) * {k} + h / 2.0", clear)
+    first = re.sub(r"\b(at0|at1|taps|taken)\b", r"\1r", at(red))
+    return first + at(1.0) + ", bent AS (SELECT t.y, t.x, t.h, f.r, t.g, t.b, t.a FROM taken t JOIN takenr f ON t.y = f.y AND t.x = f.x)"
+
+
+add("lens_correction", graph_query("xform.lens_correction", {"Distortion": 40.0, "Vignetting": 30.0, "Red / Cyan": 50.0}), sql_image(*(c01(srgb(f"{lin(c01(c))} * pow(2, 0.45 * pow(least({_r2}, 1.0), 1.75))")) for c in "rgb"), source="bent", ctes=per_channel(f"1 - 0.1 * {_r2}", 1.0025, False)))
 add("lens_vignetting", graph_query("xform.lens_correction", {"Vignetting": 30.0}), sql_each(lambda c: c01(srgb(f"{lin(c01(c))} * pow(2, 0.45 * pow(least({_r2}, 1.0), 1.75))"))))
 BORDER = {"Size": 3.0, "Bottom": 2.0, "Color": [0.9, 0.8, 0.7], "Line Size": 1.0, "Line Color": [0.1, 0.2, 0.3]}
 
@@ -743,7 +769,8 @@ _bits = lambda at: " + ".join(f"CASE WHEN embedding[{i + 1}] > 0 THEN {1 << (2 *
 add("photos_alike", _alike, f"""WITH h AS (SELECT vec_id AS idx, CAST({_bits(lambda i: i)} AS BIGINT) AS p, CAST({_bits(lambda i: 23 - i)} AS BIGINT) AS q FROM embeddings WHERE embedding IS NOT NULL),
 lone AS (SELECT p, q, min(idx) AS idx FROM h WHERE p <> 0 GROUP BY p, q), near AS (SELECT least(i.idx, j.idx) AS a, greatest(i.idx, j.idx) AS b FROM lone i JOIN lone j ON i.idx <> j.idx AND (bit_count(xor(i.p, j.p)) <= 4 OR (j.q <> 0 AND bit_count(xor(i.p, j.q)) <= 4)))
 SELECT a, b FROM near UNION SELECT lone.idx AS a, h.idx AS b FROM h JOIN lone ON h.p = lone.p AND h.idx <> lone.idx""")
-add("file_hash", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", reduce.file_hash(F.encode("text", "utf-8")).alias("hash")))
+add("file_hash", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", reduce.file_hash(F.encode("text", "utf-8")).alias("hash")), f"""WITH f AS (SELECT doc_id, encode(text) AS raw FROM documents), h AS (SELECT doc_id, octet_length(raw) AS n, list_reduce(list_concat([{reduce.HASH_START}::HUGEINT], list_transform(range(1, octet_length(raw) + 1), lambda i: CAST('0x' || hex(raw)[2 * i - 1:2 * i] AS HUGEINT))), lambda a, b: (xor(a, b) * {reduce.HASH_FACTOR}::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM f),
+w AS (SELECT doc_id, (xor(h, n::HUGEINT) * {reduce.HASH_FACTOR}::HUGEINT) % 18446744073709551616::HUGEINT AS h FROM h) SELECT doc_id, CAST(CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT WHEN h = 0 THEN 1 ELSE h END AS BIGINT) AS hash FROM w""")
 
 
 # Development
@@ -786,8 +813,28 @@ add("basic", graph_query("color.basic", BASIC), developed(
     {"m_": f"greatest(1.1 * (1 + {_vib}), 0.0)", "l_": lum()},
     {c: c01(f"l_ + ({c} - l_) * m_") for c in "rgb"},
 ))
-for n, p in (("clarity", {"Clarity": 50.0, "Texture": 30.0}), ("dehaze", {"Dehaze": 40.0}), ("haze", {"Dehaze": -40.0})):
-    add(f"basic_{n}", graph_query("color.basic", p))
+
+
+def smoothed(name: str, sigma: float, cols: list[str], source: str) -> str:
+    """A blur as CTEs, the last one of that name."""
+    return re.sub(r"\bp(\d)\b", rf"{name}_\1", blur_sql(2 * sigma, cols, source)).replace(" blurred AS", f" {name} AS")
+
+
+def guided_sql(name: str, source: str, v: str, sigma: float, eps: float) -> str:
+    """name(y, x, gv, guided): ``v`` and its edge-keeping blur."""
+    first = f", {name}_i AS (SELECT y, x, h, {v} AS gv, ({v}) * ({v}) AS gq FROM {source})" + smoothed(f"{name}_m", sigma, ["gv", "gq"], f"{name}_i")
+    fit = f", {name}_a AS (SELECT y, x, h, gv AS gm, (gq - gv * gv) / (gq - gv * gv + {eps}) AS ga FROM {name}_m), {name}_b AS (SELECT y, x, h, ga, gm - ga * gm AS gb FROM {name}_a)"
+    return first + fit + smoothed(f"{name}_n", sigma, ["ga", "gb"], f"{name}_b") + f", {name} AS (SELECT i.y, i.x, i.gv, n.ga * i.gv + n.gb AS guided FROM {name}_i i JOIN {name}_n n ON i.y = n.y AND i.x = n.x)"
+
+
+# The blurs of these follow the picture's long edge, which is 100 up to 10,000 events.
+_wb0 = ", wb AS (SELECT y, x, h, a, " + ", ".join(f"{srgb(lin(f'greatest({c}, 0.0)'))} AS {c}" for c in "rgb") + " FROM px), li AS (SELECT *, least(greatest(" + lum() + ", 0.0), 1.5) AS v FROM wb)"
+_away = "(gv - guided) / (1 + 3 * abs(gv - guided))"
+_pres = _wb0 + guided_sql("gd", "li", "v", 1.2, 0.004) + smoothed("tx", 0.7, ["v"], "li") + f", pr AS (SELECT wb.*, 0.5 * 1.2 * ({_away}) * (0.3 + 0.7 * greatest(1 - (2 * gv - 1) * (2 * gv - 1), 0.0)) + 0.3 * 1.5 * (gv - tx.v) AS d_ FROM wb JOIN gd USING (y, x) JOIN tx ON wb.y = tx.y AND wb.x = tx.x)"
+add("basic_clarity", graph_query("color.basic", {"Clarity": 50.0, "Texture": 30.0}), sql_image(*(c01(f"{c} + d_") for c in "rgb"), source="pr", ctes=_pres))
+_hz = ", wb AS (SELECT y, x, h, a, " + ", ".join(f"{srgb(lin(f'greatest({c}, 0.0)'))} AS {c}" for c in "rgb") + f" FROM px), dk AS (SELECT y, x, h, {c01('least(r, g, b)')} AS v FROM wb)" + smoothed("dm", 1.0, ["v"], "dk") + ", rk AS (SELECT y, x, v, row_number() OVER (ORDER BY v) - 1 AS k, count(*) OVER () AS n FROM dm), lm AS (SELECT max(v) AS least FROM rk WHERE k = n - greatest(1, n // 1000)), air AS (SELECT " + ", ".join(f"greatest(avg({c01(c)}), 0.3) AS a{c}" for c in "rgb") + " FROM wb JOIN dm USING (y, x), lm WHERE dm.v >= least), hz AS (SELECT wb.*, dm.v, air.* FROM wb JOIN dm USING (y, x), air)"
+add("basic_dehaze", graph_query("color.basic", {"Dehaze": 40.0}), sql_image(*(c01(f"({c} - a{c}) / greatest(1 - 0.95 * 0.4 * v / greatest(ar, ag, ab), 0.25) + a{c}") for c in "rgb"), source="hz", ctes=_hz))
+add("basic_haze", graph_query("color.basic", {"Dehaze": -40.0}), sql_image(*(c01(f"{c} + (a{c} - {c}) * 0.4 * (0.35 + 0.4 * v)") for c in "rgb"), source="hz", ctes=_hz))
 
 
 def _band_sql(values: list[float]) -> str:
@@ -830,25 +877,54 @@ def _grading_sql() -> str:
 add("color_grading", graph_query("color.color_grading", GRADING), _grading_sql())
 
 
-def _tone_sql(gains: dict[int, float]) -> str:
+def _tone_total(gains: dict[int, float]) -> str:
     import numpy as np
 
     evs = np.arange(-8, 1)
     weights = np.linalg.solve(np.exp(-1.4 * np.subtract.outer(evs, evs) ** 2.0), [gains.get(int(e), 0.0) for e in evs])
-    total = " + ".join(f"({w!r}) * exp(-1.4 * (e_ - ({e})) * (e_ - ({e})))" for w, e in zip(weights.tolist(), evs.tolist(), strict=True))
+    return "(" + " + ".join(f"({w!r}) * exp(-1.4 * (e_ - ({e})) * (e_ - ({e})))" for w, e in zip(weights.tolist(), evs.tolist(), strict=True)) + ")"
+
+
+def _tone_sql(gains: dict[int, float]) -> str:
+    total = _tone_total(gains)
     return developed({"e_": f"least(greatest(log2(greatest({lin(c01(lum()))}, {2.0**-16!r})), -8.0), 0.0)"}, {"m_": f"pow(2.0, {total})"}, {c: c01(srgb(f"{lin(c01(c))} * m_")) for c in "rgb"})
 
 
 add("tone_equalizer", graph_query("color.tone_equalizer", {"Smoothing": 0.0, "-2 EV": 1.0, "-5 EV": -0.5, "0 EV": 0.3}), _tone_sql({-2: 1.0, -5: -0.5, 0: 0.3}))
-add("tone_equalizer_guided", graph_query("color.tone_equalizer", {"-2 EV": 1.0}))
+_ev = guided_sql("te", "px", f"log2(greatest({lin(c01(lum()))}, {2.0**-16!r}))", 2.0, 0.2) + ", tq AS (SELECT px.*, least(greatest(guided, -8.0), 0.0) AS e_ FROM px JOIN te USING (y, x))"
+add("tone_equalizer_guided", graph_query("color.tone_equalizer", {"-2 EV": 1.0}), sql_each(lambda c: c01(srgb(f"{lin(c01(c))} * pow(2.0, {_tone_total({-2: 1.0})})")), source="tq", ctes=_ev))
 add("color_equalizer", graph_query("color.color_equalizer", {"Red Hue": 20.0, "Blue Saturation": 50.0, "Green Brightness": -40.0}))
 _df = f", l0 AS (SELECT *, {c01(lum())} AS l_ FROM px), l1 AS (SELECT *, min(l_) OVER w AS lo, max(l_) OVER w AS hi FROM l0 WINDOW w AS (PARTITION BY y ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), l2 AS (SELECT *, max(hi) OVER w - min(lo) OVER w AS span FROM l1 WINDOW w AS (PARTITION BY x ORDER BY y ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), l3 AS (SELECT *, {hue(*map(c01, 'rgb'))} * 360 AS h_, {sat(*map(c01, 'rgb'))} AS s_ FROM l2), l4 AS (SELECT *, {c01('{e} * {s} * (1.0 * ({p}) + 0.5 * ({g}))'.format(e=s3(0.08, 0.3, 'span'), s=s3(0.05, 0.25, 's_'), p=s3(250, 260, 'h_') + ' * (1 - ' + s3(300, 310, 'h_') + ')', g=s3(98, 108, 'h_') + ' * (1 - ' + s3(132, 142, 'h_') + ')'))} AS m_ FROM l3)"
 add("defringe", graph_query("filter.defringe", {"Purple Amount": 8.0, "Green Amount": 4.0}), sql_each(lambda c: f"{c} + ({lum()} - {c}) * m_", source="l4", ctes=_df))
 _sh = "row_number() OVER () IS NOT NULL"
 _shn = ", s0 AS (SELECT y, x, h, r, g, b, a, " + lum() + " AS p FROM px)" + blur_sql(2.0, "p", "s0").replace("blurred", "sb") + ", s1 AS (SELECT y, x, p, min(p) OVER w AS lo, max(p) OVER w AS hi FROM s0 WINDOW w AS (PARTITION BY y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)), s2 AS (SELECT y, x, min(lo) OVER w AS lo, max(hi) OVER w AS hi FROM s1 WINDOW w AS (PARTITION BY x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)), s3 AS (SELECT s0.*, lo, hi, s0.p + 0.8 * (s0.p - sb.p) AS sharp FROM s0 JOIN sb USING (y, x) JOIN s2 USING (y, x)), s4 AS (SELECT *, least(greatest(sharp, lo), hi) AS held FROM s3)"
 add("sharpen", graph_query("filter.sharpen"), sql_each(lambda c: c01(f"greatest({c} + held + 0.25 * (sharp - held) - p, 0.0)"), source="s4", ctes=_shn))
-add("sharpen_masked", graph_query("filter.sharpen", {"Masking": 60.0}))
-add("denoise", graph_query("filter.denoise", {"Luminance": 60.0, "Color": 40.0}))
+_lim = 0.6**1.5 * 0.25
+_rise = lambda w: f"coalesce(lead(p) OVER {w}, p) - coalesce(lag(p) OVER {w}, p)"
+_sg = f", sg AS (SELECT y, x, p, {_rise('(PARTITION BY y ORDER BY x)')} AS gx, {_rise('(PARTITION BY x ORDER BY y)')} AS gy FROM sb)"
+_edge = sm(_lim * 0.5, _lim * 1.5, "sqrt(sb.gx * sb.gx + sb.gy * sb.gy) * 1.25")
+_shm = _shn.replace(", s1 AS", _sg + ", s1 AS", 1).replace("JOIN sb", "JOIN sg sb").replace("0.8 * (s0.p - sb.p)", f"0.8 * {_edge} * (s0.p - sb.p)")
+add("sharpen_masked", graph_query("filter.sharpen", {"Masking": 60.0}), sql_each(lambda c: c01(f"greatest({c} + held + 0.25 * (sharp - held) - p, 0.0)"), source="s4", ctes=_shm))
+
+
+def _denoise_sql(luma: float, chroma: float) -> str:
+    noise, cols = (0.889, 0.200, 0.086, 0.041, 0.020, 0.010), ("ly", "lu", "lv")
+    ctes = f", n0 AS (SELECT y, x, h, a, {lum()} AS ly, (b - {lum()}) / 1.8556 AS lu, (r - {lum()}) / 1.5748 AS lv, 0.0 AS ky, 0.0 AS ku, 0.0 AS kv FROM px)"
+    for j, s in enumerate(noise):
+        for axis, source, name in (("(PARTITION BY y ORDER BY x", f"n{j}", f"r{j}"), ("(PARTITION BY x ORDER BY y", f"r{j}", f"c{j}")):
+            whole = f"{axis} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+            old = lambda c, name=name: c if name[0] == "r" else f"s{c}"
+            tap = lambda c, d: f"coalesce(lead({c}, {d << j}) OVER {axis}), last_value({c}) OVER {whole})" if d > 0 else f"coalesce(lag({c}, {-d << j}) OVER {axis}), first_value({c}) OVER {whole})" if d else c  # noqa: B023,E731
+            keep = "y, x, h, a, ly, lu, lv, ky, ku, kv"
+            ctes += f", {name} AS (SELECT {keep}, " + ", ".join(" + ".join(f"{k} * {tap(old(c), d)}" for d, k in zip(range(-2, 3), (0.0625, 0.25, 0.375, 0.25, 0.0625), strict=True)) + f" AS s{c}" for c in cols) + f" FROM {source})"
+        limit = {"ly": luma * 0.06 * s if j < 4 else 0.0, "lu": chroma * 0.06 * s, "lv": chroma * 0.06 * s}
+        kept = ", ".join(f"k{c[1]} + CASE WHEN abs({c} - s{c}) > {limit[c]!r} THEN {c} - s{c} - {limit[c] ** 2!r} / ({c} - s{c}) ELSE 0.0 END AS k{c[1]}" for c in cols)
+        ctes += f", n{j + 1} AS (SELECT y, x, h, a, {', '.join(f's{c} AS {c}' for c in cols)}, {kept} FROM c{j})"
+    ctes += ", dn AS (SELECT y, x, a, ly + ky AS t, lu + ku AS u, lv + kv AS v FROM n6), dr AS (SELECT y, x, a, t, t + 1.5748 * v AS r, t + 1.8556 * u AS b FROM dn)"
+    return sql_image(c01("r"), c01("(t - 0.2126 * r - 0.0722 * b) / 0.7152"), c01("b"), source="dr", ctes=ctes)
+
+
+add("denoise", graph_query("filter.denoise", {"Luminance": 60.0, "Color": 40.0}), _denoise_sql(0.6, 0.4))
 add("capture_sharpen", graph_query("filter.capture_sharpen", {"Iterations": 5}))
 add("hsl_mask", graph_query("matte.hsl_mask", {"Hue": 30.0, "Use Lightness": True, "Lightness Low": 0.2}))
 add("hsl_mask_lightness", graph_query("matte.hsl_mask", {"Use Hue": False, "Use Saturation": False, "Use Lightness": True, "Lightness Low": 0.3, "Lightness High": 0.8}), sql_plane(f"{sm(0.3 - 0.0501, 0.3 + 0.0501, 'll')} * (1 - {sm(0.8 - 0.0501, 0.8 + 0.0501, 'll')})", source="ok", ctes=_ok))
@@ -899,7 +975,8 @@ def _tilt_sql() -> str:
 
 add("perspective_rotate", graph_query("xform.perspective", {"Rotate": 10.0, "Scale": 120.0}), _tilt_sql())
 add("perspective", graph_query("xform.perspective", {"Vertical": 40.0, "Horizontal": -20.0, "Constrain Crop": True}))
-add("lens_profile", graph_query("xform.lens_profile", {"Profile": {"model": "ptlens", "k": [0.01, -0.02, 0.005], "red": 1.001}}))
+_rr = f"(sqrt({_ld} * {_ld} + (y + 0.5 - h / 2.0) * (y + 0.5 - h / 2.0)) / (least(100, h) / 2.0))"
+add("lens_profile", graph_query("xform.lens_profile", {"Profile": {"model": "ptlens", "k": [0.01, -0.02, 0.005], "red": 1.001}}), sql_image(*(c01(c) for c in "rgb"), source="bent", ctes=per_channel(f"0.01 * {_rr} * {_rr} * {_rr} - 0.02 * {_rr} * {_rr} + 0.005 * {_rr} + 1.005", 1.001, True)))
 _pq = "((pow(x + 0.5 - 50, 2) + pow(y + 0.5 - h / 2, 2)) / (2500 + h * h / 4))"
 add("lens_profile_vignetting", graph_query("xform.lens_profile", {"Profile": {"vignetting": [-0.4, 0.1, -0.05]}}), sql_each(lambda c: c01(srgb(f"{lin(c01(c))} / greatest(1 - 0.4 * {_pq} + 0.1 * {_pq} * {_pq} - 0.05 * {_pq} * {_pq} * {_pq}, 0.05)"))))
 add("watermark", graph_query("xform.watermark", {"Anchor": "Top Left", "Size": 100.0, "Margin": 0.0, "Opacity": 0.37}, {"Image": "image", "Logo": "swap"}), sql_image(*(f"{c} + ({SWAP[c]} - {c}) * ({c01('r')} * 0.37)" for c in "rgb"), c01(f"{c01('r')} * 0.37 + 1 - {c01('r')} * 0.37")))

@@ -227,7 +227,7 @@ def corner_pin(call: Call):
 
 
 #: Aspects of a border's canvas; the first keeps the image's.
-ASPECTS = {"Image": None, "1:1": 1.0, "4:5": 4 / 5, "5:4": 5 / 4, "2:3": 2 / 3, "3:2": 3 / 2, "16:9": 16 / 9, "9:16": 9 / 16}
+CANVAS_ASPECTS = {"Image": None, "1:1": 1.0, "4:5": 4 / 5, "5:4": 5 / 4, "2:3": 2 / 3, "3:2": 3 / 2, "16:9": 16 / 9, "9:16": 9 / 16}
 
 
 def rounded(v: float) -> int:
@@ -250,14 +250,14 @@ def canvas_of(w: int, h: int, size: float, bottom: float, aspect: float | None)
 
 
 @operator(
-    "xform.border", "Image image", "Image image", number("Size", 4, 0, 25), number("Bottom", 0, 0, 25), choice("Aspect", "|".join(ASPECTS)), colour("Color", 1, 1, 1), number("Line Size", 0, 0, 2), colour("Line Color", 0, 0, 0),
+    "xform.border", "Image image", "Image image", number("Size", 4, 0, 25), number("Bottom", 0, 0, 25), choice("Aspect", "|".join(CANVAS_ASPECTS)), colour("Color", 1, 1, 1), number("Line Size", 0, 0, 2), colour("Line Color", 0, 0, 0),
     reach=lambda call: None,
 )
 def border(call: Call):
     """The image on a wider opaque canvas, its colour showing through, a line around the image if wanted."""
     image = call.image()
     old = image.frame
-    w, h, left, top = canvas_of(old.w, old.h, call["Size"], call["Bottom"], list(ASPECTS.values())[call["Aspect"]])
+    w, h, left, top = canvas_of(old.w, old.h, call["Size"], call["Bottom"], list(CANVAS_ASPECTS.values())[call["Aspect"]])
     line = rounded(call["Line Size"] / 100 * max(old.w, old.h))
     grid = old.df.select("img").distinct().select("img", F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("y")).select("img", "y", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("x"))
     inner = old.df.select(F.col("img").alias("i"), (F.col("y") + top).alias("j"), (F.col("x") + left).alias("k"), *[F.col(n).alias(f"s{c}") for c, n in enumerate(image.names)])
