@@ -383,6 +383,9 @@ _tl, _ta, _tb = _oklab_of([0.6, 0.4, 0.3])
 add("range_mask_color", graph_query("matte.range_mask", {"Mode": "Color", "Color": [0.6, 0.4, 0.3]}), sql_plane(f"1 - {sm(0.0675, 0.135, f'sqrt(pow((l_ - {_tl}) * 0.5, 2) + pow(a_ - ({_ta}), 2) + pow(b_ - ({_tb}), 2))')}", source="ok", ctes=_oklab))
 _seed = lambda cond, name: f"{name} AS (SELECT y, x FROM px WHERE {cond})"
 _dist = lambda name: f"coalesce((SELECT sqrt(min((s.x - px.x) * (s.x - px.x) + (s.y - px.y) * (s.y - px.y))) FROM {name} s), 1e6)"
+for n in ("subject", "people", "landscape", "objects", "sky"):
+    add(f"select_{n}", graph_query(f"matte.select_{n}"), sql_plane("0.0"))
+add("select_sky_inverted", graph_query("matte.select_sky", {"Invert": True}, {"Image": "image", "Mask": "g"}), sql_plane(c01("g")))
 _de = """, e AS (SELECT y, x, r >= 0.3 AS i, g < 0.5 AS o FROM px), d AS (SELECT p.y, p.x, any_value(p.i) AS i, any_value(p.o) AS o, coalesce(min(sqrt(pow(p.x - s.x, 2) + pow(p.y - s.y, 2))) FILTER (s.i), 1e6) AS di, coalesce(min(sqrt(pow(p.x - s.x, 2) + pow(p.y - s.y, 2))) FILTER (s.o), 1e6) AS dn FROM e p, e s GROUP BY p.y, p.x)"""
 add("double_edge_mask", graph_query("matte.double_edge_mask", {}, {"Inner Mask": "edge", "Outer Mask": "g"}), sql_plane("CASE WHEN i THEN 1.0 WHEN o THEN 0.0 ELSE dn / greatest(di + dn, 1e-4) END", source="d", ctes=_de))
 _near = lambda name, reach: f"(SELECT count(*) FROM {name} s WHERE s.x BETWEEN px.x - {reach} AND px.x + {reach} AND s.y BETWEEN px.y - {reach} AND px.y + {reach} AND (s.x - px.x) * (s.x - px.x) + (s.y - px.y) * (s.y - px.y) <= {reach * reach})"
@@ -733,6 +736,10 @@ def _sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("photos_sorted", _sorted, f"{PHOTOS} SELECT photo, CAST(row_number() OVER (ORDER BY capture_time IS NULL, capture_time DESC, lower(name)) AS INT) AS place FROM photos")
 
 
+for n, key, desc, sql in (("name", "name", True, "lower(name) DESC"), ("rating", "rating", True, "rating DESC, lower(name)"), ("pick", "flag", False, "flag, lower(name)"), ("label", "label", False, "label, lower(name)")):
+    add(f"photos_by_{n}", lambda s, d, key=key, desc=desc: library.numbered(photos(s, d), library.photo_order(key, desc)).select("photo", F.col("place").cast("int").alias("place")), f"{PHOTOS} SELECT photo, CAST(row_number() OVER (ORDER BY {sql}) AS INT) AS place FROM photos")
+
+
 def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = photos(spark, sf_dir).select(F.lit("best").alias("collection"), "photo", "copy", "rating")
     return library.add_to_collection(p.where("rating = 5").drop("rating"), p.where("rating >= 4").drop("rating"))[0].select("collection", "photo")
@@ -827,10 +834,17 @@ def guided_sql(name: str, source: str, v: str, sigma: float, eps: float) -> str:
     return first + fit + smoothed(f"{name}_n", sigma, ["ga", "gb"], f"{name}_b") + f", {name} AS (SELECT i.y, i.x, i.gv, n.ga * i.gv + n.gb AS guided FROM {name}_i i JOIN {name}_n n ON i.y = n.y AND i.x = n.x)"
 
 
+def _auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planeweave.operators.develop import auto_tone
+
+    return auto_tone(events_image(spark, sf_dir)).drop("img")
+
+
 # The blurs of these follow the picture's long edge, which is 100 up to 10,000 events.
 _wb0 = ", wb AS (SELECT y, x, h, a, " + ", ".join(f"{srgb(lin(f'greatest({c}, 0.0)'))} AS {c}" for c in "rgb") + " FROM px), li AS (SELECT *, least(greatest(" + lum() + ", 0.0), 1.5) AS v FROM wb)"
 _away = "(gv - guided) / (1 + 3 * abs(gv - guided))"
 _pres = _wb0 + guided_sql("gd", "li", "v", 1.2, 0.004) + smoothed("tx", 0.7, ["v"], "li") + f", pr AS (SELECT wb.*, 0.5 * 1.2 * ({_away}) * (0.3 + 0.7 * greatest(1 - (2 * gv - 1) * (2 * gv - 1), 0.0)) + 0.3 * 1.5 * (gv - tx.v) AS d_ FROM wb JOIN gd USING (y, x) JOIN tx ON wb.y = tx.y AND wb.x = tx.x)"
+add("auto_tone", lambda spark, d: _auto(spark, d))
 add("basic_clarity", graph_query("color.basic", {"Clarity": 50.0, "Texture": 30.0}), sql_image(*(c01(f"{c} + d_") for c in "rgb"), source="pr", ctes=_pres))
 _hz = ", wb AS (SELECT y, x, h, a, " + ", ".join(f"{srgb(lin(f'greatest({c}, 0.0)'))} AS {c}" for c in "rgb") + f" FROM px), dk AS (SELECT y, x, h, {c01('least(r, g, b)')} AS v FROM wb)" + smoothed("dm", 1.0, ["v"], "dk") + ", rk AS (SELECT y, x, v, row_number() OVER (ORDER BY v) - 1 AS k, count(*) OVER () AS n FROM dm), lm AS (SELECT max(v) AS least FROM rk WHERE k = n - greatest(1, n // 1000)), air AS (SELECT " + ", ".join(f"greatest(avg({c01(c)}), 0.3) AS a{c}" for c in "rgb") + " FROM wb JOIN dm USING (y, x), lm WHERE dm.v >= least), hz AS (SELECT wb.*, dm.v, air.* FROM wb JOIN dm USING (y, x), air)"
 add("basic_dehaze", graph_query("color.basic", {"Dehaze": 40.0}), sql_image(*(c01(f"({c} - a{c}) / greatest(1 - 0.95 * 0.4 * v / greatest(ar, ag, ab), 0.25) + a{c}") for c in "rgb"), source="hz", ctes=_hz))

@@ -163,3 +163,28 @@ def range_mask(call: Call):
         v = 1.0 - m.smoothstep(far * 0.5, far, F.sqrt(dl * dl + (a - ta) * (a - ta) + (b - tb) * (b - tb)))
     v = 1.0 - v if call["Invert"] else v
     return image.frame.plane(v * call.plane("Mask", 1.0))
+
+
+#: What each selecting mask can select, with the default; all need a model of their own.
+SELECTIONS = {
+    "matte.select_subject": [choice("Model", "Accurate|Light")],
+    "matte.select_people": [flag("Face Skin", True), *(flag(n, False) for n in ("Eyebrows", "Eyes", "Lips", "Mouth", "Hair", "Neck", "Clothes", "Accessories"))],
+    "matte.select_landscape": [flag("Sky", False), flag("Water", True), *(flag(n, False) for n in ("Vegetation", "Mountains", "Natural Ground", "Architecture", "Artificial Ground"))],
+    "matte.select_objects": [flag("People", True), *(flag(n, False) for n in ("Animals", "Vehicles", "Furniture", "Signs and Poles", "Lights", "Screens", "Potted Plants and Flowers"))],
+    "matte.select_sky": [],
+}
+
+
+def _selecting(type_: str, own: list) -> None:
+    @operator(type_, "Image image, Mask plane", "Mask plane", flag("Refine Edges", True), flag("Invert", False), *own, number("Feather", 0, 0, 100), number("Edge", 0, -100, 100), reach=lambda call: None)
+    def lower(call: Call):
+        """Without a model nothing is found: an empty mask of the image's size, which inverting makes full."""
+        image = call.image()
+        if image is None:
+            return None
+        found = F.lit(1.0 if call["Invert"] else 0.0)
+        return image.frame.plane(found * m.clamp01(call.plane("Mask", 1.0)))
+
+
+for _type, _own in SELECTIONS.items():
+    _selecting(_type, _own)

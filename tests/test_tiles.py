@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from planeweave import catalogue
-from planeweave.operators import geometry, iterative, library, reduce, stencil
+from planeweave.functions import maths
+from planeweave.operators import develop, geometry, iterative, library, reduce, stencil
+from planeweave.plans.evaluate import Evaluator, Session
+from planeweave.plans.graph import Graph
 from planeweave.plans.registry import REGISTRY
 from planeweave.plans.values import Frame
 
@@ -124,3 +127,41 @@ PARAMETERS = {
 @pytest.mark.parametrize("kind", PARAMETERS)
 def test_parameters(kind):
     assert [(p.name, p.default, p.lo, p.hi) for p in REGISTRY[kind].params if p.kind == "float"] == PARAMETERS[kind]
+
+
+@pytest.mark.parametrize("linear", [False, True])
+def test_automatic_tone(spark, linear):
+    """Dark and flat pictures are lifted and spread, full ones left nearly alone, bright ones lowered."""
+    def sliders(low, high):
+        x = (low + (high - low) * F.col("id") / 4095.0)
+        df = spark.range(4096).select(F.lit("0").alias("img"), (F.col("id") / 64).cast("int").alias("y"), (F.col("id") % 64).cast("int").alias("x"), x.alias("v"))
+        frame = Frame(df, 64, 64)
+        return develop.auto_tone(frame.image(F.col("v"), F.col("v"), F.col("v"), 1.0), linear).first().asDict()
+
+    def tones(s, low, high):
+        v = np.linspace(low, high, 4096)
+        v = np.where(v <= 0.0031308, v * 12.92, 1.055 * v ** (1 / 2.4) - 0.055) if linear else v
+        return develop.toned_values(np.stack([v] * 3, axis=1), s)
+
+    low, high = (0.01, 0.05) if linear else (0.1, 0.3)
+    s = sliders(low, high)
+    t = tones(s, low, high)
+    assert s["Exposure"] > 0.5 and 0.3 < t[2048] < 0.6 and t[-1] <= 1 and s["Whites"] > 0 and s["Blacks"] < 0
+    low, high = (0.002, 0.9) if linear else (0.03, 0.95)
+    s = sliders(low, high)
+    t = tones(s, low, high)
+    assert abs(s["Exposure"]) < 1.5 and 0.9 < t[-1] <= 1
+    assert sliders(*((0.5, 0.9) if linear else (0.75, 0.95)))["Exposure"] < 0
+
+
+def test_tone_values_are_those_of_the_operator(spark):
+    g = np.random.default_rng(3)
+    rgb = g.random((1000, 3))
+    sliders = {"Exposure": 0.4, "Contrast": -20.0, "Highlights": -40.0, "Shadows": 35.0, "Whites": 20.0, "Blacks": -30.0}
+    df = spark.createDataFrame([("0", i // 100, i % 100, *map(float, v)) for i, v in enumerate(rgb)], "img string, y int, x int, r double, g double, b double")
+    graph = Graph()
+    a, b = graph.add("io.image_input", params={"Color Space": 2}), graph.add("color.basic", params=sliders)
+    graph.connect(a, 0, b, 0)
+    frame = Frame(df, 100, 10)
+    out = Evaluator(graph, Session(spark, {"one": frame.image(F.col("r"), F.col("g"), F.col("b"), 1.0)})).result(b.id, 0).toPandas()
+    assert np.allclose(np.sort(out[["r", "g", "b"]].to_numpy() @ np.array(maths.LUMA)), develop.toned_values(rgb, sliders), atol=1e-9)
