@@ -613,6 +613,7 @@ _sb = path_sql(48, "x + 0.5 + (50.0 - x - 0.5) * (tap / 48.0 * 0.3)", "y + 0.5 +
 add("sun_beams", graph_query("filter.sun_beams"), sql_image("t.r", "t.g", "t.b", "px.a", source="px JOIN taken t USING (y, x)", ctes=_sb))
 _db = path_sql(6, f"x + 0.5 + {math.cos(math.radians(30.0)) * 6.0} * tap / 5.0", f"y + 0.5 + {math.sin(math.radians(30.0)) * 6.0} * tap / 5.0", "1.0")
 add("directional_blur", graph_query("filter.directional_blur", {"Distance": 6.0, "Angle": 30.0}), sql_image("r", "g", "b", source="taken", ctes=_db))
+add("directional_blur_fast", graph_query("filter.directional_blur", {"Distance": 6.0, "Angle": 30.0, "Spin": 4.0, "Zoom": 0.05, "Quality": "Fast"}))
 
 
 # Reductions
@@ -939,6 +940,28 @@ def _denoise_sql(luma: float, chroma: float) -> str:
 
 
 add("denoise", graph_query("filter.denoise", {"Luminance": 60.0, "Color": 40.0}), _denoise_sql(0.6, 0.4))
+
+
+def _diffuse_sql(amount: float) -> str:
+    """One round of two levels: weights of the bell with span 0.25 around radius 1; full sensitivity, threshold 0.001."""
+    weights = [1.0 / (1 + math.exp(-8)), math.exp(-8) / (1 + math.exp(-8))]
+    ctes, cols = f", f0 AS (SELECT y, x, h, a, r, g, b, {lum()} AS l_, 0.0 AS mr, 0.0 AS mg, 0.0 AS mb, r AS vr, g AS vg, b AS vb FROM px)", "rgb"
+    for j in range(2):
+        for axis, source, name in (("(PARTITION BY y ORDER BY x", f"f{j}", f"fr{j}"), ("(PARTITION BY x ORDER BY y", f"fr{j}", f"fc{j}")):
+            whole = f"{axis} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+            tap = lambda c, d: f"coalesce(lead({c}, {d << j}) OVER {axis}), last_value({c}) OVER {whole})" if d > 0 else f"coalesce(lag({c}, {-d << j}) OVER {axis}), first_value({c}) OVER {whole})" if d else c  # noqa: B023,E731
+            old = "v" if name[1] == "r" else "s"
+            ctes += f", {name} AS (SELECT y, x, h, a, r, g, b, l_, mr, mg, mb, vr, vg, vb, " + ", ".join(" + ".join(f"{k} * {tap(old + c, d)}" for d, k in zip(range(-2, 3), (0.0625, 0.25, 0.375, 0.25, 0.0625), strict=True)) + f" AS s{c}" for c in cols) + f" FROM {source})"
+        keep = lambda c: sm(0.001, 0.002, f"abs(v{c} - s{c})") if amount > 0 else "1.0"
+        ctes += f", f{j + 1} AS (SELECT y, x, h, a, r, g, b, l_, " + ", ".join(f"m{c} + {weights[j]!r} * (v{c} - s{c}) * {keep(c)} AS m{c}, s{c} AS v{c}" for c in cols) + f" FROM fc{j})"
+    rise = lambda w: f"(coalesce(lead(l_) OVER {w}, l_) - coalesce(lag(l_) OVER {w}, l_)) / 2"
+    ctes += f", fs AS (SELECT *, {rise('(PARTITION BY y ORDER BY x)')} AS gx, {rise('(PARTITION BY x ORDER BY y)')} AS gy FROM f2)"
+    return sql_each(lambda c: c01(f"{c} + greatest({2 * amount} / (1 + (gx * gx + gy * gy) / 0.0025), -1.0) * m{c}"), source="fs", ctes=ctes)
+
+
+for n, k in (("sharpened", 60.0), ("smoothed", -40.0)):
+    add(f"diffuse_{n}", graph_query("filter.diffuse", {"Amount": k, "Radius": 1.0, "Radius Span": 0.25, "Iterations": 1, "Edge Sensitivity": 100.0}), _diffuse_sql(k / 100))
+add("diffuse", graph_query("filter.diffuse", {"Iterations": 2}))
 add("capture_sharpen", graph_query("filter.capture_sharpen", {"Iterations": 5}))
 add("hsl_mask", graph_query("matte.hsl_mask", {"Hue": 30.0, "Use Lightness": True, "Lightness Low": 0.2}))
 add("hsl_mask_lightness", graph_query("matte.hsl_mask", {"Use Hue": False, "Use Saturation": False, "Use Lightness": True, "Lightness Low": 0.3, "Lightness High": 0.8}), sql_plane(f"{sm(0.3 - 0.0501, 0.3 + 0.0501, 'll')} * (1 - {sm(0.8 - 0.0501, 0.8 + 0.0501, 'll')})", source="ok", ctes=_ok))

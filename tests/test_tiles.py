@@ -14,7 +14,7 @@ from planeweave.plans.graph import Graph
 from planeweave.plans.registry import REGISTRY
 from planeweave.plans.values import Frame
 
-TILED = ["blur", "blur_plane", "filter_sobel", "kuwahara", "bilateral_high", "bilateral_fast", "dilate", "denoise", "defringe", "sharpen_masked", "transform", "basic_clarity", "glare", "capture_sharpen"]
+TILED = ["blur", "blur_plane", "filter_sobel", "kuwahara", "bilateral_high", "bilateral_fast", "dilate", "denoise", "defringe", "sharpen_masked", "transform", "basic_clarity", "glare", "capture_sharpen", "diffuse"]
 
 
 def rows(df):
@@ -165,3 +165,30 @@ def test_tone_values_are_those_of_the_operator(spark):
     frame = Frame(df, 100, 10)
     out = Evaluator(graph, Session(spark, {"one": frame.image(F.col("r"), F.col("g"), F.col("b"), 1.0)})).result(b.id, 0).toPandas()
     assert np.allclose(np.sort(out[["r", "g", "b"]].to_numpy() @ np.array(maths.LUMA)), develop.toned_values(rgb, sliders), atol=1e-9)
+
+
+def bilinear(plane, sx, sy):
+    """Values at places, pixel centres at .5, the edge repeated."""
+    h, w = plane.shape[:2]
+    x0, y0 = np.floor(sx - 0.5).astype(int), np.floor(sy - 0.5).astype(int)
+    fx, fy = (sx - 0.5 - x0)[..., None], (sy - 0.5 - y0)[..., None]
+    at = lambda j, i: plane[np.clip(j, 0, h - 1), np.clip(i, 0, w - 1)]
+    return (at(y0, x0) * (1 - fx) + at(y0, x0 + 1) * fx) * (1 - fy) + (at(y0 + 1, x0) * (1 - fx) + at(y0 + 1, x0 + 1) * fx) * fy
+
+
+def test_fast_directional_blur(spark, sf_dir, monkeypatch):
+    """Passes of moved copies against the affine path put on itself in numpy."""
+    monkeypatch.setattr(catalogue, "events_image", tall)
+    given = tall(spark, sf_dir)
+    rows_ = given.frame.df.select("y", "x", *given.names).toPandas().sort_values(["y", "x"]).to_numpy()
+    now = rows_[:, 2:].reshape(100, 10, 4)
+    y, x = np.mgrid[0:100, 0:10]
+    parts = 2**3 - 1
+    s, a = (1 - 0.05) ** (1 / parts), math.radians(4.0) / parts
+    turn, move = s * np.array([[math.cos(a), -math.sin(a)], [math.sin(a), math.cos(a)]]), np.array([math.cos(math.radians(30)), math.sin(math.radians(30))]) * 6.0 / parts
+    for _ in range(3):
+        q = np.stack([x + 0.5 - 5.0, y + 0.5 - 50.0], axis=-1) @ turn.T + move
+        now = 0.5 * (now + bilinear(now, q[..., 0] + 5.0, q[..., 1] + 50.0))
+        turn, move = turn @ turn, turn @ move + move
+    got = catalogue.QUERIES["directional_blur_fast"](spark, sf_dir).toPandas().sort_values(["y", "x"])[["r", "g", "b", "a"]].to_numpy().reshape(100, 10, 4)
+    assert np.allclose(got, now, atol=1e-7)
