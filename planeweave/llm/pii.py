@@ -114,19 +114,19 @@ def plain_word(token: str) -> str:
     return token.lower().strip(_PUNCTUATION)
 
 
-def _lexical(word: str) -> bool:
-    return any(map(str.isalpha, word)) and sum(map(str.isdigit, word)) < 4
+def _use(word: str) -> int:
+    """What a word is to a pattern: 2 lexical (a letter and fewer than four digits), 1 a sign, 0 nothing."""
+    if any(map(str.isalpha, word)):
+        return 2 if sum(map(str.isdigit, word)) < 4 else 0
+    return 1 if word and not any(map(str.isalnum, word)) else 0
 
 
 def patterns_around(left2: str, left1: str, right: str) -> list[str]:
-    """Patterns of a place: the two words before it; the word before and the one behind it.
-
-    A word of a pattern has a letter and fewer than four digits; one of the two before may be a sign.
-    """
+    """Patterns of a place: the two words before it, one of which may be a sign; the word before and the one behind it."""
     found = []
-    if left1 and left2 and (_lexical(left1) or _lexical(left2)) and all(_lexical(w) or not any(map(str.isalnum, w)) for w in (left1, left2)):
+    if _use(left1) and _use(left2) and _use(left1) + _use(left2) > 2:
         found.append(f"2\x1f{left2}\x1f{left1}")
-    if left1 and right and _lexical(left1) and _lexical(right):
+    if _use(left1) == _use(right) == 2:
         found.append(f"1\x1f{left1}\x1f{right}")
     return found
 
@@ -158,26 +158,34 @@ class Marks:
         self.bits = bits
         self.words = _Remembered(self)
 
-    def has(self, value: str, base: int) -> int:
-        at = base + zlib.crc32(value.encode("utf-8", "surrogatepass")) % BITS
+    def has(self, crc: int, base: int) -> int:
+        """Whether the bit of a word (``base`` BITS) or pattern (0) with this crc32 is set."""
+        at = base + crc % BITS
         return self.bits[at >> 3] >> (at & 7) & 1
 
 
 class _Remembered(dict):
-    """Token -> whether a candidate may follow; forgets all beyond a bound."""
+    """Token -> (word, its bytes, use, whether a candidate may follow, crc32 of a pattern's part up to this
+    word as the first of two before, and as the one before); forgets all beyond a bound."""
 
-    def __init__(self, marks: Marks, most: int = 300_000) -> None:
+    def __init__(self, marks: Marks, most: int = 200_000) -> None:
         super().__init__()
         self.marks, self.most = marks, most
 
-    def __missing__(self, token: str) -> bool:
+    def __missing__(self, token: str) -> tuple[str, bytes, int, bool, int, int]:
         if len(self) > self.most:
             self.clear()
-        w = plain_word(token)
-        found = self[token] = bool(w) and bool(self.marks.has(w, BITS))
+        word = plain_word(token)
+        raw, use = word.encode("utf-8", "surrogatepass"), _use(word)
+        before = use > 0 and bool(self.marks.has(zlib.crc32(raw), BITS))
+        found = self[token] = (word, raw, use, before, zlib.crc32(b"2\x1f" + raw + b"\x1f"), zlib.crc32(b"1\x1f" + raw + b"\x1f"))
         return found
 
 
+#: What stands in for a word beyond the text's ends.
+_NOTHING = ("", b"", 0, False, 0, 0)
+
+
 def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
     while a < b and not (text[a].isalnum() or text[a] == "+"):
         a += 1
@@ -192,32 +200,47 @@ def candidates(text: str, marks: Marks) -> Iterator[tuple[int, int, str]]:
     A word with a digit goes on over single blanks before more numbers.
     """
     tokens = _WORD.findall(text)
-    hits = [i for i, t in enumerate(tokens) if marks.words[t]]
+    words = [*map(marks.words.__getitem__, tokens), _NOTHING]
+    hits = [i for i, w in enumerate(words) if w[3]]
     if not hits:
         return
-    places = [m.span() for m in _WORD.finditer(text)]
-    taken = seed_spans(text)
-    begins = [a for a, _, _ in taken]
-    ends = np.maximum.accumulate([b for _, _, b in taken]).tolist() if taken else []
+    crc, has = zlib.crc32, marks.has
+    places: list[tuple[int, int]] = []
+    taken: list[tuple[int, int, int]] = []
 
     def free(a: int, b: int) -> bool:
         k = bisect_right(begins, b - 1) - 1
         return k < 0 or ends[k] <= a
 
-    word = lambda k: plain_word(tokens[k]) if 0 <= k < len(tokens) else ""
     for i in hits:
         at = i + 1
-        if at >= len(tokens) or not free(*places[at]):
+        if at >= len(tokens):
+            return
+        left2, left1, right = words[i - 1] if i else _NOTHING, words[i], words[at + 1]
+        two = left2[2] and left1[2] + left2[2] > 2 and has(crc(left1[1], left2[4]), 0)
+        digits = _DIGIT.search(tokens[at])
+        one = left1[2] == 2 and (digits or right[2] == 2 and has(crc(right[1], left1[5]), 0))
+        if not two and not one:
+            continue
+        if not places:
+            places = [m.span() for m in _WORD.finditer(text)]
+            taken = seed_spans(text)
+            begins = [a for a, _, _ in taken]
+            ends = np.maximum.accumulate([b for _, _, b in taken]).tolist() if taken else []
+        if not free(*places[at]):
             continue
         last = at
-        if _DIGIT.search(tokens[at]):
+        if digits:
             while last + 1 < len(tokens) and places[last + 1][0] == places[last][1] + 1 and text[places[last][1]] == " " and tokens[last + 1][0] in _MORE and free(*places[last + 1]):
                 last += 1
+            right = words[last + 1]
+            one = left1[2] == right[2] == 2 and has(crc(right[1], left1[5]), 0)
         a, b = _trimmed(text, places[at][0], places[last][1])
         if a < b:
-            for pattern in patterns_around(word(i - 1), word(i), word(last + 1)):
-                if marks.has(pattern, 0):
-                    yield a, b, pattern
+            if two:
+                yield a, b, f"2\x1f{left2[0]}\x1f{left1[0]}"
+            if one:
+                yield a, b, f"1\x1f{left1[0]}\x1f{right[0]}"
 
 
 def scan(docs: DataFrame) -> DataFrame:
