@@ -374,7 +374,7 @@ _oklab = ", ok0 AS (SELECT y, x, h, " + ", ".join(f"cbrt({_cone(k)}) AS k{i}" fo
 
 
 def _oklab_of(rgb: list[float]) -> list[float]:
-    light = [((c + 0.055) / 1.055) ** 2.4 for c in rgb]
+    light = [c / 12.92 if c <= 0.04045 else ((c + 0.055) / 1.055) ** 2.4 for c in rgb]
     roots = [sum(w * v for w, v in zip(k, light, strict=True)) ** (1 / 3) for k in OKLAB_IN]
     return [sum(w * v for w, v in zip(k, roots, strict=True)) for k in OKLAB_OUT]
 
@@ -963,7 +963,21 @@ for n, k in (("sharpened", 60.0), ("smoothed", -40.0)):
     add(f"diffuse_{n}", graph_query("filter.diffuse", {"Amount": k, "Radius": 1.0, "Radius Span": 0.25, "Iterations": 1, "Edge Sensitivity": 100.0}), _diffuse_sql(k / 100))
 add("diffuse", graph_query("filter.diffuse", {"Iterations": 2}))
 add("capture_sharpen", graph_query("filter.capture_sharpen", {"Iterations": 5}))
-add("hsl_mask", graph_query("matte.hsl_mask", {"Hue": 30.0, "Use Lightness": True, "Lightness Low": 0.2}))
+
+
+def _hue_sql() -> str:
+    """Oklch hue bent so that the six pure colours lie 60 degrees apart."""
+    pure = [_oklab_of([float(c) for c in rgb]) for rgb in ((1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 1, 1), (0, 0, 1), (1, 0, 1))]
+    at = [math.degrees(math.atan2(b, a)) % 360 for _, a, b in pure]
+    ends = [*((x - at[0]) % 360 for x in at), 360.0]
+    rel = f"((degrees(atan2(b_, a_)) - {at[0]} + 720.0) % 360.0)"
+    cases = " ".join(f"WHEN {rel} < {ends[k + 1]} THEN {60.0 * k} + ({rel} - {ends[k]}) / {ends[k + 1] - ends[k]} * 60.0" for k in range(6))
+    return f"(CASE {cases} ELSE 360.0 END)"
+
+
+_chroma, _turned = "sqrt(a_ * a_ + b_ * b_)", f"abs((({_hue_sql()} - 30.0 + 540.0) % 360.0) - 180.0)"
+_hsl = f"(1 - {sm(30.0, 50.001, 'away')}) * {sm(0.004, 0.02, _chroma)} * {sm(0.0999, 0.2001, f'{_chroma} / 0.3132')} * {sm(0.1499, 0.2501, 'l_')}"
+add("hsl_mask", graph_query("matte.hsl_mask", {"Hue": 30.0, "Use Lightness": True, "Lightness Low": 0.2}), sql_plane(_hsl, source="hm", ctes=_oklab + f", hm AS (SELECT *, {_turned} AS away FROM ok)"))
 add("hsl_mask_lightness", graph_query("matte.hsl_mask", {"Use Hue": False, "Use Saturation": False, "Use Lightness": True, "Lightness Low": 0.3, "Lightness High": 0.8}), sql_plane(f"{sm(0.3 - 0.0501, 0.3 + 0.0501, 'll')} * (1 - {sm(0.8 - 0.0501, 0.8 + 0.0501, 'll')})", source="ok", ctes=_ok))
 
 
