@@ -183,7 +183,9 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, keep_id
     """
     spark = docs.sparkSession
     cutting = written(pieces(docs, json_path, ranks_path, pattern, keep_ids).withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}))
-    counts = cutting.groupBy("class", "part").agg(F.count("*").alias("n"))
+    # Only the pieces' numbers are dealt; ids, if kept, meet their seats once, at the end.
+    narrow = cutting.drop("document", "ids")
+    counts = narrow.groupBy("class", "part").agg(F.count("*").alias("n"))
     # One row per class: at most LENGTH / GRID.
     demand = {r["class"]: r["n"] for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect()}
     slots, base = [], 0
@@ -198,13 +200,14 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, keep_id
     dealt = F.broadcast(spark.createDataFrame(slots, "s_class int, since long, until long, each long, base long, place long"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select(F.col("class").alias("o_class"), F.col("part").alias("o_part"), before.alias("before"))
-    ranked = cutting.join(offsets, (F.col("class") == F.col("o_class")) & (F.col("part") == F.col("o_part")))
+    ranked = narrow.join(offsets, (F.col("class") == F.col("o_class")) & (F.col("part") == F.col("o_part")))
     rank = F.col("before") + F.row_number().over(Window.partitionBy("class", "part").orderBy("row")) - 1
     at = ranked.withColumn("rank", rank).join(dealt, (F.col("class") == F.col("s_class")) & (F.col("rank") >= F.col("since")) & (F.col("rank") < F.col("until")))
     nth = F.col("rank") - F.col("since")
     seated = at.withColumn("sequence_id", F.col("base") + F.floor(nth / F.col("each"))).withColumn("seat", F.col("place") + nth % F.col("each"))
     inside = Window.partitionBy("sequence_id").orderBy("seat").rowsBetween(Window.unboundedPreceding, -1)
-    return seated.select(
+    out = seated.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("sequence_id").cast("long").alias("sequence_id"),
-        F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"), *(["document", "ids"] if keep_ids else []),
+        F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"), "row",
     )
+    return (out.join(cutting.select("row", "document", "ids"), "row") if keep_ids else out).drop("row")
