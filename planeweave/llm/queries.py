@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_topk, language_id, lattice_lm, license_scan, oracle, ordinal_quality, packing, pii, quality_rules, simhash_dedup, source_mix
+from . import conversation_repair, exact_topk, fill_in_middle, language_id, lattice_lm, license_scan, line_dedup, oracle, oracle_structure
+from . import ordinal_quality, packing, pii, quality_rules, simhash_dedup, source_mix
 from .common import table
 
 
@@ -64,6 +65,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.conversation_repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,8 +86,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules, op2_lattice_lm, op3_license_scan, op4_exact_topk, op5_source_mix, op6_packing,
-        op7_simhash_dedup, op8_ordinal_quality, op9_pii, op10_language_id, pipeline,
+        op7_simhash_dedup, op8_ordinal_quality, op9_pii, op10_language_id,
+        op11_conversation_repair, op12_fill_in_middle, op13_line_dedup, pipeline,
     )
 
 }
-ORACLE_SQL: dict[str, str] = dict(oracle.ORACLE_SQL)
+ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL | oracle_structure.ORACLE_SQL
