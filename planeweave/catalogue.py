@@ -20,7 +20,7 @@ from planeweave.plans.evaluate import Evaluator, Session
 from planeweave.plans.graph import Graph
 from planeweave.plans.registry import REGISTRY
 from planeweave.plans.values import Image
-from planeweave.sources.tables import embeddings_plane, events_image
+from planeweave.sources.tables import embeddings_plane, events_image, pixel_table
 
 #: A factor of many digits: products with it never lie half way between two rounded values, which engines round apart.
 ODD = 0.8123456789
@@ -1051,5 +1051,51 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Exact multiples of one light merge back to it.
 add("hdr_merge", _merged, sql_image("greatest(r, 0.0)", "greatest(g, 0.0)", "greatest(b, 0.0)", "1.0"))
 
+
+
+def _exposures(spark: SparkSession, sf_dir: str, sources: dict[str, Image], params: dict) -> DataFrame:
+    g = Graph({"linear": True})
+    merge = g.add("math.hdr_merge", params=params)
+    for k, name in enumerate(sources, 1):
+        g.connect(g.add("io.image_input", params={"Color Space": 1, "File": name}), 0, merge, f"Image {k}")
+    return told(Evaluator(g, Session(spark, sources)).result(merge.id))
+
+
+def _handheld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The picture, and half its light taken three pixels further right and two higher."""
+    image = events_image(spark, sf_dir)
+    frame = image.frame
+    there = [F.least(F.greatest(F.col(c) + by, F.lit(0)), F.lit(n - 1)) for c, by, n in (("y", 2, frame.h), ("x", -3, frame.w))]
+    right = frame.df.select(F.col("y").alias("s_y"), F.col("x").alias("s_x"), *[F.col(n).alias(f"s{k}") for k, n in enumerate(image.names)])
+    moved = frame.df.select("img", "y", "x").join(right, (there[0] == F.col("s_y")) & (there[1] == F.col("s_x"))).select("img", "y", "x", *[(F.col(f"s{k}") * (0.5 if k < 3 else 1.0)).alias("rgba"[k]) for k in range(4)])
+    return _exposures(spark, sf_dir, {"events": image, "moved": pixel_table(moved, frame.w, frame.h)}, {})
+
+
+def _walked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three exposures; in the brightest a block of ten by ten pixels is dark."""
+    image = events_image(spark, sf_dir)
+    frame, block = image.frame, F.col("x").between(40, 49) & F.col("y").between(30, 39)
+    taken = lambda stops, hidden: pixel_table(frame.df.select("img", "y", "x", *[(F.col(n) * 2.0**stops * F.when(block & F.lit(hidden), 0.05).otherwise(1.0) if c != "a" else F.col(n)).alias(c) for n, c in zip(image.names, "rgba", strict=True)]), frame.w, frame.h)
+    return _exposures(spark, sf_dir, {"dark": taken(-2.0, False), "middle": taken(-1.0, False), "bright": taken(0.0, True)}, {"Deghost": 2})
+
+
+# Aligned, both show the same: the darker one at its own place.
+add("hdr_align", _handheld, sql_image(*(f"greatest({c} * 0.5, 0.0)" for c in "rgb"), source="mv", ctes=", mv AS (SELECT px.y, px.x, s.r, s.g, s.b, s.a FROM px JOIN px s ON s.y = least(greatest(px.y + 2, 0), px.h - 1) AND s.x = least(greatest(px.x - 3, 0), 99))"))
+add("hdr_deghost", _walked)
+
+
+def _patched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A disk in the middle, a fifth of the width across, rebuilt from the rest."""
+    g = Graph()
+    source, node = g.add("io.image_input", params={"Color Space": 2}), g.add("filter.remove", params={"Grow": 1.0})
+    image = events_image(spark, sf_dir)
+    mask = g.add("matte.ellipse_mask", params={"Width": 0.2, "Height": 20.0 / image.frame.h, "Feather": 0.0})
+    g.connect(source, 0, node, "Image")
+    g.connect(mask, 0, node, "Mask")
+    return told(Evaluator(g, Session(spark, {"events": image})).result(node.id))
+
+
+add("remove", _patched)
+
 # Literals with a point are decimals in the other engine; written with an exponent they are doubles, as here.
 ORACLE_SQL.update({n: re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", sql) for n, sql in ORACLE_SQL.items()})

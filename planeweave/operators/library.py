@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planeweave.plans.lineage import cut
+
 FILTERS = {
     "all": lambda: F.lit(True), "picked": lambda: F.col("flag") == 1, "not rejected": lambda: F.col("flag") >= 0, "rejected": lambda: F.col("flag") == -1, "edited": lambda: F.col("edited"),
     **{f"rating {n}": (lambda n=n: F.col("rating") >= n) for n in range(1, 6)}, **{f"label {n}": (lambda n=n: F.col("label") == n) for n in range(1, 6)}, "duplicates": lambda: F.col("group_id").isNotNull(),
@@ -58,7 +58,7 @@ def sorted_photos(photos: DataFrame, key: str, descending: bool = False) -> Data
 def numbered(photos: DataFrame, order: list[Column]) -> DataFrame:
     """``photos`` with their 1-based place in an order; ranges are numbered apart and moved by the rows before them."""
     parts = int(photos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = _checkpointed(photos.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()))
+    ranged = cut(photos.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()))
     # One row a range.
     sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
     before = sizes.select(F.col("range").alias("b_range"), (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
@@ -86,17 +86,6 @@ def add_to_collection(members: DataFrame, new: DataFrame) -> tuple[DataFrame, Da
     return members.unionByName(added), added
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Lineage cut in the session's shared folder; one of our own only in local mode without one."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not given and not sc._jsc.sc().isLocal():
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="planeweave-"))
-    return df.checkpoint()
-
-
 #: Five bands of a 64-bit hash: four differing bits leave one band alike.
 BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
@@ -126,13 +115,13 @@ def duplicate_pairs(hashes: DataFrame, bits: int = 4, aspect: float = 0.02) -> D
 
 def grouped(pairs: DataFrame) -> DataFrame:
     """(idx, group_id): group_id is the smallest index that can be reached; labels hop over labels until none moves."""
-    edges = _checkpointed(pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).distinct())
-    labels = _checkpointed(edges.groupBy(F.col("a").alias("idx")).agg(F.least("idx", F.min("b")).alias("group_id")))
+    edges = cut(pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).distinct())
+    labels = cut(edges.groupBy(F.col("a").alias("idx")).agg(F.least("idx", F.min("b")).alias("group_id")))
     while True:
         near = edges.join(labels, edges["b"] == labels["idx"]).groupBy(F.col("a").alias("n")).agg(F.min("group_id").alias("m"))
         moved = labels.join(near, F.col("idx") == F.col("n")).select("idx", F.least("group_id", "m").alias("g"))
         hop = moved.select(F.col("idx").alias("h"), F.col("g").alias("hg"))
-        new = _checkpointed(moved.join(hop, F.col("g") == F.col("h")).select("idx", F.least("g", "hg").alias("group_id")))
+        new = cut(moved.join(hop, F.col("g") == F.col("h")).select("idx", F.least("g", "hg").alias("group_id")))
         changed = new.withColumnRenamed("group_id", "now").join(labels, "idx").where(F.col("now") != F.col("group_id"))
         labels = new
         if changed.isEmpty():

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from planeweave.functions import maths as m
 from planeweave.plans.registry import REGISTRY, Call, Pin, Spec, choice, flag, number, operator, shape
-from planeweave.plans.values import Image
+from planeweave.plans.values import Frame, Image
 
-from .geometry import sample
+from .align import shifts
+from .geometry import nearest, sample
+from .stencil import blurred
 
 #: Camera turn at the ends of the sliders, in radians.
 MOST_TILT = math.radians(30.0)
@@ -157,24 +159,51 @@ def spot_removal(call: Call):
 FRAMES = 32
 
 
+#: Stops between exposures above which something moved, by strength; shares of full weight
+#: that the reference and a picture need to be judged; blur of the mask by the longer edge.
+GHOST_STOPS, GHOST_JUDGED, GHOST_BLUR = (0.0, 1.0, 0.6, 0.35), (0.2, 0.05), 0.004
+
+
+def _aligned(frame, light: list[list], lum: list, mid: str) -> list[list]:
+    """Columns of every exposure where it shows what the middle one shows at a pixel; the edge repeated."""
+    refs = frame.df.groupBy("img").agg(F.first(mid).alias("ref"))
+    found = shifts(frame.df, lum, refs, frame.w, frame.h)
+    moves = found.groupBy(F.col("img").alias("m_img")).agg(F.map_from_entries(F.collect_list(F.struct("picture", F.struct("dx", "dy")))).alias("moves"))
+    key, by = frame.name(), frame.name()
+    frame.df = frame.df.join(moves.select(F.col("m_img").alias(key), F.col("moves").alias(by)), F.col("img") == F.col(key), "left").drop(key)
+    names = [frame.add(*rgb) for rgb in light]
+    home, out = Frame(frame.df, frame.w, frame.h), []
+    for i, rgb in enumerate(names):
+        move = lambda k, i=i: F.coalesce(F.try_element_at(F.col(by), F.lit(i))[k], F.lit(0))
+        at = lambda c, k, n: m.clamp((F.col(c) + move(k)).cast("double"), 0, n - 1)
+        out.append([F.col(n) for n in nearest(Image(home, *rgb, rgb[0]), frame, at("x", "dx", frame.w), at("y", "dy", frame.h))[:3]])
+    return out
+
+
 def _hdr(call: Call):
-    """Exposures merged at the middle one's brightness; every frame must be aligned already.
+    """Exposures merged at the middle one's brightness.
 
-    Frames are scaled by the median ratio of pixels well exposed in both, then averaged by a hat
-    weight. Means and medians are one row per image, joined; medians take a grid of bounded size.
+    Frames are aligned to it, scaled by the median ratio of pixels well exposed in both, then averaged
+    by a hat weight, without those that disagree with it where Deghost is on. Means, shifts and medians
+    are one row per image, joined; medians take a grid of bounded size.
     """
     images = [i for k in range(1, FRAMES + 1) if (i := call.image(f"Image {k}")) is not None]
     if len(images) < 2:
         return images[0] if images else None
     frame, n = images[0].frame, len(images)
     light = [[F.col(c) for c in frame.add(*(c if call.linear else m.to_linear(c) for c in i.rgb))] for i in images]
-    lum = [F.col(c) for c in frame.add(*(m.luma(*rgb) for rgb in light))]
+    brightness = lambda light: [F.col(c) for c in frame.add(*(m.biggest(m.luma(*rgb), 0.0) for rgb in light))]
+    lum = brightness(light)
     key, stats, mid = frame.name(), frame.name(), frame.name()
     means = frame.df.groupBy("img").agg(F.array(*map(F.avg, lum)).alias(stats)).withColumnRenamed("img", key)
-    frame.df = frame.df.join(F.broadcast(means), F.col("img") == F.col(key)).drop(key)
+    frame.df = frame.df.join(means, F.col("img") == F.col(key)).drop(key)
     order = F.array_sort(F.transform(F.col(stats), lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
     frame.df = frame.df.withColumn(mid, F.element_at(order, (n - 1) // 2 + 1)["i"])
-    (ref,) = call.keep(F.element_at(F.array(*lum), F.col(mid) + 1))
+    if call["Auto Align"]:
+        light = _aligned(frame, light, lum, mid)
+        lum = brightness(light)
+    of_middle = lambda columns: F.element_at(F.array(*columns), F.col(mid) + 1)
+    (ref,) = call.keep(of_middle(lum))
     step = max(1, int(math.sqrt(frame.w * frame.h / 250_000)))
     fair = lambda v: (v > 0.01) & (v < 0.8)
     grid = frame.df.where((F.col("x") % step == 0) & (F.col("y") % step == 0))
@@ -182,7 +211,7 @@ def _hdr(call: Call):
     found, key = [frame.name() for _ in range(n)], frame.name()
     medians = grid.groupBy("img").agg(*[r.alias(c) for r, c in zip(ratios, found, strict=True)])
     medians = medians.select(F.col("img").alias(key), *[F.when(F.size(c) >= 50, F.element_at(c, F.floor(F.size(c) / 2).cast("int") + 1)).alias(c) for c in found])
-    frame.df = frame.df.join(F.broadcast(medians), F.col("img") == F.col(key)).drop(key)
+    frame.df = frame.df.join(medians, F.col("img") == F.col(key)).drop(key)
     mean = lambda i: F.element_at(F.col(stats), i + 1)
     ratio = [F.coalesce(F.col(c), mean(i) / F.greatest(F.element_at(F.col(stats), F.col(mid) + 1), F.lit(1e-6))) for i, c in enumerate(found)]
     scale = call.keep(*(F.when(F.col(mid) == i, 1.0).when(r > 1e-6, 1.0 / F.when(r > 1e-6, r).otherwise(1.0)).otherwise(1.0) for i, r in enumerate(ratio)))
@@ -194,9 +223,19 @@ def _hdr(call: Call):
         least = F.when(((s == dark) & (t > 0.5)) | ((s == bright) & (t <= 0.5)), 1e-3).otherwise(1e-6)
         weights.append(F.greatest(hat, least))
     weights = call.keep(*weights)
+    if call["Deghost"]:
+        judged = lambda w: (of_middle(weights) >= GHOST_JUDGED[0]) & (w >= GHOST_JUDGED[1])
+        apart = [F.abs(F.log2((v * s + 1e-4) / (ref + 1e-4))) for v, s in zip(lum, scale, strict=True)]
+        ghosts = frame.add(*(F.when(judged(w) & (d > GHOST_STOPS[call["Deghost"]]), 1.0).otherwise(0.0) for d, w in zip(apart, weights, strict=True)))
+        sigma = max(1.0, GHOST_BLUR * max(frame.w, frame.h))
+        soft = blurred(frame, ghosts, sigma, sigma)
+        weights = call.keep(*(F.when(F.col(mid) == i, F.greatest(w, F.lit(1e-6))).otherwise(w * m.clamp01(1.0 - 2.0 * F.col(g))) for i, (w, g) in enumerate(zip(weights, soft, strict=True))))
     total = sum(weights[1:], weights[0])
     merged = [sum((rgb[c] * s * w for rgb, s, w in zip(light, scale, weights, strict=True)), F.lit(0.0)) / total for c in range(3)]
-    return frame.image(*(m.biggest(c, 0.0) if call.linear else m.to_srgb(m.biggest(c, 0.0)) for c in merged), F.element_at(F.array(*(i.alpha for i in images)), F.col(mid) + 1))
+    return frame.image(*(m.biggest(c, 0.0) if call.linear else m.to_srgb(m.biggest(c, 0.0)) for c in merged), of_middle([i.alpha for i in images]))
 
 
-REGISTRY["math.hdr_merge"] = Spec("math.hdr_merge", tuple(Pin(f"Image {k}", "image") for k in range(1, FRAMES + 1)), (Pin("Image", "image"),), (), _hdr, lambda call: None)
+REGISTRY["math.hdr_merge"] = Spec(
+    "math.hdr_merge", tuple(Pin(f"Image {k}", "image") for k in range(1, FRAMES + 1)), (Pin("Image", "image"),),
+    (flag("Auto Align", True), choice("Deghost", "None|Low|Medium|High")), _hdr, lambda call: None,
+)
