@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import math
+
 from .license_scan import NOTICES, PHRASES
-from .quality_rules import GAMMA, RATES
+from .quality_rules import GAMMA, NONE, RATES
 
 _rates = list(RATES)
 _value = lambda b: f"CASE WHEN {b} <= 0 THEN 0.0 ELSE pow({GAMMA}, {b} - 1.0) END"
-_quantile = lambda q: f"list_sort(list(bucket))[CAST(ceil(count(*) * {q}::DOUBLE) AS INT)]"
+_nth = lambda what, q: f"list_sort(list(b) FILTER ({what}))[CAST(ceil(count(*) FILTER ({what}) * {q}::DOUBLE) AS INT)]"
+_wide = math.ceil(math.log(16.0) / math.log(GAMMA))
+_unit = "CASE rate " + " ".join(f"WHEN '{r}' THEN CASE WHEN {whole} > 0 THEN 10000.0 / {whole} ELSE 0.0 END" for r, whole in RATES.items() if whole) + " ELSE 0.0 END"
 
 
-def _fences(level: str, by: str) -> str:
+def _fences(level: str, by: str, last: bool) -> str:
+    """fence and jump of every rate and group: medians of units, then quartiles and the first wide gap of sorted buckets."""
     group = f"{by}, rate" if by else "rate"
-    tail = "CASE rate " + " ".join(f"WHEN '{r}' THEN {_quantile(t)}" for r, t in RATES.items()) + " END"
-    q = f"SELECT {group}, count(*) AS n, {_quantile(0.25)} AS q1, {_quantile(0.75)} AS q3, {tail} AS high FROM sketch GROUP BY {group}"
-    return f"{level} AS (SELECT *, greatest({_value('q3')} + 4.0 * (({_value('q3')}) - ({_value('q1')})), {_value('high')}) AS fence FROM ({q}))"
+    units = f"(SELECT *, quantile_disc(unit_bucket, 0.5) OVER (PARTITION BY {group}) AS u FROM sketch)"
+    held = f"(SELECT {group}, u, greatest(bucket, u) AS b FROM {units})"
+    steps = f"(SELECT *, lead(b) OVER (PARTITION BY {group} ORDER BY b) AS after, row_number() OVER (PARTITION BY {group} ORDER BY b) AS nth, count(*) OVER (PARTITION BY {group}) AS total FROM {held})"
+    shown = "b > u OR u = 0"
+    q = (
+        f"SELECT {group}, count(*) AS total, count(*) FILTER ({shown}) AS showing, {_nth(shown, 0.25)} AS q1, {_nth(shown, 0.75)} AS q3, "
+        f"min(b + after) FILTER (nth >= ceil(total * 0.75::DOUBLE) AND after - b >= {_wide}) AS ends FROM {steps} GROUP BY {group}"
+    )
+    fence = f"coalesce(CASE WHEN q3 IS NOT NULL THEN {_value('(q3 + 4.0 * (q3 - q1))')} END, {NONE})"
+    jump = f"coalesce(CASE WHEN ends IS NOT NULL THEN {_value('ends / 2.0')} END, {NONE})"
+    if not last:
+        fence, jump = f"CASE WHEN showing >= 200 THEN {fence} END", f"CASE WHEN total >= 200 THEN {jump} END"
+    return f"{level} AS (SELECT {group}, {fence} AS fence, {jump} AS jump FROM ({q}))"
 
 
 QUALITY = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
@@ -26,10 +41,11 @@ c AS (SELECT w.rid, doc_id, lang, source, len(ws) AS n_words, CAST(length(array_
  len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words FROM w LEFT JOIN cov ON w.rid = cov.rid),
 m AS (SELECT *, CASE WHEN word_chars > 0 THEN CAST(floor(n_symbols * 10000 / word_chars) AS BIGINT) ELSE 0 END AS symbol_rate, CASE WHEN n_lines > 0 THEN CAST(floor(n_dup_lines * 10000 / n_lines) AS BIGINT) ELSE 0 END AS dup_line_rate,
  CASE WHEN n_words > 0 THEN CAST(floor(n_repeat_words * 10000 / n_words) AS BIGINT) ELSE 0 END AS repeat_rate, CASE WHEN n_words > 0 THEN CAST(floor(word_chars * 100 / n_words) AS BIGINT) ELSE 0 END AS word_length FROM c),
-u AS (SELECT lang, source, unnest([{', '.join(f"'{r}'" for r in _rates)}]) AS rate, unnest([{', '.join(_rates)}]) AS v FROM m WHERE n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words),
-sketch AS (SELECT lang, source, rate, CASE WHEN v <= 0 THEN 0 ELSE 1 + CAST(ceil(ln(v) / ln({GAMMA})) AS INT) END AS bucket FROM u),
-{_fences('f1', 'lang, source')}, {_fences('f2', 'lang')}, {_fences('f3', '')},
-lim AS (SELECT f1.lang, f1.source, f1.rate, CASE WHEN f1.n >= 200 THEN f1.fence WHEN f2.n >= 200 THEN f2.fence ELSE f3.fence END AS fence FROM f1 JOIN f2 ON f1.lang IS NOT DISTINCT FROM f2.lang AND f1.rate = f2.rate JOIN f3 ON f1.rate = f3.rate),
+u AS (SELECT lang, source, word_chars, n_lines, n_words, unnest([{', '.join(f"'{r}'" for r in _rates)}]) AS rate, unnest([{', '.join(_rates)}]) AS v FROM m WHERE n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words),
+e AS (SELECT *, {_unit} AS one FROM u),
+sketch AS (SELECT lang, source, rate, CASE WHEN v <= 0 THEN 0 ELSE 1 + CAST(ceil(ln(v) / ln({GAMMA})) AS INT) END AS bucket, CASE WHEN one <= 0 THEN 0 ELSE 1 + CAST(ceil(ln(one) / ln({GAMMA})) AS INT) END AS unit_bucket FROM e),
+{_fences('f1', 'lang, source', False)}, {_fences('f2', 'lang', False)}, {_fences('f3', '', True)},
+lim AS (SELECT f1.lang, f1.source, f1.rate, least(coalesce(f1.fence, f2.fence, f3.fence), coalesce(f1.jump, f2.jump, f3.jump)) AS fence FROM f1 JOIN f2 ON f1.lang IS NOT DISTINCT FROM f2.lang AND f1.rate = f2.rate JOIN f3 ON f1.rate = f3.rate),
 p AS (SELECT lang, source, {', '.join(f"max(fence) FILTER (rate = '{r}') AS {r}_limit" for r in RATES)} FROM lim GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {' AND '.join(f'{r} <= {r}_limit' for r in _rates)} AS kept, {', '.join(_rates)}, {', '.join(f'round({r}_limit, 3) AS {r}_limit' for r in _rates)}

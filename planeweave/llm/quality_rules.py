@@ -2,10 +2,15 @@
 
 Every text is parsed once into a narrow table of counts. Each rate is then summarised by a
 log-bucket quantile sketch: a count per bucket, so sketches of partitions, sources and languages
-merge by addition. Only texts that pass the base rule are in a sketch. A group's limit is its upper
-quartile plus a multiple of its interquartile range, or a high quantile where that is more: rates that
-are 0 in most texts have no quartiles to speak of. No limit is a fixed rate. Groups with little support
-use the merged sketch of their language, then of everything.
+merge by addition. Only texts that pass the base rule are in a sketch. No limit is a fixed rate.
+
+Rates that are 0 in most texts have no quartiles to speak of, and one sign in a short text is not a
+rate. So a group's yardstick is its unit, one event in its median text; what lies at or below counts as
+none. Two things set a limit. Of the texts that show a rate at all: their upper quartile times a
+power of its ratio to the lower one (a quartile fence of logarithms, as rates are skewed). And of all texts: the first gap of the sketch above the upper
+quartile in which rates grow ``gap``-fold without any text between, taken at its middle; it parts
+another kind of text from the rest. Without either there is no limit. Groups with little support use
+the merged sketch of their language, then of everything.
 
 Defined results: a null or empty text has no words and fails the base rule; null ``lang`` or
 ``source`` is a group of its own; repeated rows are rows of their own; an empty table gives an
@@ -14,16 +19,18 @@ empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_words, written
 
 SYMBOLS = "#*$%&|<>"
-#: Rates in ten-thousandths (word length: hundredths of a character), and the quantile of its group that
-#: each limit never falls below, so that a rule rejects at most the rest of a group: prose has next to no
-#: symbols, while lists and refrains repeat lines and words in good texts too.
-RATES = {"symbol_rate": 0.90, "dup_line_rate": 0.99, "repeat_rate": 0.99, "word_length": 0.75}
+#: Rates in ten-thousandths (word length: hundredths of a character) and what they are shares of.
+RATES = {"symbol_rate": "word_chars", "dup_line_rate": "n_lines", "repeat_rate": "n_words", "word_length": None}
+#: The limit of a group that has none.
+NONE = 1e12
 GAMMA = 1.04
 
 
@@ -63,37 +70,49 @@ def bucket(value: Column) -> Column:
     return F.when(value <= 0, F.lit(0)).otherwise(1 + F.ceil(F.ln(value.cast("double")) / F.log(F.lit(GAMMA)))).cast("int")
 
 
-def limits(measured: DataFrame, spread: float, support: int) -> DataFrame:
+def limits(measured: DataFrame, spread: float, gap: float, support: int) -> DataFrame:
     """One row per language and source of ``measured`` with the limit of every rate."""
-    pairs = measured.groupBy("lang", "source", *[bucket(F.col(r)).alias(f"b_{r}") for r in RATES]).agg(F.count("*").alias("n"))
-    sketch = pairs.select("lang", "source", "n", F.inline(F.array(*[F.struct(F.lit(r).alias("rate"), F.col(f"b_{r}").alias("bucket")) for r in RATES])))
-    own = sketch.groupBy("lang", "source", "rate", "bucket").agg(F.sum("n").alias("n"))
-    groups = {"own": ["lang", "source"], "lang": ["lang"], "all": []}
+    unit = lambda whole: F.when(F.col(whole) > 0, 10000 / F.col(whole)).otherwise(0.0) if whole else F.lit(0.0)
+    series = F.inline(F.array(*[F.struct(F.lit(r).alias("rate"), F.lit(u).alias("is_unit"), bucket(unit(whole) if u else F.col(r)).alias("bucket")) for r, whole in RATES.items() for u in (False, True)]))
+    own = measured.select("lang", "source", series).groupBy("lang", "source", "rate", "is_unit", "bucket").agg(F.count("*").alias("n"))
     keys = own.select("lang", "source", "rate").distinct()
-    for level, by in groups.items():
-        merged = own.groupBy(*by, "rate", "bucket").agg(F.sum("n").alias("n"))
-        w = Window.partitionBy(*by, "rate")
-        ranked = merged.withColumn("total", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
-        at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * q), F.col("bucket")))
-        # A bucket stands for its upper end; bucket 0 for 0.
-        value = lambda b: F.when(b <= 0, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), b - 1.0))
-        tail = F.coalesce(*[F.when(F.col("rate") == r, F.lit(level_)) for r, level_ in RATES.items()])
-        q = ranked.groupBy(*by, "rate").agg(F.max("total").alias("total"), at(0.25).alias("q1"), at(0.75).alias("q3"), at(tail).alias("high"))
-        fence = value(F.col("q3")) + spread * (value(F.col("q3")) - value(F.col("q1")))
-        q = q.select(*[F.col(c).alias(f"k_{c}") for c in [*by, "rate"]], "total", F.greatest(fence, value(F.col("high"))).alias("fence"))
+    # A bucket stands for its upper end; bucket 0 for 0.
+    value = lambda b: F.when(b <= 0, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), b - 1.0))
+    for level, by in {"own": ["lang", "source"], "lang": ["lang"], "all": []}.items():
+        merged = own.groupBy(*by, "rate", "is_unit", "bucket").agg(F.sum("n").alias("n"))
+        of = Window.partitionBy(*by, "rate", "is_unit")
+        running = of.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        # The unit: the median of what one event is.
+        halves = merged.withColumns({"upto": F.sum("n").over(running), "total": F.sum("n").over(of)})
+        middle = F.min(F.when(F.col("is_unit") & (F.col("upto") >= F.ceil(F.col("total") * 0.5)), F.col("bucket"))).over(Window.partitionBy(*by, "rate"))
+        rated = halves.withColumn("unit", middle).where("not is_unit").groupBy(*by, "rate", "unit", F.greatest("bucket", "unit").alias("bucket")).agg(F.sum("n").alias("n"))
+        shown = F.when((F.col("bucket") > F.col("unit")) | (F.col("unit") == 0), F.col("n")).otherwise(0)
+        of = Window.partitionBy(*by, "rate")
+        running = of.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = rated.withColumns({
+            "upto": F.sum("n").over(running), "total": F.sum("n").over(of), "seen": F.sum(shown).over(running), "showing": F.sum(shown).over(of), "next": F.lead("bucket").over(of.orderBy("bucket")),
+        })
+        at = lambda q: F.min(F.when((F.col("showing") > 0) & (F.col("seen") >= F.ceil(F.col("showing") * q)), F.col("bucket")))
+        parted = (F.col("upto") >= F.ceil(F.col("total") * 0.75)) & (F.col("next") - F.col("bucket") >= math.ceil(math.log(gap) / math.log(GAMMA)))
+        q = ranked.groupBy(*by, "rate").agg(F.max("total").alias("total"), F.max("showing").alias("showing"), at(0.25).alias("q1"), at(0.75).alias("q3"), F.min(F.when(parted, F.col("bucket") + F.col("next"))).alias("ends"))
+        last = F.lit(level == "all")
+        fence = F.when(last | (F.col("showing") >= support), F.coalesce(value(F.col("q3") + spread * (F.col("q3") - F.col("q1"))), F.lit(NONE)))
+        jump = F.when(last | (F.col("total") >= support), F.coalesce(value(F.col("ends") / 2), F.lit(NONE)))
+        q = q.select(*[F.col(c).alias(f"k_{c}") for c in [*by, "rate"]], fence.alias(f"fence_{level}"), jump.alias(f"jump_{level}"))
         on = F.col("rate") == F.col("k_rate")
         for c in by:
             on &= F.col(c).eqNullSafe(F.col(f"k_{c}"))
-        enough = F.col("total") >= support if level != "all" else F.lit(True)
-        keys = keys.join(q, on, "left").withColumn(f"f_{level}", F.when(enough, F.col("fence"))).drop("total", "fence", *[f"k_{c}" for c in [*by, "rate"]])
-    found = keys.withColumn("limit", F.coalesce("f_own", "f_lang", "f_all"))
+        keys = keys.join(q, on, "left").drop(*[f"k_{c}" for c in [*by, "rate"]])
+    limit = F.least(*[F.coalesce(*[F.col(f"{kind}_{level}") for level in ("own", "lang", "all")]) for kind in ("fence", "jump")])
+    found = keys.withColumn("limit", limit)
     return found.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rate") == r, F.col("limit"))).alias(f"{r}_limit") for r in RATES])
 
 
-def quality_rules(docs: DataFrame, spread: float = 4.0, support: int = 200) -> DataFrame:
+def quality_rules(docs: DataFrame, spread: float = 4.0, gap: float = 16.0, support: int = 200) -> DataFrame:
     """Base counts, the rates, the limits that hold for each row and the verdict ``kept``.
 
-    ``spread``: interquartile ranges above the upper quartile; ``support``: rows a sketch needs.
+    ``spread``: the power of the quartiles' ratio; ``gap``: how many-fold rates must grow
+    without a text between; ``support``: rows a sketch needs. A limit of ``NONE`` is none.
     """
     per = lambda part, whole, unit: F.when(F.col(whole) > 0, F.floor(F.col(part) * unit / F.col(whole))).otherwise(0).cast("long")
     counts = counted(docs).select(
@@ -105,7 +124,7 @@ def quality_rules(docs: DataFrame, spread: float = 4.0, support: int = 200) -> D
     )
     measured = written(counts)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rules = limits(measured.where(~failed), spread, support).withColumnsRenamed({"lang": "k_lang", "source": "k_source"})
+    rules = limits(measured.where(~failed), spread, gap, support).withColumnsRenamed({"lang": "k_lang", "source": "k_source"})
     within = F.lit(True)
     for r in RATES:
         within &= F.col(r) <= F.col(f"{r}_limit")
