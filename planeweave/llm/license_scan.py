@@ -4,8 +4,9 @@ All rolling word 3-gram hashes of every text are joined to the positions of 3-gr
 templates (a table of fixed size); a match votes for the diagonal "place in text minus place in
 template". A base phrase stands where its diagonal has all votes. Longer notices may have words put
 in or left out: their neighbouring diagonals are merged and the span is verified by the share of
-template words that matching 3-grams cover within a stretch of twice the template's words. The join
-also compares the 3-grams themselves.
+template words that matching 3-grams cover within a stretch of twice the template's words, and by the
+words that decide: of a notice of another license that shares 3-grams with it, the span must hold at
+least one 3-gram that the other lacks. The join also compares the 3-grams themselves.
 
 Defined results: null or empty text has no words, no place, empty labels and score 0; rows that
 repeat a doc_id and text give equal rows; an empty table gives an empty result; other columns of the
@@ -32,13 +33,23 @@ PHRASES = [
 NOTICES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("gpl-2", "licensed under the gnu general public license version 2"),
+    ("gpl-2", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
     ("gpl-3", "licensed under the gnu general public license version 3"),
     ("gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl-2.1", "licensed under the gnu lesser general public license version 2 1"),
+    ("lgpl-2.1", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl-3", "licensed under the gnu lesser general public license version 3"),
+    ("lgpl-3", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl-3", "licensed under the gnu affero general public license version 3"),
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-sa", "licensed under a creative commons attribution sharealike"),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial"),
+    ("cc-by-nd", "licensed under a creative commons attribution noderivatives"),
 ]
 
 
@@ -48,13 +59,26 @@ def license_words(text: Column) -> Column:
     return F.array_remove(F.split(lowered, SEPARATORS), "")
 
 
+def rivals() -> dict[int, dict[int, set[str]]]:
+    """For every notice the notices of other licenses that share 3-grams with it, and what they lack of it."""
+    told = [*PHRASES, *NOTICES]
+    grams = [{" ".join(w[at : at + K]) for at in range(len(w) - K + 1)} for w in (words.split() for _, words in told)]
+    later = range(len(PHRASES), len(told))
+    return {n: {o: grams[n] - grams[o] for o in later if told[o][0] != told[n][0] and grams[n] & grams[o] and grams[n] - grams[o]} for n in later}
+
+
 def templates(spark: SparkSession) -> DataFrame:
-    """Every 3-gram of every template with its place; as many rows as the constants above have words."""
-    rows = []
+    """Every 3-gram of every template with its place; as many rows as the constants above have words.
+
+    ``others``: the template's rivals; ``beats``: those that lack this 3-gram.
+    """
+    rows, against = [], rivals()
     for n, (label, words) in enumerate([*PHRASES, *NOTICES]):
-        w = words.split()
-        rows += [(n, label, n < len(PHRASES), len(w), at, " ".join(w[at : at + K])) for at in range(len(w) - K + 1)]
-    made = spark.createDataFrame(rows, "template int, label string, exact boolean, template_words int, at int, t_gram string")
+        w, of = words.split(), against.get(n, {})
+        for at in range(len(w) - K + 1):
+            gram = " ".join(w[at : at + K])
+            rows.append((n, label, n < len(PHRASES), len(w), at, gram, sorted(of), sorted(o for o, lacked in of.items() if gram in lacked)))
+    made = spark.createDataFrame(rows, "template int, label string, exact boolean, template_words int, at int, t_gram string, others array<int>, beats array<int>")
     w = F.split("t_gram", " ")
     return made.withColumn("t_hash", F.xxhash64(w[0], w[1], w[2]))
 
@@ -76,7 +100,7 @@ def votes(docs: DataFrame) -> DataFrame:
     rolled = words.select("doc_id", "text_hash", F.inline(grams))
     known = F.broadcast(templates(docs.sparkSession))
     hit = rolled.join(known, (F.col("hash") == F.col("t_hash")) & (F.col("gram") == F.col("t_gram")))
-    return hit.select("doc_id", "text_hash", "template", "label", "exact", "template_words", "at", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
+    return hit.select("doc_id", "text_hash", "template", "label", "exact", "template_words", "others", "beats", "at", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
 
 
 def license_scan(docs: DataFrame, coverage: float = 0.6, drift: int = 8) -> DataFrame:
@@ -98,14 +122,15 @@ def license_scan(docs: DataFrame, coverage: float = 0.6, drift: int = 8) -> Data
     for n in sorted({len(words.split()) for _, words in NOTICES}):
         reach = F.when(~F.col("exact") & (F.col("template_words") == n), F.collect_set(at3).over(along.rangeBetween(0, 2 * n - K))).otherwise(reach)
     spans = spans.withColumn("pos", F.col("diagonal") + F.col("at")).withColumn("near", F.size(F.array_distinct(F.flatten(reach))))
-    merged = spans.groupBy(*key, "template", "label", "exact", "template_words", "span").agg(
+    merged = spans.groupBy(*key, "template", "label", "exact", "template_words", "others", "span").agg(
         F.min("pos").alias("first"),
         F.max("near").alias("near"),
         # Bounded by the template's words.
         F.size(F.array_distinct(F.flatten(F.collect_set(at3)))).alias("covered"),
+        F.flatten(F.collect_set("beats")).alias("beaten"),
     )
     share = F.col("covered") / F.col("template_words")
-    verified = F.when(F.col("exact"), F.col("covered") == F.col("template_words")).otherwise(F.col("near") / F.col("template_words") >= coverage)
+    verified = F.when(F.col("exact"), F.col("covered") == F.col("template_words")).otherwise((F.col("near") / F.col("template_words") >= coverage) & (F.size(F.array_except("others", "beaten")) == 0))
     judged = merged.withColumn("share", share).withColumn("verified", verified)
     base = F.col("exact") & F.col("verified")
     told = judged.groupBy(*key).agg(

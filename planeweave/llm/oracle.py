@@ -67,8 +67,13 @@ span AS (SELECT *, sum(CASE WHEN before IS NULL OR (exact AND dg <> before) OR (
 stretch AS (SELECT s.rid, s.template, s.span, s.dg + s.tp AS at, len(list_distinct(flatten(list([o.tp, o.tp + 1, o.tp + 2])))) AS near FROM span s JOIN span o ON s.rid = o.rid AND s.template = o.template AND s.span = o.span
  WHERE NOT s.exact AND o.dg + o.tp BETWEEN s.dg + s.tp AND s.dg + s.tp + 2 * s.nw - 3 GROUP BY s.rid, s.template, s.span, s.dg, s.tp),
 best AS (SELECT rid, template, span, max(near) AS near FROM stretch GROUP BY ALL),
+pair AS (SELECT DISTINCT a.template, b.template AS other FROM t a JOIN t b ON a.gram = b.gram AND a.label <> b.label WHERE NOT a.exact AND NOT b.exact),
+lacks AS (SELECT p.template, p.other, a.tp FROM pair p JOIN t a ON a.template = p.template WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.template = p.other AND b.gram = a.gram)),
+needed AS (SELECT template, count(DISTINCT other) AS n_others FROM lacks GROUP BY template),
+won AS (SELECT s.rid, s.template, s.span, count(DISTINCT l.other) AS n_won FROM span s JOIN lacks l ON s.template = l.template AND s.tp = l.tp GROUP BY ALL),
 merged AS (SELECT rid, template, label, exact, nw, span, min(dg + tp) AS f, len(list_distinct(flatten(list([tp, tp + 1, tp + 2])))) AS covered FROM span GROUP BY ALL),
-judged AS (SELECT m.*, covered / nw AS share, CASE WHEN exact THEN covered = nw ELSE near / nw >= 0.6 END AS verified FROM merged m LEFT JOIN best b ON m.rid = b.rid AND m.template = b.template AND m.span = b.span),
+judged AS (SELECT m.*, covered / nw AS share, CASE WHEN exact THEN covered = nw ELSE near / nw >= 0.6 AND coalesce(n_won, 0) = coalesce(n_others, 0) END AS verified
+ FROM merged m LEFT JOIN best b ON m.rid = b.rid AND m.template = b.template AND m.span = b.span LEFT JOIN needed d ON m.template = d.template LEFT JOIN won ON m.rid = won.rid AND m.template = won.template AND m.span = won.span),
 told AS (SELECT rid, count(*) FILTER (exact AND verified) AS n_base, min(f) FILTER (exact AND verified) AS first_word, max(f) FILTER (exact AND verified) AS last_word,
  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact AND verified) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (verified) AS labels, max(share) AS score FROM judged GROUP BY rid)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0.0), 9) AS score FROM w LEFT JOIN told ON w.rid = told.rid"""

@@ -98,6 +98,20 @@ def test_one_sign_is_no_rate(spark):
     assert all(r.kept == (r.doc_id < 2000) for r in found if not r.base_failed) and sum(r.doc_id >= 2000 and not r.base_failed for r in found) > 10
 
 
+def test_each_notice_has_its_own_label(spark):
+    """A notice gets its license's label and no other, also with a word put in; without its deciding words none."""
+    told = list(license_scan.NOTICES)
+    rows = [(i, f"Before it. {words} and after") for i, (_, words) in enumerate(told)]
+    rows += [(100 + i, " ".join([*words.split()[:4], "really", *words.split()[4:]])) for i, (_, words) in enumerate(told)]
+    rows += [(200, "licensed under the gnu general public license"), (201, "licensed under a creative commons attribution"), (202, "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation")]
+    found = {r.doc_id: r.labels for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, words) in enumerate(told):
+        assert found[i] == label, words
+        assert found[100 + i] in (label, ""), words  # a short notice may fall below its coverage
+        assert found[100 + i] == label or len(words.split()) < 10
+    assert found[200] == found[201] == found[202] == ""
+
+
 def test_license_scan(docs, rows, nothing):
     told, found = texts(rows), by_id(license_scan.license_scan(docs))
     assert len(found) == len(rows)
@@ -126,10 +140,10 @@ def test_notices_in_a_row_are_verified(spark):
 
 
 def test_repeated_notices_keep_their_label_and_only_ascii_is_lowered(spark):
-    rows = [(n * 10 + k, " ".join([words] * n)) for k, (_, words) in enumerate(license_scan.NOTICES) for n in range(1, 6)]
-    got = {r.doc_id: r.labels for r in license_scan.license_scan(spark.createDataFrame([*rows, (900, "UNDER THE MİT LICENSE"), (901, "UNDER THE MIT LICENSE")], "doc_id long, text string")).collect()}
-    assert all(license_scan.NOTICES[i % 10][0] in got[i].split(",") for i, _ in rows)
-    assert (got[900], got[901]) == ("", "mit")
+    rows = [(n * 100 + k, " ".join([words] * n)) for k, (_, words) in enumerate(license_scan.NOTICES) for n in range(1, 6)]
+    got = {r.doc_id: r.labels for r in license_scan.license_scan(spark.createDataFrame([*rows, (9000, "UNDER THE MİT LICENSE"), (9001, "UNDER THE MIT LICENSE")], "doc_id long, text string")).collect()}
+    assert all(license_scan.NOTICES[i % 100][0] in got[i].split(",") for i, _ in rows)
+    assert (got[9000], got[9001]) == ("", "mit")
 
 
 def test_source_mix(docs, rows, nothing):
