@@ -8,8 +8,9 @@ order of rows nor a rerun changes a result.
 
 Rates become copies by systematic rounding along each source's documents in order of size: running
 sums of the fractions are made within range partitions and joined by the partitions' totals, so a
-source that holds most rows is spread over many tasks. One document per source takes up what
-rounding left.
+source that holds most rows is spread over many tasks. One document per source has a copy more or less
+where that takes up what rounding left. Documents are taken whole: a source's words miss its target by
+up to half a document, and more where it has only one or two.
 
 Defined results: null or empty text has size 0 and takes nothing; a null source comes last; a source
 without words has target 0; rows that repeat a doc_id are rows of their own; an empty table gives an
@@ -21,10 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_words, cut, written
+from .common import ascii_words, cut, discard, written
 
 UNIT = 1 << 20
 PROBES = 15
+#: Rows of a table by source that are sent to every task.
+FEW = 100_000
 
 
 def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
@@ -100,7 +103,8 @@ def balanced(histogram: DataFrame, goals: DataFrame, cap: float) -> DataFrame:
         step = F.when((newton > F.col("low")) & (newton < F.col("high")), newton).otherwise((F.col("low") + F.col("high")) / 2)
         # Within half a word, or as near as the bracket can tell.
         done = F.col("done") | F.coalesce((F.abs("excess") <= 0.5) | (F.col("high") - F.col("low") < 1e-12), F.lit(True))
-        state = cut(narrowed.withColumn("multiplier", F.when(done, F.col("multiplier")).otherwise(step)).withColumn("done", done).drop("excess", "slope"))
+        state, last = cut(narrowed.withColumn("multiplier", F.when(done, F.col("multiplier")).otherwise(step)).withColumn("done", done).drop("excess", "slope")), state
+        discard(last)
     return state
 
 
@@ -119,57 +123,44 @@ def rounded(docs: DataFrame, part: str) -> DataFrame:
     return summed.withColumn("copies", (F.floor("rate") + extra).cast("long")).drop("o_source", "o_part", "offset", "upto", "part_of_one")
 
 
+def _sent(per_source: DataFrame) -> DataFrame:
+    """A written table of a row per source, sent to all tasks up to ``FEW`` rows, so that no source's
+    documents meet in one task; beyond that joined by key, where Spark splits a skewed one."""
+    return F.broadcast(per_source) if per_source.count() <= FEW else per_source
+
+
 def drawn(docs: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
-    """Every document with its source's target, its rate, whole copies and the words it has room for."""
+    """Every document with its source's target, its rate and whole copies."""
     spark = docs.sparkSession
     sized = written(docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.size(ascii_words(F.col("text"))).cast("long").alias("size")))
     solved = balanced(sized.groupBy("source", "size").agg(F.count("*").alias("n")), targets(sized, weights, cap), cap)
     solved = solved.select(F.col("source").alias("s_source"), "source_size", "mean_size", "target", "multiplier")
     rate = F.when(F.col("size") > 0, F.when(F.col("multiplier") == float("inf"), F.lit(float(cap))).otherwise(_rate(F.col("multiplier"), F.col("size"), F.col("mean_size"), cap))).otherwise(0.0)
-    rated = sized.join(solved, sized["source"].eqNullSafe(solved["s_source"])).drop("s_source").withColumn("rate", rate)
+    rated = sized.join(_sent(written(solved)), F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source").withColumn("rate", rate)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = rated.withColumn("order", F.xxhash64("doc_id"))
     ranged = written(
         keyed.repartitionByRange(parts, F.col("source"), F.col("size"), F.col("order")).withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()})
     )
-    whole = rounded(ranged, "part").withColumn("room", F.floor(F.col("size") * cap).cast("long") - F.col("copies") * F.col("size"))
-    return written(whole)
+    whole = written(rounded(ranged, "part"))
+    discard(sized, ranged)
+    return whole
 
 
 def source_mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0) -> DataFrame:
-    """doc_id, size, source_size, target, rate, copies, taken, text_hash; one row per document.
-
-    ``taken``: copies times size, but for the one document of each source whose last copy is cut short
-    or goes on into one more, so that the source's words meet its target.
-    """
-    whole = drawn(docs, weights, cap)
-    # One document per source takes up the rest: the one with most room, or the one with most to give.
-    rest = whole.groupBy("source").agg(
-        (F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"),
-        F.max(F.struct("room", "order", "doc_id", "row")).alias("taker"),
-        F.max(F.struct((F.col("copies") * F.col("size")).alias("has"), "order", "doc_id", "row")).alias("giver"),
-    )
-    change = F.when(F.col("gap") > 0, F.least(F.round("gap"), F.col("taker.room"))).otherwise(-F.least(F.round(-F.col("gap")), F.col("giver.has"))).cast("long")
-    rest = rest.select(F.when(F.col("gap") > 0, F.col("taker.row")).otherwise(F.col("giver.row")).alias("c_row"), change.alias("change"))
-    out = whole.join(rest, whole["row"] == rest["c_row"], "left")
-    return out.select(
-        "doc_id", "size", "source_size", "target", "rate", "copies",
-        (F.col("copies") * F.col("size") + F.coalesce("change", F.lit(0))).alias("taken"), "text_hash",
-    )
-
-
-def whole_copies(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0) -> DataFrame:
-    """doc_id, source, size, copies, text_hash; one row per document, none of them taken in part.
+    """doc_id, source, size, source_size, target, rate, copies, taken (copies times size), text_hash.
 
-    The one document of each source whose size is nearest to what rounding left has a copy more or
-    less, where that brings the source's words nearer to their target.
+    One row per document, none of them taken in part: rates rounded into copies. The one document of
+    each source whose size is nearest to what rounding left has a copy more or less, where that brings
+    the source's words nearer to their target.
     """
     whole = drawn(docs, weights, cap)
-    gaps = whole.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap")).withColumnRenamed("source", "g_source")
-    left = whole.join(gaps, whole["source"].eqNullSafe(gaps["g_source"]))
+    gaps = written(whole.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap")).withColumnRenamed("source", "g_source"))
+    left = whole.join(_sent(gaps), F.col("source").eqNullSafe(F.col("g_source")))
     off = F.abs(F.abs("gap") - F.col("size"))
     able = F.when(F.col("gap") > 0, F.col("copies") + 1 <= cap).otherwise(F.col("copies") > 0)
     nearest = left.where(able & (off < F.abs("gap"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), "order", "doc_id", "row")).alias("one"), F.max(F.signum("gap")).cast("long").alias("more"))
-    nearest = nearest.select(F.col("one.row").alias("c_row"), "more")
-    out = whole.join(nearest, whole["row"] == nearest["c_row"], "left")
-    return out.select("doc_id", "source", "size", (F.col("copies") + F.coalesce("more", F.lit(0))).alias("copies"), "text_hash")
+    nearest = _sent(written(nearest.select(F.col("one.row").alias("c_row"), "more")))
+    copies = F.col("copies") + F.coalesce("more", F.lit(0))
+    out = whole.join(nearest, F.col("row") == F.col("c_row"), "left").withColumn("copies", copies)
+    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_hash")
