@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planeweave.llm import language_id, packing, pii, simhash_dedup, source_mix
-from planeweave.llm.common import table, written
+from planeweave.llm.common import discard, leave, stage, table, written
 from planeweave.llm.queries import tokenizer_files
 
 #: A document stays unless it has no letter or no language is likelier than this.
@@ -32,6 +32,7 @@ def _columns(held: DataFrame, docs: DataFrame) -> DataFrame:
     return held.select(*[F.col(f"held.`{c}`").alias(c) for c in docs.columns])
 
 
+@stage
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those whose language the network can't tell.
 
@@ -50,6 +51,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return docs.where(known(F.col("text")))
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group: that of smallest doc_id (null last), then of smallest hash of its text.
 
@@ -66,6 +68,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return _columns(stays, docs)
 
 
+@stage
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Identifiers in texts become their kind in brackets; n_chars follows.
 
@@ -77,13 +80,14 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, always whole, as often as the mix takes it; those it takes zero times go.
 
     Rows of equal doc_id, source and text are one document that is taken as often as all. Texts without
     a word have no size and are not taken; an empty table gives an empty one.
     """
-    taken = source_mix.whole_copies(docs.select("doc_id", "source", "text")).where("size > 0")
+    taken = source_mix.source_mix(docs.select("doc_id", "source", "text")).where("size > 0")
     key = [F.col("doc_id").alias("m_doc_id"), F.col("source").alias("m_source"), F.col("text_hash").alias("m_hash")]
     taken = written(taken.groupBy(*key).agg(F.count("*").alias("rows"), F.sum("copies").alias("copies")))
     held = _held(docs).withColumn("hash", F.xxhash64("held.text"))
@@ -94,6 +98,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _columns(joined.select("held", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")), docs)
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the tokenized documents with their ids, their document's row, their sequence and offset.
 
@@ -116,7 +121,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+    """The last stage's result, written; what the stages leave between them goes as soon as it is read."""
+    given = docs = table(spark, sf_dir, "documents")
+    for _, step in STAGES:
+        made = written(step(spark, docs, sf_dir))
+        if docs is not given:
+            discard(docs)
+        docs = made
+    leave()
     return docs
