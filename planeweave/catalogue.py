@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import planeweave.operators  # noqa: F401 - registers all families
-from planeweave.operators import library, reduce
+from planeweave.operators import library, reduce, spots, stencil
 from planeweave.plans.evaluate import Evaluator, Session
 from planeweave.plans.graph import Graph
 from planeweave.plans.registry import REGISTRY
@@ -1034,7 +1034,38 @@ add("watermark", graph_query("xform.watermark", {"Anchor": "Top Left", "Size": 1
 SPOT = {"x": 0.4, "y": 0.5, "sx": 0.6, "sy": 0.5, "size": 0.05, "feather": 0.0, "mode": "clone"}
 _near_spot = "sqrt(pow(px.x + 0.5 - 40, 2) + pow(px.y + 0.5 - 0.5 * px.h, 2)) >= 0.05 * greatest(100, px.h)"
 add("spot_clone", graph_query("filter.spot_removal", {"Spots": [SPOT]}), sql_image(*(c01(f"CASE WHEN far THEN {c} ELSE s{c} END") for c in "rgb"), source="cl", ctes=f", cl AS (SELECT px.*, {_near_spot} AS far, s.r AS sr, s.g AS sg, s.b AS sb FROM px LEFT JOIN px s ON s.y = px.y AND s.x = least(px.x + 20, 99))"))
-add("spot_heal", graph_query("filter.spot_removal", {"Spots": [SPOT | {"mode": "heal", "feather": 0.5}]}))
+
+
+def _heal_sql() -> str:
+    """The disk of radius r at (40, h / 2), its source 20 pixels to the right; 64 places along the edge."""
+    ctes = ", sz AS (SELECT h, 0.05 * greatest(100, h) AS rad, 0.5 * h AS cy FROM size), ring AS (SELECT h, rad, k, 40 + rad * cos(2 * pi() * k / 64.0) AS rx, cy + rad * sin(2 * pi() * k / 64.0) AS ry FROM sz, range(64) t(k))"
+    ctes += ", pt AS (SELECT k, h, side, rx + dx * greatest(1.0, rad * 0.04) + 20 * side AS sx, ry + dy * greatest(1.0, rad * 0.04) AS sy FROM ring, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) c(dx, dy), range(2) s(side))"
+    ctes += ", pos AS (SELECT k, side, h, least(greatest(sx - 0.5, 0), 99) AS ux, least(greatest(sy - 0.5, 0), h - 1) AS uy FROM pt)"
+    ctes += ", tap AS (SELECT k, side, least(floor(ux) + i, 99) AS tx, least(floor(uy) + j, h - 1) AS ty, (CASE WHEN i = 1 THEN ux - floor(ux) ELSE 1 - ux + floor(ux) END) * (CASE WHEN j = 1 THEN uy - floor(uy) ELSE 1 - uy + floor(uy) END) / 5.0 AS v FROM pos, range(2) a(i), range(2) b(j))"
+    ctes += ", mean AS (SELECT k, side, " + ", ".join(f"sum(v * {c}) AS {c}" for c in "rgb") + " FROM tap JOIN px ON px.x = tap.tx AND px.y = tap.ty GROUP BY k, side)"
+    ctes += ", dif AS (SELECT ring.*, " + ", ".join(f"t.{c} - s.{c} AS d{c}" for c in "rgb") + " FROM ring JOIN mean t ON t.k = ring.k AND t.side = 0 JOIN mean s ON s.k = ring.k AND s.side = 1)"
+    pull = "(1.0 / (pow(px.x + 0.5 - rx, 2) + pow(px.y + 0.5 - ry, 2) + 0.0001 * rad * rad))"
+    away = "sqrt(pow(px.x + 0.5 - 40, 2) + pow(px.y + 0.5 - 0.5 * px.h, 2))"
+    ctes += ", pulled AS (SELECT px.y, px.x, " + ", ".join(f"sum(d{c} * {pull}) / sum({pull}) AS m{c}" for c in "rgb") + f" FROM px JOIN dif ON {away} < rad GROUP BY px.y, px.x)"
+    cover = f"CASE WHEN {away} >= rad THEN 0.0 ELSE 1.0 - {sm('rad * 0.5', 'rad', away)} END"
+    ctes += f", hl AS (SELECT px.*, {cover} AS cov, " + ", ".join(f"s.{c} + coalesce(m{c}, 0.0) AS s{c}" for c in "rgb") + " FROM px CROSS JOIN (SELECT rad FROM sz) z LEFT JOIN px s ON s.y = px.y AND s.x = least(px.x + 20, 99) LEFT JOIN pulled p ON p.y = px.y AND p.x = px.x)"
+    return sql_image(*(c01(f"{c} + (s{c} - {c}) * cov") for c in "rgb"), source="hl", ctes=ctes)
+
+
+add("spot_heal", graph_query("filter.spot_removal", {"Spots": [SPOT | {"mode": "heal", "feather": 0.5}]}), _heal_sql())
+
+
+def _dusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dust on the softened picture, on whose every 50 by 50 pixels a soft dark disk is laid."""
+    image = events_image(spark, sf_dir)
+    soft = stencil.blurred(image.frame, image.names[:3], 20.0, 20.0)
+    away = F.sqrt(F.pow(F.col("x") % 50 - 25.0, 2) + F.pow(F.col("y") % 50 - 25.0, 2))
+    dark = 1.0 - 0.15 * F.greatest(1.0 - F.pow(away / 4.0, 2), F.lit(0.0))
+    found = spots.dust(image.frame.image(*(F.col(n) * dark for n in soft), 1.0))
+    return found.select(*[F.round(c, 6).alias(c) for c in ("x", "y", "radius", "score")])
+
+
+add("dust", _dusted)
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:

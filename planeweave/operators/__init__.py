@@ -1,3 +1,3 @@
 """Operator families; importing this package registers them all."""
 
-from . import colour, converter, develop, geometry, iterative, masks, mixing, patchfill, plumbing, retouch, stencil, textures  # noqa: F401
+from . import colour, converter, develop, geometry, iterative, masks, mixing, patchfill, plumbing, retouch, spots, stencil, textures  # noqa: F401

@@ -13,6 +13,7 @@ from planeweave.plans.values import Frame, Image
 
 from .align import shifts
 from .geometry import nearest, sample
+from .spots import healed, membrane
 from .stencil import blurred
 
 #: Camera turn at the ends of the sliders, in radians.
@@ -132,7 +133,7 @@ def spot_removal(call: Call):
     """Circles filled from elsewhere in the image, in order.
 
     A spot: {"x", "y", "sx", "sy" of 0..1, "size": of the longer edge, "feather", "opacity", "mode": "clone" | "heal"}.
-    Heal shifts the copy by the difference of the two rings' mean colours.
+    Heal adds what the two edges' colours differ by, spread smoothly over the inside.
     """
     image = call.image()
     for spot in call["Spots"] if isinstance(call["Spots"], list) else []:
@@ -143,15 +144,13 @@ def spot_removal(call: Call):
         (d,) = call.keep(m.hypot(x - cx, y - cy))
         inner = r * (1.0 - float(spot.get("feather", 0.5)))
         cover = F.when(d >= r, 0.0).otherwise(1.0 - m.smoothstep(inner, r, d)) * float(spot.get("opacity", 1.0))
+        (covered,) = frame.add(cover)
         names = sample(image, frame, x + (sx - cx), y + (sy - cy))
         copied = [F.col(n) for n in names[:3]]
         if spot.get("mode", "heal") == "heal":
-            ring = (d >= r) & (d < r * 1.3 + 1)
-            shift, key = [frame.name() for _ in range(3)], frame.name()
-            means = frame.df.where(ring).groupBy("img").agg(*[F.avg(F.col(s) - c).alias(n) for s, c, n in zip(image.names, copied, shift, strict=False)]).withColumnRenamed("img", key)
-            frame.df = frame.df.join(F.broadcast(means), F.col("img") == F.col(key), "left").drop(key)  # one row an image
-            copied = [c + F.coalesce(F.col(n), F.lit(0.0)) for c, n in zip(copied, shift, strict=True)]
-        (a,) = call.keep(cover)
+            added = membrane(image, call.linear, (cx, cy), (sx - cx, sy - cy), r)
+            copied = [F.when(F.col(covered) > 0, healed(c, v, call.linear)).otherwise(c) for c, v in zip(copied, added, strict=True)]
+        (a,) = call.keep(F.col(covered))
         image = frame.image(*(m.clamp_colour(m.mix(s, c, a), call.linear) for s, c in zip(image.rgb, copied, strict=True)), image.alpha)
     return image
 

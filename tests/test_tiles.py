@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +193,73 @@ def test_fast_directional_blur(spark, sf_dir, monkeypatch):
         turn, move = turn @ turn, turn @ move + move
     got = catalogue.QUERIES["directional_blur_fast"](spark, sf_dir).toPandas().sort_values(["y", "x"])[["r", "g", "b", "a"]].to_numpy().reshape(100, 10, 4)
     assert np.allclose(got, now, atol=1e-7)
+
+
+def plain_diffused(planes, amount, radius, span, rounds, sensitivity, threshold):
+    """Pixel by pixel, level by level."""
+    h, w = planes[0].shape
+    centre = math.log2(max(radius, 0.25))
+    raw = [math.exp(-0.5 * ((k - centre) / span) ** 2) for k in range(min(max(math.ceil(centre + 2 * span) + 1, 1), 10))]
+    weights = [r / max(sum(raw), 1.0) for r in raw]
+    spline = (1 / 16, 4 / 16, 6 / 16, 4 / 16, 1 / 16)
+    get = lambda p, y, x: p[min(max(y, 0), h - 1)][min(max(x, 0), w - 1)]
+    for _ in range(rounds):
+        luma = [[sum(k * p[y][x] for k, p in zip((0.2126, 0.7152, 0.0722), planes, strict=True)) for x in range(w)] for y in range(h)]
+        out = []
+        for plane in planes:
+            now, move = [list(map(float, row)) for row in plane], np.zeros((h, w))
+            for level, weight in enumerate(weights):
+                far = 1 << level
+                rows = [[sum(k * get(now, y + (d - 2) * far, x) for d, k in enumerate(spline)) for x in range(w)] for y in range(h)]
+                soft = [[sum(k * get(rows, y, x + (d - 2) * far) for d, k in enumerate(spline)) for x in range(w)] for y in range(h)]
+                for y in range(h):
+                    for x in range(w):
+                        detail, gate = now[y][x] - soft[y][x], 1.0
+                        if amount > 0 and threshold > 0:
+                            t = min(max(abs(detail) / threshold - 1.0, 0.0), 1.0)
+                            gate = t * t * (3 - 2 * t)
+                        move[y, x] += weight * gate * detail
+                now = soft
+            new = np.zeros((h, w))
+            for y in range(h):
+                for x in range(w):
+                    gx, gy = (get(luma, y, x + 1) - get(luma, y, x - 1)) / 2, (get(luma, y + 1, x) - get(luma, y - 1, x)) / 2
+                    pace = 2 * amount / rounds / (1 + (gx * gx + gy * gy) / (0.05 / sensitivity) ** 2 if sensitivity else 1)
+                    new[y, x] = max(plane[y][x] + max(pace, -1.0) * move[y, x], 0.0)
+            out.append(new)
+        planes = out
+    return planes
+
+
+@pytest.mark.parametrize(("amount", "sensitivity", "threshold"), [(25, 50, 5), (-100, 50, 5), (80, 0, 0)])
+def test_diffusion_equals_a_plain_version(spark, amount, sensitivity, threshold):
+    planes = np.random.default_rng(7).random((3, 13, 17))
+    y, x = np.indices((13, 17)).reshape(2, -1)
+    rows = pd.DataFrame({"img": "0", "y": y, "x": x, **{c: p.ravel() for c, p in zip("rgb", planes, strict=True)}})
+    graph = Graph()
+    a = graph.add("io.image_input", params={"Color Space": 2})
+    b = graph.add("filter.diffuse", params={"Amount": amount, "Edge Sensitivity": sensitivity, "Noise Threshold": threshold, "Iterations": 2})
+    graph.connect(a, 0, b, 0)
+    frame = Frame(spark.createDataFrame(rows, "img string, y int, x int, r double, g double, b double"), 17, 13)
+    out = Evaluator(graph, Session(spark, {"one": frame.image(F.col("r"), F.col("g"), F.col("b"), 1.0)})).result(b.id, 0).toPandas().sort_values(["y", "x"])
+    want = plain_diffused(list(planes), amount / 100, 4.0, 1.0, 2, sensitivity / 100, threshold / 100 * 0.02)
+    for c, p in zip("rgb", want, strict=True):
+        assert np.allclose(out[c].to_numpy().reshape(13, 17), np.clip(p, 0, 1), atol=1e-9)
+
+
+def test_automatic_sliders_are_the_best_of_all_their_values():
+    """Each slider brings its share of the tones nearest to its tone, of all whole values with the earlier ones set."""
+    g = np.random.default_rng(12)
+    for low, high, bend in ((0.1, 0.4, 1.0), (0.0, 1.0, 2.0), (0.3, 0.98, 0.6)):
+        rgb = np.clip(low + (high - low) * g.random((3000, 1)) ** bend + 0.02 * g.random((3000, 3)), 0, 1)
+        s = develop.automatic(rgb)
+        at = lambda share, **more: np.quantile(develop.toned_values(rgb, s | more), share, method="nearest")  # noqa: B023,E731
+        zero = dict.fromkeys(develop.AUTO_SLIDERS, 0.0)
+        stops = [k / 20 for k in range(-80, 81)]
+        near = lambda share, tone: min(stops, key=lambda v: abs(np.quantile(develop.toned_values(rgb, zero | {"Exposure": v}), share, method="nearest") - tone))  # noqa: B023,E731
+        middle, bright = near(0.5, 0.42), near(0.995, 0.92)
+        assert abs(s["Exposure"] - (middle if middle >= 0 else min(max(middle, bright), 0.0))) <= 0.051
+        for slider, share, tone in (("Blacks", 0.005, 0.02), ("Whites", 0.995, 0.97)):
+            before = {"Blacks": 0.0} if slider == "Whites" else {}
+            off = {v: abs(at(share, **before, **{slider: float(v)}) - tone) for v in range(-70, 71)}
+            assert off[int(s[slider])] <= min(off.values()) + 0.006
