@@ -182,6 +182,36 @@ def test_only_blocks_that_may_count_are_sent(spark, monkeypatch):
         assert sorted((r["rank"], r.vec_id, r.score) for r in found if r.query_id == i) == [(n, j, -s) for n, (s, j) in enumerate(want, 1)]
 
 
+@pytest.mark.parametrize("share", [-1.0, 2.0])
+def test_both_plans_give_the_same(spark, monkeypatch, share):
+    """Clusters in random order, with and without looking beforehand for what may be left out."""
+    monkeypatch.setattr(exact_topk, "OPEN", share)
+    monkeypatch.setattr(exact_topk, "SHARD", 256)
+    monkeypatch.setattr(exact_topk, "GROUP", 16)
+    g = np.random.default_rng(13)
+    centres = g.normal(0, 1, (12, 10))
+    v = centres[g.integers(12, size=3000)] + g.normal(0, 0.05, (3000, 10))
+    found = exact_topk.exact_topk(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(5)).collect()
+    whole = np.floor(256 * v).astype(np.int64)
+    got = {}
+    for r in found:
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for i in range(0, 3000, 50):
+        want = sorted((-int(s), j) for j, s in enumerate(whole @ whole[i]) if j != i)[:5]
+        assert sorted(got[i]) == [(n, j, -s) for n, (s, j) in enumerate(want, 1)]
+
+
+def test_bounds_hold_and_balls_are_tight():
+    g = np.random.default_rng(17)
+    rows = np.floor(200 * (g.normal(0, 1, 24) + g.normal(0, 0.05, (400, 24))))
+    q = np.floor(200 * g.normal(0, 1, (50, 24)))
+    centre = rows.mean(axis=0)
+    ends = rows.max(axis=0)[None], rows.min(axis=0)[None]
+    ball = centre[None], np.array([np.linalg.norm(rows - centre, axis=1).max()])
+    both, terms = exact_topk.upper_bounds(q, *ends, *ball)[:, 0], exact_topk.upper_bounds(q, *ends)[:, 0]
+    assert (both >= (q @ rows.T).max(axis=1)).all() and (both <= terms).all() and (both < terms).mean() > 0.9
+
+
 def test_rows_of_one_id_are_candidates_of_each_other(spark):
     rows = [(0, [2.0]), (0, [3.0]), (7, [1.0])]
     found = exact_topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
