@@ -766,14 +766,16 @@ add("photos_duplicates", _duplicates, "SELECT doc_id AS idx, min(doc_id) OVER (P
 
 
 def _alike(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of vectors as pictures: a hash of the signs of 24 components, and the same the other way round as a turn."""
+    """Pairs of vectors as pictures: 24 bits of a hash are signs of sums of every 24th of all components; the same the other way round is a turn."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding is not null")
-    sign = lambda i, at: F.when(F.get("embedding", i) > 0, F.lit(1 << (2 * at + 3))).otherwise(F.lit(0)).cast("long")
+    folded = lambda i: sum((F.get("embedding", k).cast("double") for k in range(i + 24, 64, 24)), F.get("embedding", i).cast("double"))
+    sign = lambda i, at: F.when(folded(i) > 0, F.lit(1 << (2 * at + 3))).otherwise(F.lit(0)).cast("long")
     own, turned = (sum((sign(i, at(i)) for i in range(1, 24)), sign(0, at(0))) for at in (lambda i: i, lambda i: 23 - i))
     return library.duplicate_pairs(e.select(F.col("vec_id").alias("idx"), F.lit(0).cast("long").alias("file_hash"), own.alias("picture_hash"), F.lit(1.0).alias("aspect"), F.array(F.lit(0).cast("long"), turned).alias("rotated")))
 
 
-_bits = lambda at: " + ".join(f"CASE WHEN embedding[{i + 1}] > 0 THEN {1 << (2 * at(i) + 3)} ELSE 0 END" for i in range(24))
+_folded = lambda i: " + ".join(f"CAST(embedding[{k + 1}] AS DOUBLE)" for k in range(i, 64, 24))
+_bits = lambda at: " + ".join(f"CASE WHEN {_folded(i)} > 0 THEN {1 << (2 * at(i) + 3)} ELSE 0 END" for i in range(24))
 add("photos_alike", _alike, f"""WITH h AS (SELECT vec_id AS idx, CAST({_bits(lambda i: i)} AS BIGINT) AS p, CAST({_bits(lambda i: 23 - i)} AS BIGINT) AS q FROM embeddings WHERE embedding IS NOT NULL),
 lone AS (SELECT p, q, min(idx) AS idx FROM h WHERE p <> 0 GROUP BY p, q), near AS (SELECT least(i.idx, j.idx) AS a, greatest(i.idx, j.idx) AS b FROM lone i JOIN lone j ON i.idx <> j.idx AND (bit_count(xor(i.p, j.p)) <= 4 OR (j.q <> 0 AND bit_count(xor(i.p, j.q)) <= 4)))
 SELECT a, b FROM near UNION SELECT lone.idx AS a, h.idx AS b FROM h JOIN lone ON h.p = lone.p AND h.idx <> lone.idx""")

@@ -67,9 +67,11 @@ def numbered(photos: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def collapsed(photos: DataFrame, order: str = "position", opened: tuple[str, ...] = ()) -> DataFrame:
-    """Only the top photo of each stack, but all of opened ones and those without a stack."""
-    top = F.row_number().over(Window.partitionBy("stack").orderBy(order))
-    return photos.withColumn("top", top).where(F.col("stack").isNull() | (F.col("stack") == "") | F.col("stack").isin(*opened, "") | (F.col("top") == 1)).drop("top")
+    """Only the top photo of each stack, but all of opened ones and those without a stack, which don't move."""
+    alone = F.col("stack").isNull() | F.col("stack").isin("", *opened)
+    row = F.struct(*[F.col(c) for c in photos.columns])
+    tops = photos.where(~alone).groupBy("stack").agg(F.min_by(row, F.struct(F.col(order), F.xxhash64(row))).alias("top"))
+    return photos.where(alone).unionByName(tops.select("top.*"))
 
 
 def entries(photos: DataFrame, copies: DataFrame) -> DataFrame:
