@@ -215,24 +215,35 @@ def train(docs: DataFrame, per_language: int = 1500, steps: int = 250) -> Networ
     return net
 
 
-def predict_batch(net: Network | None, texts: list, rows: int = 4096) -> tuple[list[str], np.ndarray]:
-    """Language and probability of whole texts."""
+#: Bytes of texts whose segments are laid out at once (a longer text is alone), and numbers in one block of labels.
+TEXTS, BLOCK = 4 << 20, 1 << 22
+
+
+def predict_batch(net: Network | None, texts: list) -> tuple[list[str], np.ndarray]:
+    """Language and probability of whole texts, in blocks that shrink as languages grow in number."""
     named, score = ["und"] * len(texts), np.ones(len(texts))
-    known = [i for i, t in enumerate(texts) if net is not None and t and any(map(str.isalpha, t))]
-    if not known:
-        return named, score
-    raw = [texts[i].encode("utf-8", "surrogatepass") for i in known]
-    cells, owner = segments(raw)
-    total = np.zeros((len(raw), len(net.languages)))
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        if net is not None and text and any(map(str.isalpha, text)):
+            held.append((i, text.encode("utf-8", "surrogatepass")))
+            size += len(held[-1][1])
+        if held and (size >= TEXTS or i == len(texts) - 1):
+            for k, best, x in _predicted(net, held):
+                named[k], score[k] = net.languages[best], x
+            held, size = [], 0
+    return named, score
+
+
+def _predicted(net: Network, held: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, float]]:
+    cells, owner = segments([raw for _, raw in held])
+    total = np.zeros((len(held), len(net.languages)))
+    rows = max(1, min(1024, BLOCK // (SEGMENT * len(net.languages))))
     for at in range(0, len(cells), rows):
-        part = np.ascontiguousarray(cells[at : at + rows].T, dtype=np.intp)
-        p = net.positions(part)
+        p = net.positions(np.ascontiguousarray(cells[at : at + rows].T, dtype=np.intp))
         np.add.at(total, owner[at : at + rows], p.sum(axis=0))
     total /= total.sum(axis=1, keepdims=True)
-    best = total.argmax(axis=1)
-    for i, k, x in zip(known, best.tolist(), total[np.arange(len(best)), best].tolist(), strict=True):
-        named[i], score[i] = net.languages[k], min(1.0, x)
-    return named, score
+    for (k, _), best, x in zip(held, total.argmax(axis=1).tolist(), total.max(axis=1).tolist(), strict=True):
+        yield k, best, min(1.0, x)
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:

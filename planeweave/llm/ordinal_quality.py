@@ -184,8 +184,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int, features_in_a
     made = written(made.withColumn("row", F.monotonically_increasing_id()))
     order = ["salt", "grade", "text_hash", "row"]
     first = made.select(*order, "n").orderBy(*order).limit(most)
-    # At most ``most`` rows of numbers.
-    upto = first.withColumn("upto", F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    # At most ``most`` rows of numbers; a text over the bound by itself is left out, the others stay.
+    upto = first.where(F.col("n") <= features_in_all).withColumn("upto", F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     kept = upto.where(F.col("upto") <= features_in_all).select(F.col("row").alias("k_row"))
     got = made.join(F.broadcast(kept), F.col("row") == F.col("k_row")).select(*order, "ids").toPandas()
     return got.sort_values(["salt", "grade", "text_hash"], kind="stable")

@@ -50,6 +50,8 @@ _MORE = frozenset("0123456789(+")
 BITS = 1 << 23
 #: Tasks that the rows of one pattern or identifier are dealt over.
 SALTS = 8
+#: Scores are summed in these parts of one.
+UNIT = 1 << 30
 
 
 def luhn(digits: str) -> bool:
@@ -345,21 +347,25 @@ def discovered(docs: DataFrame, found: DataFrame, support: int, share: float, ro
     patterns = cut(patterns.where(F.col("values") >= support).select("pattern", F.negative("most.kind").alias("p_kind"), "uses"))
     patterns = patterns.join(uses(docs, patterns), "pattern", "left").where(F.col("uses") >= share * (F.col("uses") + F.coalesce("others", F.lit(0))))
     patterns = cut(patterns.select("pattern", "p_kind"))
+    if patterns.isEmpty():  # no context has enough seeds: no text is read again
+        return docs.select("doc_id", F.lit(0).cast("long").alias("text_hash"), *[F.lit(0).cast("long").alias(c) for c in ("start", "end")], F.lit(0).alias("kind")).limit(0)
     new = written(_spread(placed(docs, patterns), patterns, "pattern", ["doc_id", "start"]))
     known = _spread(seeds, patterns, "pattern", ["value"]).select("pattern", "value", F.lit(True).alias("seed"))
     edges = written(known.union(new.select("pattern", "value", F.lit(False).alias("seed"))).groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
     # One unseen bad instance is assumed of every pattern.
-    score = lambda good: F.sum(good) / (F.count("*") + 1)
+    # Sums are of whole numbers, so that no order of rows changes a verdict.
+    summed = lambda x: F.sum(F.round(x * UNIT).cast("long")) / UNIT
+    score = lambda good: summed(good) / (F.count("*") + 1)
     ranked = cut(edges.groupBy("pattern").agg(score(F.col("seed").cast("double")).alias("conf")))
     doubt = F.ln(1 - F.least("conf", F.lit(0.999)))
     for _ in range(rounds - 1):
         told = _spread(edges, ranked, "pattern", ["value"]).select("pattern", "value", "seed", doubt.alias("doubt"))
-        whole = told.groupBy("value").agg(F.sum("doubt").alias("doubts"), F.max("seed").alias("known"))
+        whole = told.groupBy("value").agg(summed(F.col("doubt")).alias("doubts"), F.max("seed").alias("known"))
         # What an instance's other patterns say of it.
         rest = F.when(F.col("known"), 1.0).otherwise(1 - F.exp(F.col("doubts") - F.col("doubt")))
         ranked = cut(told.join(whole, "value").groupBy("pattern").agg(score(rest).alias("conf")))
     told = _spread(edges, ranked, "pattern", ["value"]).select("value", "seed", doubt.alias("doubt"))
-    instances = told.groupBy("value").agg(F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(F.sum("doubt"))).alias("score"))
+    instances = told.groupBy("value").agg(F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(summed(F.col("doubt")))).alias("score"))
     good = ranked.where(F.col("conf") >= pattern_score)
     best = _spread(_spread(new, good, "pattern", ["doc_id", "start"]), instances, "value", ["doc_id", "start"])
     best = best.where(F.col("score") >= F.when(F.col("plain"), word_score).otherwise(instance_score))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .components import components
 
 SEED = 42
@@ -144,8 +144,8 @@ def links(nodes: DataFrame, limit: int, tile: int) -> DataFrame:
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = batch["fp"].to_numpy(np.int64)
-            for at in range(0, len(values), 20000):
-                part = values[at : at + 20000]
+            for at in range(0, len(values), 4000):
+                part = values[at : at + 4000]
                 row, point = grid_points(part.view(np.uint64), limit)
                 yield pd.DataFrame({"point": point.view(np.int64), "fp": part[row]})
 
@@ -197,7 +197,9 @@ def grouped(docs: DataFrame, width: int = 4, limit: int = 4, tile: int = 4096) -
     """doc_id, text_hash, fp, group (its smallest fingerprint) and component_id of every row."""
     prints = written(fingerprints(docs, width))
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = components(links(nodes.select("fp"), limit, tile))
+    met = links(nodes.select("fp"), limit, tile)
+    labels = components(met)
+    discard(met)  # the grid points: all links are contracted
     named = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id")).withColumnRenamed("label", "c_label")
     of = named.join(smallest, F.col("label") == F.col("c_label")).select(F.col("fp").alias("n_fp"), F.col("label").alias("group"), "component_id")
