@@ -1028,6 +1028,23 @@ def _tilt_sql() -> str:
 
 add("perspective_rotate", graph_query("xform.perspective", {"Rotate": 10.0, "Scale": 120.0}), _tilt_sql())
 add("perspective", graph_query("xform.perspective", {"Vertical": 40.0, "Horizontal": -20.0, "Constrain Crop": True}))
+_guides = [{"x0": 0.2, "y0": 0.1, "x1": 0.25, "y1": 0.9}, {"x0": 0.8, "y0": 0.1, "x1": 0.78, "y1": 0.9}, {"x0": 0.1, "y0": 0.4, "x1": 0.9, "y1": 0.45}]
+add("perspective_guided", graph_query("xform.perspective", {"Upright": 1, "Guides": _guides}))
+
+
+def _levelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The softened picture with slanted bars laid over it, levelled by them."""
+    image = events_image(spark, sf_dir)
+    soft = stencil.blurred(image.frame, image.names[:3], 4.0, 4.0)
+    bars = F.when(F.pmod(F.col("y") - 0.07 * F.col("x"), F.lit(24.0)) < 12, 0.2).otherwise(0.0)
+    image.frame.df = image.frame.df.select("img", "y", "x", *[(F.col(n) * 0.2 + bars).alias(c) for n, c in zip(soft, "rgb", strict=True)], F.lit(1.0).alias("a"))
+    g = Graph()
+    node = g.add("xform.perspective", params={"Upright": 3})
+    g.connect(g.add("io.image_input", params={"Color Space": 2}), 0, node, 0)
+    return told(Evaluator(g, Session(spark, {"events": pixel_table(image.frame.df, image.frame.w, image.frame.h)})).result(node.id))
+
+
+add("perspective_level", _levelled)
 _rr = f"(sqrt({_ld} * {_ld} + (y + 0.5 - h / 2.0) * (y + 0.5 - h / 2.0)) / (least(100, h) / 2.0))"
 add("lens_profile", graph_query("xform.lens_profile", {"Profile": {"model": "ptlens", "k": [0.01, -0.02, 0.005], "red": 1.001}}), sql_image(*(c01(c) for c in "rgb"), source="bent", ctes=per_channel(f"0.01 * {_rr} * {_rr} * {_rr} - 0.02 * {_rr} * {_rr} + 0.005 * {_rr} + 1.005", 1.001, True)))
 _pq = "((pow(x + 0.5 - 50, 2) + pow(y + 0.5 - h / 2, 2)) / (2500 + h * h / 4))"

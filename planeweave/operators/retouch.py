@@ -11,6 +11,7 @@ from planeweave.functions import maths as m
 from planeweave.plans.registry import REGISTRY, Call, Pin, Spec, choice, flag, number, operator, shape
 from planeweave.plans.values import Frame, Image
 
+from . import upright
 from .align import shifts
 from .geometry import nearest, sample
 from .spots import healed, membrane
@@ -61,16 +62,31 @@ def perspective_map(call: Call, w: int, h: int) -> np.ndarray:
     return build(high)
 
 
+UPRIGHT = "Off|Guided|Auto|Level|Vertical|Full"
+
+
 @operator(
     "xform.perspective", "Image image", "Image image", *[number(n, 0, -100, 100) for n in ("Vertical", "Horizontal")], number("Rotate", 0, -45, 45), *[number(n, 0, -100, 100) for n in ("Aspect", "X Offset", "Y Offset")],
-    number("Scale", 100, 50, 150), flag("Constrain Crop", False), reach=lambda call: None,
+    number("Scale", 100, 50, 150), flag("Constrain Crop", False), choice("Upright", UPRIGHT), shape("Guides", []), reach=lambda call: None,
 )
 def perspective(call: Call):
-    """The camera turned by the sliders: nine numbers, one gather."""
+    """The camera turned by the sliders, before that by what makes lines upright, drawn by hand or the picture's own: nine numbers, one gather.
+
+    Constrain Crop looks at the sliders only.
+    """
     image = call.image()
     frame = image.frame
     u, v = (F.col("x") + 0.5) / frame.w, (F.col("y") + 0.5) / frame.h
-    px, py, pw = call.keep(*(float(r[0]) * u + float(r[1]) * v + float(r[2]) for r in perspective_map(call, frame.w, frame.h)))
+    given, mode = perspective_map(call, frame.w, frame.h), UPRIGHT.split("|")[call["Upright"]]
+    if mode == "Guided":
+        given = upright.unturned(upright.guided(call["Guides"] or [], frame.w, frame.h), frame.w, frame.h, given)
+    cells = [[F.lit(float(c)) for c in row] for row in given]
+    if mode in upright.FREE:
+        found = upright.maps(upright.segments(image, call.linear), frame.w, frame.h, mode, given)
+        key, names = frame.name(), [frame.name() for _ in range(9)]
+        frame.df = frame.df.join(found.select(F.col("img").alias(key), *[F.col(f"p{k}").alias(n) for k, n in enumerate(names)]), F.col("img") == F.col(key), "left").drop(key)
+        cells = [[F.coalesce(F.col(names[3 * i + j]), cells[i][j]) for j in range(3)] for i in range(3)]
+    px, py, pw = call.keep(*(r[0] * u + r[1] * v + r[2] for r in cells))
     safe = F.when(pw > 1e-9, pw).otherwise(1.0)
     s, t = call.keep(F.when(pw > 1e-9, px / safe).otherwise(-1.0), F.when(pw > 1e-9, py / safe).otherwise(-1.0))
     return Image(frame, *sample(image, frame, s * frame.w, t * frame.h, clear=True))
