@@ -30,7 +30,7 @@ def table(spark, pictures):
 
 @pytest.mark.parametrize(("mode", "axes"), [("Level", (2,)), ("Vertical", (0,)), ("Full", (0, 1, 2))])
 def test_planted_turns_are_found(spark, mode, axes):
-    h, w = 150, 200
+    h, w = 225, 300
     planted = {}
     for name, degrees in (("a", (5.0, -4.0, 3.0)), ("b", (-6.0, 3.0, -5.0))):
         planted[name] = [math.radians(d) if k in axes else 0.0 for k, d in enumerate(degrees)]
