@@ -195,7 +195,8 @@ def _bounds(queries: np.ndarray, blocks: pd.DataFrame, width: int) -> np.ndarray
 
 def open_share(index: DataFrame, queries: DataFrame, width: int, k: int) -> float:
     """Share of (query, block) pairs of a sample of bounded size whose bound reaches the k-th score within the sample."""
-    blocks = index.orderBy(F.xxhash64("block")).limit(64).toPandas()
+    # Of wide vectors fewer blocks.
+    blocks = index.orderBy(F.xxhash64("block")).limit(max(1, min(64, CELLS // (BLOCK * max(width, 1))))).toPandas()
     asked = queries.orderBy(F.xxhash64("query")).limit(64).toPandas()
     if not len(blocks) or not len(asked):
         return 1.0
