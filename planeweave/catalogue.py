@@ -741,6 +741,25 @@ for n, key, desc, sql in (("name", "name", True, "lower(name) DESC"), ("rating",
     add(f"photos_by_{n}", lambda s, d, key=key, desc=desc: library.numbered(photos(s, d), library.photo_order(key, desc)).select("photo", F.col("place").cast("int").alias("place")), f"{PHOTOS} SELECT photo, CAST(row_number() OVER (ORDER BY {sql}) AS INT) AS place FROM photos")
 
 
+def _shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos with what a camera tells, where it does."""
+    kind = F.element_at(F.array(*map(F.lit, (".jpg", ".DNG", ".tif", ""))), (F.col("photo") % 4 + 1).cast("int"))
+    known = lambda c, n: F.when(F.col("photo") % n != 0, c)
+    return photos(spark, sf_dir).withColumns({
+        "name": F.concat(F.regexp_replace("name", r"\.jpg$", ""), kind), "make": known(F.col("title"), 5), "model": F.col("folder"), "lens": known(F.concat(F.lit("Lens "), F.upper("title")), 3),
+        "iso": known(F.col("position") % 8 * 100 + 100, 7), "focal_length": known((F.col("position") % 70).cast("double") + 15.0, 11), "edit_time": F.when(F.col("edited"), F.col("position")),
+    })
+
+
+_SHOTS = PHOTOS.rstrip() + """, shots AS (SELECT photo, replace(name, '.jpg', '') || CASE photo % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.DNG' WHEN 2 THEN '.tif' ELSE '' END AS name, CASE WHEN photo % 5 <> 0 THEN title ELSE '' END AS make, folder AS model,
+ CASE WHEN photo % 3 <> 0 THEN 'lens ' || lower(title) ELSE '' END AS lens, CASE WHEN photo % 7 <> 0 THEN position % 8 * 100 + 100 ELSE 0 END AS iso, CASE WHEN photo % 11 <> 0 THEN position % 70 + 15 ELSE 0 END AS focal, CASE WHEN edited THEN position ELSE 0 END AS edit_time FROM photos)"""
+for n, desc, sql in (
+    ("file_type", False, "CASE photo % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.dng' WHEN 2 THEN '.tif' ELSE '' END"), ("camera", False, "lower(coalesce(make, '') || ' ' || coalesce(model, ''))"), ("lens", True, "coalesce(lens, '') DESC"),
+    ("iso", True, "iso DESC"), ("focal_length", False, "focal"), ("edit_time", True, "edit_time DESC"),
+):
+    add(f"photos_by_{n}", lambda s, d, n=n, desc=desc: library.numbered(_shots(s, d), library.photo_order(n, desc)).select("photo", F.col("place").cast("int").alias("place")), f"{_SHOTS} SELECT photo, CAST(row_number() OVER (ORDER BY {sql}, lower(name)) AS INT) AS place FROM shots")
+
+
 def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = photos(spark, sf_dir).select(F.lit("best").alias("collection"), "photo", "copy", "rating")
     return library.add_to_collection(p.where("rating = 5").drop("rating"), p.where("rating >= 4").drop("rating"))[0].select("collection", "photo")

@@ -42,11 +42,25 @@ def remove_keyword(keywords: Column, word: str) -> Column:
     return F.filter(keywords, lambda k: F.lower(k) != word.lower())
 
 
+def _text(*names: str) -> Column:
+    return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(n), F.lit("")) for n in names]))
+
+
+#: Keys that are made of other columns. Without a value they count as an empty text or 0, so only capture times that are missing come last.
+SORT_KEYS = {
+    "file_type": lambda: F.lower(F.regexp_extract("name", r"\.[^.]*$", 0)), "camera": lambda: _text("make", "model"), "lens": lambda: _text("lens"),
+    "iso": lambda: F.coalesce("iso", F.lit(0)), "focal_length": lambda: F.coalesce("focal_length", F.lit(0.0)), "edit_time": lambda: F.coalesce("edit_time", F.lit(0)),
+}
+
+
 def photo_order(key: str, descending: bool = False) -> list[Column]:
     """By a key; missing values last either way, ties by lower-cased name, then copy."""
     name, copy = F.lower("name"), F.col("copy")
     if key == "name":
         return [name.desc() if descending else name.asc(), copy.asc()]
+    if key in SORT_KEYS:
+        made = SORT_KEYS[key]()
+        return [made.desc() if descending else made.asc(), name.asc(), copy.asc()]
     missing = F.col(key).isNull() | (F.col(key).cast("string") == "")
     return [missing.asc(), F.col(key).desc() if descending else F.col(key).asc(), name.asc(), copy.asc()]
 
