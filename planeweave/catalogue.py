@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import planeweave.operators  # noqa: F401 - registers all families
+from planeweave.functions import spaces
 from planeweave.operators import library, reduce, spots, stencil
 from planeweave.plans.evaluate import Evaluator, Session
 from planeweave.plans.graph import Graph
@@ -1166,5 +1167,35 @@ def _patched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("remove", _patched)
 
+
+# Colour spaces at the sink
+def _exported(space: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        image = events_image(spark, sf_dir)
+        rgb = [F.col(n).cast("double") * 1.5 for n in image.names[:3]]
+        return image.frame.df.select("y", "x", *[F.round(c, 8).alias(n) for c, n in zip(spaces.shown_in(space, rgb), "rgb", strict=True)])
+
+    return run
+
+
+def _space_sql(space: str) -> str:
+    """Scene-linear light up to one and a half times the picture's, by the space's matrix and curve."""
+    rows, most = spaces.from_srgb(space), spaces.PQ_PEAK / spaces.PQ_WHITE if space == "Rec.2100 PQ" else 1.0
+    scene = [f"({c} * 1.5)" for c in "rgb"]
+    moved = scene if space == "sRGB" else [" + ".join(f"({float(k)!r}) * {c}" for k, c in zip(row, scene, strict=True)) for row in rows]
+    y = f"pow(v * {spaces.PQ_WHITE / spaces.PQ_PEAK!r}, {spaces.PQ_M1!r})"
+    curve = {
+        "Adobe RGB (1998)": f"pow(v, {256 / 563!r})", "ProPhoto RGB": f"CASE WHEN v < {1 / 512!r} THEN 16.0 * v ELSE pow(v, {1 / 1.8!r}) END",
+        "Rec.2020": f"CASE WHEN v < {spaces.REC_BETA!r} THEN 4.5 * v ELSE {spaces.REC_ALPHA!r} * pow(v, 0.45) - {spaces.REC_ALPHA - 1!r} END",
+        "Rec.2100 PQ": f"pow(({spaces.PQ_C1!r} + {spaces.PQ_C2!r} * {y}) / (1.0 + {spaces.PQ_C3!r} * {y}), {spaces.PQ_M2!r})",
+    }.get(space, srgb("v"))
+    held = ", ".join(f"least(greatest({v}, 0.0), {most!r}) AS h{c}" for v, c in zip(moved, "rgb", strict=True))
+    each = ", ".join(f"round({re.sub(r'(?<![a-z])v(?![a-z])', f'h{c}', curve)}, 8) AS {c}" for c in "rgb")
+    return f"{PX}, held AS (SELECT y, x, {held} FROM px) SELECT y, x, {each} FROM held"
+
+
+for n, space in (("srgb", "sRGB"), ("display_p3", "Display P3"), ("adobe_rgb", "Adobe RGB (1998)"), ("prophoto", "ProPhoto RGB"), ("rec2020", "Rec.2020"), ("pq", "Rec.2100 PQ")):
+    add(f"export_{n}", _exported(space), _space_sql(space))
+
 # Literals with a point are decimals in the other engine; written with an exponent they are doubles, as here.
 ORACLE_SQL.update({n: re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", sql) for n, sql in ORACLE_SQL.items()})

@@ -91,3 +91,20 @@ def test_wide_boxes_equal_narrow_ones(spark):
     want = [np.mean(v[np.clip(np.arange(x - 20, x + 21), 0, 59)]) for x in range(60)]
     assert [r.o for r in out] == pytest.approx(want)
     assert math.isclose(stencil.reach(3.0), 7)
+
+
+def test_export_spaces_have_their_published_matrices_and_curves(spark):
+    from planeweave.functions import spaces
+
+    p3 = [[0.82246197, 0.17753803, 0.0], [0.03319420, 0.96680580, 0.0], [0.01708263, 0.07239744, 0.91051993]]
+    rec = [[0.62740390, 0.32928304, 0.04331307], [0.06909729, 0.91954040, 0.01136232], [0.01639144, 0.08801331, 0.89559525]]
+    assert np.allclose(spaces.from_srgb("Display P3"), p3, atol=2e-5) and np.allclose(spaces.from_srgb("Rec.2020"), rec, atol=2e-5)
+    for space in spaces.PRIMARIES:
+        assert np.allclose(spaces.from_srgb(space).sum(axis=1), 1.0, atol=1e-9)  # white stays white
+        row = spark.range(1).select(*[c.alias(f"{n}{k}") for n, v in (("white", 1.0), ("black", 0.0), ("bright", 4.0)) for k, c in enumerate(spaces.shown_in(space, [F.lit(v)] * 3))]).first()
+        white, bright = [row[f"white{k}"] for k in range(3)], row["bright0"]
+        if space == "Rec.2100 PQ":
+            assert np.allclose(white, 0.58068, atol=1e-4) and bright > white[0] + 0.1  # 203 nits; highlights stay brighter
+        else:
+            assert np.allclose(white, 1.0, atol=1e-6) and abs(bright - 1.0) < 1e-6
+        assert abs(row["black0"]) < 1e-6
