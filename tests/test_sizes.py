@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from planeweave import catalogue
+from planeweave.operators import geometry
 
 from .test_queries import ordered
 
@@ -38,3 +39,15 @@ def same(spark, folder, name):
 @pytest.mark.parametrize("name", ["alpha_over", "blend_add", "blend_color_burn", "blend_difference", "blend_divide", "blend_exclusion", "blend_lighten", "blend_linear_light", "blend_mix", "blend_multiply", "blend_overlay", "switch"])
 def test_turned_picture_keeps_its_highlights(spark, events_of, name):
     assert same(spark, events_of(300), name)
+
+
+@pytest.mark.parametrize("name", ["border", "border_aspect"])
+def test_border_of_an_unfinished_line_is_made_by_many_tasks(spark, events_of, monkeypatch, name):
+    monkeypatch.setattr(geometry, "CELLS", 500, raising=False)
+    folder = events_of(1234)
+    assert same(spark, folder, name)
+    assert catalogue.QUERIES[name](spark, folder).select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_canvas_of_a_tall_picture_is_whole():
+    assert geometry.canvas_of(100, 60000, 3.0, 2.0, 1.5) == (97200, 64800, 48550, 1800)
