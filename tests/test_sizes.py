@@ -51,3 +51,10 @@ def test_border_of_an_unfinished_line_is_made_by_many_tasks(spark, events_of, mo
 
 def test_canvas_of_a_tall_picture_is_whole():
     assert geometry.canvas_of(100, 60000, 3.0, 2.0, 1.5) == (97200, 64800, 48550, 1800)
+
+
+def test_no_window_is_summed_anew_for_every_row(spark, events_of):
+    folder = events_of(1234)
+    df = catalogue.QUERIES["double_edge_mask"](spark, folder)
+    assert "currentrow$(), unboundedfollowing$()" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert same(spark, folder, "double_edge_mask")
