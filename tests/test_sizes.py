@@ -1,11 +1,13 @@
 """Queries against their SQL on events that the sampled tables lack: bright values and other sizes."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from planeweave import catalogue
-from planeweave.operators import geometry
+from planeweave.operators import geometry, library
 
 from .test_queries import ordered
 
@@ -58,3 +60,18 @@ def test_no_window_is_summed_anew_for_every_row(spark, events_of):
     df = catalogue.QUERIES["double_edge_mask"](spark, folder)
     assert "currentrow$(), unboundedfollowing$()" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert same(spark, folder, "double_edge_mask")
+
+
+def test_bands_of_a_hash_are_made_of_the_bits_that_vary(spark):
+    """24 bits at odd places, as the vectors' hashes have: no band may be of bits that are always 0."""
+    g = random.Random(3)
+    spread = lambda v: sum((v >> k & 1) << (2 * k + 3) for k in range(24))
+    told = [(i, 0, spread(g.getrandbits(24) | 1), 1.0, [0, spread(g.getrandbits(24) | 1)]) for i in range(300)]
+    for rows in (300, 50_000, 10**7):
+        keys = library._near_keys(spread(2**24 - 1), 4, rows)
+        assert all(mask for mask, _ in keys) and sum(mask for mask, _ in keys) == spread(2**24 - 1)
+    df = spark.createDataFrame(told, "idx long, file_hash long, picture_hash long, aspect double, rotated array<bigint>")
+    near = lambda a, b: (a ^ b).bit_count() <= 4
+    want = {(min(i, j), max(i, j)) for i, _, p, _, _ in told for j, _, q, _, (_, turn) in told if i != j and (near(p, q) or near(p, turn))}
+    found = [tuple(r) for r in library.duplicate_pairs(df).collect()]
+    assert set(found) == want and len(found) == len(want)
