@@ -75,3 +75,12 @@ def test_bands_of_a_hash_are_made_of_the_bits_that_vary(spark):
     want = {(min(i, j), max(i, j)) for i, _, p, _, _ in told for j, _, q, _, (_, turn) in told if i != j and (near(p, q) or near(p, turn))}
     found = [tuple(r) for r in library.duplicate_pairs(df).collect()]
     assert set(found) == want and len(found) == len(want)
+
+
+def test_sun_beams_of_tiles_equal_sql_and_send_no_taps(spark, events_of, monkeypatch):
+    folder = events_of(1234)
+    assert same(spark, folder, "sun_beams")
+    monkeypatch.setattr(geometry, "SMEARED", 300, raising=False)
+    assert same(spark, folder, "sun_beams")
+    plan = catalogue.QUERIES["sun_beams"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "sequence" not in plan
