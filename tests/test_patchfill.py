@@ -137,3 +137,13 @@ def test_stripes_go_on_where_a_square_is_removed(spark, grow):
     assert np.abs(made["r"].to_numpy() - stripe).mean() < 0.02 and np.abs(made["g"] - made["r"]).max() < 1e-6
     if not grow:
         assert (made["r"].to_numpy()[~inside] == rows["r"].to_numpy()[~inside]).all()
+
+
+def test_a_level_is_dealt_out_to_tiles_once(spark, monkeypatch):
+    """Rounds deal out what surrounds the hole, not the level's pixels again."""
+    planes, hole = picture(26, 34, seed=8), np.zeros((26, 34), bool)
+    hole[11:14, 15:18] = True
+    tiles, dealt = p._tiles, []
+    monkeypatch.setattr(p, "_tiles", lambda df, *more: (dealt.append("target" in df.columns), tiles(df, *more))[1])
+    p.completed(table(spark, planes, hole), hole.shape, side=16)
+    assert dealt.count(False) == 1 and dealt.count(True) == 16
