@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from planeweave.operators import align
+from planeweave.operators import align, retouch
 from planeweave.plans.evaluate import Evaluator, Session
 from planeweave.plans.graph import Graph
 from planeweave.sources.tables import pixel_table
@@ -101,3 +101,22 @@ def test_merging_aligns_unless_told_not_to(spark):
     inside = np.s_[8:-8, 8:-8]
     assert np.abs(merged(spark, [still, shaken], {}) - still)[inside].max() < 1e-9
     assert np.abs(merged(spark, [still, shaken], {"Auto Align": False}) - still)[inside].max() > 0.01
+
+
+def test_only_moved_exposures_are_sent_to_their_places(spark, monkeypatch):
+    """Two images whose first exposure lies elsewhere: each place shows the pixel that is there, the edge repeated."""
+    h, w, planted = 9, 7, {"a": (2, -3), "b": (-4, 1)}
+    y, x = np.indices((h, w))
+    values = {name: np.random.default_rng(k).random((2, h, w)) for k, name in enumerate(planted)}
+    rows = pd.concat([pd.DataFrame({"img": n, "y": y.ravel(), "x": x.ravel(), "r": v[0].ravel(), "g": v[1].ravel(), "b": 0.0, "a": 1.0}) for n, v in values.items()])
+    frame = pixel_table(spark.createDataFrame(rows, "img string, y int, x int, r double, g double, b double, a double"), w, h).frame
+    found = spark.createDataFrame([(n, p, *(d if p == 0 else (0, 0))) for n, d in planted.items() for p in (0, 1)], "img string, picture int, dx int, dy int")
+    monkeypatch.setattr(retouch, "shifts", lambda *_: found)
+    light = retouch._aligned(frame, [[F.col("p0")] * 3, [F.col("p1")] * 3], [], None)
+    out = frame.df.select("img", "y", "x", light[0][0].alias("moved"), light[1][0].alias("still"))
+    assert frame.df._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # pixels once, by the shifts' rows
+    got = {(r.img, r.y, r.x): (r.moved, r.still) for r in out.collect()}
+    assert len(got) == 2 * h * w
+    for name, (dx, dy) in planted.items():
+        there = values[name][0][np.clip(y + dy, 0, h - 1), np.clip(x + dx, 0, w - 1)]
+        assert all(got[name, j, i] == (there[j, i], values[name][1][j, i]) for j in range(h) for i in range(w))

@@ -84,3 +84,12 @@ def test_sun_beams_of_tiles_equal_sql_and_send_no_taps(spark, events_of, monkeyp
     assert same(spark, folder, "sun_beams")
     plan = catalogue.QUERIES["sun_beams"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "sequence" not in plan
+
+
+@pytest.mark.parametrize("name", ["hdr_merge", "hdr_deghost"])
+def test_exposures_that_lie_alike_are_read_once_and_joined_to_one_row_an_image(spark, events_of, name):
+    folder = events_of(1234)
+    plan = catalogue.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan and plan.count("Join") == 2
+    if name in catalogue.ORACLE_SQL:
+        assert same(spark, folder, name)
