@@ -93,3 +93,8 @@ def test_exposures_that_lie_alike_are_read_once_and_joined_to_one_row_an_image(s
     assert "parquet" not in plan and plan.count("Join") == 2
     if name in catalogue.ORACLE_SQL:
         assert same(spark, folder, name)
+
+
+@pytest.mark.parametrize("name", ["blend_screen", "blend_soft_light", "layer_stack", "mix", "split_compare"])
+def test_queries_that_share_the_turned_picture_keep_its_highlights(spark, events_of, name):
+    assert same(spark, events_of(300), name)
