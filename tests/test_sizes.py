@@ -77,6 +77,17 @@ def test_bands_of_a_hash_are_made_of_the_bits_that_vary(spark):
     assert set(found) == want and len(found) == len(want)
 
 
+def test_pictures_sent_for_each_pattern_are_not_broadcast(spark):
+    """Spark's estimate of what a picture is sent for leaves the patterns out, so a broadcast of it fills the driver."""
+    told = [(i, i + 1, 8 * i + 8, 1.0, [0, 8 * i + 16]) for i in range(300)]
+    df = spark.createDataFrame(told, "idx long, file_hash long, picture_hash long, aspect double, rotated array<bigint>")
+    pairs = library.duplicate_pairs(df)
+    rows = pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert len(rows) == len(set(rows)) > 0
+
+
 def test_sun_beams_of_tiles_equal_sql_and_send_no_taps(spark, events_of, monkeypatch):
     folder = events_of(1234)
     assert same(spark, folder, "sun_beams")
