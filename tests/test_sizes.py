@@ -109,3 +109,15 @@ def test_exposures_that_lie_alike_are_read_once_and_joined_to_one_row_an_image(s
 @pytest.mark.parametrize("name", ["blend_screen", "blend_soft_light", "layer_stack", "mix", "split_compare"])
 def test_queries_that_share_the_turned_picture_keep_its_highlights(spark, events_of, name):
     assert same(spark, events_of(300), name)
+
+
+@pytest.mark.parametrize("name", ["basic_clarity"])
+def test_blurs_of_a_tall_picture_are_those_of_the_sql(spark, events_of, name):
+    assert same(spark, events_of(12_345), name)
+
+
+def test_without_a_given_edge_blurs_follow_the_pictures_own(spark, events_of):
+    folder = events_of(20_000)
+    rows = lambda **edge: ordered(map(tuple, catalogue.graph_query("color.basic", {"Clarity": 50.0}, **edge)(spark, folder).collect()))
+    own = rows()
+    assert own == rows(long_edge=200) != rows(long_edge=100)
