@@ -111,7 +111,7 @@ def test_queries_that_share_the_turned_picture_keep_its_highlights(spark, events
     assert same(spark, events_of(300), name)
 
 
-@pytest.mark.parametrize("name", ["basic_clarity", "basic_dehaze", "basic_haze"])
+@pytest.mark.parametrize("name", ["basic_clarity", "basic_dehaze", "basic_haze", "tone_equalizer_guided"])
 def test_blurs_of_a_tall_picture_are_those_of_the_sql(spark, events_of, name):
     assert same(spark, events_of(12_345), name)
 
