@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from planeweave import catalogue
 from planeweave.operators import geometry, library
+from planeweave.plans.evaluate import Evaluator, Session
+from planeweave.plans.graph import Graph
+from planeweave.sources.tables import pixel_table
 
 from .test_queries import ordered
 
@@ -55,6 +58,38 @@ def test_canvas_of_a_tall_picture_is_whole():
     assert geometry.canvas_of(100, 60000, 3.0, 2.0, 1.5) == (97200, 64800, 48550, 1800)
 
 
+@pytest.mark.parametrize("name", ["border", "border_aspect"])
+def test_places_of_a_canvas_are_counted_without_an_array_of_a_line(spark, events_of, name):
+    """Each place costs little: none is taken from an array or dealt out, and a large canvas has no task for every few lines."""
+    folder = events_of(1234)
+    plan = catalogue.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "Repartition" not in plan and plan.count("Join") == 1
+    assert same(spark, folder, name)
+    rows = catalogue.QUERIES[name](spark, folder).collect()
+    assert len({(r.y, r.x) for r in rows}) == len(rows)
+
+
+def test_a_large_canvas_has_a_bounded_number_of_tasks(spark):
+    one = spark.createDataFrame([("a",)], "img string")
+    (part,) = geometry.places(one, (0, 0, 583_200, 388_800))
+    told = part._jdf.queryExecution().optimizedPlan().toString()
+    assert f"splits=Some({geometry.MOST_TASKS})" in told
+    last = geometry.places(one, (7, 3, 9, 6))[0].orderBy("y", "x").collect()
+    assert [tuple(r) for r in last] == [("a", y, x) for y in (3, 4, 5) for x in (7, 8)]
+
+
+def test_border_of_several_images_of_their_own_colours(spark):
+    cells = [(img, y, x, v, v, v, 1.0) for img, v in (("a", 0.2), ("b", 0.6)) for y in range(3) for x in range(4)]
+    image = pixel_table(spark.createDataFrame(cells, "img string, y int, x int, r double, g double, b double, a double"), 4, 3)
+    g = Graph()
+    node, source = g.add("xform.border", params={"Size": 25.0, "Aspect": "1:1"}), g.add("io.image_input", params={"Color Space": 2})
+    g.connect(source, 0, node, "Image")
+    rows = Evaluator(g, Session(spark, {"events": image})).result(node.id).collect()
+    w, h, left, top = geometry.canvas_of(4, 3, 25.0, 0.0, 1.0)
+    want = {(img, y, x): v if left <= x < left + 4 and top <= y < top + 3 else 1.0 for img, v in (("a", 0.2), ("b", 0.6)) for y in range(h) for x in range(w)}
+    assert {(r.img, r.y, r.x): r.r for r in rows} == want and len(rows) == len(want)
+
+
 def test_no_window_is_summed_anew_for_every_row(spark, events_of):
     folder = events_of(1234)
     df = catalogue.QUERIES["double_edge_mask"](spark, folder)
